@@ -55,3 +55,32 @@ def doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_tf(doc_queries(spark, sf_dir), ["article_id", "query_no"]).drop("norm2")
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from longdoc.sources.testdata import articles_from_documents
+    return articles_from_documents(table(spark, sf_dir, "documents"))
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from longdoc.sources.testdata import titles_from_pages
+    return titles_from_pages(table(spark, sf_dir, "pages"))
+
+
+def titles_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from longdoc.sources.testdata import titles_with_duplicates
+    return titles_with_duplicates(table(spark, sf_dir, "pages"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 up to the prompt: articles with a title, abstract, body, prompt,
+    model input (B1-B3, J2)."""
+    from longdoc.plans.prepare import prepare_articles
+    return prepare_articles(articles(spark, sf_dir), titles(spark, sf_dir))
+
+
+def trunc_ids(spark: SparkSession, sf_dir: str, max_len: int = 512) -> DataFrame:
+    """Document ids cut to max_len with EOS kept inside."""
+    vp = vocab_path(spark, sf_dir)
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("article_id"), tokenize("text", vp, max_len).alias("token_ids"))

@@ -33,17 +33,21 @@ vocab AS (SELECT token, CAST(2 + row_number() OVER (ORDER BY cnt DESC, token ASC
 """
 
 
-def token_rows(name: str, src: str, key: str, text: str) -> str:
-    """CTE ``name``(key, pos, id): tokenized text incl. trailing EOS."""
+def token_rows(name: str, src: str, key: str, text: str, max_len: int | None = None) -> str:
+    """CTEs ``{name}_raw``(key, pos, id) without EOS and ``name`` with the
+    trailing EOS (C1 when ``max_len`` is set: ids cut to max_len - 1, then EOS)."""
+    cut = f"WHERE pos < {max_len - 1}" if max_len else ""
+    eos_pos = f"least(len(toks), {max_len - 1})" if max_len else "len(toks)"
     return f"""
 _{name}_p AS (SELECT {key} AS k, {pieces(text)} AS toks FROM {src}),
 _{name}_t AS (SELECT k, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM _{name}_p),
-{name} AS (
+{name}_raw AS (
   SELECT t.k AS {key}, t.pos,
          CASE t.token WHEN '<pad>' THEN 0 WHEN '</s>' THEN 1 WHEN '<unk>' THEN 2
                       ELSE coalesce(v.token_id, 2) END AS id
-  FROM _{name}_t t LEFT JOIN vocab v ON t.token = v.token
-  UNION ALL SELECT k AS {key}, len(toks) AS pos, 1 AS id FROM _{name}_p)
+  FROM _{name}_t t LEFT JOIN vocab v ON t.token = v.token),
+{name} AS (SELECT * FROM {name}_raw {cut}
+  UNION ALL SELECT k AS {key}, {eos_pos} AS pos, 1 AS id FROM _{name}_p)
 """
 
 
@@ -110,3 +114,179 @@ SQL["knn_sparse"] = with_(VOCAB, DOC_IDS, CHUNKS, QUERY_TEXT, Q_IDS, SPARSE) + "
 SELECT article_id, CAST(query_no AS BIGINT) AS query_no, CAST(rank AS BIGINT) AS rank,
        CAST(chunk_no AS BIGINT) AS chunk_no, round(score, 6) AS score
 FROM knn"""
+
+ARTICLES = f"""
+articles AS (
+  SELECT CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split,
+         doc_id AS article_id, doc_id AS ord,
+         list_transform(string_split(array_to_string({words('text')}[1:40], ' '), '. '),
+                        lambda s: '<S> ' || s || ' </S>') AS abstract_text,
+         string_split(text, chr(10)) AS article_text
+  FROM documents)
+"""
+
+TITLES = """
+titles AS (SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+                  page_id AS ord FROM pages),
+titles_dup AS (SELECT * FROM titles
+               UNION ALL SELECT id, title || ' (revised)' AS title, ord + 1000000000000 AS ord FROM titles)
+"""
+
+SAMPLES = """
+title_map AS (SELECT id, arg_max(title, ord) AS title FROM titles GROUP BY id),
+samples AS (
+  SELECT a.split, a.article_id, a.ord, t.title,
+         replace(replace(array_to_string(a.abstract_text, ' '), '<S> ', ''), ' </S>', '') AS abstract,
+         '<pad>title: ' || t.title || ' abstract: ' AS prompt,
+         '<pad>title: ' || t.title || ' abstract: '
+           || replace(replace(array_to_string(a.abstract_text, ' '), '<S> ', ''), ' </S>', '') AS model_input
+  FROM articles a JOIN title_map t ON a.article_id = t.id)
+"""
+
+TRUNC = token_rows("trunc_ids", "documents", "doc_id", "text", 512)
+
+
+def ids_string(tbl: str, key: str, extra: str = "") -> str:
+    return (f"SELECT {key}{extra}, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS token_ids "
+            f"FROM {tbl} GROUP BY ALL")
+
+
+SQL["abstract_flatten"] = with_(ARTICLES) + """
+SELECT article_id, replace(replace(array_to_string(abstract_text, ' '), '<S> ', ''), ' </S>', '') AS abstract
+FROM articles"""
+
+SQL["text_flatten"] = with_(ARTICLES) + """
+SELECT article_id, array_to_string(article_text, ' ') AS text FROM articles"""
+
+SQL["prompt_build"] = with_(ARTICLES, TITLES, SAMPLES) + """
+SELECT article_id, split, prompt, model_input FROM samples"""
+
+SQL["min_chunks"] = with_(VOCAB, DOC_IDS, CHUNKS) + """
+SELECT DISTINCT article_id, CAST(n_chunks AS BIGINT) AS n_chunks FROM chunks WHERE n_chunks >= 3"""
+
+SQL["id_filter"] = f"""
+SELECT doc_id, w AS first_word, CASE WHEN contains(w, '.') THEN w END AS new_id
+FROM (SELECT doc_id, {words('text')}[1] AS w FROM documents)"""
+
+SQL["quarantine"] = with_(ARTICLES, TITLES) + f"""
+SELECT a.article_id,
+       nullif(concat_ws(',', CASE WHEN t.title IS NULL THEN 'missing_title' END,
+                             CASE WHEN len({words("array_to_string(a.article_text, ' ')")}) < 64
+                                  THEN 'short_body' END), '') AS error
+FROM articles a LEFT JOIN (SELECT id, arg_max(title, ord) AS title FROM titles GROUP BY id) t
+  ON a.article_id = t.id"""
+
+STRIP_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+SQL["strip_predictions"] = f"""
+SELECT conv_id, turn, regexp_replace(text, '^{STRIP_CLASS}+|{STRIP_CLASS}+\\z', '', 'g') AS text
+FROM conversations"""
+
+SQL["trim_sections"] = f"""
+WITH s AS (
+  SELECT doc_id,
+         list_transform(string_split(text, chr(10)), lambda l: lower(coalesce({words('l')}[1], ''))) AS names,
+         list_transform(string_split(text, chr(10)), lambda l: string_split(l, '. ')) AS sections
+  FROM documents),
+p AS (SELECT *, coalesce(nullif(list_position(list_transform(names, lambda n: contains(n, 'the')), true), 0), 1) AS st
+      FROM s),
+q AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, len(names) + 1),
+                                   lambda i: i >= st AND contains(names[i], 'and')), true), 0), len(names)) AS en
+      FROM p)
+SELECT doc_id, array_to_string(flatten(list_slice(sections, st, en)), '|') AS kept FROM q"""
+
+SQL["tokenize_truncate"] = with_(VOCAB, TRUNC) + "\n" + ids_string("trunc_ids", "doc_id AS article_id",
+                                                                      ", CAST(count(*) AS BIGINT) AS n_ids")
+
+PROMPT_IDS = token_rows("prompt_ids", "samples", "article_id", "prompt", 512)
+
+SQL["prompt_ids"] = with_(VOCAB, ARTICLES, TITLES, SAMPLES, PROMPT_IDS) + """
+SELECT s.article_id, coalesce(p.ids, '') AS prompt_ids FROM samples s LEFT JOIN
+  (SELECT article_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM prompt_ids_raw
+   WHERE pos < 511 GROUP BY ALL) p USING (article_id)"""
+
+SQL["pad_multiple"] = with_(VOCAB, DOC_IDS) + f"""
+SELECT doc_id AS article_id, CAST(count(*) AS BIGINT) AS n_ids,
+       CAST((({C} - count(*) % {C}) % {C}) AS BIGINT) AS n_pad,
+       string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) || repeat(' 0', CAST(({C} - count(*) % {C}) % {C} AS INTEGER)) AS padded
+FROM doc_ids GROUP BY ALL"""
+
+CHUNK_TEXT = f"""
+_ce AS (SELECT article_id, chunk_no, unnest(token_ids) AS id, unnest(range({C})) AS pos FROM chunks),
+_ct AS (SELECT e.article_id, e.chunk_no, string_agg(v.token, ' ' ORDER BY e.pos) AS t
+        FROM _ce e JOIN vocab v ON e.id = v.token_id WHERE e.id >= 3 GROUP BY ALL),
+chunk_text AS (SELECT c.article_id, c.chunk_no, c.n_chunks,
+                      coalesce(regexp_replace(t.t, ' ([.,!?])', '\\1', 'g'), '') AS text
+               FROM chunks c LEFT JOIN _ct t USING (article_id, chunk_no))
+"""
+
+SQL["decode_chunks"] = with_(VOCAB, DOC_IDS, CHUNKS, CHUNK_TEXT) + """
+SELECT article_id, CAST(chunk_no AS BIGINT) AS chunk_no, text FROM chunk_text"""
+
+SQL["drop_last_chunk"] = with_(VOCAB, DOC_IDS, CHUNKS) + """
+SELECT article_id, CAST(chunk_no AS BIGINT) AS chunk_no FROM chunks WHERE chunk_no < n_chunks - 1"""
+
+SQL["full_chunks"] = with_(VOCAB, TRUNC) + f"""
+SELECT doc_id AS article_id, CAST(pos // {C} AS BIGINT) AS query_no,
+       string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS token_ids
+FROM trunc_ids GROUP BY ALL HAVING count(*) = {C}"""
+
+SQL["last_full_chunk"] = with_(VOCAB, TRUNC) + f"""
+, _n AS (SELECT doc_id, count(*) AS n FROM trunc_ids GROUP BY ALL)
+SELECT t.doc_id AS article_id,
+       CASE WHEN n.n % {C} = 0 THEN string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY t.pos)
+                                    FILTER (WHERE t.pos >= n.n - {C}) END AS last_chunk
+FROM trunc_ids t JOIN _n n USING (doc_id) GROUP BY t.doc_id, n.n"""
+
+MASK_SRC = token_rows("m_q", "_qtext", "doc_id", "query") + "," + token_rows("m_t", "documents", "doc_id", "text", 128)
+
+SQL["mask_after_eos"] = with_(VOCAB, QUERY_TEXT, MASK_SRC) + """,
+_len AS (SELECT doc_id, max(pos) + 1 AS n FROM m_q GROUP BY ALL),
+_all AS (SELECT doc_id, pos, id FROM m_q
+         UNION ALL SELECT t.doc_id, t.pos + l.n AS pos, t.id FROM m_t t JOIN _len l USING (doc_id)),
+_first AS (SELECT doc_id, min(pos) AS f FROM _all WHERE id = 1 GROUP BY ALL)
+SELECT a.doc_id AS article_id,
+       string_agg(CAST(CASE WHEN f.f IS NOT NULL AND a.pos > f.f THEN 0 ELSE a.id END AS VARCHAR), ' '
+                  ORDER BY a.pos) AS masked
+FROM _all a LEFT JOIN _first f USING (doc_id) GROUP BY ALL"""
+
+SQL["sequence_windows"] = with_(VOCAB, DOC_IDS, CHUNKS) + f"""
+SELECT article_id, CAST(chunk_no // 32 AS BIGINT) AS seq_no, CAST(min(chunk_no) AS BIGINT) AS first_chunk,
+       CAST(max(chunk_no) AS BIGINT) AS last_chunk, CAST(count(*) AS BIGINT) AS n_chunks
+FROM chunks GROUP BY ALL"""
+
+SQL["lm_shift"] = with_(VOCAB, TRUNC) + """,
+_n AS (SELECT doc_id, max(pos) AS last FROM trunc_ids GROUP BY ALL)
+SELECT t.doc_id AS article_id,
+       coalesce(string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY t.pos) FILTER (WHERE t.pos < n.last), '') AS input,
+       coalesce(string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY t.pos) FILTER (WHERE t.pos > 0), '') AS label
+FROM trunc_ids t JOIN _n n USING (doc_id) GROUP BY ALL"""
+
+SQL["chunk_pairs"] = with_(VOCAB, DOC_IDS, CHUNKS) + """
+SELECT a.article_id, CAST(a.chunk_no AS BIGINT) AS chunk_no,
+       CASE WHEN b.chunk_no IS NOT NULL THEN array_to_string(list_concat(a.token_ids, b.token_ids), ' ') END AS pair_ids
+FROM chunks a LEFT JOIN chunks b ON a.article_id = b.article_id AND b.chunk_no = a.chunk_no + 1"""
+
+SQL["title_map_last"] = with_(TITLES) + """
+SELECT id, arg_max(title, ord) AS title FROM titles_dup GROUP BY id"""
+
+SQL["title_join"] = with_(ARTICLES, TITLES) + """
+SELECT a.article_id, a.split, t.title FROM articles a
+JOIN (SELECT id, arg_max(title, ord) AS title FROM titles_dup GROUP BY id) t ON a.article_id = t.id"""
+
+SQL["title_lookup_first"] = with_(TITLES) + """
+SELECT d.doc_id AS article_id, t.title FROM documents d
+LEFT JOIN (SELECT id, arg_min(title, ord) AS title FROM titles_dup GROUP BY id) t ON d.doc_id = t.id"""
+
+SQL["neighbor_expand"] = with_(VOCAB, DOC_IDS, CHUNKS, QUERY_TEXT, Q_IDS, SPARSE) + """
+SELECT k.article_id, CAST(k.query_no AS BIGINT) AS query_no, CAST(k.rank AS BIGINT) AS rank,
+       CAST(k.chunk_no AS BIGINT) AS chunk_no, array_to_string(list_concat(a.token_ids, b.token_ids), ' ') AS pair_ids
+FROM knn k JOIN chunks a ON a.article_id = k.article_id AND a.chunk_no = k.chunk_no
+JOIN chunks b ON b.article_id = k.article_id AND b.chunk_no = k.chunk_no + 1"""
+
+SQL["neighbor_text"] = with_(VOCAB, DOC_IDS, CHUNKS, QUERY_TEXT, Q_IDS, SPARSE, CHUNK_TEXT) + """
+SELECT k.article_id, CAST(k.query_no AS BIGINT) AS query_no, CAST(k.rank AS BIGINT) AS rank,
+       CAST(k.chunk_no AS BIGINT) AS chunk_no, concat_ws(' ', a.text, b.text) AS pair_text
+FROM knn k JOIN chunk_text a ON a.article_id = k.article_id AND a.chunk_no = k.chunk_no
+JOIN chunk_text b ON b.article_id = k.article_id AND b.chunk_no = k.chunk_no + 1"""

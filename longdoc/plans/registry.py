@@ -75,3 +75,187 @@ def q_knn_sparse(spark, sf):
     r = knn_sparse(corpus.query_tf(spark, sf), key_tf(spark, sf))
     return out(r.select("article_id", "query_no", "rank", "chunk_no",
                         F.round("score", 6).alias("score")))
+
+
+# ---- B: projections and filters ------------------------------------------
+
+from longdoc.functions import arrays as A  # noqa: E402
+from longdoc.functions import text as TX  # noqa: E402
+from longdoc.operators import chunks as CH  # noqa: E402
+from longdoc.operators import lookup as LK  # noqa: E402
+from longdoc.operators.tokens import decode, tokenize  # noqa: E402
+
+
+@register("abstract_flatten")
+def q_abstract_flatten(spark, sf):
+    return out(corpus.articles(spark, sf).select("article_id",
+                                                 TX.flatten_abstract("abstract_text").alias("abstract")))
+
+
+@register("text_flatten")
+def q_text_flatten(spark, sf):
+    return out(corpus.articles(spark, sf).select("article_id", TX.flatten_text("article_text").alias("text")))
+
+
+@register("prompt_build")
+def q_prompt_build(spark, sf):
+    return out(corpus.samples(spark, sf).select("article_id", "split", "prompt", "model_input"))
+
+
+@register("min_chunks")
+def q_min_chunks(spark, sf):
+    ch = CH.filter_min_chunks(corpus.doc_chunks(spark, sf))
+    return out(ch.select("article_id", "n_chunks").distinct())
+
+
+@register("id_filter")
+def q_id_filter(spark, sf):
+    d = corpus.table(spark, sf, "documents").select("doc_id", F.get(TX.words("text"), 0).alias("first_word"))
+    return out(d.select("doc_id", "first_word", TX.new_style_id("first_word").alias("new_id")))
+
+
+@register("quarantine")
+def q_quarantine(spark, sf):
+    a = corpus.articles(spark, sf)
+    t = LK.title_map(corpus.titles(spark, sf)).withColumnRenamed("id", "article_id")
+    j = a.join(t, "article_id", "left")
+    checks = {"missing_title": F.col("title").isNull(),
+              "short_body": F.size(TX.words(TX.flatten_text("article_text"))) < 64}
+    return out(LK.tag_errors(j, checks).select("article_id", "error"))
+
+
+@register("strip_predictions")
+def q_strip(spark, sf):
+    c = corpus.table(spark, sf, "conversations")
+    return out(c.select("conv_id", "turn", TX.strip_text("text").alias("text")))
+
+
+@register("trim_sections")
+def q_trim_sections(spark, sf):
+    d = corpus.table(spark, sf, "documents")
+    lines = F.split("text", "\n")
+    names = F.transform(lines, lambda l: F.lower(F.coalesce(F.get(TX.words(l), 0), F.lit(""))))
+    sections = F.transform(lines, lambda l: F.split(l, r"\. "))
+    kept = TX.trim_sections(names, sections, start="the", end="and")
+    return out(d.select("doc_id", F.array_join(kept, "|").alias("kept")))
+
+
+# ---- C: tokens and chunks ------------------------------------------------
+
+@register("tokenize_truncate")
+def q_tokenize_truncate(spark, sf):
+    d = corpus.trunc_ids(spark, sf)
+    return out(d.select("article_id", F.size("token_ids").alias("n_ids"), A.ids_text("token_ids").alias("token_ids")))
+
+
+@register("prompt_ids")
+def q_prompt_ids(spark, sf):
+    vp = corpus.vocab_path(spark, sf)
+    s = corpus.samples(spark, sf)
+    return out(s.select("article_id", A.ids_text(A.drop_last(tokenize("prompt", vp, 512))).alias("prompt_ids")))
+
+
+@register("pad_multiple")
+def q_pad_multiple(spark, sf):
+    d = corpus.doc_ids(spark, sf)
+    p = A.pad_to_multiple("token_ids", 64)
+    return out(d.select("article_id", F.size("token_ids").alias("n_ids"),
+                        (F.size(p) - F.size("token_ids")).alias("n_pad"), A.ids_text(p).alias("padded")))
+
+
+@register("decode_chunks")
+def q_decode_chunks(spark, sf):
+    vp = corpus.vocab_path(spark, sf)
+    ch = corpus.doc_chunks(spark, sf)
+    return out(ch.select("article_id", "chunk_no", decode("token_ids", vp).alias("text")))
+
+
+@register("drop_last_chunk")
+def q_drop_last_chunk(spark, sf):
+    return out(CH.drop_last_chunk(corpus.doc_chunks(spark, sf)).select("article_id", "chunk_no"))
+
+
+@register("full_chunks")
+def q_full_chunks(spark, sf):
+    r = CH.full_chunk_rows(corpus.trunc_ids(spark, sf), "article_id", "token_ids", 64)
+    return out(r.select("article_id", "query_no", A.ids_text("token_ids").alias("token_ids")))
+
+
+@register("last_full_chunk")
+def q_last_full_chunk(spark, sf):
+    d = corpus.trunc_ids(spark, sf)
+    return out(d.select("article_id", A.ids_text(A.last_full_chunk("token_ids", 64)).alias("last_chunk")))
+
+
+@register("mask_after_eos")
+def q_mask_after_eos(spark, sf):
+    from longdoc.sources.testdata import query_text
+    vp = corpus.vocab_path(spark, sf)
+    d = corpus.table(spark, sf, "documents")
+    q = query_text(d).select("article_id", tokenize("query", vp).alias("q"))
+    t = d.select(F.col("doc_id").alias("article_id"), tokenize("text", vp, 128).alias("t"))
+    x = q.join(t, "article_id").select("article_id", F.concat("q", "t").alias("ids"))
+    return out(x.select("article_id", A.ids_text(A.mask_after_eos("ids")).alias("masked")))
+
+
+@register("sequence_windows")
+def q_sequence_windows(spark, sf):
+    return out(CH.sequence_windows(corpus.doc_chunks(spark, sf), "article_id", 2048, 64))
+
+
+@register("lm_shift")
+def q_lm_shift(spark, sf):
+    d = corpus.trunc_ids(spark, sf)
+    return out(d.select("article_id", A.ids_text(A.lm_shift_input("token_ids")).alias("input"),
+                        A.ids_text(A.lm_shift_label("token_ids")).alias("label")))
+
+
+@register("chunk_pairs")
+def q_chunk_pairs(spark, sf):
+    ch = corpus.doc_chunks(spark, sf).select("article_id", "chunk_no", "token_ids")
+    p = CH.chunk_pairs(ch)
+    return out(p.select("article_id", "chunk_no", A.ids_text("pair_ids").alias("pair_ids")))
+
+
+# ---- J: joins and lookups ------------------------------------------------
+
+@register("title_map_last")
+def q_title_map_last(spark, sf):
+    return out(LK.title_map(corpus.titles_dup(spark, sf)))
+
+
+@register("title_join")
+def q_title_join(spark, sf):
+    j = LK.join_titles(corpus.articles(spark, sf), corpus.titles_dup(spark, sf))
+    return out(j.select("article_id", "split", "title"))
+
+
+@register("title_lookup_first")
+def q_title_lookup_first(spark, sf):
+    ids = corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"))
+    return out(LK.lookup_title(ids, corpus.titles_dup(spark, sf)).select("article_id", "title"))
+
+
+def sparse_neighbors(spark, sf):
+    return knn_sparse(corpus.query_tf(spark, sf), key_tf(spark, sf))
+
+
+@register("neighbor_expand")
+def q_neighbor_expand(spark, sf):
+    from longdoc.operators.retrieve import expand_neighbors
+    e = expand_neighbors(sparse_neighbors(spark, sf), corpus.doc_chunks(spark, sf))
+    return out(e.select("article_id", "query_no", "rank", "chunk_no", A.ids_text("pair_ids").alias("pair_ids")))
+
+
+@register("neighbor_text")
+def q_neighbor_text(spark, sf):
+    from longdoc.operators.retrieve import expand_neighbors
+    vp = corpus.vocab_path(spark, sf)
+    ch = corpus.doc_chunks(spark, sf)
+    # text of chunk i and of chunk i+1, decoded separately then joined by a space
+    second = F.slice("pair_ids", 65, 64)
+    pt = ch.where(F.col("pair_ids").isNotNull()).select(
+        "article_id", "chunk_no",
+        F.concat_ws(" ", decode("token_ids", vp), decode(second, vp)).alias("pair_text"))
+    e = expand_neighbors(sparse_neighbors(spark, sf), pt, col="pair_text")
+    return out(e.select("article_id", "query_no", "rank", "chunk_no", "pair_text"))
