@@ -290,3 +290,265 @@ SELECT k.article_id, CAST(k.query_no AS BIGINT) AS query_no, CAST(k.rank AS BIGI
        CAST(k.chunk_no AS BIGINT) AS chunk_no, concat_ws(' ', a.text, b.text) AS pair_text
 FROM knn k JOIN chunk_text a ON a.article_id = k.article_id AND a.chunk_no = k.chunk_no
 JOIN chunk_text b ON b.article_id = k.article_id AND b.chunk_no = k.chunk_no + 1"""
+
+# ---- D ---------------------------------------------------------------------
+
+DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
+
+
+def dot(a: str, b: str) -> str:
+    return DOT.replace("{a}", a).replace("{b}", b)
+
+
+SQL["knn_within_label"] = f"""
+WITH q AS (SELECT label, vec_id AS query_id, embedding AS qv FROM embeddings),
+k AS (SELECT label, vec_id AS key_id, embedding AS kv FROM embeddings),
+s AS (SELECT q.label, q.query_id, k.key_id, {dot('qv', 'kv')} AS score
+      FROM q JOIN k ON q.label = k.label AND q.query_id <> k.key_id)
+SELECT CAST(label AS BIGINT) AS label, query_id, rank, key_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY score DESC, key_id) AS rank FROM s)
+WHERE rank <= 2"""
+
+NB_PAIRS = """
+nb AS (SELECT k.article_id, k.query_no, k.rank, k.chunk_no, list_concat(a.token_ids, b.token_ids) AS pair
+       FROM knn k JOIN chunks a ON a.article_id = k.article_id AND a.chunk_no = k.chunk_no
+       JOIN chunks b ON b.article_id = k.article_id AND b.chunk_no = k.chunk_no + 1)
+"""
+
+SQL["retrieved_tokens"] = with_(VOCAB, DOC_IDS, CHUNKS, QUERY_TEXT, Q_IDS, SPARSE, NB_PAIRS) + """,
+per_q AS (SELECT article_id, query_no, string_agg(array_to_string(pair, ' '), '|' ORDER BY rank) AS r
+          FROM nb GROUP BY ALL)
+SELECT article_id, string_agg(r, '#' ORDER BY query_no) AS retrieved FROM per_q GROUP BY ALL"""
+
+SQL["index_report"] = """
+SELECT CAST(label AS BIGINT) AS label, 'Flat' AS index_key, count(*) AS nb_vectors,
+       CAST(max(len(embedding)) AS BIGINT) AS dim,
+       CAST(count(*) * max(len(embedding)) * 4 + 45 AS BIGINT) AS size_bytes,
+       round((count(*) * max(len(embedding)) * 4)::DOUBLE / (count(*) * max(len(embedding)) * 4 + 45), 6)
+         AS compression_ratio,
+       0.0::DOUBLE AS reconstruction_error
+FROM embeddings GROUP BY label"""
+
+# ---- E ---------------------------------------------------------------------
+
+LOGITS = """
+lg AS (SELECT vec_id AS grp, CAST(unnest(range(len(embedding))) AS BIGINT) AS cand,
+              CAST(unnest(embedding) AS DOUBLE) AS logit FROM embeddings)
+"""
+
+SQL["topk_fraction"] = with_(LOGITS) + f"""
+SELECT grp, cand, round(logit, 6) AS logit FROM (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY logit DESC, cand) AS r,
+         count(*) OVER (PARTITION BY grp) AS n FROM lg)
+WHERE r <= greatest(floor({1.0 - 0.9!r} * n), 1)"""
+
+SQL["nucleus_filter"] = with_(LOGITS) + """,
+sm AS (SELECT grp, cand, exp(logit - max(logit) OVER (PARTITION BY grp)) AS e FROM lg),
+pr AS (SELECT grp, cand, e / sum(e) OVER (PARTITION BY grp) AS prob FROM sm),
+cum AS (SELECT *, coalesce(sum(prob) OVER (PARTITION BY grp ORDER BY prob DESC, cand
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pr)
+SELECT grp, cand, round(prob, 6) AS prob FROM cum WHERE before < 0.9"""
+
+SQL["extractive_draft"] = with_(VOCAB, DOC_IDS, CHUNKS, QUERY_TEXT, Q_IDS, SPARSE, NB_PAIRS) + """,
+best AS (SELECT article_id, chunk_no, min(query_no) AS query_no FROM nb WHERE rank = 1 GROUP BY ALL),
+d AS (SELECT b.article_id, b.query_no, n.pair FROM best b
+      JOIN (SELECT DISTINCT article_id, chunk_no, pair FROM nb) n USING (article_id, chunk_no))
+SELECT article_id, array_to_string(flatten(list(pair ORDER BY query_no))[1:512], ' ') AS draft_ids
+FROM d GROUP BY ALL"""
+
+# ---- F ---------------------------------------------------------------------
+
+RANK_EXPR = ("row_number() OVER (PARTITION BY split ORDER BY CASE WHEN split = 'train' "
+             "THEN md5('42' || CAST(article_id AS VARCHAR)) END, ord, article_id)")
+BATCH_EXPR = "(pos - 1) // (CASE split WHEN 'test' THEN 1 ELSE 8 END)"
+
+SQL["shuffle_seeded"] = with_(ARTICLES) + f"""
+SELECT split, article_id, {RANK_EXPR} AS pos FROM articles"""
+
+SQL["batch_assign"] = with_(ARTICLES) + f""",
+r AS (SELECT split, article_id, {RANK_EXPR} AS pos FROM articles)
+SELECT split, article_id, pos, {BATCH_EXPR} AS batch_no FROM r"""
+
+SQL["shard_assign"] = with_(ARTICLES) + f""",
+r AS (SELECT split, article_id, {RANK_EXPR} AS pos FROM articles)
+SELECT split, article_id, (pos - 1) % 4 AS shard FROM r"""
+
+SQL["cap_per_split"] = with_(ARTICLES, TITLES, SAMPLES) + """
+SELECT split, article_id FROM (
+  SELECT split, article_id, row_number() OVER (PARTITION BY split ORDER BY ord, article_id) AS r FROM samples)
+WHERE r <= 100"""
+
+INPUT_IDS = token_rows("input_ids", "samples", "article_id", "model_input", 512)
+ABS_IDS = token_rows("abs_ids", "samples", "article_id", "abstract", 512)
+
+BATCHED = f"""
+_sl AS (SELECT s.split, s.article_id, s.ord,
+               coalesce((SELECT list(id ORDER BY pos) FROM prompt_ids_raw p
+                         WHERE p.article_id = s.article_id AND p.pos < 511), []) AS prompt_ids,
+               (SELECT list(id ORDER BY pos) FROM input_ids i WHERE i.article_id = s.article_id) AS input_ids,
+               (SELECT list(id ORDER BY pos) FROM abs_ids i WHERE i.article_id = s.article_id) AS labels
+        FROM samples s),
+bs AS (SELECT *, {BATCH_EXPR} AS batch_no FROM (SELECT *, {RANK_EXPR} AS pos FROM _sl))
+"""
+
+
+def padded_batch(cols: dict[str, int], side: str = "right", extra: str = "") -> str:
+    sel = []
+    for c, v in cols.items():
+        pad = f"list_transform(range(m_{c} - len({c})), lambda x: {v})"
+        body = f"list_concat({pad}, {c})" if side == "left" else f"list_concat({c}, {pad})"
+        sel.append(f"string_agg(array_to_string({body}, ' '), '|' ORDER BY pos) AS {c}")
+    maxes = ", ".join(f"max(len({c})) OVER (PARTITION BY split, batch_no) AS m_{c}" for c in cols)
+    return f"""
+SELECT split, batch_no, string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY pos) AS ids, {', '.join(sel)}{extra}
+FROM (SELECT *, {maxes} FROM bs) GROUP BY split, batch_no"""
+
+
+_FB = with_(VOCAB, ARTICLES, TITLES, SAMPLES, PROMPT_IDS, INPUT_IDS, ABS_IDS, BATCHED)
+
+SQL["collate_decoder"] = _FB + padded_batch({"prompt_ids": 1, "input_ids": 1})
+SQL["pad_left"] = _FB + padded_batch({"prompt_ids": 0}, side="left")
+SQL["collate_all"] = _FB + padded_batch({"prompt_ids": 0, "input_ids": 0})
+SQL["collate_mask"] = _FB + padded_batch(
+    {"input_ids": 0, "labels": 0},
+    extra=", string_agg(array_to_string(list_transform(range(m_input_ids), lambda i: i < len(input_ids)), ' '), "
+          "'|' ORDER BY pos) AS attention_mask")
+SQL["flatten_batches"] = _FB + """
+SELECT split, batch_no, CAST(row_number() OVER (PARTITION BY split, batch_no ORDER BY pos) - 1 AS BIGINT)
+         AS pos_in_batch, article_id FROM bs"""
+
+SQL["collate_retrieved"] = with_(VOCAB, ARTICLES, TITLES, SAMPLES, DOC_IDS, CHUNKS, QUERY_TEXT, Q_IDS,
+                                 SPARSE, NB_PAIRS) + f""",
+_tt AS (SELECT article_id, list(array_to_string(token_ids, ' ') ORDER BY chunk_no) AS tt
+        FROM chunks WHERE n_chunks >= 3 GROUP BY ALL),
+_rq AS (SELECT article_id, query_no, string_agg(array_to_string(pair, ' '), '|' ORDER BY rank) AS q
+        FROM nb GROUP BY ALL),
+_rt AS (SELECT article_id, list(q ORDER BY query_no) AS rt FROM _rq GROUP BY ALL),
+_rs AS (SELECT s.split, s.article_id, s.ord, t.tt, coalesce(r.rt, []) AS rt
+        FROM samples s JOIN _tt t USING (article_id) LEFT JOIN _rt r USING (article_id)),
+bs AS (SELECT *, (pos - 1) // 8 AS batch_no FROM (SELECT *, {RANK_EXPR} AS pos FROM _rs)),
+mx AS (SELECT *, max(len(tt)) OVER (PARTITION BY split, batch_no) AS m_tt,
+              max(len(rt)) OVER (PARTITION BY split, batch_no) AS m_rt FROM bs)
+SELECT split, batch_no,
+  string_agg(array_to_string(list_concat(rt, list_transform(range(m_rt - len(rt)),
+      lambda x: trim(repeat('1 ', 128)) || '|' || trim(repeat('1 ', 128)))), '#'), ';' ORDER BY pos) AS retrieved,
+  string_agg(array_to_string(list_concat(tt, list_transform(range(m_tt - len(tt)),
+      lambda x: trim(repeat('1 ', 64)))), '|'), ';' ORDER BY pos) AS text_tokenized
+FROM mx GROUP BY split, batch_no"""
+
+# ---- G ---------------------------------------------------------------------
+
+PAIRS = """
+pairs AS (SELECT CAST(u.conv_id AS VARCHAR) || '.' || CAST(u.turn AS VARCHAR) AS id,
+                 u.text AS reference, a.text AS prediction
+          FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+          WHERE u.role = 'user' AND a.role = 'assistant')
+"""
+
+QA_TOK = (r"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[!-/:-@\[-`{-~]', '', 'g'), "
+          r"'[ \t\n\r]+'), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))")
+
+
+def qa_tok(x: str) -> str:
+    return QA_TOK.replace("{x}", x)
+
+
+def rouge_tok(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+
+
+def overlap_cte(src: str) -> str:
+    return f"""
+ov AS (SELECT id, sum(least(a, b)) AS overlap FROM (
+         SELECT id, g, sum(a) AS a, sum(b) AS b FROM (
+           SELECT id, unnest(r) AS g, 1 AS a, 0 AS b FROM {src}
+           UNION ALL SELECT id, unnest(p) AS g, 0 AS a, 1 AS b FROM {src}) GROUP BY ALL)
+       GROUP BY ALL)
+"""
+
+
+SQL["qa_f1_em"] = with_(PAIRS) + f""",
+qa AS (SELECT id, {qa_tok('reference')} AS r, {qa_tok('prediction')} AS p FROM pairs),
+{overlap_cte('qa').strip()}
+SELECT q.id,
+  round(CASE WHEN len(r) = 0 OR len(p) = 0 THEN (CASE WHEN len(r) = 0 AND len(p) = 0 THEN 1.0 ELSE 0.0 END)
+             WHEN coalesce(o.overlap, 0) = 0 THEN 0.0
+             ELSE 2.0 * o.overlap / (len(r) + len(p)) END, 6) AS f1,
+  CAST(CASE WHEN array_to_string(r, ' ') = array_to_string(p, ' ') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS exact_match
+FROM qa q LEFT JOIN ov o USING (id)"""
+
+
+def ngram_list(t: str, n: int) -> str:
+    if n == 1:
+        return t
+    return f"list_transform(range(1, len({t}) - {n - 2}), lambda i: {t}[i] || ' ' || {t}[i + 1])"
+
+
+def rouge_n_sql(n: int) -> str:
+    return f"""
+_rt{n} AS (SELECT id, {rouge_tok('reference')} AS rt, {rouge_tok('prediction')} AS pt FROM pairs),
+rg{n} AS (SELECT id, {ngram_list('rt', n)} AS r, {ngram_list('pt', n)} AS p FROM _rt{n}),
+{overlap_cte(f'rg{n}').strip().replace('ov AS', f'ov{n} AS')},
+sc{n} AS (SELECT g.id, coalesce(o.overlap, 0) AS ov, len(r) AS nr, len(p) AS np
+          FROM rg{n} g LEFT JOIN ov{n} o USING (id)),
+prf{n} AS (SELECT id, CASE WHEN np > 0 THEN ov / np ELSE 0.0 END AS precision,
+                 CASE WHEN nr > 0 THEN ov / nr ELSE 0.0 END AS recall FROM sc{n})
+"""
+
+
+def rouge_select(n: int) -> str:
+    return f"""
+SELECT id, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                  ELSE 0.0 END, 6) AS fmeasure
+FROM prf{n}"""
+
+
+SQL["rouge1"] = with_(PAIRS, rouge_n_sql(1)) + rouge_select(1)
+SQL["rouge2"] = with_(PAIRS, rouge_n_sql(2)) + rouge_select(2)
+
+
+def _fm(n: int) -> str:
+    return (f"(SELECT 'rouge{n}' AS metric, round(avg(CASE WHEN precision + recall > 0 "
+            f"THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END), 4) AS mean, count(*) AS n "
+            f"FROM prf{n})")
+
+
+SQL["rouge_corpus_mean"] = with_(PAIRS, rouge_n_sql(1), rouge_n_sql(2)) + f"\n{_fm(1)} UNION ALL {_fm(2)}"
+
+SQL["greedy_match"] = f"""
+WITH c AS (SELECT label AS g, vec_id AS cid, embedding AS cv FROM embeddings),
+r AS (SELECT label + 1 AS g, vec_id AS rid, embedding AS rv FROM embeddings),
+s AS (SELECT c.g, cid, rid, {dot('cv', 'rv')} AS score FROM c JOIN r ON c.g = r.g),
+p AS (SELECT g, avg(m) AS precision FROM (SELECT g, cid, max(score) AS m FROM s GROUP BY ALL) GROUP BY g),
+rr AS (SELECT g, avg(m) AS recall FROM (SELECT g, rid, max(score) AS m FROM s GROUP BY ALL) GROUP BY g)
+SELECT CAST(g AS BIGINT) AS label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) END, 6) AS f1
+FROM p JOIN rr USING (g)"""
+
+SQL["classification_prf"] = """
+WITH d AS (SELECT list_position([toxic::DOUBLE, (1 - toxic)::DOUBLE],
+                                list_max([toxic::DOUBLE, (1 - toxic)::DOUBLE])) - 1 AS pred,
+                  quality AS truth FROM labels),
+a AS (SELECT sum(CASE WHEN pred = 1 AND truth = 1 THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN pred = 1 AND truth <> 1 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN pred <> 1 AND truth = 1 THEN 1 ELSE 0 END) AS fn, count(*) AS n FROM d)
+SELECT round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, n
+FROM a"""
+
+SQL["weighted_mean"] = """
+SELECT round(sum(value * weight) / sum(weight), 6) AS weighted_mean
+FROM (SELECT doc_id % 16 AS b, avg(quality) AS value, count(*) AS weight FROM labels GROUP BY 1)"""
+
+SQL["corpus_stats"] = with_(VOCAB, DOC_IDS, ARTICLES) + f""",
+n AS (SELECT doc_id AS article_id, count(*) AS n_tokens FROM doc_ids GROUP BY ALL),
+j AS (SELECT a.split, n.n_tokens, ceil(n.n_tokens / 64) AS n_chunks,
+             len({words("replace(replace(array_to_string(a.abstract_text, ' '), '<S> ', ''), ' </S>', '')")})
+               AS n_abstract
+      FROM articles a JOIN n USING (article_id))
+SELECT split, count(*) AS n_docs, round(avg(n_tokens), 6) AS mean_tokens,
+       round(quantile_cont(n_tokens, 0.5), 6) AS p50_tokens, round(quantile_cont(n_tokens, 0.9), 6) AS p90_tokens,
+       round(avg(n_chunks), 6) AS mean_chunks, round(avg(n_abstract), 6) AS mean_abstract
+FROM j GROUP BY split"""

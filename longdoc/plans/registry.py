@@ -259,3 +259,279 @@ def q_neighbor_text(spark, sf):
         F.concat_ws(" ", decode("token_ids", vp), decode(second, vp)).alias("pair_text"))
     e = expand_neighbors(sparse_neighbors(spark, sf), pt, col="pair_text")
     return out(e.select("article_id", "query_no", "rank", "chunk_no", "pair_text"))
+
+
+# ---- D: dense retrieval, collection, report ------------------------------
+
+from longdoc.operators import batches as B  # noqa: E402
+from longdoc.operators import metrics as M  # noqa: E402
+from longdoc.operators import retrieve as R  # noqa: E402
+from longdoc.operators import sampling as S  # noqa: E402
+from longdoc.sources import testdata as TD  # noqa: E402
+
+
+@register("knn_within_label")
+def q_knn_within_label(spark, sf):
+    e = corpus.table(spark, sf, "embeddings")
+    q = e.select("label", F.col("vec_id").alias("query_id"), "embedding")
+    k = e.select("label", F.col("vec_id").alias("key_id"), "embedding")
+    r = R.knn_within(q, k, "label", "query_id", "key_id", "embedding", k=2, exclude_self=True)
+    return out(r.select("label", "query_id", "rank", "key_id", F.round("score", 6).alias("score")))
+
+
+@register("retrieved_tokens")
+def q_retrieved_tokens(spark, sf):
+    e = R.expand_neighbors(sparse_neighbors(spark, sf), corpus.doc_chunks(spark, sf))
+    r = R.collect_retrieved(e)
+    txt = F.array_join(F.transform("retrieved", lambda q: A.nested_text(q, "|", " ")), "#")
+    return out(r.select("article_id", txt.alias("retrieved")))
+
+
+@register("index_report")
+def q_index_report(spark, sf):
+    r = R.index_report(corpus.table(spark, sf, "embeddings"), "label")
+    return out(r.select("label", "index_key", "nb_vectors", "dim", "size_bytes",
+                        F.round("compression_ratio", 6).alias("compression_ratio"), "reconstruction_error"))
+
+
+@register("embed_chunks")
+def q_embed_chunks(spark, sf):
+    ch = corpus.doc_chunks(spark, sf)
+    e = R.embed(ch.select("article_id", "chunk_no", "token_ids"), "token_ids", dim=64)
+    return e.select("article_id", "chunk_no", "embedding")
+
+
+# ---- E: generation steps -------------------------------------------------
+
+def logits(spark, sf):
+    e = corpus.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("grp"), F.posexplode("embedding").alias("cand", "logit")) \
+        .withColumn("logit", F.col("logit").cast("double"))
+
+
+@register("topk_fraction")
+def q_topk_fraction(spark, sf):
+    r = S.topk_fraction(logits(spark, sf))
+    return out(r.select("grp", "cand", F.round("logit", 6).alias("logit")))
+
+
+@register("nucleus_filter")
+def q_nucleus(spark, sf):
+    r = S.nucleus(logits(spark, sf), p=0.9)
+    return out(r.select("grp", "cand", F.round("prob", 6).alias("prob")))
+
+
+@register("gumbel_sample")
+def q_gumbel(spark, sf):
+    return out(S.gumbel_sample(S.topk_fraction(logits(spark, sf)), temperature=1.0))
+
+
+@register("extractive_draft")
+def q_extractive_draft(spark, sf):
+    d = S.extractive_draft(sparse_neighbors(spark, sf), corpus.doc_chunks(spark, sf), max_len=512)
+    return out(d.select("article_id", A.ids_text("draft_ids").alias("draft_ids")))
+
+
+def _echo_generator(texts):
+    # stand-in model: continues the prompt with its own last word
+    return [t + " " + (t.split()[-1] if t.split() else "") for t in texts]
+
+
+@register("generate")
+def q_generate(spark, sf):
+    s = corpus.samples(spark, sf).select("article_id", "prompt")
+    return S.generate(s, _echo_generator, "prompt", "prediction", batch=1)
+
+
+# ---- F: batches -----------------------------------------------------------
+
+SPLIT_BATCH = {"train": 8, "val": 8, "test": 1}
+
+
+def ranked_articles(spark, sf):
+    a = corpus.articles(spark, sf).select("split", "article_id", "ord")
+    return B.shuffle_seeded(a)
+
+
+def tokenized_samples(spark, sf):
+    from longdoc.plans.prepare import tokenize_samples
+    vp = corpus.vocab_path(spark, sf)
+    return tokenize_samples(corpus.samples(spark, sf), vp)
+
+
+def batched_samples(spark, sf):
+    s = tokenized_samples(spark, sf)
+    return B.batch_assign(B.shuffle_seeded(s), SPLIT_BATCH)
+
+
+@register("shuffle_seeded")
+def q_shuffle_seeded(spark, sf):
+    return out(ranked_articles(spark, sf).select("split", "article_id", "pos"))
+
+
+@register("batch_assign")
+def q_batch_assign(spark, sf):
+    b = B.batch_assign(ranked_articles(spark, sf), SPLIT_BATCH)
+    return out(b.select("split", "article_id", "pos", "batch_no"))
+
+
+def _batch_text(df, cols):
+    sel = ["split", "batch_no", F.array_join(F.transform("article_id", lambda x: x.cast("string")), ",").alias("ids")]
+    for c in cols:
+        sel.append(A.nested_text(c, "|", " ").alias(c))
+    return out(df.select(*sel))
+
+
+@register("collate_decoder")
+def q_collate_decoder(spark, sf):
+    c = B.collate_decoder(batched_samples(spark, sf))
+    return _batch_text(c, ["prompt_ids", "input_ids"])
+
+
+@register("collate_mask")
+def q_collate_mask(spark, sf):
+    vp = corpus.vocab_path(spark, sf)
+    b = batched_samples(spark, sf).withColumn("labels", tokenize("abstract", vp, 512))
+    c = B.collate_encdec(b)
+    r = _batch_text(c, ["input_ids", "labels"])
+    mask = F.array_join(F.transform(c["attention_mask"], lambda row: F.array_join(
+        F.transform(row, lambda v: v.cast("string")), " ")), "|")
+    return r.join(out(c.select("split", "batch_no", mask.alias("attention_mask"))), ["split", "batch_no"])
+
+
+@register("pad_left")
+def q_pad_left(spark, sf):
+    c = B.collate(batched_samples(spark, sf), ["split", "batch_no"], "pos", {"prompt_ids": 0},
+                  ["article_id"], side="left")
+    return _batch_text(c, ["prompt_ids"])
+
+
+@register("collate_all")
+def q_collate_all(spark, sf):
+    b = batched_samples(spark, sf).select("split", "batch_no", "pos", "article_id", "prompt_ids", "input_ids")
+    return _batch_text(B.collate_all(b), ["prompt_ids", "input_ids"])
+
+
+@register("shard_assign")
+def q_shard_assign(spark, sf):
+    return out(B.shard_assign(ranked_articles(spark, sf), 4).select("split", "article_id", "shard"))
+
+
+@register("cap_per_split")
+def q_cap_per_split(spark, sf):
+    s = corpus.samples(spark, sf).select("split", "article_id", "ord")
+    return out(B.first_n_per_group(s, 100, "split", ["ord", "article_id"]).select("split", "article_id"))
+
+
+@register("flatten_batches")
+def q_flatten_batches(spark, sf):
+    c = B.collate_decoder(batched_samples(spark, sf))
+    f = B.flatten_batches(c, ["split", "batch_no"], ["article_id"])
+    return out(f.select("split", "batch_no", "pos_in_batch", "article_id"))
+
+
+def retrieval_batches(spark, sf):
+    """Samples with >= 3 body chunks, their neighbour pairs and chunks."""
+    ch = corpus.doc_chunks(spark, sf)
+    keep = CH.filter_min_chunks(ch)
+    tt = (keep.groupBy("article_id")
+          .agg(F.array_sort(F.collect_list(F.struct("chunk_no", "token_ids"))).alias("_c"))
+          .select("article_id", F.transform("_c", lambda s: s["token_ids"]).alias("text_tokenized")))
+    ret = R.collect_retrieved(R.expand_neighbors(sparse_neighbors(spark, sf), ch))
+    s = corpus.samples(spark, sf).select("split", "article_id", "ord").join(tt, "article_id")
+    s = s.join(ret, "article_id", "left").withColumn(
+        "retrieved", F.coalesce("retrieved", F.array().cast("array<array<array<int>>>")))
+    return B.batch_assign(B.shuffle_seeded(s), 8)
+
+
+@register("collate_retrieved")
+def q_collate_retrieved(spark, sf):
+    b = retrieval_batches(spark, sf)
+    c = B.collate_nested(b, ["split", "batch_no"], "pos",
+                         {"retrieved": (2, 128), "text_tokenized": 64}, keep=["article_id"])
+    rt = F.array_join(F.transform("retrieved", lambda smp: F.array_join(
+        F.transform(smp, lambda q: A.nested_text(q, "|", " ")), "#")), ";")
+    tt = F.array_join(F.transform("text_tokenized", lambda smp: A.nested_text(smp, "|", " ")), ";")
+    return out(c.select("split", "batch_no", rt.alias("retrieved"), tt.alias("text_tokenized")))
+
+
+# ---- G: metrics -----------------------------------------------------------
+
+def pairs(spark, sf):
+    return TD.prediction_pairs(corpus.table(spark, sf, "conversations"))
+
+
+def _r6(df, cols):
+    return out(df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns]))
+
+
+@register("qa_f1_em")
+def q_qa_f1_em(spark, sf):
+    return _r6(M.qa_f1_em(pairs(spark, sf)), ["f1", "exact_match"])
+
+
+@register("rouge1")
+def q_rouge1(spark, sf):
+    return _r6(M.rouge_n(pairs(spark, sf), 1), ["precision", "recall", "fmeasure"])
+
+
+@register("rouge2")
+def q_rouge2(spark, sf):
+    return _r6(M.rouge_n(pairs(spark, sf), 2), ["precision", "recall", "fmeasure"])
+
+
+@register("rouge_l")
+def q_rouge_l(spark, sf):
+    return _r6(M.rouge_l(pairs(spark, sf)), ["precision", "recall", "fmeasure"])
+
+
+@register("rouge_lsum")
+def q_rouge_lsum(spark, sf):
+    return _r6(M.rouge_lsum(pairs(spark, sf)), ["precision", "recall", "fmeasure"])
+
+
+@register("rouge_corpus_mean")
+def q_rouge_corpus_mean(spark, sf):
+    p = pairs(spark, sf)
+    r1 = M.corpus_mean(M.rouge_n(p, 1)).select(F.lit("rouge1").alias("metric"), "mean", "n")
+    r2 = M.corpus_mean(M.rouge_n(p, 2)).select(F.lit("rouge2").alias("metric"), "mean", "n")
+    return out(r1.unionByName(r2))
+
+
+@register("rouge_bootstrap")
+def q_rouge_bootstrap(spark, sf):
+    return M.bootstrap_mid(M.rouge_n(pairs(spark, sf), 1))
+
+
+@register("greedy_match")
+def q_greedy_match(spark, sf):
+    e = corpus.table(spark, sf, "embeddings")
+    cands = e.select("label", "vec_id", "embedding")
+    refs = e.select((F.col("label") + 1).alias("label"), "vec_id", "embedding")
+    g = M.greedy_match(cands, refs, "label", "vec_id")
+    return _r6(g, ["precision", "recall", "f1"])
+
+
+@register("classification_prf")
+def q_classification_prf(spark, sf):
+    lab = corpus.table(spark, sf, "labels")
+    d = lab.select(F.array(F.col("toxic").cast("double"), (1 - F.col("toxic")).cast("double")).alias("logits"),
+                   F.col("quality").alias("truth"))
+    return _r6(M.classification_prf(d), ["precision", "recall", "f1"])
+
+
+@register("weighted_mean")
+def q_weighted_mean(spark, sf):
+    lab = corpus.table(spark, sf, "labels")
+    per = lab.groupBy(F.pmod("doc_id", F.lit(16)).alias("b")).agg(
+        F.avg("quality").alias("value"), F.count(F.lit(1)).alias("weight"))
+    return _r6(M.weighted_mean(per), ["weighted_mean"])
+
+
+@register("corpus_stats")
+def q_corpus_stats(spark, sf):
+    a = corpus.articles(spark, sf).select("split", "article_id",
+                                          F.size(TX.words(TX.flatten_abstract("abstract_text"))).alias("n_abstract"))
+    d = corpus.doc_ids(spark, sf).select("article_id", F.size("token_ids").alias("n_tokens"))
+    j = a.join(d, "article_id").withColumn("n_chunks", F.ceil(F.col("n_tokens") / 64))
+    return _r6(M.corpus_stats(j), ["mean_tokens", "p50_tokens", "p90_tokens", "mean_chunks", "mean_abstract"])
