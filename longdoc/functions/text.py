@@ -44,9 +44,15 @@ def new_style_id(col) -> Column:
     return F.when(F.contains(c, F.lit(".")), c)
 
 
+# The characters Python's str.strip() removes (str.isspace()).
+STRIP_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
 def strip_text(col) -> Column:
-    """Remove leading and trailing whitespace (all of it, not only spaces)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace as Python's ``strip`` does
+    (all Unicode whitespace, not only spaces as ``trim``)."""
+    return F.regexp_replace(_c(col), f"^{STRIP_CLASS}+|{STRIP_CLASS}+\\z", "")
 
 
 def trim_sections(names, sections, start: str = "introduction",

@@ -176,8 +176,7 @@ SELECT a.article_id,
 FROM articles a LEFT JOIN (SELECT id, arg_max(title, ord) AS title FROM titles GROUP BY id) t
   ON a.article_id = t.id"""
 
-STRIP_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+from longdoc.functions.text import STRIP_CLASS  # noqa: E402
 
 SQL["strip_predictions"] = f"""
 SELECT conv_id, turn, regexp_replace(text, '^{STRIP_CLASS}+|{STRIP_CLASS}+\\z', '', 'g') AS text
@@ -552,3 +551,22 @@ SELECT split, count(*) AS n_docs, round(avg(n_tokens), 6) AS mean_tokens,
        round(quantile_cont(n_tokens, 0.5), 6) AS p50_tokens, round(quantile_cont(n_tokens, 0.9), 6) AS p90_tokens,
        round(avg(n_chunks), 6) AS mean_chunks, round(avg(n_abstract), 6) AS mean_abstract
 FROM j GROUP BY split"""
+
+# ---- A ---------------------------------------------------------------------
+
+SQL["src_articles"] = with_(ARTICLES) + """
+SELECT split, article_id, array_to_string(abstract_text, '|') AS abstract,
+       array_to_string(article_text, chr(10)) AS body FROM articles"""
+
+SQL["src_titles"] = with_(TITLES) + "\nSELECT id, title FROM titles"
+
+SQL["roundtrip_samples"] = with_(VOCAB, ARTICLES, TITLES, SAMPLES, INPUT_IDS) + """
+SELECT s.split, s.article_id, s.prompt, s.model_input,
+       (SELECT string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) FROM input_ids i
+        WHERE i.article_id = s.article_id) AS input_ids
+FROM samples s"""
+
+SQL["export_first_n"] = with_(ARTICLES, TITLES, SAMPLES) + """
+SELECT split, article_id, prompt FROM (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY ord, article_id) AS r FROM samples)
+WHERE r <= 20"""

@@ -535,3 +535,99 @@ def q_corpus_stats(spark, sf):
     d = corpus.doc_ids(spark, sf).select("article_id", F.size("token_ids").alias("n_tokens"))
     j = a.join(d, "article_id").withColumn("n_chunks", F.ceil(F.col("n_tokens") / 64))
     return _r6(M.corpus_stats(j), ["mean_tokens", "p50_tokens", "p90_tokens", "mean_chunks", "mean_abstract"])
+
+
+# ---- A: sources and sinks -------------------------------------------------
+
+from longdoc.session import scratch_path  # noqa: E402
+from longdoc.sources import io as IO  # noqa: E402
+
+
+def _scratch(spark, sf, name):
+    return scratch_path(spark, name, IO.config_key({"src": corpus._stamp(spark, f"{sf.rstrip('/')}/documents.parquet"),
+                                                    "pages": corpus._stamp(spark, f"{sf.rstrip('/')}/pages.parquet")}))
+
+
+def raw_article_files(spark, sf) -> str:
+    """The articles as the reference's raw input: JSON lines per split file."""
+    base = _scratch(spark, sf, "raw_articles")
+    if not IO.path_exists(spark, f"{base}/test.txt/_SUCCESS"):
+        a = corpus.articles(spark, sf).select(
+            "split", F.col("article_id").cast("string").alias("article_id"), "abstract_text", "article_text")
+        for s in IO.SPLITS:
+            a.where(F.col("split") == s).drop("split").write.mode("overwrite").json(f"{base}/{s}.txt")
+    return base
+
+
+def raw_title_file(spark, sf) -> str:
+    base = _scratch(spark, sf, "raw_titles")
+    if not IO.path_exists(spark, f"{base}/_SUCCESS"):
+        p = corpus.table(spark, sf, "pages")
+        (p.select(F.col("page_id").cast("string").alias("id"),
+                  F.regexp_extract("html", TD.TITLE_RE, 1).alias("title"), "url")
+         .write.mode("overwrite").json(base))
+    return base
+
+
+@register("src_articles")
+def q_src_articles(spark, sf):
+    a = IO.read_articles(spark, raw_article_files(spark, sf))
+    return out(a.select("split", F.col("article_id").cast("bigint").alias("article_id"),
+                        F.array_join("abstract_text", "|").alias("abstract"),
+                        F.array_join("article_text", "\n").alias("body")))
+
+
+@register("src_titles")
+def q_src_titles(spark, sf):
+    t = IO.read_titles(spark, raw_title_file(spark, sf))
+    return out(t.select(F.col("id").cast("bigint").alias("id"), "title"))
+
+
+@register("roundtrip_samples")
+def q_roundtrip_samples(spark, sf):
+    path = _scratch(spark, sf, "samples")
+    s = tokenized_samples(spark, sf).select("split", "article_id", "prompt", "model_input", "input_ids")
+    IO.write_samples(s, path)
+    r = IO.read_samples(spark, path)
+    return out(r.select("split", "article_id", "prompt", "model_input", A.ids_text("input_ids").alias("input_ids")))
+
+
+@register("export_first_n")
+def q_export_first_n(spark, sf):
+    path = _scratch(spark, sf, "export")
+    s = corpus.samples(spark, sf).select("split", "article_id", "ord", "prompt")
+    IO.export_first_n(s, 20, path, ".first20", ["ord", "article_id"])
+    parts = [spark.read.parquet(f"{path}/{x}.first20").select(F.lit(x).alias("split"), "*")
+             for x in IO.SPLITS if IO.path_exists(spark, f"{path}/{x}.first20")]
+    r = parts[0]
+    for p in parts[1:]:
+        r = r.unionByName(p)
+    return out(r.select("split", "article_id", "prompt"))
+
+
+@register("materialize_chunks")
+def q_materialize_chunks(spark, sf):
+    base = scratch_path(spark, "chunks")
+    cfg = {"src": corpus._stamp(spark, f"{sf.rstrip('/')}/documents.parquet"), "chunk_size": 64, "v": 1}
+    return IO.materialize(spark, lambda: corpus.doc_chunks(spark, sf), base, cfg).select(
+        "article_id", "chunk_no", "n_chunks")
+
+
+@register("chunk_index")
+def q_chunk_index(spark, sf):
+    path = _scratch(spark, sf, "chunk_index")
+    ch = corpus.doc_chunks(spark, sf)
+    IO.write_chunk_index(R.embed(ch.select("article_id", "chunk_no", "token_ids"), "token_ids"), path)
+    return IO.read_chunk_index(spark, path).select("article_id", "chunk_no", "embedding")
+
+
+@register("results_roundtrip")
+def q_results_roundtrip(spark, sf):
+    from longdoc.plans.evaluate import score_pairs, score_record
+    path = _scratch(spark, sf, "results")
+    p = pairs(spark, sf)
+    head = score_record(score_pairs(p))
+    preds = p.select("id", F.col("reference").alias("truth_output"), F.col("prediction").alias("model_answer"))
+    IO.write_results(head, preds, path)
+    _, samples = IO.read_results(spark, path)
+    return samples.select("id", "truth_output", "model_answer", "ordinal")
