@@ -8,8 +8,12 @@ taken from the same array before exploding.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longdoc.constants import CHUNK_SIZE, FIRST_REAL_ID, N_NEIGHBORS, PAD
 from longdoc.functions.arrays import chunk_array, full_chunks
@@ -77,16 +81,49 @@ def sequence_windows(chunks: DataFrame, key: str = "article_id", seq_len: int =
                  F.count(F.lit(1)).alias("n_chunks")))
 
 
+def tf_batch(offsets: np.ndarray, ids: np.ndarray):
+    """Per-row term frequencies of id lists (offsets, flat ids), vectorised:
+    one sort of (row, id) keys for the whole Arrow batch."""
+    n = len(offsets) - 1
+    rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+    key = (rows << 32) | ids.astype(np.int64)
+    uniq, counts = np.unique(key, return_counts=True)
+    urow = uniq >> 32
+    utok = (uniq & 0xFFFFFFFF).astype(np.int32)
+    new_offs = np.searchsorted(urow, np.arange(n + 1)).astype(np.int32)
+    norm2 = np.bincount(urow, weights=counts.astype(np.float64) ** 2, minlength=n).astype(np.int64)
+    return new_offs, utok, counts.astype(np.int32), norm2
+
+
+_TF_TYPE = T.StructType([T.StructField("token_id", T.ArrayType(T.IntegerType())),
+                         T.StructField("tf", T.ArrayType(T.IntegerType())),
+                         T.StructField("norm2", T.LongType())])
+
+
+@F.arrow_udf(_TF_TYPE)
+def _tf_udf(ids: pa.Array) -> pa.Array:
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    offs = pc.subtract(ids.offsets, ids.offsets[0]).to_numpy()
+    flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+    new_offs, utok, cnt, norm2 = tf_batch(offs, flat)
+    o = pa.array(new_offs)
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(o, pa.array(utok)), pa.ListArray.from_arrays(o, pa.array(cnt)),
+         pa.array(norm2)], fields=list(_TF_TYPE_ARROW))
+
+
+_TF_TYPE_ARROW = pa.struct([("token_id", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32())),
+                            ("norm2", pa.int64())])
+
+
 def chunk_tf(chunks: DataFrame, keys: list[str], ids: str = "token_ids") -> DataFrame:
-    """Term frequencies of the real tokens of each chunk, plus the chunk's
-    squared L2 norm. Row-local: a chunk holds at most c ids, so the per-chunk
-    count is a bounded higher-order function, followed by an explode."""
+    """Term frequencies of the real tokens (ids >= 3) of each chunk and the
+    chunk's squared L2 norm, one row per (chunk, token). Row-local: the counts
+    come from one vectorised sort per Arrow batch, then an explode."""
     real = F.filter(F.col(ids), lambda x: x >= FIRST_REAL_ID)
-    tf = F.transform(F.array_distinct(real),
-                     lambda t: F.struct(t.alias("token_id"),
-                                        F.size(F.filter(real, lambda x: x == t)).alias("tf")))
-    base = chunks.select(*keys, tf.alias("_tf"))
-    norm2 = F.aggregate("_tf", F.lit(0).cast("bigint"), lambda acc, e: acc + e["tf"] * e["tf"])
-    return (base.select(*keys, norm2.alias("norm2"), F.explode("_tf").alias("_e"))
+    base = chunks.select(*keys, _tf_udf.asNondeterministic()(real).alias("_tf"))
+    z = F.arrays_zip(F.col("_tf.token_id").alias("token_id"), F.col("_tf.tf").alias("tf"))
+    return (base.select(*keys, F.col("_tf.norm2").alias("norm2"), F.explode(z).alias("_e"))
             .select(*keys, "norm2", F.col("_e.token_id").alias("token_id"),
                     F.col("_e.tf").cast("bigint").alias("tf")))

@@ -90,8 +90,11 @@ def qa_f1_em(pairs: DataFrame, id_col: str = "id", ref: str = "reference",
 def rouge_n(pairs: DataFrame, n: int, id_col: str = "id", ref: str = "reference",
             pred: str = "prediction") -> DataFrame:
     """ROUGE-n precision, recall, F on n-gram multiset overlap."""
-    d = _by_id(pairs, id_col).select(id_col, ngrams(rouge_tokens(ref), n).alias("_r"),
-                                     ngrams(rouge_tokens(pred), n).alias("_p"))
+    # tokens first, then the shuffle on id, then n-grams: the regex runs once
+    # per text (the n-gram lambda reads a column, not the regex expression)
+    t = pairs.select(id_col, rouge_tokens(ref).alias("_rt"), rouge_tokens(pred).alias("_pt"))
+    d = _by_id(t, id_col).select(id_col, ngrams(F.col("_rt"), n).alias("_r"),
+                                 ngrams(F.col("_pt"), n).alias("_p"))
     d = _with_overlap(d, id_col, "_r", "_p")
     p, r, f = prf(F.col("overlap"), F.size("_r"), F.size("_p"))
     return d.select(id_col, p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))

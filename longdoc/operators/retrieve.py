@@ -215,7 +215,7 @@ def _hash_embed_udf(dim: int, seed: int):
         step = np.arange(0, (len(offs) - 1) * dim + 1, dim, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(step), values, mask=ids.is_null())
 
-    return enc
+    return enc.asNondeterministic()
 
 
 def hash_embed(ids, dim: int = 64, seed: int = 42) -> Column:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longdoc.constants import (EOS, FIRST_REAL_ID, SPECIAL_TOKENS, VOCAB_SIZE,
                                WS_REGEX)
@@ -95,26 +96,40 @@ def _load_lookup(path: str) -> pa.Array:
         return arr
 
 
-def _lookup_udf(path: str):
-    unk = 2
+def _split_lookup(text: pa.Array, lookup: pa.Array) -> pa.Array:
+    """Pieces and ids in Arrow: special strings set apart, split on
+    [ \t\n\r]+, empty pieces dropped, ids by position in ``lookup``."""
+    import numpy as np
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    spaced = pc.replace_substring_regex(text, pattern="(<pad>|</s>|<unk>)", replacement=" \\1 ")
+    parts = pc.split_pattern_regex(spaced, pattern=WS_REGEX)
+    flat = pc.list_flatten(parts)
+    rows = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
+    keep = pc.greater(pc.binary_length(flat), 0)
+    kept = pc.filter(flat, keep)
+    krows = rows[keep.to_numpy(zero_copy_only=False)]
+    counts = np.bincount(krows, minlength=len(text)) if len(krows) else np.zeros(len(text), dtype=np.int64)
+    offsets = np.zeros(len(text) + 1, dtype=np.int32)
+    np.cumsum(counts, out=offsets[1:])
+    ids = pc.fill_null(pc.index_in(kept, value_set=lookup), 2).cast(pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets), ids, mask=text.is_null())
 
-    @F.arrow_udf("array<int>")
-    def token_ids(tokens: pa.Array) -> pa.Array:
-        lookup = _load_lookup(path)
-        if isinstance(tokens, pa.ChunkedArray):
-            tokens = tokens.combine_chunks()
-        flat = pc.list_flatten(tokens)
-        idx = pc.index_in(flat, value_set=lookup)
-        ids = pc.fill_null(idx, unk).cast(pa.int32())
-        offsets = pc.subtract(tokens.offsets, tokens.offsets[0])
-        return pa.ListArray.from_arrays(offsets, ids, mask=tokens.is_null())
 
-    return token_ids
+def _lookup_udf(path: str):
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def token_ids(text: pa.Array) -> pa.Array:
+        return _split_lookup(text, _load_lookup(path))
+
+    # non-deterministic: keeps Catalyst from copying the call into pushed-down
+    # filters (which would tokenize every document twice)
+    return token_ids.asNondeterministic()
 
 
 def token_ids(col, vocab_path: str) -> Column:
     """Pieces -> ids, without EOS (unknown pieces -> UNK)."""
-    return _lookup_udf(vocab_path)(pieces(col))
+    c = F.col(col) if isinstance(col, str) else col
+    return _lookup_udf(vocab_path)(c)
 
 
 def tokenize(col, vocab_path: str, max_len: int | None = None) -> Column:
@@ -126,7 +141,7 @@ def tokenize(col, vocab_path: str, max_len: int | None = None) -> Column:
 
 
 def _decode_udf(path: str):
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def decode_text(ids: pa.Array) -> pa.Array:
         lookup = _load_lookup(path)
         if isinstance(ids, pa.ChunkedArray):
@@ -137,7 +152,7 @@ def _decode_udf(path: str):
         lists = pa.ListArray.from_arrays(offsets, toks, mask=ids.is_null())
         return pc.binary_join(lists, " ")
 
-    return decode_text
+    return decode_text.asNondeterministic()
 
 
 def decode(ids, vocab_path: str) -> Column:

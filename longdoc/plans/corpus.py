@@ -43,7 +43,15 @@ def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_chunks(spark: SparkSession, sf_dir: str, c: int = CHUNK_SIZE) -> DataFrame:
-    return chunk_documents(doc_ids(spark, sf_dir), "article_id", "token_ids", c)
+    """The chunk table (C2, C4, C5, W2), materialised once per input and
+    config in the shared folder (A6): later steps read it instead of
+    re-tokenizing, and its lineage is cut there."""
+    from longdoc.session import scratch_path
+    from longdoc.sources.io import materialize
+    cfg = {"docs": _stamp(spark, f"{sf_dir.rstrip('/')}/documents.parquet"),
+           "vocab": vocab_path(spark, sf_dir), "chunk_size": c, "v": 2}
+    return materialize(spark, lambda: chunk_documents(doc_ids(spark, sf_dir), "article_id", "token_ids", c),
+                       scratch_path(spark, "chunks"), cfg)
 
 
 def doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
