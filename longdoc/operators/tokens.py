@@ -84,9 +84,13 @@ def _load_lookup(path: str) -> pa.Array:
         hit = _VOCAB_CACHE.get(path)
         if hit is not None:
             return hit
+        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
-        local = path[len("file:"):] if path.startswith("file:") else path
-        t = pq.read_table(local, columns=["token", "token_id"]).sort_by("token_id")
+        if "://" in path:
+            fs, rel = pafs.FileSystem.from_uri(path)
+        else:
+            fs, rel = pafs.LocalFileSystem(), path[len("file:"):] if path.startswith("file:") else path
+        t = pq.read_table(rel, columns=["token", "token_id"], filesystem=fs).sort_by("token_id")
         ids = t.column("token_id").to_numpy()
         if len(ids) and (ids[0] != FIRST_REAL_ID or ids[-1] != FIRST_REAL_ID + len(ids) - 1):
             raise ValueError(f"vocabulary ids not contiguous in {path}")

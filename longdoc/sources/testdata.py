@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longdoc.functions.text import words
+from longdoc.functions.text import first_words
 
 ABSTRACT_WORDS = 40
 TITLE_RE = "<title>([^<]*)</title>"
@@ -28,7 +28,7 @@ def split_of(doc_id: Column) -> Column:
 
 
 def articles_from_documents(docs: DataFrame) -> DataFrame:
-    first = F.array_join(F.slice(words("text"), 1, ABSTRACT_WORDS), " ")
+    first = F.array_join(first_words("text", ABSTRACT_WORDS), " ")
     return docs.select(
         split_of(F.col("doc_id")).alias("split"),
         F.col("doc_id").alias("article_id"),
@@ -56,7 +56,7 @@ def titles_with_duplicates(pages: DataFrame) -> DataFrame:
 def query_text(docs: DataFrame) -> DataFrame:
     """Opening words of each document, used as its one query."""
     return docs.select(F.col("doc_id").alias("article_id"),
-                       F.array_join(F.slice(words("text"), 1, ABSTRACT_WORDS), " ").alias("query"))
+                       F.array_join(first_words("text", ABSTRACT_WORDS), " ").alias("query"))
 
 
 def prediction_pairs(conv: DataFrame) -> DataFrame:
