@@ -135,27 +135,6 @@ def _tile_topk(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
                          "score": S[rows_q, cols_k][keep].astype(np.float64)})
 
 
-def dot(a, b) -> Column:
-    """Inner product of two float arrays, accumulated in double (SQL path)."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda u, v: u + v)
-
-
-def knn_within_sql(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id: str,
-                   vec: str = "embedding", k: int = N_NEIGHBORS,
-                   exclude_self: bool = False) -> DataFrame:
-    """D3, relational form for groups known to be small (used to cross-check
-    the tiled path): equi-join on the group, dot product, row_number <= k."""
-    q = queries.select(group, F.col(q_id).alias("_q"), F.col(vec).alias("_qv"))
-    kk = keys.select(group, F.col(k_id).alias("_k"), F.col(vec).alias("_kv"))
-    j = q.join(kk, group)
-    if exclude_self:
-        j = j.where(F.col("_q") != F.col("_k"))
-    scored = j.select(group, "_q", "_k", dot(F.col("_qv"), F.col("_kv")).alias("score"))
-    return (top_k(scored, [group, "_q"], "_k", k)
-            .select(group, F.col("_q").alias(q_id), "rank", F.col("_k").alias(k_id), "score"))
-
-
 # ---- J4, J5, D4: neighbour expansion and collection -----------------------
 
 def expand_neighbors(nbrs: DataFrame, chunks: DataFrame, group: str = "article_id",

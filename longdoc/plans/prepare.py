@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longdoc.constants import CHUNK_SIZE, MAX_LEN, N_NEIGHBORS
-from longdoc.functions.arrays import drop_last
+from longdoc.functions.arrays import chunk_array, drop_last
 from longdoc.functions.text import build_prompt, flatten_abstract, flatten_text
 from longdoc.operators.chunks import (chunk_documents, chunk_tf, drop_last_chunk,
                                       filter_min_chunks)
@@ -52,9 +52,9 @@ def retrieval_samples(samples: DataFrame, vocab_path: str, query_col: str = "mod
     nbrs = knn_sparse(qtf, chunk_tf(keys, ["article_id", "chunk_no"]), k=k)
     expanded = expand_neighbors(nbrs, keys)
     retrieved = collect_retrieved(expanded)
-    text_tok = (chunks.groupBy("article_id")
-                .agg(F.array_sort(F.collect_list(F.struct("chunk_no", "token_ids"))).alias("_c"))
-                .select("article_id", F.transform("_c", lambda s: s["token_ids"]).alias("text_tokenized")))
-    kept = samples.join(text_tok, "article_id", "inner")
+    # [n_chunks, c] of the body, straight from the row's own id array (no regrouping)
+    text_tok = body.select("article_id", chunk_array("ids", c).alias("text_tokenized"))
+    kept = samples.join(filter_min_chunks(text_tok.withColumn("n_chunks", F.size("text_tokenized")), k)
+                        .drop("n_chunks"), "article_id", "inner")
     return (kept.join(retrieved, "article_id", "left")
             .withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<array<array<int>>>"))))

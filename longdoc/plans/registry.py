@@ -433,10 +433,9 @@ def q_flatten_batches(spark, sf):
 def retrieval_batches(spark, sf):
     """Samples with >= 3 body chunks, their neighbour pairs and chunks."""
     ch = corpus.doc_chunks(spark, sf)
-    keep = CH.filter_min_chunks(ch)
-    tt = (keep.groupBy("article_id")
-          .agg(F.array_sort(F.collect_list(F.struct("chunk_no", "token_ids"))).alias("_c"))
-          .select("article_id", F.transform("_c", lambda s: s["token_ids"]).alias("text_tokenized")))
+    tt = CH.filter_min_chunks(corpus.doc_ids(spark, sf).select(
+        "article_id", A.chunk_array("token_ids", 64).alias("text_tokenized"))
+        .withColumn("n_chunks", F.size("text_tokenized"))).drop("n_chunks")
     ret = R.collect_retrieved(R.expand_neighbors(sparse_neighbors(spark, sf), ch))
     s = corpus.samples(spark, sf).select("split", "article_id", "ord").join(tt, "article_id")
     s = s.join(ret, "article_id", "left").withColumn(

@@ -3,11 +3,25 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from longdoc.operators.retrieve import knn_sparse, knn_within, knn_within_sql
+from longdoc.operators.retrieve import knn_sparse, knn_within, top_k
 from longdoc.sources.tables import read_table
 from tests.conftest import SF_SMALL
 
 
+def knn_within_sql(queries, keys, group, q_id, k_id, vec="embedding", k=2, exclude_self=False):
+    """Brute force for small fixtures: all pairs of a group, dot, row_number."""
+    q = queries.select(group, F.col(q_id).alias("_q"), F.col(vec).alias("_qv"))
+    kk = keys.select(group, F.col(k_id).alias("_k"), F.col(vec).alias("_kv"))
+    j = q.join(kk, group)
+    if exclude_self:
+        j = j.where(F.col("_q") != F.col("_k"))
+    d = F.aggregate(F.zip_with("_qv", "_kv", lambda x, y: x.cast("double") * y.cast("double")),
+                    F.lit(0.0).cast("double"), lambda u, v: u + v)
+    scored = j.select(group, "_q", "_k", d.alias("score"))
+    return (top_k(scored, [group, "_q"], "_k", k)
+            .select(group, F.col("_q").alias(q_id), "rank", F.col("_k").alias(k_id), "score"))
+
+
 def test_tiled_equals_relational(spark):
     e = read_table(spark, SF_SMALL, "embeddings")
     q = e.select("label", F.col("vec_id").alias("qid"), "embedding")
