@@ -127,3 +127,17 @@ def chunk_tf(chunks: DataFrame, keys: list[str], ids: str = "token_ids") -> Data
     return (base.select(*keys, F.col("_tf.norm2").alias("norm2"), F.explode(z).alias("_e"))
             .select(*keys, "norm2", F.col("_e.token_id").alias("token_id"),
                     F.col("_e.tf").cast("bigint").alias("tf")))
+
+
+def mask_after_eos_rows(df: DataFrame, key: str, ids: str, eos: int = 1, pad: int = 0) -> DataFrame:
+    """C10 as a window. Tokens are exploded with their position; a running
+    count of EOS over the preceding tokens (``rowsBetween(unboundedPreceding,
+    -1)``) marks everything after the first EOS, which becomes PAD. The
+    sequence is then reassembled (a group is one sequence, at most max_len)."""
+    from pyspark.sql import Window
+    ex = df.select(key, F.posexplode(ids).alias("pos", "id"))
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.when(F.col("id") == eos, 1).otherwise(0)).over(w), F.lit(0))
+    m = ex.withColumn("id", F.when(seen > 0, F.lit(pad)).otherwise(F.col("id")))
+    g = m.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
+    return g.select(key, F.transform("_s", lambda s: s["id"]).alias(ids))

@@ -570,3 +570,7 @@ SQL["export_first_n"] = with_(ARTICLES, TITLES, SAMPLES) + """
 SELECT split, article_id, prompt FROM (
   SELECT *, row_number() OVER (PARTITION BY split ORDER BY ord, article_id) AS r FROM samples)
 WHERE r <= 20"""
+
+SQL["mask_after_eos_window"] = SQL["mask_after_eos"]
+
+SQL["read_documents"] = "SELECT doc_id, text FROM documents"

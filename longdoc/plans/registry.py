@@ -630,3 +630,31 @@ def q_results_roundtrip(spark, sf):
     IO.write_results(head, preds, path)
     _, samples = IO.read_results(spark, path)
     return samples.select("id", "truth_output", "model_answer", "ordinal")
+
+
+@register("mask_after_eos_window")
+def q_mask_after_eos_window(spark, sf):
+    from longdoc.sources.testdata import query_text
+    vp = corpus.vocab_path(spark, sf)
+    d = corpus.table(spark, sf, "documents")
+    q = query_text(d).select("article_id", tokenize("query", vp).alias("q"))
+    t = d.select(F.col("doc_id").alias("article_id"), tokenize("text", vp, 128).alias("t"))
+    x = q.join(t, "article_id").select("article_id", F.concat("q", "t").alias("ids"))
+    m = CH.mask_after_eos_rows(x, "article_id", "ids")
+    return out(m.select("article_id", A.ids_text("ids").alias("masked")))
+
+
+def document_files(spark, sf) -> str:
+    """The documents as single-document JSON files (one object per file)."""
+    base = _scratch(spark, sf, "document_files")
+    if not IO.path_exists(spark, f"{base}/_SUCCESS"):
+        (corpus.table(spark, sf, "documents").select("doc_id", "text")
+         .repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").json(base))
+    return base
+
+
+@register("read_documents")
+def q_read_documents(spark, sf):
+    d = IO.read_documents(spark, document_files(spark, sf) + "/doc_id=*/*.json")
+    doc = F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint")
+    return out(d.select(doc.alias("doc_id"), "text"))

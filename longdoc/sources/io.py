@@ -76,7 +76,8 @@ def read_documents(spark: SparkSession, pattern: str) -> DataFrame:
     """A3: one JSON document (``{"text": ...}``) per file; the id is the file
     name without extension."""
     df = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", "true").json(pattern)
-    return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("id"), "text")
+    return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("id"), "text",
+                     F.col("_metadata.file_path").alias("path"))
 
 
 def write_samples(df: DataFrame, path: str, fmt: str = "parquet") -> None:
