@@ -12,8 +12,13 @@ from longdoc.sources.tables import read_table
 from longdoc.sources.testdata import query_text
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name)
+    from longdoc.session import ensure_parallelism
+    df = read_table(spark, sf_dir, name)
+    return ensure_parallelism(df) if name in TEXT_TABLES else df
 
 
 def _stamp(spark: SparkSession, path: str) -> str:

@@ -360,8 +360,11 @@ def tokenized_samples(spark, sf):
 
 
 def batched_samples(spark, sf):
-    s = tokenized_samples(spark, sf)
-    return B.batch_assign(B.shuffle_seeded(s), SPLIT_BATCH)
+    """Rank and batch the samples first (the checkpointed ranking then holds
+    text only), then tokenize row-locally."""
+    from longdoc.plans.prepare import tokenize_samples
+    ranked = B.batch_assign(B.shuffle_seeded(corpus.samples(spark, sf)), SPLIT_BATCH)
+    return tokenize_samples(ranked, corpus.vocab_path(spark, sf))
 
 
 @register("shuffle_seeded")

@@ -47,3 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(shared_dir(spark), "longdoc", *parts)
+
+
+def ensure_parallelism(df, factor: int = 2):
+    """Spread a scan that yields fewer partitions than the cluster has cores
+    (e.g. one large Parquet row group) before CPU-heavy row-local work. On
+    large inputs the scan already has enough splits and nothing is added."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
