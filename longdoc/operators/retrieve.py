@@ -38,7 +38,10 @@ def knn_sparse(q_tf: DataFrame, k_tf: DataFrame, group: str = "article_id",
     """
     q = q_tf.select(group, query, "token_id", F.col("tf").alias("qtf"))
     kt = k_tf.select(group, key, "norm2", "token_id", F.col("tf").alias("ktf"))
-    dots = (q.join(kt, [group, "token_id"])
+    # shuffled hash join, hash table on the query postings (at most max_len
+    # tokens per query): never a broadcast of the key postings, whatever the
+    # size estimate of a compressed chunk table says
+    dots = (q.hint("shuffle_hash").join(kt, [group, "token_id"])
             .groupBy(group, query, key, "norm2")
             .agg(F.sum(F.col("qtf") * F.col("ktf")).alias("dot")))
     scored = dots.select(group, query, key,
@@ -141,7 +144,7 @@ def expand_neighbors(nbrs: DataFrame, chunks: DataFrame, group: str = "article_i
                      key: str = "chunk_no", col: str = "pair_ids") -> DataFrame:
     """Attach chunk i followed by chunk i+1 (tokens or text) to every
     neighbour; an equi-join on (group, chunk_no)."""
-    return nbrs.join(chunks.select(group, key, col), [group, key], "inner")
+    return nbrs.hint("shuffle_hash").join(chunks.select(group, key, col), [group, key], "inner")
 
 
 def collect_retrieved(nbrs: DataFrame, group: str = "article_id", query: str = "query_no",

@@ -55,8 +55,10 @@ def doc_chunks(spark: SparkSession, sf_dir: str, c: int = CHUNK_SIZE) -> DataFra
     from longdoc.sources.io import materialize
     cfg = {"docs": _stamp(spark, f"{sf_dir.rstrip('/')}/documents.parquet"),
            "vocab": vocab_path(spark, sf_dir), "chunk_size": c, "v": 2}
-    return materialize(spark, lambda: chunk_documents(doc_ids(spark, sf_dir), "article_id", "token_ids", c),
-                       scratch_path(spark, "chunks"), cfg)
+    from longdoc.session import ensure_parallelism
+    return ensure_parallelism(materialize(
+        spark, lambda: chunk_documents(doc_ids(spark, sf_dir), "article_id", "token_ids", c),
+        scratch_path(spark, "chunks"), cfg))
 
 
 def doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

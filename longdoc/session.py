@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              app: str = "longdoc") -> SparkSession:
+              app: str = "longdoc", conf: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster, use the cluster's own session."""
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,6 +21,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "16g"))
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     if master:
         b = b.master(master)
     spark = b.getOrCreate()
