@@ -16,7 +16,8 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from longdoc.session import ensure_parallelism
+    from longdoc.session import ensure_parallelism, ship_package
+    ship_package(spark)
     df = read_table(spark, sf_dir, name)
     return ensure_parallelism(df) if name in TEXT_TABLES else df
 

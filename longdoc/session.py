@@ -60,3 +60,32 @@ def ensure_parallelism(df, factor: int = 2):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``longdoc`` importable in the executors' Python workers (the Arrow
+    UDFs live in it): zip the package once per application and hand it to
+    ``addPyFile``, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import longdoc
+    pkg = os.path.dirname(os.path.abspath(longdoc.__file__))
+    d = shared_dir(spark)
+    local = d[len("file:"):] if d.startswith("file:") else d
+    if "://" in local:
+        local = tempfile.mkdtemp(prefix="longdoc-pkg-")
+    target = os.path.join(local, f"longdoc-{sc.applicationId}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
