@@ -65,14 +65,17 @@ def _blocks(df: DataFrame, group: str, block: int, name: str) -> DataFrame:
 
 def knn_within(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id: str,
                vec: str = "embedding", k: int = N_NEIGHBORS, block: int = 2048,
-               exclude_self: bool = False, metric: str = "ip") -> DataFrame:
+               exclude_self: bool = False, metric: str = "ip", with_timing: bool = False) -> DataFrame:
     """D3: exact top-k keys of the same group for every query.
 
     Returns (group, q_id, rank, k_id, score). ``metric``: ip | cosine | l2
     (l2 ranks by negative squared distance). Ties: lower key id first.
+    ``with_timing`` adds ``search_ms``: the measured scoring time of the
+    query's tiles (each tile's time split evenly over its queries).
     """
     if metric not in ("ip", "cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
+    gtype = dict(queries.dtypes)[group]
     nq = _blocks(queries, group, block, "_nqb")
     nk = _blocks(keys, group, block, "_nkb")
     qv = queries.select(F.col(group).alias("g"), F.col(q_id).cast("bigint").alias("qid"),
@@ -92,22 +95,32 @@ def knn_within(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id:
           .select("g", "qb", "kb", "kid", "kv"))
 
     def tile(qdf: pd.DataFrame, kdf: pd.DataFrame) -> pd.DataFrame:
-        return _tile_topk(qdf, kdf, k, exclude_self, metric)
+        import time
+        t0 = time.perf_counter()
+        r = _tile_topk(qdf, kdf, k, exclude_self, metric)
+        per_q = (time.perf_counter() - t0) * 1000.0 / max(len(qdf), 1)
+        # the tile's time goes on one row per query (the local best), 0 elsewhere
+        first = ~r["qid"].duplicated() if len(r) else pd.Series([], dtype=bool)
+        r["ms"] = np.where(first, per_q, 0.0) if len(r) else pd.Series([], dtype="float64")
+        return r
 
     local = (qx.groupBy("g", "qb", "kb")
              .cogroup(kx.groupBy("g", "qb", "kb"))
-             .applyInPandas(tile, "g long, qid long, kid long, score double"))
+             .applyInPandas(tile, f"g {gtype}, qid long, kid long, score double, ms double"))
+    if with_timing:
+        local = local.withColumn("search_ms", F.sum("ms").over(Window.partitionBy("g", "qid")))
     ranked = top_k(local, ["g", "qid"], "kid", k)
-    gtype = dict(queries.dtypes)[group]
-    return ranked.select(F.col("g").cast(gtype).alias(group), F.col("qid").alias(q_id), "rank",
-                         F.col("kid").alias(k_id), "score")
+    extra = ["search_ms"] if with_timing else []
+    return ranked.select(F.col("g").alias(group), F.col("qid").alias(q_id), "rank",
+                         F.col("kid").alias(k_id), "score", *extra)
 
 
 def _tile_topk(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
                metric: str) -> pd.DataFrame:
-    cols = ["g", "qid", "kid", "score"]
     if len(qdf) == 0 or len(kdf) == 0:
-        return pd.DataFrame({c: pd.Series(dtype="int64" if c != "score" else "float64") for c in cols})
+        return pd.DataFrame({"g": pd.Series([], dtype=qdf["g"].dtype if len(qdf) else "object"),
+                             "qid": pd.Series([], dtype="int64"), "kid": pd.Series([], dtype="int64"),
+                             "score": pd.Series([], dtype="float64")})
     Q = np.vstack(qdf["qv"].to_numpy()).astype(np.float64)
     K = np.vstack(kdf["kv"].to_numpy()).astype(np.float64)
     S = Q @ K.T
@@ -132,7 +145,7 @@ def _tile_topk(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
     cols_k = order.reshape(-1)
     keep = valid[rows_q, cols_k]
     g = qdf["g"].iloc[0]
-    return pd.DataFrame({"g": np.full(keep.sum(), g, dtype=np.int64),
+    return pd.DataFrame({"g": pd.Series([g] * int(keep.sum()), dtype=qdf["g"].dtype),
                          "qid": qid[rows_q][keep].astype(np.int64),
                          "kid": kid[cols_k][keep].astype(np.int64),
                          "score": S[rows_q, cols_k][keep].astype(np.float64)})

@@ -661,3 +661,50 @@ def q_read_documents(spark, sf):
     d = IO.read_documents(spark, document_files(spark, sf) + "/doc_id=*/*.json")
     doc = F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint")
     return out(d.select(doc.alias("doc_id"), "text"))
+
+
+@register("index_report_timed")
+def q_index_report_timed(spark, sf):
+    """D5 with measured search times: each label's vectors searched by each
+    of its vectors (tiled exact search), per-query time -> mean and p99."""
+    e = corpus.table(spark, sf, "embeddings")
+    q = e.select("label", F.col("vec_id").alias("query_id"), "embedding")
+    k = e.select("label", F.col("vec_id").alias("key_id"), "embedding")
+    r = R.knn_within(q, k, "label", "query_id", "key_id", k=2, exclude_self=True, with_timing=True)
+    t = r.where(F.col("rank") == 1).select("label", F.col("search_ms").alias("ms"))
+    return R.index_report(e, "label", timings=t)
+
+
+# ---- the reference's three flows, end to end (rows-only) ------------------
+
+@register("prepare_samples")
+def q_prepare_samples(spark, sf):
+    """L1: title join -> prompt -> tokens -> chunks -> top-k within the article
+    -> neighbour pairs -> samples with prompt_ids, input_ids, retrieved."""
+    from longdoc.plans.prepare import retrieval_samples, tokenize_samples
+    vp = corpus.vocab_path(spark, sf)
+    s = retrieval_samples(corpus.samples(spark, sf), vp)
+    t = tokenize_samples(s, vp)
+    return out(t.select("split", "article_id", F.size("prompt_ids").alias("n_prompt"),
+                        F.size("input_ids").alias("n_input"), F.size("text_tokenized").alias("n_chunks"),
+                        F.size("retrieved").alias("n_retrieved")))
+
+
+@register("evaluate_flow")
+def q_evaluate_flow(spark, sf):
+    """L2 with the extractive stand-in generator: per-pair F1/EM/ROUGE."""
+    from longdoc.plans.evaluate import evaluate
+    per, _ = evaluate(corpus.samples(spark, sf), corpus.vocab_path(spark, sf))
+    return per
+
+
+@register("score_result_file")
+def q_score_result_file(spark, sf):
+    """L3: write a result set of the prediction pairs, read it back, score it
+    by greedy matching of token vectors."""
+    from longdoc.plans.evaluate import score_pairs, score_record, score_result_file
+    path = _scratch(spark, sf, "results_l3")
+    p = pairs(spark, sf)
+    preds = p.select("id", F.col("reference").alias("truth_output"), F.col("prediction").alias("model_answer"))
+    IO.write_results(score_record(score_pairs(p)), preds, path)
+    return score_result_file(spark, path, corpus.vocab_path(spark, sf))
