@@ -76,14 +76,12 @@ def test_sparse_matches_brute_force(spark):
 
 
 def test_tiled_with_string_groups_and_timing(spark):
-    rows = [("a", 1, [1.0, 0.0]), ("a", 2, [0.9, 0.1]), ("a", 3, [0.0, 1.0]), ("b", 4, [1.0, 1.0]), ("b", 5, [1.0, 0.5])]
+    rows = [("a", 1, [1.0, 0.0]), ("a", 2, [0.9, 0.1]), ("a", 3, [0.0, 1.0]),
+            ("b", 4, [1.0, 1.0]), ("b", 5, [1.0, 0.5])]
     df = spark.createDataFrame(rows, "g string, id long, embedding array<double>")
-    r = knn_within(df, df, "g", "id", "id", k=1, block=2, exclude_self=True, with_timing=True).collect()
-    got = {x.id: x["id"] for x in r}
-    assert len(r) == 5 and all(x.search_ms >= 0 for x in r)
-    best = {x[1]: None for x in rows}
-    del best, got
-    by_q = {}
-    for x in r:
-        by_q[x.asDict()["id"]] = x
-    assert set(by_q) == {1, 2, 3, 4, 5}
+    q = df.select("g", F.col("id").alias("qid"), "embedding")
+    k = df.select("g", F.col("id").alias("kid"), "embedding")
+    r = knn_within(q, k, "g", "qid", "kid", k=1, block=2, exclude_self=True, with_timing=True).collect()
+    got = {(x.g, x.qid): x.kid for x in r}
+    assert got == {("a", 1): 2, ("a", 2): 1, ("a", 3): 2, ("b", 4): 5, ("b", 5): 4}
+    assert all(x.search_ms >= 0 for x in r)
