@@ -27,23 +27,17 @@ def pad_to_multiple(ids, c: int, pad: int = PAD) -> Column:
     return F.concat(x, F.array_repeat(F.lit(pad), F.pmod(-F.size(x), F.lit(c))))
 
 
-def split_chunks(ids, c: int) -> Column:
-    """An already padded id array as an array of c-sized chunks."""
+def full_chunks(ids, c: int) -> Column:
+    """Only the full chunks, floor(n / c) of them (no padding). On an id
+    array already padded to a multiple of c (C4) these are all its chunks."""
     x = _c(ids)
     n = F.floor(F.size(x) / c).cast("int")
     return F.transform(F.array_repeat(F.lit(0), n), lambda _, i: F.slice(x, i * c + 1, c))
 
 
 def chunk_array(ids, c: int, pad: int = PAD) -> Column:
-    """C4 + C5: pad then reshape to [n, c]."""
-    return split_chunks(pad_to_multiple(ids, c, pad), c)
-
-
-def full_chunks(ids, c: int) -> Column:
-    """Only the full chunks, floor(n / c) of them (no padding)."""
-    x = _c(ids)
-    n = F.floor(F.size(x) / c).cast("int")
-    return F.transform(F.array_repeat(F.lit(0), n), lambda _, i: F.slice(x, i * c + 1, c))
+    """C4 + C5: pad right to a multiple of c, then reshape to [n, c]."""
+    return full_chunks(pad_to_multiple(ids, c, pad), c)
 
 
 def last_full_chunk(ids, c: int) -> Column:

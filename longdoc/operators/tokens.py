@@ -17,7 +17,6 @@ tokenizer file would; it never passes through the driver.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 
 import pyarrow as pa

@@ -10,7 +10,6 @@ join is a stream-static join against the (static) title map.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from longdoc.constants import CHUNK_SIZE
@@ -42,5 +41,3 @@ def start(df: DataFrame, out_path: str, checkpoint: str, available_now: bool = T
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
-
-__all__ = ["article_stream", "prepared_chunks", "start", "F"]

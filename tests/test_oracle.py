@@ -1,7 +1,5 @@
 """Every registered query with an oracle equals DuckDB on the smallest data."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as E
