@@ -574,3 +574,28 @@ WHERE r <= 20"""
 SQL["mask_after_eos_window"] = SQL["mask_after_eos"]
 
 SQL["read_documents"] = "SELECT doc_id, text FROM documents"
+
+# ROUGE-L over whole texts: the LCS row update runs one reference token per
+# recursion step; row j of step i is
+#   L_i[j] = max(L_{i-1}[j], max over j' <= j with b[j'] = a[i] of L_{i-1}[j'-1] + 1)
+# (the running max is a window over the prediction positions).
+SQL["rouge_l"] = "WITH RECURSIVE " + PAIRS.strip() + """,
+tk AS (SELECT id, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r,
+              regexp_extract_all(lower(prediction), '[a-z0-9]+') AS p FROM pairs),
+pos AS (SELECT id, unnest(range(1, len(p) + 1)) AS j, unnest(p) AS b FROM tk),
+dp(id, i, j, b, v) AS (
+  SELECT id, 0, j, b, 0 FROM pos
+  UNION ALL
+  SELECT id, i, j, b, greatest(v, coalesce(max(c) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING), 0))
+  FROM (SELECT d.id, d.i + 1 AS i, d.j, d.b, d.v,
+               CASE WHEN d.b = t.r[d.i + 1]
+                    THEN coalesce(lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j), 0) + 1 END AS c
+        FROM dp d JOIN tk t ON d.id = t.id WHERE d.i < len(t.r))),
+l AS (SELECT t.id, len(t.r) AS nr, len(t.p) AS np, coalesce(max(d.v), 0) AS lcs
+      FROM tk t LEFT JOIN dp d ON d.id = t.id AND d.i = len(t.r) GROUP BY ALL),
+prfl AS (SELECT id, CASE WHEN np > 0 THEN lcs / np ELSE 0.0 END AS precision,
+                CASE WHEN nr > 0 THEN lcs / nr ELSE 0.0 END AS recall FROM l)
+SELECT id, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                  ELSE 0.0 END, 6) AS fmeasure
+FROM prfl"""
