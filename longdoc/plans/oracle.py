@@ -599,3 +599,17 @@ SELECT id, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
                   ELSE 0.0 END, 6) AS fmeasure
 FROM prfl"""
+
+SQL["generate"] = with_(ARTICLES, TITLES, SAMPLES) + """
+SELECT article_id, prompt, prompt || ' ' || {last} AS prediction FROM samples""".replace(
+    "{last}", words("prompt") + "[-1]")
+
+SQL["materialize_chunks"] = with_(VOCAB, DOC_IDS, CHUNKS) + """
+SELECT article_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(n_chunks AS BIGINT) AS n_chunks FROM chunks"""
+
+SQL["chunk_index"] = with_(VOCAB, DOC_IDS, CHUNKS) + """
+SELECT article_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(64 AS BIGINT) AS dim FROM chunks"""
+
+SQL["results_roundtrip"] = with_(PAIRS) + """
+SELECT id, reference AS truth_output, prediction AS model_answer,
+       row_number() OVER (ORDER BY id) AS ordinal FROM pairs"""

@@ -340,7 +340,7 @@ def _echo_generator(texts):
 @register("generate")
 def q_generate(spark, sf):
     s = corpus.samples(spark, sf).select("article_id", "prompt")
-    return S.generate(s, _echo_generator, "prompt", "prediction", batch=1)
+    return out(S.generate(s, _echo_generator, "prompt", "prediction", batch=4))
 
 
 # ---- F: batches -----------------------------------------------------------
@@ -611,8 +611,8 @@ def q_export_first_n(spark, sf):
 def q_materialize_chunks(spark, sf):
     base = scratch_path(spark, "chunks")
     cfg = {"src": corpus._stamp(spark, f"{sf.rstrip('/')}/documents.parquet"), "chunk_size": 64, "v": 1}
-    return IO.materialize(spark, lambda: corpus.doc_chunks(spark, sf), base, cfg).select(
-        "article_id", "chunk_no", "n_chunks")
+    return out(IO.materialize(spark, lambda: corpus.doc_chunks(spark, sf), base, cfg).select(
+        "article_id", "chunk_no", "n_chunks"))
 
 
 @register("chunk_index")
@@ -620,7 +620,8 @@ def q_chunk_index(spark, sf):
     path = _scratch(spark, sf, "chunk_index")
     ch = corpus.doc_chunks(spark, sf)
     IO.write_chunk_index(R.embed(ch.select("article_id", "chunk_no", "token_ids"), "token_ids"), path)
-    return IO.read_chunk_index(spark, path).select("article_id", "chunk_no", "embedding")
+    return out(IO.read_chunk_index(spark, path).select("article_id", "chunk_no",
+                                                       F.size("embedding").alias("dim")))
 
 
 @register("results_roundtrip")
@@ -632,7 +633,7 @@ def q_results_roundtrip(spark, sf):
     preds = p.select("id", F.col("reference").alias("truth_output"), F.col("prediction").alias("model_answer"))
     IO.write_results(head, preds, path)
     _, samples = IO.read_results(spark, path)
-    return samples.select("id", "truth_output", "model_answer", "ordinal")
+    return out(samples.select("id", "truth_output", "model_answer", "ordinal"))
 
 
 @register("mask_after_eos_window")
