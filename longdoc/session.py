@@ -63,6 +63,7 @@ def ensure_parallelism(df, factor: int = 2):
 
 
 _SHIPPED: set = set()
+ARROW_BATCH_ROWS = 1024
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -72,6 +73,10 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    # Arrow batches for the text UDFs: a batch is whole documents, so cap it
+    # by rows when the session still has the generic default (10000 rows)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     import zipfile
 
     import longdoc
