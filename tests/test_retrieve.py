@@ -85,3 +85,18 @@ def test_tiled_with_string_groups_and_timing(spark):
     got = {(x.g, x.qid): x.kid for x in r}
     assert got == {("a", 1): 2, ("a", 2): 1, ("a", 3): 2, ("b", 4): 5, ("b", 5): 4}
     assert all(x.search_ms >= 0 for x in r)
+
+
+def test_sparse_topk_unchanged_under_repartition(spark):
+    from longdoc.plans import corpus
+    from longdoc.plans.registry import key_tf
+    q = corpus.query_tf(spark, SF_SMALL)
+    k = key_tf(spark, SF_SMALL)
+    a = sorted(tuple(r) for r in knn_sparse(q, k).select("article_id", "rank", "chunk_no").collect())
+    b = sorted(tuple(r) for r in knn_sparse(q.repartition(7, "token_id"), k.repartition(3))
+               .select("article_id", "rank", "chunk_no").collect())
+    assert a == b and a
+    ranks = {}
+    for art, rank, _ in a:
+        ranks.setdefault(art, []).append(rank)
+    assert all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= 2 for v in ranks.values())
