@@ -17,7 +17,8 @@ from longdoc.functions.text import build_prompt, flatten_abstract, flatten_text
 from longdoc.operators.chunks import (chunk_documents, chunk_tf, drop_last_chunk,
                                       filter_min_chunks)
 from longdoc.operators.lookup import join_titles
-from longdoc.operators.retrieve import collect_retrieved, expand_neighbors, knn_sparse
+from longdoc.operators.retrieve import (collect_retrieved, expand_neighbors, hash_embed,
+                                       knn_sparse, knn_within)
 from longdoc.operators.tokens import tokenize
 
 
@@ -38,18 +39,32 @@ def tokenize_samples(samples: DataFrame, vocab_path: str, max_len: int = MAX_LEN
 
 
 def retrieval_samples(samples: DataFrame, vocab_path: str, query_col: str = "model_input",
-                      c: int = CHUNK_SIZE, k: int = N_NEIGHBORS, max_len: int = MAX_LEN) -> DataFrame:
+                      c: int = CHUNK_SIZE, k: int = N_NEIGHBORS, max_len: int = MAX_LEN,
+                      method: str = "dense", dim: int = 64) -> DataFrame:
     """Chunks of the body, query chunks of the model input (all but the last),
-    term-frequency top-k within the article, neighbour pairs collected per
-    article. Articles with fewer than k+1 body chunks are dropped (B4); an
-    article without query chunks keeps ``retrieved = []`` (Q8)."""
+    top-k chunks within the article, neighbour pairs collected per article.
+
+    ``method="dense"`` (default, as the reference: embeddings and an exact
+    index) embeds chunks with the built-in encoder and runs the tiled exact
+    search, so every query gets k neighbours; ``"sparse"`` ranks by term
+    frequencies and may return fewer. Articles with fewer than k+1 body chunks
+    are dropped (B4); an article without query chunks keeps ``retrieved = []``
+    (Q8)."""
     body = samples.select("article_id", tokenize("text", vocab_path).alias("ids"))
     chunks = filter_min_chunks(chunk_documents(body, "article_id", "ids", c), k)
     keys = drop_last_chunk(chunks)
     qids = samples.select("article_id", tokenize(query_col, vocab_path, max_len).alias("ids"))
     qch = drop_last_chunk(chunk_documents(qids, "article_id", "ids", c, with_pairs=False))
-    qtf = chunk_tf(qch.withColumnRenamed("chunk_no", "query_no"), ["article_id", "query_no"]).drop("norm2")
-    nbrs = knn_sparse(qtf, chunk_tf(keys, ["article_id", "chunk_no"]), k=k)
+    qch = qch.withColumnRenamed("chunk_no", "query_no")
+    if method == "dense":
+        qv = qch.select("article_id", "query_no", hash_embed("token_ids", dim).alias("embedding"))
+        kv = keys.select("article_id", "chunk_no", hash_embed("token_ids", dim).alias("embedding"))
+        nbrs = knn_within(qv, kv, "article_id", "query_no", "chunk_no", k=k)
+    elif method == "sparse":
+        qtf = chunk_tf(qch, ["article_id", "query_no"]).drop("norm2")
+        nbrs = knn_sparse(qtf, chunk_tf(keys, ["article_id", "chunk_no"]), k=k)
+    else:
+        raise ValueError(f"unknown method {method}")
     expanded = expand_neighbors(nbrs, keys)
     retrieved = collect_retrieved(expanded)
     # [n_chunks, c] of the body, straight from the row's own id array (no regrouping)

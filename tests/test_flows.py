@@ -23,7 +23,24 @@ def test_prepare_flow(spark):
         assert all(len(c) == 64 for c in x.text_tokenized)
         assert len(x.text_tokenized) >= 3
         for q in x.retrieved:
-            assert 1 <= len(q) <= 2 and all(len(p) == 128 for p in q)
+            assert len(q) == 2 and all(len(p) == 128 for p in q)
+    sparse = retrieval_samples(s, vp, method="sparse").collect()
+    assert {x.article_id for x in sparse} == {x.article_id for x in rs}
+
+
+def test_dense_retrieval_gives_k_per_query_chunk(spark):
+    from longdoc.operators.tokens import build_vocab, materialize_vocab
+    rows = [(i, "train", i, "t", "a", " ".join(f"w{(i + j) % 23}" for j in range(400)),
+             "<pad>title: t abstract: ", "<pad>title: t abstract: " + " ".join(f"w{j % 23}" for j in range(150)))
+            for i in range(4)]
+    s = spark.createDataFrame(rows, "article_id long, split string, ord long, title string, abstract string, "
+                                    "text string, prompt string, model_input string")
+    vp = materialize_vocab(spark, build_vocab(s, "text", 100), "dense-flow-test")
+    r = retrieval_samples(s, vp).collect()
+    assert len(r) == 4
+    for x in r:
+        assert len(x.retrieved) == 2  # 155 input ids -> 3 chunks -> 2 query chunks
+        assert all(len(q) == 2 for q in x.retrieved)
 
 
 def test_evaluate_and_score_file(spark):
