@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longdoc.constants import CHUNK_SIZE, MAX_LEN, N_NEIGHBORS
+from longdoc.functions.arrays import drop_last
 from longdoc.functions.text import strip_text
 from longdoc.operators import metrics as M
 from longdoc.operators.chunks import chunk_documents, chunk_tf, drop_last_chunk, filter_min_chunks
@@ -34,11 +35,13 @@ def score_record(per_pair: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def evaluate(samples: DataFrame, vocab_path: str, c: int = CHUNK_SIZE, k: int = N_NEIGHBORS,
-             max_len: int = MAX_LEN) -> tuple[DataFrame, DataFrame]:
+             max_len: int = MAX_LEN, exclude_prompt: bool = False) -> tuple[DataFrame, DataFrame]:
     """L2 with the extractive stand-in generator (E4): query chunks of the
     prompt-plus-abstract search the article's own chunks; the best pair per
     query chunk, decoded and stripped, is the prediction; the reference is
     the decoded input (F1 side) and the raw model input (ROUGE side, Q2).
+    As in the reference, generation starts from the prompt, so the prediction
+    begins with it (Q3) unless ``exclude_prompt``; the whole is cut to max_len.
     Returns (per-pair scores, predictions)."""
     body = samples.select("article_id", tokenize("text", vocab_path).alias("ids"))
     chunks = filter_min_chunks(chunk_documents(body, "article_id", "ids", c), k)
@@ -48,12 +51,15 @@ def evaluate(samples: DataFrame, vocab_path: str, c: int = CHUNK_SIZE, k: int =
     qtf = chunk_tf(qch, ["article_id", "query_no"]).drop("norm2")
     nbrs = knn_sparse(qtf, chunk_tf(keys, ["article_id", "chunk_no"]), k=k)
     draft = extractive_draft(nbrs, keys, max_len=max_len)
+    body_ids = F.coalesce("draft_ids", F.array().cast("array<int>"))
+    if not exclude_prompt:
+        prompt_ids = drop_last(tokenize("prompt", vocab_path, max_len))
+        body_ids = F.slice(F.concat(prompt_ids, body_ids), 1, max_len)
     preds = (samples.join(draft, "article_id", "left")
              .select(F.col("article_id").cast("string").alias("id"),
                      decode(tokenize("model_input", vocab_path, max_len), vocab_path).alias("reference"),
                      F.col("model_input").alias("rouge_reference"),
-                     strip_text(decode(F.coalesce("draft_ids", F.array().cast("array<int>")), vocab_path))
-                     .alias("prediction")))
+                     strip_text(decode(body_ids, vocab_path)).alias("prediction")))
     f1 = M.qa_f1_em(preds)
     rouge_in = preds.select("id", F.col("rouge_reference").alias("reference"), "prediction")
     per = f1.join(score_pairs(rouge_in).drop("f1", "exact_match"), "id")
