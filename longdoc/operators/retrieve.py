@@ -65,47 +65,59 @@ def _blocks(df: DataFrame, group: str, block: int, name: str) -> DataFrame:
 
 def knn_within(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id: str,
                vec: str = "embedding", k: int = N_NEIGHBORS, block: int = 2048,
-               exclude_self: bool = False, metric: str = "ip", with_timing: bool = False) -> DataFrame:
+               exclude_self: bool = False, metric: str = "ip", with_timing: bool = False,
+               buckets: int | None = None) -> DataFrame:
     """D3: exact top-k keys of the same group for every query.
 
     Returns (group, q_id, rank, k_id, score). ``metric``: ip | cosine | l2
     (l2 ranks by negative squared distance). Ties: lower key id first.
     ``with_timing`` adds ``search_ms``: the measured scoring time of the
-    query's tiles (each tile's time split evenly over its queries).
+    query's groups in its tiles (split evenly over the group's queries).
+
+    Tiles: a group that fits in one block on both sides shares a tile with
+    other such groups (hash bucket of the group; ``buckets`` defaults to 8 per
+    shuffle partition), so a million small articles are not a million Python
+    calls. A bigger group is cut into query blocks x key blocks of at most
+    ``block`` rows (hash of the id); its queries go to every key block of the
+    group, its keys to every query block, so each same-group pair meets in
+    exactly one tile.
     """
     if metric not in ("ip", "cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
+    spark = queries.sparkSession
+    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
     gtype = dict(queries.dtypes)[group]
-    nq = _blocks(queries, group, block, "_nqb")
-    nk = _blocks(keys, group, block, "_nkb")
+    nq = _blocks(queries, group, block, "_nqb").withColumnRenamed(group, "g")
+    nk = _blocks(keys, group, block, "_nkb").withColumnRenamed(group, "g")
+    sizes = nq.join(nk, "g")
+    small = (F.col("_nqb") == 1) & (F.col("_nkb") == 1)
+    tile_id = F.when(small, F.pmod(F.xxhash64(F.col("g")), F.lit(nb))).otherwise(F.xxhash64(F.col("g")))
     qv = queries.select(F.col(group).alias("g"), F.col(q_id).cast("bigint").alias("qid"),
                         F.col(vec).alias("qv"))
     kv = keys.select(F.col(group).alias("g"), F.col(k_id).cast("bigint").alias("kid"),
                      F.col(vec).alias("kv"))
-    nq = nq.withColumnRenamed(group, "g")
-    nk = nk.withColumnRenamed(group, "g")
-    # queries go to every key block of their group, keys to every query block
-    qx = (qv.join(nk, "g").join(nq, "g")
-          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("_nqb")).cast("int"))
-          .withColumn("kb", F.explode(F.sequence(F.lit(0), F.col("_nkb") - 1)))
-          .select("g", "qb", "kb", "qid", "qv"))
-    kx = (kv.join(nq, "g").join(nk, "g")
-          .withColumn("kb", F.pmod(F.xxhash64("kid"), F.col("_nkb")).cast("int"))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1)))
-          .select("g", "qb", "kb", "kid", "kv"))
+    qx = (qv.join(sizes, "g")
+          .withColumn("t", tile_id)
+          .withColumn("qb", F.when(small, F.lit(-1)).otherwise(
+              F.pmod(F.xxhash64("qid"), F.col("_nqb")).cast("int")))
+          .withColumn("kb", F.when(small, F.array(F.lit(-1))).otherwise(
+              F.sequence(F.lit(0), F.col("_nkb") - 1)))
+          .withColumn("kb", F.explode("kb"))
+          .select("t", "qb", "kb", "g", "qid", "qv"))
+    kx = (kv.join(sizes, "g")
+          .withColumn("t", tile_id)
+          .withColumn("kb", F.when(small, F.lit(-1)).otherwise(
+              F.pmod(F.xxhash64("kid"), F.col("_nkb")).cast("int")))
+          .withColumn("qb", F.when(small, F.array(F.lit(-1))).otherwise(
+              F.sequence(F.lit(0), F.col("_nqb") - 1)))
+          .withColumn("qb", F.explode("qb"))
+          .select("t", "qb", "kb", "g", "kid", "kv"))
 
     def tile(qdf: pd.DataFrame, kdf: pd.DataFrame) -> pd.DataFrame:
-        import time
-        t0 = time.perf_counter()
-        r = _tile_topk(qdf, kdf, k, exclude_self, metric)
-        per_q = (time.perf_counter() - t0) * 1000.0 / max(len(qdf), 1)
-        # the tile's time goes on one row per query (the local best), 0 elsewhere
-        first = ~r["qid"].duplicated() if len(r) else pd.Series([], dtype=bool)
-        r["ms"] = np.where(first, per_q, 0.0) if len(r) else pd.Series([], dtype="float64")
-        return r
-
-    local = (qx.groupBy("g", "qb", "kb")
-             .cogroup(kx.groupBy("g", "qb", "kb"))
+        return _tile_groups(qdf, kdf, k, exclude_self, metric)
+
+    local = (qx.groupBy("t", "qb", "kb")
+             .cogroup(kx.groupBy("t", "qb", "kb"))
              .applyInPandas(tile, f"g {gtype}, qid long, kid long, score double, ms double"))
     if with_timing:
         local = local.withColumn("search_ms", F.sum("ms").over(Window.partitionBy("g", "qid")))
@@ -115,6 +127,30 @@ def knn_within(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id:
                          F.col("kid").alias(k_id), "score", *extra)
 
 
+def _tile_groups(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
+                 metric: str) -> pd.DataFrame:
+    """One tile: per group present on both sides, one matrix product and the
+    local top-k; the group's scoring time goes on one row per query."""
+    import time
+    parts = []
+    if len(qdf) and len(kdf):
+        kgroups = {g: d for g, d in kdf.groupby("g", sort=False)}
+        for g, qg in qdf.groupby("g", sort=False):
+            kg = kgroups.get(g)
+            if kg is None:
+                continue
+            t0 = time.perf_counter()
+            r = _tile_topk(qg, kg, k, exclude_self, metric)
+            per_q = (time.perf_counter() - t0) * 1000.0 / max(len(qg), 1)
+            r["ms"] = np.where(~r["qid"].duplicated().to_numpy(), per_q, 0.0)
+            parts.append(r)
+    if not parts:
+        return pd.DataFrame({"g": pd.Series([], dtype=qdf["g"].dtype if len(qdf) else "object"),
+                             "qid": pd.Series([], dtype="int64"), "kid": pd.Series([], dtype="int64"),
+                             "score": pd.Series([], dtype="float64"), "ms": pd.Series([], dtype="float64")})
+    return pd.concat(parts, ignore_index=True)
+
+
 def _tile_topk(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
                metric: str) -> pd.DataFrame:
     if len(qdf) == 0 or len(kdf) == 0:

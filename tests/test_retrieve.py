@@ -100,3 +100,21 @@ def test_sparse_topk_unchanged_under_repartition(spark):
     for art, rank, _ in a:
         ranks.setdefault(art, []).append(rank)
     assert all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= 2 for v in ranks.values())
+
+
+def test_tiled_mixed_small_and_big_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    vid = 0
+    for g, n in [(0, 5), (1, 70), (2, 12), (3, 1), (4, 40)]:
+        for _ in range(n):
+            rows.append((g, vid, [float(x) for x in rng.normal(size=4)]))
+            vid += 1
+    df = spark.createDataFrame(rows, "g int, id long, embedding array<double>")
+    q = df.select("g", F.col("id").alias("qid"), "embedding")
+    k = df.select("g", F.col("id").alias("kid"), "embedding")
+    tiled = knn_within(q, k, "g", "qid", "kid", k=3, block=16, exclude_self=True, buckets=2)
+    rel = knn_within_sql(q, k, "g", "qid", "kid", k=3, exclude_self=True)
+    a = sorted((r.g, r.qid, r.rank, r.kid, round(r.score, 9)) for r in tiled.collect())
+    b = sorted((r.g, r.qid, r.rank, r.kid, round(r.score, 9)) for r in rel.collect())
+    assert a == b and len(a) == sum(min(3, n - 1) * n for n in (5, 70, 12, 1, 40))
