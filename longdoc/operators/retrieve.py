@@ -15,12 +15,15 @@ join. Two exact top-k paths:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longdoc.constants import N_NEIGHBORS
 
@@ -265,9 +268,7 @@ def embed(df: DataFrame, col: str, encoder=None, out: str = "embedding",
     if encoder is None:
         return df.withColumn(out, hash_embed(col, dim))
 
-    from typing import Iterator
-
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = encoder() if isinstance(encoder, type) else encoder
         for s in batches:

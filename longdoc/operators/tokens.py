@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Iterator
+
+import pandas as pd
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -165,3 +168,25 @@ def decode(ids, vocab_path: str) -> Column:
     c = F.col(ids) if isinstance(ids, str) else ids
     kept = F.filter(c, lambda x: x >= FIRST_REAL_ID)
     return F.regexp_replace(_decode_udf(vocab_path)(kept), r" ([.,!?])", "$1")
+
+
+def tokenize_with(col, factory, max_len: int | None = None, eos: int = EOS) -> Column:
+    """C1/C2 with a user tokenizer (the reference injects its own): ``factory()``
+    returns a callable list[str] -> list[list[int]] (ids ending in EOS, as
+    the pretrained tokenizer does); it is built once per task in an iterator
+    pandas UDF and called on whole Arrow batches. ``max_len`` truncates and
+    keeps EOS inside the limit."""
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = factory()
+        for s in batches:
+            out = []
+            for ids in fn(s.fillna("").tolist()):
+                ids = list(ids)
+                if max_len is not None and len(ids) > max_len:
+                    ids = ids[:max_len - 1] + [eos]
+                out.append(ids)
+            yield pd.Series(out)
+
+    c = F.col(col) if isinstance(col, str) else col
+    return run(c)

@@ -70,3 +70,15 @@ def test_chunks_concat_back_to_tokens(spark):
     got = {r.article_id: r.ids for r in back.collect()}
     assert got == {r.article_id: r.ids for r in df.collect()}
     assert all(len(r.pair_ids) == 128 for r in ch.where("pair_ids is not null").collect())
+
+
+def test_tokenize_with_user_tokenizer(spark):
+    from longdoc.operators.tokens import tokenize_with
+
+    def factory():
+        table = {"a": 5, "b": 6}
+        return lambda texts: [[table.get(w, 2) for w in t.split()] + [1] for t in texts]
+
+    df = spark.createDataFrame([("a b c",), ("b " * 10,)], "t string")
+    r = [x[0] for x in df.select(tokenize_with("t", factory, max_len=4)).collect()]
+    assert r == [[5, 6, 2, 1], [6, 6, 6, 1]]

@@ -118,3 +118,15 @@ def test_tiled_mixed_small_and_big_groups(spark):
     a = sorted((r.g, r.qid, r.rank, r.kid, round(r.score, 9)) for r in tiled.collect())
     b = sorted((r.g, r.qid, r.rank, r.kid, round(r.score, 9)) for r in rel.collect())
     assert a == b and len(a) == sum(min(3, n - 1) * n for n in (5, 70, 12, 1, 40))
+
+
+def test_embed_with_user_encoder(spark):
+    from longdoc.operators.retrieve import embed
+
+    class Enc:
+        def __call__(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([("ab",), ("abcd",)], "t string")
+    r = sorted(tuple(x.embedding) for x in embed(df, "t", encoder=Enc).collect())
+    assert r == [(2.0, 1.0), (4.0, 1.0)]
