@@ -24,3 +24,25 @@ def test_stream_chunks_equal_batch(spark):
                                               "article_text ARRAY<STRING>").json(src), vp, 64)
     key = lambda r: (r.article_id, r.chunk_no, tuple(r.token_ids))
     assert sorted(map(key, got.collect())) == sorted(map(key, batch.collect()))
+
+
+def test_stream_scores_equal_batch(spark):
+    from longdoc.plans.evaluate import score_pairs, score_record
+    from longdoc.streaming.score import corpus_scores, pair_stream, score_stream
+    d = tempfile.mkdtemp(prefix="ld-sscore-")
+    src = os.path.join(d, "in")
+    os.makedirs(src)
+    rows = [{"id": str(i), "reference": f"the cat sat on mat {i}", "prediction": f"a cat sat {i % 3}"}
+            for i in range(30)]
+    for part in range(3):
+        with open(os.path.join(src, f"p{part}.json"), "w") as f:
+            for r in rows[part * 10:(part + 1) * 10]:
+                f.write(json.dumps(r) + "\n")
+    q = score_stream(pair_stream(spark, src, max_files=1), os.path.join(d, "out"), os.path.join(d, "ck"))
+    q.awaitTermination(180)
+    got = corpus_scores(spark, os.path.join(d, "out")).first()
+    batch = spark.createDataFrame([(r["id"], r["reference"], r["prediction"]) for r in rows],
+                                  "id string, reference string, prediction string")
+    exp = score_record(score_pairs(batch)).first()
+    assert abs(got.F1 - exp.F1) < 1e-12 and got.ROUGE == exp.ROUGE
+    assert spark.read.parquet(os.path.join(d, "out")).select("epoch").distinct().count() == 3
