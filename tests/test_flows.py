@@ -56,3 +56,38 @@ def test_evaluate_and_score_file(spark):
     assert samples.count() == preds.count() and h.count() == 1
     g = score_result_file(spark, path, vp).first()
     assert g.n > 0 and -1.0 <= g.f1 <= 1.0
+
+
+def test_prepare_dataset_from_raw_files(spark):
+    import json
+    import os
+
+    from longdoc.plans.prepare import prepare_dataset
+    from longdoc.sources.tables import read_table
+    d = tempfile.mkdtemp(prefix="ld-prep-")
+    docs = read_table(spark, SF_SMALL, "documents").orderBy("doc_id").limit(120).collect()
+    pages = read_table(spark, SF_SMALL, "pages").collect()
+    os.makedirs(os.path.join(d, "raw"))
+    for split, mod in (("train", (2, 3, 4, 5, 6, 7, 8, 9)), ("val", (1,)), ("test", (0,))):
+        with open(os.path.join(d, "raw", f"{split}.txt"), "w") as f:
+            for r in docs:
+                if r.doc_id % 10 in mod:
+                    f.write(json.dumps({"article_id": str(r.doc_id), "abstract_text": ["<S> x y . </S>"],
+                                        "article_text": r.text.split("\n")}) + "\n")
+    import re
+    with open(os.path.join(d, "meta.json"), "w") as f:
+        for p in pages:
+            m = re.search("<title>([^<]*)</title>", p.html)
+            f.write(json.dumps({"id": str(p.page_id), "title": m.group(1) if m else ""}) + "\n")
+    out = os.path.join(d, "prepared")
+    a = prepare_dataset(spark, os.path.join(d, "raw"), os.path.join(d, "meta.json"), out, cap=5,
+                        vocab_size=5000)
+    rows = a.collect()
+    assert rows and all(len(r.input_ids) <= 512 and r.input_ids[-1] == 1 for r in rows)
+    per = {}
+    for r in rows:
+        per.setdefault(r.split, []).append(r.ord)
+    assert all(len(v) <= 5 for v in per.values())
+    b = prepare_dataset(spark, os.path.join(d, "raw"), os.path.join(d, "meta.json"), out, cap=5,
+                        vocab_size=5000)
+    assert b.count() == len(rows)
