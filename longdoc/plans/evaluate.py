@@ -86,3 +86,50 @@ def score_result_file(spark: SparkSession, path: str, vocab_path: str, dim: int
     return g.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
                  F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("n"))
 
+
+
+def evaluate_dataset(spark: SparkSession, prepared_path: str, results_path: str, vocab_path: str,
+                     split: str = "test", c: int = CHUNK_SIZE, k: int = N_NEIGHBORS,
+                     max_len: int = MAX_LEN, generator=None, dim: int = 64) -> DataFrame:
+    """L2 on prepared samples (as written by ``prepare_dataset``): for each
+    article of ``split``, its input chunks search its own body chunks (dense,
+    exact, tiled); the prediction is the prompt followed by the best pairs
+    (extractive stand-in), or ``generator`` (list[str] -> list[str], called on
+    the prompts through ``mapInPandas``). Scores per pair, then the result set
+    (score record first) is written (A8). Returns the score record."""
+    from longdoc.functions.arrays import chunk_array
+    from longdoc.operators.chunks import chunk_documents as _chunks
+    from longdoc.operators.retrieve import hash_embed
+    from longdoc.operators.retrieve import knn_within as _knn
+    from longdoc.operators.sampling import generate
+    from longdoc.sources.io import read_samples, write_results
+
+    s = read_samples(spark, prepared_path).where(F.col("split") == split)
+    if generator is None:
+        body = s.select(F.col("id").alias("article_id"), F.flatten("text_tokenized").alias("ids"))
+        keys = drop_last_chunk(_chunks(body, "article_id", "ids", c))
+        q = s.select(F.col("id").alias("article_id"), chunk_array("input_ids", c).alias("_q"))
+        q = q.select("article_id", F.posexplode("_q").alias("query_no", "token_ids"),
+                     F.size("_q").alias("n_chunks"))
+        q = q.where(F.col("query_no") < F.col("n_chunks") - 1)
+        qv = q.select("article_id", "query_no", hash_embed("token_ids", dim).alias("embedding"))
+        kv = keys.select("article_id", "chunk_no", hash_embed("token_ids", dim).alias("embedding"))
+        nbrs = _knn(qv, kv, "article_id", "query_no", "chunk_no", k=k)
+        draft = extractive_draft(nbrs, keys, max_len=max_len).withColumnRenamed("article_id", "id")
+        body_ids = F.slice(F.concat("prompt_ids", F.coalesce("draft_ids", F.array().cast("array<int>"))),
+                           1, max_len)
+        preds = s.join(draft, "id", "left").select(
+            "id", "model_input", "input_ids", strip_text(decode(body_ids, vocab_path)).alias("prediction"))
+    else:
+        g = generate(s.select("id", "prompt", "model_input", "input_ids"), generator, "prompt", "prediction")
+        preds = g.select("id", "model_input", "input_ids", strip_text("prediction").alias("prediction"))
+    preds = preds.select(F.col("id").cast("string").alias("id"),
+                         decode("input_ids", vocab_path).alias("reference"),
+                         F.col("model_input").alias("rouge_reference"), "prediction")
+    f1 = M.qa_f1_em(preds)
+    rouge = score_pairs(preds.select("id", F.col("rouge_reference").alias("reference"), "prediction"))
+    per = f1.join(rouge.drop("f1", "exact_match"), "id")
+    head = score_record(per)
+    write_results(head, preds.select("id", F.col("reference").alias("truth_output"),
+                                     F.col("prediction").alias("model_answer")), results_path)
+    return head

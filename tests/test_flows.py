@@ -91,3 +91,29 @@ def test_prepare_dataset_from_raw_files(spark):
     b = prepare_dataset(spark, os.path.join(d, "raw"), os.path.join(d, "meta.json"), out, cap=5,
                         vocab_size=5000)
     assert b.count() == len(rows)
+
+
+def test_evaluate_dataset_after_prepare(spark):
+    import os
+
+    from longdoc.plans.evaluate import evaluate_dataset
+    from longdoc.plans.prepare import tokenize_samples, retrieval_samples
+    from longdoc.sources.io import read_results, write_samples
+    vp = corpus.vocab_path(spark, SF_SMALL)
+    s = tokenize_samples(retrieval_samples(corpus.samples(spark, SF_SMALL), vp), vp)
+    d = tempfile.mkdtemp(prefix="ld-evalds-")
+    write_samples(s.select("split", F.col("article_id").alias("id"), "ord", "prompt", "model_input",
+                           "prompt_ids", "input_ids", "text_tokenized", "retrieved"), os.path.join(d, "p"))
+    n_train = s.where("split = 'train'").count()
+    head = evaluate_dataset(spark, os.path.join(d, "p"), os.path.join(d, "r"), vp, split="train").first()
+    assert 0.0 <= head.F1 <= 1.0 and 0.0 <= head.ROUGE.rouge1 <= 1.0
+    h, preds = read_results(spark, os.path.join(d, "r"))
+    assert preds.count() == n_train
+    # the prediction starts with the decoded prompt (Q3); "title:" itself is
+    # not in the document vocabulary, so the decoded prompt begins at the title
+    got = {r.id: r.model_answer for r in preds.collect()}
+    titles = {str(r.article_id): r.title for r in s.where("split = 'train'").select("article_id", "title").collect()}
+    assert all(got[i] for i in got) and sum(got[i].split()[:1] == titles[i].split()[:1] for i in got) > len(got) // 2
+    g = evaluate_dataset(spark, os.path.join(d, "p"), os.path.join(d, "r2"), vp, split="train",
+                         generator=lambda xs: [x + " hello" for x in xs]).first()
+    assert g.F1 >= 0.0
