@@ -88,10 +88,11 @@ def score_result_file(spark: SparkSession, path: str, vocab_path: str, dim: int
 
 
 
-def evaluate_dataset(spark: SparkSession, prepared_path: str, results_path: str, vocab_path: str,
+def evaluate_dataset(spark: SparkSession, prepared, results_path: str, vocab_path: str,
                      split: str = "test", c: int = CHUNK_SIZE, k: int = N_NEIGHBORS,
                      max_len: int = MAX_LEN, generator=None, dim: int = 64) -> DataFrame:
-    """L2 on prepared samples (as written by ``prepare_dataset``): for each
+    """L2 on prepared samples (a path or the DataFrame ``prepare_dataset``
+    returns): for each
     article of ``split``, its input chunks search its own body chunks (dense,
     exact, tiled); the prediction is the prompt followed by the best pairs
     (extractive stand-in), or ``generator`` (list[str] -> list[str], called on
@@ -104,7 +105,8 @@ def evaluate_dataset(spark: SparkSession, prepared_path: str, results_path: str,
     from longdoc.operators.sampling import generate
     from longdoc.sources.io import read_samples, write_results
 
-    s = read_samples(spark, prepared_path).where(F.col("split") == split)
+    src = read_samples(spark, prepared) if isinstance(prepared, str) else prepared
+    s = src.where(F.col("split") == split)
     if generator is None:
         body = s.select(F.col("id").alias("article_id"), F.flatten("text_tokenized").alias("ids"))
         keys = drop_last_chunk(_chunks(body, "article_id", "ids", c))
