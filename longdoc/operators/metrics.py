@@ -219,9 +219,10 @@ def bootstrap_mid(scores: DataFrame, col: str = "fmeasure", id_col: str = "id",
     d = scores.select(F.col(id_col).cast("string").alias("_id"), F.col(col).alias("_v"), reps_col)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("rep"), F.col("_id")), 11).cast("double") + 0.5) \
         / F.lit(float(1 << 53))
-    # Poisson(1) by inversion of its CDF (weights 0..7 cover 1 - 1e-5 of the mass)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-           0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+    # Poisson(1) weights by inversion of its CDF, P(W <= j) = sum_{i<=j} e^-1 / i!
+    # (weights 0..7 cover all but 1e-5 of the mass; the rest weighs 8)
+    import math
+    cdf = [sum(math.exp(-1.0) / math.factorial(i) for i in range(j + 1)) for j in range(8)]
     w = F.lit(8)
     for k in range(len(cdf) - 1, -1, -1):
         w = F.when(u <= cdf[k], F.lit(k)).otherwise(w)
