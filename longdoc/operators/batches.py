@@ -22,7 +22,8 @@ BROADCAST_ROWS = 200_000
 
 
 def global_rank(df: DataFrame, part: list[str], order: list[Column | str],
-                out: str = "pos", n_parts: int | None = None) -> DataFrame:
+                out: str = "pos", n_parts: int | None = None,
+                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """1-based position of each row inside its ``part`` group by ``order``.
 
     ``order`` must be a total order (end with a unique key) for reproducible
@@ -42,7 +43,7 @@ def global_rank(df: DataFrame, part: list[str], order: list[Column | str],
     offs = counts.select("_pid", *part, "_first",
                          F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     # the offsets table is bounded by partitions x groups; broadcast behind a check
-    small = offs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = offs.limit(broadcast_rows + 1).count() <= broadcast_rows
     offs_j = F.broadcast(offs) if small else offs
     r = tagged.join(offs_j, ["_pid", *part])
     return (r.withColumn(out, F.col("_off") + F.col("_idx") - F.col("_first") + 1)

@@ -52,3 +52,12 @@ def test_first_n_and_flatten(spark):
     c = B.collate_all(b.select("split", "batch_no", "pos", "article_id", "ids"))
     flat = B.flatten_batches(c, ["split", "batch_no"], ["article_id"])
     assert flat.count() == 500
+
+
+def test_global_rank_without_broadcast(spark):
+    df = frame(spark, 200)
+    g = B.global_rank(df, ["split"], ["ord"], n_parts=5, broadcast_rows=1)
+    w = Window.partitionBy("split").orderBy("ord")
+    ref = df.withColumn("pos", F.row_number().over(w))
+    assert sorted(map(tuple, g.select("split", "article_id", "pos").collect())) == \
+        sorted(map(tuple, ref.select("split", "article_id", "pos").collect()))

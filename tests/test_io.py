@@ -74,3 +74,9 @@ def test_chunk_index_and_samples(spark):
     s = spark.createDataFrame([("train", 1, [1, 2]), ("test", 2, [3])], "split string, id int, ids array<int>")
     IO.write_samples(s, d + "/s")
     assert IO.read_samples(spark, d + "/s").where("split = 'test'").first().id == 2
+
+
+def test_read_articles_no_split_present(spark):
+    d = tempfile.mkdtemp(prefix="ld-empty-")
+    a = IO.read_articles(spark, d)
+    assert a.count() == 0 and "split" in a.columns and "ord" in a.columns
