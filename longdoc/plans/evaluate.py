@@ -75,11 +75,16 @@ def token_vectors(df: DataFrame, id_col: str, text_col: str, vocab_path: str, di
                       hash_embed(F.array("tid"), dim).alias("embedding"))
 
 
-def score_result_file(spark: SparkSession, path: str, vocab_path: str, dim: int = 64) -> DataFrame:
+def score_result_file(spark: SparkSession, path: str, vocab_path: str, dim: int = 64,
+                      first_n: int | None = None) -> DataFrame:
     """L3: read a result set, split off the header, greedy-match every
-    candidate against its reference with token vectors; corpus mean P/R/F1."""
+    candidate against its reference with token vectors; corpus mean P/R/F1.
+    ``first_n`` scores only the first n samples of the file (the reference's
+    script uses 200); by default every sample is scored."""
     from longdoc.sources.io import read_results
     _, samples = read_results(spark, path)
+    if first_n is not None:
+        samples = samples.where(F.col("ordinal") <= first_n)
     cand = token_vectors(samples, "id", "model_answer", vocab_path, dim)
     ref = token_vectors(samples, "id", "truth_output", vocab_path, dim)
     g = M.greedy_match(cand, ref, "id", "tpos")

@@ -56,6 +56,7 @@ def test_evaluate_and_score_file(spark):
     assert samples.count() == preds.count() and h.count() == 1
     g = score_result_file(spark, path, vp).first()
     assert g.n > 0 and -1.0 <= g.f1 <= 1.0
+    assert score_result_file(spark, path, vp, first_n=3).first().n <= 3
 
 
 def test_prepare_dataset_from_raw_files(spark):
