@@ -613,3 +613,60 @@ SELECT article_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(64 AS BIGINT) AS d
 SQL["results_roundtrip"] = with_(PAIRS) + """
 SELECT id, reference AS truth_output, prediction AS model_answer,
        row_number() OVER (ORDER BY id) AS ordinal FROM pairs"""
+
+# ROUGE-Lsum over whole texts. Per (reference sentence, candidate sentence):
+# the LCS table by the same recursion as ROUGE-L, each cell's backtrack move
+# (diagonal on a match, else left when T[i][j-1] > T[i-1][j], else up), then
+# a second recursion walks back one table row per step (a row is a list of
+# moves). Hits = sum over tokens of min(union-LCS occurrences, candidate
+# count), which is what counting token by token with clipping adds up to.
+# The CTEs read inside the recursions are MATERIALIZED so they run once.
+SQL["rouge_lsum"] = "WITH RECURSIVE " + PAIRS.strip() + """,
+rl AS (SELECT id, unnest(string_split(reference, chr(10))) AS line,
+              unnest(range(len(string_split(reference, chr(10))))) AS si FROM pairs),
+cl AS (SELECT id, unnest(string_split(prediction, chr(10))) AS line,
+              unnest(range(len(string_split(prediction, chr(10))))) AS sj FROM pairs),
+rs AS (SELECT id, si, regexp_extract_all(lower(line), '[a-z0-9]+') AS a FROM rl),
+cs AS (SELECT id, sj, regexp_extract_all(lower(line), '[a-z0-9]+') AS b FROM cl),
+sp AS MATERIALIZED (SELECT r.id, r.si, c.sj, r.a, c.b FROM rs r JOIN cs c USING (id) WHERE len(r.a) > 0 AND len(c.b) > 0),
+pos AS (SELECT id, si, sj, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS bt FROM sp),
+dp(id, si, sj, i, j, bt, v) AS (
+  SELECT id, si, sj, 0, j, bt, 0 FROM pos
+  UNION ALL
+  SELECT id, si, sj, i, j, bt,
+         greatest(v, coalesce(max(c) OVER (PARTITION BY id, si, sj ORDER BY j ROWS UNBOUNDED PRECEDING), 0))
+  FROM (SELECT d.id, d.si, d.sj, d.i + 1 AS i, d.j, d.bt, d.v,
+               CASE WHEN d.bt = s.a[d.i + 1]
+                    THEN coalesce(lag(d.v) OVER (PARTITION BY d.id, d.si, d.sj ORDER BY d.j), 0) + 1 END AS c
+        FROM dp d JOIN sp s ON d.id = s.id AND d.si = s.si AND d.sj = s.sj WHERE d.i < len(s.a))),
+mvc AS (SELECT d.id, d.si, d.sj, d.i, d.j,
+                CASE WHEN d.bt = s.a[d.i] THEN 0
+                     WHEN coalesce(lag(d.v) OVER (PARTITION BY d.id, d.si, d.sj, d.i ORDER BY d.j), 0)
+                          > lag(d.v) OVER (PARTITION BY d.id, d.si, d.sj, d.j ORDER BY d.i) THEN 1
+                     ELSE 2 END AS mv
+         FROM dp d JOIN sp s ON d.id = s.id AND d.si = s.si AND d.sj = s.sj),
+mvr AS MATERIALIZED (SELECT id, si, sj, i, list(mv ORDER BY j) AS mv FROM mvc WHERE i >= 1 GROUP BY ALL),
+bk(id, si, sj, i, j, hit) AS (
+  SELECT id, si, sj, len(a), len(b), CAST(NULL AS BIGINT) FROM sp
+  UNION ALL
+  SELECT id, si, sj, i - 1,
+         CASE WHEN k = 0 THEN 0 WHEN mv[j - k + 1] = 0 THEN j - k ELSE j - k + 1 END,
+         CASE WHEN k > 0 AND mv[j - k + 1] = 0 THEN i END
+  FROM (SELECT f.id, f.si, f.sj, f.i, f.j, r.mv,
+               list_position(list_transform(list_reverse(r.mv[1:f.j]), lambda x: x <> 1), true) AS k
+        FROM bk f JOIN mvr r ON f.id = r.id AND f.si = r.si AND f.sj = r.sj AND f.i = r.i
+        WHERE f.i > 0 AND f.j > 0)),
+un AS (SELECT DISTINCT b.id, b.si, b.hit, r.a[b.hit] AS tok FROM bk b JOIN rs r ON b.id = r.id AND b.si = r.si
+       WHERE b.hit IS NOT NULL),
+ut AS (SELECT id, tok, count(*) AS u FROM un GROUP BY ALL),
+ct AS (SELECT id, tok, count(*) AS cc FROM (SELECT id, unnest(b) AS tok FROM cs) GROUP BY ALL),
+hits AS (SELECT u.id, sum(least(u.u, c.cc)) AS hits FROM ut u JOIN ct c USING (id, tok) GROUP BY ALL),
+n AS (SELECT p.id, coalesce((SELECT sum(len(a)) FROM rs WHERE rs.id = p.id), 0) AS nr,
+             coalesce((SELECT sum(len(b)) FROM cs WHERE cs.id = p.id), 0) AS nc FROM pairs p)
+SELECT n.id,
+       round(CASE WHEN n.nc > 0 THEN coalesce(h.hits, 0) / n.nc ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN n.nr > 0 THEN coalesce(h.hits, 0) / n.nr ELSE 0.0 END, 6) AS recall,
+       round(CASE WHEN coalesce(h.hits, 0) > 0 AND n.nc > 0 AND n.nr > 0
+                  THEN 2.0 * (h.hits / n.nc) * (h.hits / n.nr) / (h.hits / n.nc + h.hits / n.nr)
+                  ELSE 0.0 END, 6) AS fmeasure
+FROM n LEFT JOIN hits h USING (id)"""
