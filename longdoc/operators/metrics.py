@@ -211,14 +211,14 @@ def corpus_mean(scores: DataFrame, col: str = "fmeasure", digits: int = 4) -> Da
 
 def bootstrap_mid(scores: DataFrame, col: str = "fmeasure", id_col: str = "id", reps: int = 1000,
                   seed: int = SEED, digits: int = 4) -> DataFrame:
-    """Bootstrap of the mean with Poisson(1) weights from a hash of
+    """Bootstrap of the mean with Poisson(1) weights from md5 of
     (seed, rep, id); percentiles 2.5/50/97.5 of the replicate means; mid rounded.
     The replicate axis is exploded per row and aggregated by rep (partial
     aggregation on the map side)."""
+    from longdoc.operators.sampling import uniform
     reps_col = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
     d = scores.select(F.col(id_col).cast("string").alias("_id"), F.col(col).alias("_v"), reps_col)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("rep"), F.col("_id")), 11).cast("double") + 0.5) \
-        / F.lit(float(1 << 53))
+    u = uniform(seed, "rep", "_id")
     # Poisson(1) weights by inversion of its CDF, P(W <= j) = sum_{i<=j} e^-1 / i!
     # (weights 0..7 cover all but 1e-5 of the mass; the rest weighs 8)
     import math

@@ -45,10 +45,13 @@ def nucleus(df: DataFrame, grp: str = "grp", cand: str = "cand", logit: str = "l
 
 
 def uniform(seed: int, *cols) -> F.Column:
-    """Deterministic U(0,1) from a 53-bit slice of xxhash64(seed, cols)."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    bits = F.shiftrightunsigned(h, 11)
-    return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
+    """Deterministic U(0,1): the first 52 bits of md5("seed|col|col...") as a
+    fraction (+0.5 ulp, so never 0 or 1). md5 makes the draw portable: any
+    engine with md5 reproduces it."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str)
+                                                else c.cast("string") for c in cols])
+    bits = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double")
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def gumbel_sample(df: DataFrame, grp: str = "grp", cand: str = "cand", logit: str = "logit",

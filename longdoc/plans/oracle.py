@@ -670,3 +670,37 @@ SELECT n.id,
                   THEN 2.0 * (h.hits / n.nc) * (h.hits / n.nr) / (h.hits / n.nc + h.hits / n.nr)
                   ELSE 0.0 END, 6) AS fmeasure
 FROM n LEFT JOIN hits h USING (id)"""
+
+
+def uniform_sql(*parts: str) -> str:
+    """The md5 uniform of ``longdoc.operators.sampling.uniform``."""
+    key = " || '|' || ".join(["'42'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return (f"((CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT))::DOUBLE + 0.5::DOUBLE)"
+            f" / 4503599627370496.0::DOUBLE")
+
+
+SQL["gumbel_sample"] = with_(LOGITS) + f""",
+top AS (SELECT grp, cand, logit FROM (
+          SELECT *, row_number() OVER (PARTITION BY grp ORDER BY logit DESC, cand) AS r,
+                 count(*) OVER (PARTITION BY grp) AS n FROM lg)
+        WHERE r <= greatest(floor({1.0 - 0.9!r} * n), 1)),
+gu AS (SELECT grp, cand, logit, {uniform_sql('grp', 'cand')} AS u FROM top)
+SELECT grp, arg_max(cand, logit / 1.0 - ln(-ln(u))) AS sampled FROM gu GROUP BY grp"""
+
+
+def _poisson_case(u: str) -> str:
+    import math
+    cdf = [sum(math.exp(-1.0) / math.factorial(i) for i in range(j + 1)) for j in range(8)]
+    whens = " ".join(f"WHEN {u} <= {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cdf))
+    return f"CASE {whens} ELSE 8 END"
+
+
+SQL["rouge_bootstrap"] = with_(PAIRS, rouge_n_sql(1)) + f""",
+sc AS (SELECT id, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                       ELSE 0.0 END AS f FROM prf1),
+ex AS (SELECT id, f, unnest(range(1000)) AS rep FROM sc),
+wu AS (SELECT rep, f, {uniform_sql('rep', 'id')} AS u FROM ex),
+wt AS (SELECT rep, f, {_poisson_case('u')} AS w FROM wu),
+per AS (SELECT rep, sum(w * f) / greatest(sum(w), 1) AS m FROM wt GROUP BY rep),
+q AS (SELECT quantile_cont(m, [0.025, 0.5, 0.975]) AS q FROM per)
+SELECT round(q[1], 4) AS low, round(q[2], 4) AS mid, round(q[3], 4) AS high FROM q"""
