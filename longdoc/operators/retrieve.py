@@ -213,26 +213,31 @@ def collect_retrieved(nbrs: DataFrame, group: str = "article_id", query: str = "
 
 # ---- D1: embeddings -------------------------------------------------------
 
-def _mix64(x: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser on uint64 (wrapping arithmetic)."""
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def token_hash(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket bits, sign) per token id from md5("seed|id"): the first 52 bits
+    pick the bucket, the next hex digit the sign. Hashed once per distinct id
+    of the batch; md5 keeps the encoder reproducible by any engine."""
+    import hashlib
+    uniq, inv = np.unique(ids, return_inverse=True)
+    hb = np.empty(len(uniq), dtype=np.int64)
+    sg = np.empty(len(uniq), dtype=np.float64)
+    for n, t in enumerate(uniq.tolist()):
+        h = hashlib.md5(f"{seed}|{t}".encode()).hexdigest()
+        hb[n] = int(h[:13], 16)
+        sg[n] = 1.0 if int(h[13], 16) < 8 else -1.0
+    return hb[inv], sg[inv]
 
 
 def hash_embed_batch(offsets: np.ndarray, ids: np.ndarray, dim: int, seed: int) -> np.ndarray:
-    """Signed feature hashing of id lists given as (offsets, flat ids)."""
+    """Signed feature hashing of id lists given as (offsets, flat ids):
+    integer sums per bucket, divided by the exact L2 norm, as float32."""
     n = len(offsets) - 1
     outm = np.zeros((n, dim), dtype=np.float64)
     if len(ids):
-        with np.errstate(over="ignore"):
-            h = _mix64(ids.astype(np.uint64) ^ np.uint64(seed))
-        bucket = (h % np.uint64(dim)).astype(np.int64)
-        sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
+        hb, sign = token_hash(ids, seed)
         rows = np.repeat(np.arange(n), np.diff(offsets))
-        np.add.at(outm, (rows, bucket), sign)
-    norm = np.linalg.norm(outm, axis=1)
+        np.add.at(outm, (rows, hb % dim), sign)
+    norm = np.sqrt((outm * outm).sum(axis=1))
     outm /= np.where(norm == 0, 1.0, norm)[:, None]
     return outm.astype(np.float32)
 

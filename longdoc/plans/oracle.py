@@ -704,3 +704,16 @@ wt AS (SELECT rep, f, {_poisson_case('u')} AS w FROM wu),
 per AS (SELECT rep, sum(w * f) / greatest(sum(w), 1) AS m FROM wt GROUP BY rep),
 q AS (SELECT quantile_cont(m, [0.025, 0.5, 0.975]) AS q FROM per)
 SELECT round(q[1], 4) AS low, round(q[2], 4) AS mid, round(q[3], 4) AS high FROM q"""
+
+SQL["embed_chunks"] = with_(VOCAB, DOC_IDS, CHUNKS) + """,
+ce AS (SELECT article_id, chunk_no, unnest(token_ids) AS id FROM chunks),
+he AS (SELECT article_id, chunk_no, md5('42|' || CAST(id AS VARCHAR)) AS h FROM ce WHERE id >= 3),
+bs AS (SELECT article_id, chunk_no, CAST(('0x' || substr(h, 1, 13)) AS BIGINT) % 64 AS b,
+              CASE WHEN CAST(('0x' || substr(h, 14, 1)) AS INTEGER) < 8 THEN 1 ELSE -1 END AS s FROM he),
+agg AS (SELECT article_id, chunk_no, b, sum(s) AS v FROM bs GROUP BY ALL),
+nrm AS (SELECT article_id, chunk_no, sqrt(sum(v * v)::DOUBLE) AS n FROM agg GROUP BY ALL),
+grid AS (SELECT article_id, chunk_no, unnest(range(64)) AS d FROM chunks)
+SELECT g.article_id, CAST(g.chunk_no AS BIGINT) AS chunk_no, g.d,
+       CAST(CAST(CASE WHEN n.n > 0 THEN coalesce(a.v, 0) / n.n ELSE 0.0 END AS FLOAT) AS DOUBLE) AS value
+FROM grid g LEFT JOIN agg a ON a.article_id = g.article_id AND a.chunk_no = g.chunk_no AND a.b = g.d
+LEFT JOIN nrm n ON n.article_id = g.article_id AND n.chunk_no = g.chunk_no"""

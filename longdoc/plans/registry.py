@@ -298,7 +298,7 @@ def q_index_report(spark, sf):
 def q_embed_chunks(spark, sf):
     ch = corpus.doc_chunks(spark, sf)
     e = R.embed(ch.select("article_id", "chunk_no", "token_ids"), "token_ids", dim=64)
-    return e.select("article_id", "chunk_no", "embedding")
+    return out(e.select("article_id", "chunk_no", F.posexplode("embedding").alias("d", "value")))
 
 
 # ---- E: generation steps -------------------------------------------------
