@@ -717,3 +717,46 @@ SELECT g.article_id, CAST(g.chunk_no AS BIGINT) AS chunk_no, g.d,
        CAST(CAST(CASE WHEN n.n > 0 THEN coalesce(a.v, 0) / n.n ELSE 0.0 END AS FLOAT) AS DOUBLE) AS value
 FROM grid g LEFT JOIN agg a ON a.article_id = g.article_id AND a.chunk_no = g.chunk_no AND a.b = g.d
 LEFT JOIN nrm n ON n.article_id = g.article_id AND n.chunk_no = g.chunk_no"""
+
+# L1 counts: samples with >= k+1 body chunks; prompt ids (cut, no EOS), input
+# ids (cut, EOS kept), body chunks, and one retrieved entry per query chunk
+# (all input chunks but the last: the dense search always returns k).
+SQL["prepare_samples"] = with_(VOCAB, ARTICLES, TITLES, SAMPLES, DOC_IDS, PROMPT_IDS, INPUT_IDS) + f""",
+nb AS (SELECT doc_id AS article_id, count(*) AS n_body FROM doc_ids GROUP BY ALL),
+npr AS (SELECT article_id, count(*) FILTER (WHERE pos < 511) AS n_prompt FROM prompt_ids_raw GROUP BY ALL),
+nin AS (SELECT article_id, count(*) AS n_input FROM input_ids GROUP BY ALL)
+SELECT s.split, s.article_id, coalesce(p.n_prompt, 0) AS n_prompt, i.n_input,
+       CAST(ceil(b.n_body / {C}) AS BIGINT) AS n_chunks,
+       CAST(greatest(ceil(i.n_input / {C}) - 1, 0) AS BIGINT) AS n_retrieved
+FROM samples s JOIN nb b USING (article_id) LEFT JOIN npr p USING (article_id) JOIN nin i USING (article_id)
+WHERE ceil(b.n_body / {C}) >= 3"""
+
+# L3: token vectors are one-hot (+1 or -1 in the md5 bucket of the id), so the
+# best match of a token is 1 when the other side has a token in the same
+# bucket with the same sign, else 0 when it has one in another bucket, else -1.
+_RES_TOK = ("pairs2 AS (SELECT id AS pid, reference, prediction FROM pairs),"
+            + token_rows("res_r", "pairs2", "pid", "reference") + ","
+            + token_rows("res_c", "pairs2", "pid", "prediction"))
+
+
+def _bucket_sign(side: str, src: str) -> str:
+    h = "md5('42|' || CAST(id AS VARCHAR))"
+    return (f"SELECT '{side}' AS side, pid, CAST(('0x' || substr({h}, 1, 13)) AS BIGINT) % 64 AS b, "
+            f"CASE WHEN CAST(('0x' || substr({h}, 14, 1)) AS INTEGER) < 8 THEN 1 ELSE -1 END AS s "
+            f"FROM {src} WHERE id >= 3")
+
+
+SQL["score_result_file"] = with_(PAIRS, VOCAB, _RES_TOK) + f""",
+tb AS ({_bucket_sign('r', 'res_r_raw')} UNION ALL {_bucket_sign('c', 'res_c_raw')}),
+best AS (SELECT t.side, t.pid,
+                CASE WHEN EXISTS (SELECT 1 FROM tb o WHERE o.pid = t.pid AND o.side <> t.side AND o.b = t.b
+                                  AND o.s = t.s) THEN 1.0
+                     WHEN EXISTS (SELECT 1 FROM tb o WHERE o.pid = t.pid AND o.side <> t.side AND o.b <> t.b)
+                     THEN 0.0 ELSE -1.0 END AS m
+         FROM tb t WHERE EXISTS (SELECT 1 FROM tb o WHERE o.pid = t.pid AND o.side <> t.side)),
+pr AS (SELECT pid, avg(m) FILTER (WHERE side = 'c') AS precision, avg(m) FILTER (WHERE side = 'r') AS recall
+       FROM best GROUP BY pid),
+pf AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) END AS f1
+       FROM pr)
+SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1,
+       count(*) AS n FROM pf"""

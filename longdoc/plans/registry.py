@@ -708,4 +708,4 @@ def q_score_result_file(spark, sf):
     p = pairs(spark, sf)
     preds = p.select("id", F.col("reference").alias("truth_output"), F.col("prediction").alias("model_answer"))
     IO.write_results(score_record(score_pairs(p)), preds, path)
-    return score_result_file(spark, path, corpus.vocab_path(spark, sf))
+    return _r6(score_result_file(spark, path, corpus.vocab_path(spark, sf)), ["precision", "recall", "f1"])
