@@ -17,6 +17,18 @@ from longdoc.operators.chunks import chunk_tf, drop_last_chunk, filter_min_chunk
 from longdoc.operators.retrieve import knn_sparse
 from longdoc.operators.tokens import build_vocab
 from longdoc.plans import corpus
+from longdoc.functions import arrays as A
+from longdoc.functions import text as TX
+from longdoc.operators import batches as B
+from longdoc.operators import chunks as CH
+from longdoc.operators import lookup as LK
+from longdoc.operators import metrics as M
+from longdoc.operators import retrieve as R
+from longdoc.operators import sampling as S
+from longdoc.operators.tokens import decode, tokenize
+from longdoc.session import scratch_path
+from longdoc.sources import io as IO
+from longdoc.sources import testdata as TD
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,12 +91,6 @@ def q_knn_sparse(spark, sf):
 
 # ---- B: projections and filters ------------------------------------------
 
-from longdoc.functions import arrays as A  # noqa: E402
-from longdoc.functions import text as TX  # noqa: E402
-from longdoc.operators import chunks as CH  # noqa: E402
-from longdoc.operators import lookup as LK  # noqa: E402
-from longdoc.operators.tokens import decode, tokenize  # noqa: E402
-
 
 @register("abstract_flatten")
 def q_abstract_flatten(spark, sf):
@@ -263,12 +269,6 @@ def q_neighbor_text(spark, sf):
 
 # ---- D: dense retrieval, collection, report ------------------------------
 
-from longdoc.operators import batches as B  # noqa: E402
-from longdoc.operators import metrics as M  # noqa: E402
-from longdoc.operators import retrieve as R  # noqa: E402
-from longdoc.operators import sampling as S  # noqa: E402
-from longdoc.sources import testdata as TD  # noqa: E402
-
 
 @register("knn_within_label")
 def q_knn_within_label(spark, sf):
@@ -541,9 +541,6 @@ def q_corpus_stats(spark, sf):
 
 # ---- A: sources and sinks -------------------------------------------------
 
-from longdoc.session import scratch_path  # noqa: E402
-from longdoc.sources import io as IO  # noqa: E402
-
 
 def _scratch(spark, sf, name):
     return scratch_path(spark, name, IO.config_key({"src": corpus._stamp(spark, f"{sf.rstrip('/')}/documents.parquet"),
