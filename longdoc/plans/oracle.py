@@ -226,19 +226,19 @@ SELECT article_id, CAST(chunk_no AS BIGINT) AS chunk_no, text FROM chunk_text"""
 SQL["drop_last_chunk"] = with_(VOCAB, DOC_IDS, CHUNKS) + """
 SELECT article_id, CAST(chunk_no AS BIGINT) AS chunk_no FROM chunks WHERE chunk_no < n_chunks - 1"""
 
-SQL["full_chunks"] = with_(VOCAB, TRUNC) + f"""
+SQL["full_chunks"] = with_(VOCAB, DOC_IDS) + f"""
 SELECT doc_id AS article_id, CAST(pos // {C} AS BIGINT) AS query_no,
        string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS token_ids
-FROM trunc_ids GROUP BY ALL HAVING count(*) = {C}"""
+FROM doc_ids GROUP BY ALL HAVING count(*) = {C}"""
 
-SQL["last_full_chunk"] = with_(VOCAB, TRUNC) + f"""
-, _n AS (SELECT doc_id, count(*) AS n FROM trunc_ids GROUP BY ALL)
+SQL["last_full_chunk"] = with_(VOCAB, DOC_IDS) + f"""
+, _n AS (SELECT doc_id, count(*) AS n FROM doc_ids GROUP BY ALL)
 SELECT t.doc_id AS article_id,
        CASE WHEN n.n % {C} = 0 THEN string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY t.pos)
                                     FILTER (WHERE t.pos >= n.n - {C}) END AS last_chunk
-FROM trunc_ids t JOIN _n n USING (doc_id) GROUP BY t.doc_id, n.n"""
+FROM doc_ids t JOIN _n n USING (doc_id) GROUP BY t.doc_id, n.n"""
 
-MASK_SRC = token_rows("m_q", "_qtext", "doc_id", "query") + "," + token_rows("m_t", "documents", "doc_id", "text", 128)
+MASK_SRC = token_rows("m_q", "_qtext", "doc_id", "query") + "," + token_rows("m_t", "documents", "doc_id", "text")
 
 SQL["mask_after_eos"] = with_(VOCAB, QUERY_TEXT, MASK_SRC) + """,
 _len AS (SELECT doc_id, max(pos) + 1 AS n FROM m_q GROUP BY ALL),
@@ -255,12 +255,12 @@ SELECT article_id, CAST(chunk_no // 32 AS BIGINT) AS seq_no, CAST(min(chunk_no)
        CAST(max(chunk_no) AS BIGINT) AS last_chunk, CAST(count(*) AS BIGINT) AS n_chunks
 FROM chunks GROUP BY ALL"""
 
-SQL["lm_shift"] = with_(VOCAB, TRUNC) + """,
-_n AS (SELECT doc_id, max(pos) AS last FROM trunc_ids GROUP BY ALL)
+SQL["lm_shift"] = with_(VOCAB, DOC_IDS) + """,
+_n AS (SELECT doc_id, max(pos) AS last FROM doc_ids GROUP BY ALL)
 SELECT t.doc_id AS article_id,
        coalesce(string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY t.pos) FILTER (WHERE t.pos < n.last), '') AS input,
        coalesce(string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY t.pos) FILTER (WHERE t.pos > 0), '') AS label
-FROM trunc_ids t JOIN _n n USING (doc_id) GROUP BY ALL"""
+FROM doc_ids t JOIN _n n USING (doc_id) GROUP BY ALL"""
 
 SQL["chunk_pairs"] = with_(VOCAB, DOC_IDS, CHUNKS) + """
 SELECT a.article_id, CAST(a.chunk_no AS BIGINT) AS chunk_no,

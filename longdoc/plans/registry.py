@@ -183,13 +183,13 @@ def q_drop_last_chunk(spark, sf):
 
 @register("full_chunks")
 def q_full_chunks(spark, sf):
-    r = CH.full_chunk_rows(corpus.trunc_ids(spark, sf), "article_id", "token_ids", 64)
+    r = CH.full_chunk_rows(corpus.doc_ids(spark, sf), "article_id", "token_ids", 64)
     return out(r.select("article_id", "query_no", A.ids_text("token_ids").alias("token_ids")))
 
 
 @register("last_full_chunk")
 def q_last_full_chunk(spark, sf):
-    d = corpus.trunc_ids(spark, sf)
+    d = corpus.doc_ids(spark, sf)
     return out(d.select("article_id", A.ids_text(A.last_full_chunk("token_ids", 64)).alias("last_chunk")))
 
 
@@ -199,7 +199,7 @@ def q_mask_after_eos(spark, sf):
     vp = corpus.vocab_path(spark, sf)
     d = corpus.table(spark, sf, "documents")
     q = query_text(d).select("article_id", tokenize("query", vp).alias("q"))
-    t = d.select(F.col("doc_id").alias("article_id"), tokenize("text", vp, 128).alias("t"))
+    t = d.select(F.col("doc_id").alias("article_id"), tokenize("text", vp).alias("t"))
     x = q.join(t, "article_id").select("article_id", F.concat("q", "t").alias("ids"))
     return out(x.select("article_id", A.ids_text(A.mask_after_eos("ids")).alias("masked")))
 
@@ -211,7 +211,7 @@ def q_sequence_windows(spark, sf):
 
 @register("lm_shift")
 def q_lm_shift(spark, sf):
-    d = corpus.trunc_ids(spark, sf)
+    d = corpus.doc_ids(spark, sf)
     return out(d.select("article_id", A.ids_text(A.lm_shift_input("token_ids")).alias("input"),
                         A.ids_text(A.lm_shift_label("token_ids")).alias("label")))
 
@@ -639,7 +639,7 @@ def q_mask_after_eos_window(spark, sf):
     vp = corpus.vocab_path(spark, sf)
     d = corpus.table(spark, sf, "documents")
     q = query_text(d).select("article_id", tokenize("query", vp).alias("q"))
-    t = d.select(F.col("doc_id").alias("article_id"), tokenize("text", vp, 128).alias("t"))
+    t = d.select(F.col("doc_id").alias("article_id"), tokenize("text", vp).alias("t"))
     x = q.join(t, "article_id").select("article_id", F.concat("q", "t").alias("ids"))
     m = CH.mask_after_eos_rows(x, "article_id", "ids")
     return out(m.select("article_id", A.ids_text("ids").alias("masked")))
