@@ -165,8 +165,10 @@ SQL["min_chunks"] = with_(VOCAB, DOC_IDS, CHUNKS) + """
 SELECT DISTINCT article_id, CAST(n_chunks AS BIGINT) AS n_chunks FROM chunks WHERE n_chunks >= 3"""
 
 SQL["id_filter"] = f"""
-SELECT doc_id, w AS first_word, CASE WHEN contains(w, '.') THEN w END AS new_id
-FROM (SELECT doc_id, {words('text')}[1] AS w FROM documents)"""
+SELECT doc_id, len(w) AS n_words, len(ids) AS n_new_ids, ids[1] AS first_new_id
+FROM (SELECT doc_id, w, list_filter(list_transform(w, lambda x: CASE WHEN contains(x, '.') THEN x END),
+                                    lambda x: x IS NOT NULL) AS ids
+      FROM (SELECT doc_id, {words('text')} AS w FROM documents))"""
 
 SQL["quarantine"] = with_(ARTICLES, TITLES) + f"""
 SELECT a.article_id,

@@ -116,8 +116,10 @@ def q_min_chunks(spark, sf):
 
 @register("id_filter")
 def q_id_filter(spark, sf):
-    d = corpus.table(spark, sf, "documents").select("doc_id", F.get(TX.words("text"), 0).alias("first_word"))
-    return out(d.select("doc_id", "first_word", TX.new_style_id("first_word").alias("new_id")))
+    d = corpus.table(spark, sf, "documents").select("doc_id", TX.words("text").alias("w"))
+    ids = F.filter(F.transform("w", lambda x: TX.new_style_id(x)), lambda x: x.isNotNull())
+    return out(d.select("doc_id", F.size("w").alias("n_words"), F.size(ids).alias("n_new_ids"),
+                        F.get(ids, 0).alias("first_new_id")))
 
 
 @register("quarantine")
