@@ -113,12 +113,24 @@ def materialize(spark: SparkSession, compute: Callable[[], DataFrame], base: str
 
 def export_first_n(df: DataFrame, n: int, path: str, suffix: str = "", order: list[str] | None = None,
                    fmt: str = "parquet") -> None:
-    """The first n samples of each split, written as ``{split}{suffix}``."""
+    """The first n samples of each split, written as ``{split}{suffix}``.
+    One distributed write partitioned by split into a staging folder, then the
+    split folders are renamed (file-system metadata only)."""
     from longdoc.operators.batches import first_n_per_group
     first = first_n_per_group(df, n, "split", order or ["ord"])
-    for s in [r[0] for r in first.select("split").distinct().collect()]:
-        (first.where(F.col("split") == s).drop("split")
-         .write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{s}{suffix}"))
+    base = path.rstrip("/")
+    staging = f"{base}/_staging{suffix}"
+    first.write.mode("overwrite").partitionBy("split").format(fmt).save(staging)
+    fs, st = _fs(first.sparkSession, staging)
+    jvm = first.sparkSession.sparkContext._jvm
+    for status in fs.listStatus(st):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("split="):
+            target = jvm.org.apache.hadoop.fs.Path(f"{base}/{name[len('split='):]}{suffix}")
+            if fs.exists(target):
+                fs.delete(target, True)
+            fs.rename(status.getPath(), target)
+    fs.delete(st, True)
 
 
 def cap_per_split(df: DataFrame, n: int = SPLIT_CAP, order: list[str] | None = None) -> DataFrame:
