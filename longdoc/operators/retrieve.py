@@ -6,11 +6,12 @@ join. Two exact top-k paths:
 * ``knn_sparse``: term-frequency vectors, fully relational: postings join on
   (group, token), partial sums, then a per-query top-k (``row_number`` with
   Spark's partial WindowGroupLimit before the exchange).
-* ``knn_within``: dense vectors, tiled: each group's keys and queries are cut
-  into blocks of at most ``block`` rows by a hash of their id; a tile (group,
-  query block, key block) is one cogroup, scored with one matrix product in
-  numpy, and emits only its local top-k per query. A hot group becomes many
-  bounded tiles; no task ever holds more than ``block`` keys and queries.
+* ``knn_within``: dense vectors, tiled. Small groups share hash-bucket
+  tiles; a bigger group's keys and queries are cut into blocks of at most
+  ``block`` rows by a hash of their id, one tile per (query block, key
+  block). A tile is one cogroup, scored with one numpy matrix product per
+  group, and emits only its local top-k per query. A hot group becomes many
+  bounded tiles; no tile holds more than ``block`` keys of a group.
 """
 
 from __future__ import annotations
