@@ -36,8 +36,9 @@ def score_record(per_pair: DataFrame, digits: int = 4) -> DataFrame:
 
 def evaluate(samples: DataFrame, vocab_path: str, c: int = CHUNK_SIZE, k: int = N_NEIGHBORS,
              max_len: int = MAX_LEN, exclude_prompt: bool = False) -> tuple[DataFrame, DataFrame]:
-    """L2 with the extractive stand-in generator (E4): query chunks of the
-    prompt-plus-abstract search the article's own chunks; the best pair per
+    """L2 with the extractive stand-in generator (E4): every chunk of the
+    prompt-plus-abstract (the last one padded) searches the article's own
+    chunks; the best pair per
     query chunk, decoded and stripped, is the prediction; the reference is
     the decoded input (F1 side) and the raw model input (ROUGE side, Q2).
     As in the reference, generation starts from the prompt, so the prediction
@@ -98,8 +99,8 @@ def evaluate_dataset(spark: SparkSession, prepared, results_path: str, vocab_pat
                      max_len: int = MAX_LEN, generator=None, dim: int = 64) -> DataFrame:
     """L2 on prepared samples (a path or the DataFrame ``prepare_dataset``
     returns): for each
-    article of ``split``, its input chunks search its own body chunks (dense,
-    exact, tiled); the prediction is the prompt followed by the best pairs
+    article of ``split``, every chunk of its input (the last one padded)
+    searches its own body chunks (dense, exact, tiled); the prediction is the prompt followed by the best pairs
     (extractive stand-in), or ``generator`` (list[str] -> list[str], called on
     the prompts through ``mapInPandas``). Scores per pair, then the result set
     (score record first) is written (A8). Returns the score record."""
@@ -116,9 +117,7 @@ def evaluate_dataset(spark: SparkSession, prepared, results_path: str, vocab_pat
         body = s.select(F.col("id").alias("article_id"), F.flatten("text_tokenized").alias("ids"))
         keys = drop_last_chunk(_chunks(body, "article_id", "ids", c))
         q = s.select(F.col("id").alias("article_id"), chunk_array("input_ids", c).alias("_q"))
-        q = q.select("article_id", F.posexplode("_q").alias("query_no", "token_ids"),
-                     F.size("_q").alias("n_chunks"))
-        q = q.where(F.col("query_no") < F.col("n_chunks") - 1)
+        q = q.select("article_id", F.posexplode("_q").alias("query_no", "token_ids"))
         qv = q.select("article_id", "query_no", hash_embed("token_ids", dim).alias("embedding"))
         kv = keys.select("article_id", "chunk_no", hash_embed("token_ids", dim).alias("embedding"))
         nbrs = _knn(qv, kv, "article_id", "query_no", "chunk_no", k=k)

@@ -581,26 +581,36 @@ SQL["read_documents"] = "SELECT doc_id, text FROM documents"
 # recursion step; row j of step i is
 #   L_i[j] = max(L_{i-1}[j], max over j' <= j with b[j'] = a[i] of L_{i-1}[j'-1] + 1)
 # (the running max is a window over the prediction positions).
-SQL["rouge_l"] = "WITH RECURSIVE " + PAIRS.strip() + """,
-tk AS (SELECT id, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r,
-              regexp_extract_all(lower(prediction), '[a-z0-9]+') AS p FROM pairs),
-pos AS (SELECT id, unnest(range(1, len(p) + 1)) AS j, unnest(p) AS b FROM tk),
-dp(id, i, j, b, v) AS (
-  SELECT id, 0, j, b, 0 FROM pos
+def rouge_l_ctes(src: str = "pairs", x: str = "") -> str:
+    """CTEs ending in ``prfl{x}``(id, precision, recall) over ``src``(id, reference, prediction)."""
+    return f"""
+tk{x} AS (SELECT id, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r,
+              regexp_extract_all(lower(prediction), '[a-z0-9]+') AS p FROM {src}),
+pos{x} AS (SELECT id, unnest(range(1, len(p) + 1)) AS j, unnest(p) AS b FROM tk{x}),
+dp{x}(id, i, j, b, v) AS (
+  SELECT id, 0, j, b, 0 FROM pos{x}
   UNION ALL
   SELECT id, i, j, b, greatest(v, coalesce(max(c) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING), 0))
   FROM (SELECT d.id, d.i + 1 AS i, d.j, d.b, d.v,
                CASE WHEN d.b = t.r[d.i + 1]
                     THEN coalesce(lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j), 0) + 1 END AS c
-        FROM dp d JOIN tk t ON d.id = t.id WHERE d.i < len(t.r))),
-l AS (SELECT t.id, len(t.r) AS nr, len(t.p) AS np, coalesce(max(d.v), 0) AS lcs
-      FROM tk t LEFT JOIN dp d ON d.id = t.id AND d.i = len(t.r) GROUP BY ALL),
-prfl AS (SELECT id, CASE WHEN np > 0 THEN lcs / np ELSE 0.0 END AS precision,
-                CASE WHEN nr > 0 THEN lcs / nr ELSE 0.0 END AS recall FROM l)
+        FROM dp{x} d JOIN tk{x} t ON d.id = t.id WHERE d.i < len(t.r))),
+l{x} AS (SELECT t.id, len(t.r) AS nr, len(t.p) AS np, coalesce(max(d.v), 0) AS lcs
+      FROM tk{x} t LEFT JOIN dp{x} d ON d.id = t.id AND d.i = len(t.r) GROUP BY ALL),
+prfl{x} AS (SELECT id, CASE WHEN np > 0 THEN lcs / np ELSE 0.0 END AS precision,
+                CASE WHEN nr > 0 THEN lcs / nr ELSE 0.0 END AS recall FROM l{x})
+"""
+
+
+def fm_select(cte: str, extra: str = "") -> str:
+    return f"""
 SELECT id, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
-                  ELSE 0.0 END, 6) AS fmeasure
-FROM prfl"""
+                  ELSE 0.0 END, 6) AS fmeasure{extra}
+FROM {cte}"""
+
+
+SQL["rouge_l"] = "WITH RECURSIVE " + PAIRS.strip() + ",\n" + rouge_l_ctes().strip() + fm_select("prfl")
 
 SQL["generate"] = with_(ARTICLES, TITLES, SAMPLES) + """
 SELECT article_id, prompt, prompt || ' ' || {last} AS prediction FROM samples""".replace(
@@ -623,55 +633,60 @@ SELECT id, reference AS truth_output, prediction AS model_answer,
 # moves). Hits = sum over tokens of min(union-LCS occurrences, candidate
 # count), which is what counting token by token with clipping adds up to.
 # The CTEs read inside the recursions are MATERIALIZED so they run once.
-SQL["rouge_lsum"] = "WITH RECURSIVE " + PAIRS.strip() + """,
-rl AS (SELECT id, unnest(string_split(reference, chr(10))) AS line,
-              unnest(range(len(string_split(reference, chr(10))))) AS si FROM pairs),
-cl AS (SELECT id, unnest(string_split(prediction, chr(10))) AS line,
-              unnest(range(len(string_split(prediction, chr(10))))) AS sj FROM pairs),
-rs AS (SELECT id, si, regexp_extract_all(lower(line), '[a-z0-9]+') AS a FROM rl),
-cs AS (SELECT id, sj, regexp_extract_all(lower(line), '[a-z0-9]+') AS b FROM cl),
-sp AS MATERIALIZED (SELECT r.id, r.si, c.sj, r.a, c.b FROM rs r JOIN cs c USING (id) WHERE len(r.a) > 0 AND len(c.b) > 0),
-pos AS (SELECT id, si, sj, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS bt FROM sp),
-dp(id, si, sj, i, j, bt, v) AS (
-  SELECT id, si, sj, 0, j, bt, 0 FROM pos
+_LSUM_CTES = """
+rl{x} AS (SELECT id, unnest(string_split(reference, chr(10))) AS line,
+              unnest(range(len(string_split(reference, chr(10))))) AS si FROM {src}),
+cl{x} AS (SELECT id, unnest(string_split(prediction, chr(10))) AS line,
+              unnest(range(len(string_split(prediction, chr(10))))) AS sj FROM {src}),
+rs{x} AS (SELECT id, si, regexp_extract_all(lower(line), '[a-z0-9]+') AS a FROM rl{x}),
+cs{x} AS (SELECT id, sj, regexp_extract_all(lower(line), '[a-z0-9]+') AS b FROM cl{x}),
+sp{x} AS MATERIALIZED (SELECT r.id, r.si, c.sj, r.a, c.b FROM rs{x} r JOIN cs{x} c USING (id) WHERE len(r.a) > 0 AND len(c.b) > 0),
+pos{x} AS (SELECT id, si, sj, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS bt FROM sp{x}),
+dp{x}(id, si, sj, i, j, bt, v) AS (
+  SELECT id, si, sj, 0, j, bt, 0 FROM pos{x}
   UNION ALL
   SELECT id, si, sj, i, j, bt,
          greatest(v, coalesce(max(c) OVER (PARTITION BY id, si, sj ORDER BY j ROWS UNBOUNDED PRECEDING), 0))
   FROM (SELECT d.id, d.si, d.sj, d.i + 1 AS i, d.j, d.bt, d.v,
                CASE WHEN d.bt = s.a[d.i + 1]
                     THEN coalesce(lag(d.v) OVER (PARTITION BY d.id, d.si, d.sj ORDER BY d.j), 0) + 1 END AS c
-        FROM dp d JOIN sp s ON d.id = s.id AND d.si = s.si AND d.sj = s.sj WHERE d.i < len(s.a))),
-mvc AS (SELECT d.id, d.si, d.sj, d.i, d.j,
+        FROM dp{x} d JOIN sp{x} s ON d.id = s.id AND d.si = s.si AND d.sj = s.sj WHERE d.i < len(s.a))),
+mvc{x} AS (SELECT d.id, d.si, d.sj, d.i, d.j,
                 CASE WHEN d.bt = s.a[d.i] THEN 0
                      WHEN coalesce(lag(d.v) OVER (PARTITION BY d.id, d.si, d.sj, d.i ORDER BY d.j), 0)
                           > lag(d.v) OVER (PARTITION BY d.id, d.si, d.sj, d.j ORDER BY d.i) THEN 1
                      ELSE 2 END AS mv
-         FROM dp d JOIN sp s ON d.id = s.id AND d.si = s.si AND d.sj = s.sj),
-mvr AS MATERIALIZED (SELECT id, si, sj, i, list(mv ORDER BY j) AS mv FROM mvc WHERE i >= 1 GROUP BY ALL),
-bk(id, si, sj, i, j, hit) AS (
-  SELECT id, si, sj, len(a), len(b), CAST(NULL AS BIGINT) FROM sp
+         FROM dp{x} d JOIN sp{x} s ON d.id = s.id AND d.si = s.si AND d.sj = s.sj),
+mvr{x} AS MATERIALIZED (SELECT id, si, sj, i, list(mv ORDER BY j) AS mv FROM mvc{x} WHERE i >= 1 GROUP BY ALL),
+bk{x}(id, si, sj, i, j, hit) AS (
+  SELECT id, si, sj, len(a), len(b), CAST(NULL AS BIGINT) FROM sp{x}
   UNION ALL
   SELECT id, si, sj, i - 1,
          CASE WHEN k = 0 THEN 0 WHEN mv[j - k + 1] = 0 THEN j - k ELSE j - k + 1 END,
          CASE WHEN k > 0 AND mv[j - k + 1] = 0 THEN i END
   FROM (SELECT f.id, f.si, f.sj, f.i, f.j, r.mv,
                list_position(list_transform(list_reverse(r.mv[1:f.j]), lambda x: x <> 1), true) AS k
-        FROM bk f JOIN mvr r ON f.id = r.id AND f.si = r.si AND f.sj = r.sj AND f.i = r.i
+        FROM bk{x} f JOIN mvr{x} r ON f.id = r.id AND f.si = r.si AND f.sj = r.sj AND f.i = r.i
         WHERE f.i > 0 AND f.j > 0)),
-un AS (SELECT DISTINCT b.id, b.si, b.hit, r.a[b.hit] AS tok FROM bk b JOIN rs r ON b.id = r.id AND b.si = r.si
+un{x} AS (SELECT DISTINCT b.id, b.si, b.hit, r.a[b.hit] AS tok FROM bk{x} b JOIN rs{x} r ON b.id = r.id AND b.si = r.si
        WHERE b.hit IS NOT NULL),
-ut AS (SELECT id, tok, count(*) AS u FROM un GROUP BY ALL),
-ct AS (SELECT id, tok, count(*) AS cc FROM (SELECT id, unnest(b) AS tok FROM cs) GROUP BY ALL),
-hits AS (SELECT u.id, sum(least(u.u, c.cc)) AS hits FROM ut u JOIN ct c USING (id, tok) GROUP BY ALL),
-n AS (SELECT p.id, coalesce((SELECT sum(len(a)) FROM rs WHERE rs.id = p.id), 0) AS nr,
-             coalesce((SELECT sum(len(b)) FROM cs WHERE cs.id = p.id), 0) AS nc FROM pairs p)
-SELECT n.id,
-       round(CASE WHEN n.nc > 0 THEN coalesce(h.hits, 0) / n.nc ELSE 0.0 END, 6) AS precision,
-       round(CASE WHEN n.nr > 0 THEN coalesce(h.hits, 0) / n.nr ELSE 0.0 END, 6) AS recall,
-       round(CASE WHEN coalesce(h.hits, 0) > 0 AND n.nc > 0 AND n.nr > 0
-                  THEN 2.0 * (h.hits / n.nc) * (h.hits / n.nr) / (h.hits / n.nc + h.hits / n.nr)
-                  ELSE 0.0 END, 6) AS fmeasure
-FROM n LEFT JOIN hits h USING (id)"""
+ut{x} AS (SELECT id, tok, count(*) AS u FROM un{x} GROUP BY ALL),
+ct{x} AS (SELECT id, tok, count(*) AS cc FROM (SELECT id, unnest(b) AS tok FROM cs{x}) GROUP BY ALL),
+hits{x} AS (SELECT u.id, sum(least(u.u, c.cc)) AS hits FROM ut{x} u JOIN ct{x} c USING (id, tok) GROUP BY ALL),
+n{x} AS (SELECT p.id, coalesce((SELECT sum(len(a)) FROM rs{x} q WHERE q.id = p.id), 0) AS nr,
+             coalesce((SELECT sum(len(b)) FROM cs{x} q WHERE q.id = p.id), 0) AS nc FROM {src} p),
+lsum{x} AS (SELECT n.id, CASE WHEN n.nc > 0 THEN coalesce(h.hits, 0) / n.nc ELSE 0.0 END AS precision,
+                   CASE WHEN n.nr > 0 THEN coalesce(h.hits, 0) / n.nr ELSE 0.0 END AS recall
+            FROM n{x} n LEFT JOIN hits{x} h USING (id))
+"""
+
+
+def rouge_lsum_ctes(src: str = "pairs", x: str = "") -> str:
+    """CTEs ending in ``lsum{x}``(id, precision, recall) over ``src``(id, reference, prediction)."""
+    return _LSUM_CTES.replace("{src}", src).replace("{x}", x)
+
+
+SQL["rouge_lsum"] = "WITH RECURSIVE " + PAIRS.strip() + ",\n" + rouge_lsum_ctes().strip() + fm_select("lsum")
 
 
 def uniform_sql(*parts: str) -> str:
