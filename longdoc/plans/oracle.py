@@ -485,15 +485,15 @@ def ngram_list(t: str, n: int) -> str:
     return f"list_transform(range(1, len({t}) - {n - 2}), lambda i: {t}[i] || ' ' || {t}[i + 1])"
 
 
-def rouge_n_sql(n: int) -> str:
+def rouge_n_sql(n: int, src: str = "pairs", x: str = "") -> str:
     return f"""
-_rt{n} AS (SELECT id, {rouge_tok('reference')} AS rt, {rouge_tok('prediction')} AS pt FROM pairs),
-rg{n} AS (SELECT id, {ngram_list('rt', n)} AS r, {ngram_list('pt', n)} AS p FROM _rt{n}),
-{overlap_cte(f'rg{n}').strip().replace('ov AS', f'ov{n} AS')},
-sc{n} AS (SELECT g.id, coalesce(o.overlap, 0) AS ov, len(r) AS nr, len(p) AS np
-          FROM rg{n} g LEFT JOIN ov{n} o USING (id)),
-prf{n} AS (SELECT id, CASE WHEN np > 0 THEN ov / np ELSE 0.0 END AS precision,
-                 CASE WHEN nr > 0 THEN ov / nr ELSE 0.0 END AS recall FROM sc{n})
+_rt{n}{x} AS (SELECT id, {rouge_tok('reference')} AS rt, {rouge_tok('prediction')} AS pt FROM {src}),
+rg{n}{x} AS (SELECT id, {ngram_list('rt', n)} AS r, {ngram_list('pt', n)} AS p FROM _rt{n}{x}),
+{overlap_cte(f'rg{n}{x}').strip().replace('ov AS', f'ov{n}{x} AS')},
+sc{n}{x} AS (SELECT g.id, coalesce(o.overlap, 0) AS ov, len(r) AS nr, len(p) AS np
+          FROM rg{n}{x} g LEFT JOIN ov{n}{x} o USING (id)),
+prf{n}{x} AS (SELECT id, CASE WHEN np > 0 THEN ov / np ELSE 0.0 END AS precision,
+                 CASE WHEN nr > 0 THEN ov / nr ELSE 0.0 END AS recall FROM sc{n}{x})
 """
 
 
@@ -777,3 +777,84 @@ pf AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall /
        FROM pr)
 SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1,
        count(*) AS n FROM pf"""
+
+
+# ---- L2: the evaluation flow --------------------------------------------------
+# Samples' input ids are cut into chunks (all of them, the last padded) that
+# search the body chunks of the same article (documents with >= k+1 chunks, all
+# but the last chunk) by term frequency; the best pair of each query chunk
+# (first query wins a chunk), in query order, cut to 512, follows the prompt
+# ids; prediction = strip(decode(...)), F1 reference = decode(input ids),
+# ROUGE reference = the raw model input.
+
+def _decode_ctes(name: str, src: str) -> str:
+    """``name``(article_id, text) from ``src``(article_id, pos, id)."""
+    return f"""
+_{name}_t AS (SELECT e.article_id, string_agg(v.token, ' ' ORDER BY e.pos) AS t
+              FROM {src} e JOIN vocab v ON e.id = v.token_id WHERE e.id >= 3 GROUP BY ALL),
+{name} AS (SELECT s.article_id, coalesce(regexp_replace(t.t, ' ([.,!?])', '\\1', 'g'), '') AS text
+           FROM samples s LEFT JOIN _{name}_t t USING (article_id))
+"""
+
+
+_EVAL = f"""
+ev_keys AS (SELECT c.* FROM chunks c JOIN samples s USING (article_id)
+            WHERE c.n_chunks >= 3 AND c.chunk_no < c.n_chunks - 1),
+ev_ktf AS (SELECT article_id, chunk_no, token_id, CAST(count(*) AS BIGINT) AS tf
+           FROM (SELECT article_id, chunk_no, unnest(token_ids) AS token_id FROM ev_keys)
+           WHERE token_id >= 3 GROUP BY ALL),
+ev_knorm AS (SELECT article_id, chunk_no, CAST(sum(tf * tf) AS BIGINT) AS norm2 FROM ev_ktf GROUP BY ALL),
+ev_qtf AS (SELECT article_id, pos // {C} AS query_no, id AS token_id, CAST(count(*) AS BIGINT) AS tf
+           FROM input_ids WHERE id >= 3 GROUP BY ALL),
+ev_knn AS (
+  SELECT * FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY article_id, query_no ORDER BY score DESC, chunk_no) AS rank
+    FROM (SELECT d.article_id, d.query_no, d.chunk_no, d.dot / sqrt(n.norm2) AS score
+          FROM (SELECT k.article_id, q.query_no, k.chunk_no, sum(q.tf * k.tf) AS dot
+                FROM ev_qtf q JOIN ev_ktf k ON q.article_id = k.article_id AND q.token_id = k.token_id
+                GROUP BY ALL) d
+          JOIN ev_knorm n USING (article_id, chunk_no)) s)
+  WHERE rank <= 2),
+ev_best AS (SELECT article_id, chunk_no, min(query_no) AS query_no FROM ev_knn WHERE rank = 1 GROUP BY ALL),
+ev_draft AS (SELECT b.article_id,
+                    flatten(list(list_concat(a.token_ids, c.token_ids) ORDER BY b.query_no))[1:512] AS draft
+             FROM ev_best b JOIN chunks a ON a.article_id = b.article_id AND a.chunk_no = b.chunk_no
+             JOIN chunks c ON c.article_id = b.article_id AND c.chunk_no = b.chunk_no + 1 GROUP BY ALL),
+ev_pred_ids AS (
+  SELECT s.article_id,
+         list_concat(coalesce((SELECT list(id ORDER BY pos) FROM prompt_ids_raw p
+                               WHERE p.article_id = s.article_id AND p.pos < 511), []),
+                     coalesce(d.draft, []))[1:512] AS ids
+  FROM samples s LEFT JOIN ev_draft d USING (article_id)),
+ev_pred_rows AS (SELECT article_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM ev_pred_ids),
+{_decode_ctes('ev_pred_txt', 'ev_pred_rows').strip()},
+{_decode_ctes('ev_ref_txt', 'input_ids').strip()},
+ev_f1_src AS (SELECT CAST(s.article_id AS VARCHAR) AS id, r.text AS reference,
+                     regexp_replace(p.text, '^{STRIP_CLASS}+|{STRIP_CLASS}+\\z', '', 'g') AS prediction
+              FROM samples s JOIN ev_ref_txt r USING (article_id) JOIN ev_pred_txt p USING (article_id)),
+ev_rg_src AS (SELECT CAST(s.article_id AS VARCHAR) AS id, s.model_input AS reference, f.prediction
+              FROM samples s JOIN ev_f1_src f ON f.id = CAST(s.article_id AS VARCHAR)),
+ev_qa AS (SELECT id, {qa_tok('reference')} AS r, {qa_tok('prediction')} AS p FROM ev_f1_src),
+{overlap_cte('ev_qa').strip().replace('ov AS', 'ev_ov AS')},
+ev_f1 AS (SELECT q.id,
+  CASE WHEN len(r) = 0 OR len(p) = 0 THEN (CASE WHEN len(r) = 0 AND len(p) = 0 THEN 1.0 ELSE 0.0 END)
+       WHEN coalesce(o.overlap, 0) = 0 THEN 0.0
+       ELSE 2.0 * o.overlap / (len(r) + len(p)) END AS f1,
+  CAST(CASE WHEN array_to_string(r, ' ') = array_to_string(p, ' ') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS em
+  FROM ev_qa q LEFT JOIN ev_ov o USING (id))
+"""
+
+
+def _fm(cte: str) -> str:
+    return (f"(SELECT id, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) "
+            f"ELSE 0.0 END AS f FROM {cte})")
+
+
+SQL["evaluate_flow"] = with_(VOCAB, ARTICLES, TITLES, SAMPLES, DOC_IDS, CHUNKS, PROMPT_IDS, INPUT_IDS).replace(
+    "WITH ", "WITH RECURSIVE ", 1) + ",\n" + ",\n".join([
+        _EVAL.strip(), rouge_n_sql(1, "ev_rg_src", "_ev").strip(), rouge_n_sql(2, "ev_rg_src", "_ev").strip(),
+        rouge_l_ctes("ev_rg_src", "_evl").strip(), rouge_lsum_ctes("ev_rg_src", "_evs").strip()]) + f"""
+SELECT f.id, round(f.f1, 6) AS f1, round(f.em, 6) AS exact_match, round(a.f, 6) AS rouge1,
+       round(b.f, 6) AS rouge2, round(c.f, 6) AS rougeL, round(d.f, 6) AS rougeLsum
+FROM ev_f1 f JOIN {_fm('prf1_ev')} a USING (id) JOIN {_fm('prf2_ev')} b USING (id)
+JOIN {_fm('prfl_evl')} c USING (id) JOIN {_fm('lsum_evs')} d USING (id)"""

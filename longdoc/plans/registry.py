@@ -695,7 +695,7 @@ def q_evaluate_flow(spark, sf):
     """L2 with the extractive stand-in generator: per-pair F1/EM/ROUGE."""
     from longdoc.plans.evaluate import evaluate
     per, _ = evaluate(corpus.samples(spark, sf), corpus.vocab_path(spark, sf))
-    return per
+    return _r6(per, ["f1", "exact_match", "rouge1", "rouge2", "rougeL", "rougeLsum"])
 
 
 @register("score_result_file")
