@@ -15,11 +15,23 @@ from longdoc.sources.testdata import query_text
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
+_SPREAD: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from longdoc.session import ensure_parallelism, ship_package
+    """A driver table; text tables are spread over the cores when the scan has
+    too few partitions (decided once per table and session settings)."""
+    from longdoc.session import ship_package
     ship_package(spark)
     df = read_table(spark, sf_dir, name)
-    return ensure_parallelism(df) if name in TEXT_TABLES else df
+    if name not in TEXT_TABLES:
+        return df
+    target = spark.sparkContext.defaultParallelism * 2
+    key = (sf_dir, name, spark.sparkContext.applicationId, target,
+           spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if key not in _SPREAD:
+        _SPREAD[key] = df.rdd.getNumPartitions() < target
+    return df.repartition(target) if _SPREAD[key] else df
 
 
 def _stamp(spark: SparkSession, path: str) -> str:
