@@ -214,19 +214,40 @@ def collect_retrieved(nbrs: DataFrame, group: str = "article_id", query: str = "
 
 # ---- D1: embeddings -------------------------------------------------------
 
-def token_hash(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket bits, sign) per token id from md5("seed|id"): the first 52 bits
-    pick the bucket, the next hex digit the sign. Hashed once per distinct id
-    of the batch; md5 keeps the encoder reproducible by any engine."""
+_HASH_TABLES: dict = {}
+_TABLE_LIMIT = 10_000_000
+
+
+def _md5_bits(seed: int, ids) -> tuple[np.ndarray, np.ndarray]:
     import hashlib
-    uniq, inv = np.unique(ids, return_inverse=True)
-    hb = np.empty(len(uniq), dtype=np.int64)
-    sg = np.empty(len(uniq), dtype=np.float64)
-    for n, t in enumerate(uniq.tolist()):
+    hb = np.empty(len(ids), dtype=np.int64)
+    sg = np.empty(len(ids), dtype=np.float64)
+    for n, t in enumerate(ids):
         h = hashlib.md5(f"{seed}|{t}".encode()).hexdigest()
         hb[n] = int(h[:13], 16)
         sg[n] = 1.0 if int(h[13], 16) < 8 else -1.0
-    return hb[inv], sg[inv]
+    return hb, sg
+
+
+def token_hash(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket bits, sign) per token id from md5("seed|id"): the first 52 bits
+    pick the bucket, the next hex digit the sign; md5 keeps the encoder
+    reproducible by any engine. Ids are bounded by the vocabulary, so each
+    worker keeps an id-indexed table that grows on demand (ids beyond
+    ``_TABLE_LIMIT`` are hashed per batch instead)."""
+    if len(ids) == 0:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float64)
+    top = int(ids.max()) + 1
+    if top > _TABLE_LIMIT or int(ids.min()) < 0:
+        uniq, inv = np.unique(ids, return_inverse=True)
+        hb, sg = _md5_bits(seed, uniq.tolist())
+        return hb[inv], sg[inv]
+    hb, sg = _HASH_TABLES.get(seed, (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float64)))
+    if top > len(hb):
+        nh, ns = _md5_bits(seed, range(len(hb), top))
+        hb, sg = np.concatenate([hb, nh]), np.concatenate([sg, ns])
+        _HASH_TABLES[seed] = (hb, sg)
+    return hb[ids], sg[ids]
 
 
 def hash_embed_batch(offsets: np.ndarray, ids: np.ndarray, dim: int, seed: int) -> np.ndarray:
