@@ -203,13 +203,14 @@ def expand_neighbors(nbrs: DataFrame, chunks: DataFrame, group: str = "article_i
 def collect_retrieved(nbrs: DataFrame, group: str = "article_id", query: str = "query_no",
                       col: str = "pair_ids") -> DataFrame:
     """Per group, [n_query][k][2c] in query order, then rank order.
-    Groups are bounded: k rows per query, at most max_len/c queries per article."""
-    inner = (nbrs.groupBy(group, query)
-             .agg(F.array_sort(F.collect_list(F.struct("rank", col))).alias("_n"))
-             .select(group, query, F.transform("_n", lambda s: s[col]).alias("_r")))
-    return (inner.groupBy(group)
-            .agg(F.array_sort(F.collect_list(F.struct(query, "_r"))).alias("_q"))
-            .select(group, F.transform("_q", lambda s: s["_r"]).alias("retrieved")))
+    One aggregation per article: it holds at most k rows per query and at
+    most max_len/c queries, and the nesting is done with array functions."""
+    g = (nbrs.groupBy(group)
+         .agg(F.array_sort(F.collect_list(F.struct(query, "rank", col))).alias("_n")))
+    qs = F.array_distinct(F.transform("_n", lambda r: r[query]))
+    nested = F.transform(qs, lambda q: F.transform(F.filter("_n", lambda r: r[query] == q),
+                                                   lambda r: r[col]))
+    return g.select(group, nested.alias("retrieved"))
 
 
 # ---- D1: embeddings -------------------------------------------------------

@@ -130,3 +130,11 @@ def test_embed_with_user_encoder(spark):
     df = spark.createDataFrame([("ab",), ("abcd",)], "t string")
     r = sorted(tuple(x.embedding) for x in embed(df, "t", encoder=Enc).collect())
     assert r == [(2.0, 1.0), (4.0, 1.0)]
+
+
+def test_collect_retrieved_nesting_order(spark):
+    from longdoc.operators.retrieve import collect_retrieved
+    rows = [(1, 2, 2, [7]), (1, 0, 1, [1]), (1, 2, 1, [6]), (1, 0, 2, [2]), (1, 1, 1, [4]), (2, 0, 1, [9])]
+    df = spark.createDataFrame(rows, "article_id long, query_no int, rank int, pair_ids array<int>")
+    got = {r.article_id: r.retrieved for r in collect_retrieved(df.repartition(3)).collect()}
+    assert got == {1: [[[1], [2]], [[4]], [[6], [7]]], 2: [[[9]]]}
