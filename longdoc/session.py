@@ -94,3 +94,24 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
+
+
+def recommended_conf(input_bytes: int, shared_folder: str, partition_bytes: int = 256 << 20,
+                     split_bytes: int = 64 << 20) -> dict:
+    """Session settings for a cluster run over ``input_bytes`` of input:
+    shuffle partitions of about ``partition_bytes`` each (AQE coalesces small
+    ones and splits skewed ones), text-sized input splits (tokenizing is
+    CPU-heavy per byte), document-sized Arrow batches, the shared folder for
+    checkpoints and materialised tables, and checkpoint cleanup."""
+    parts = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_BATCH_ROWS),
+        "spark.checkpoint.dir": shared_folder,
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }

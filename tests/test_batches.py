@@ -61,3 +61,12 @@ def test_global_rank_without_broadcast(spark):
     ref = df.withColumn("pos", F.row_number().over(w))
     assert sorted(map(tuple, g.select("split", "article_id", "pos").collect())) == \
         sorted(map(tuple, ref.select("split", "article_id", "pos").collect()))
+
+
+def test_recommended_conf_scales_partitions():
+    from longdoc.session import recommended_conf
+    small = recommended_conf(1 << 30, "hdfs://x/ckpt")
+    big = recommended_conf(100 << 40, "hdfs://x/ckpt")
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert big["spark.checkpoint.dir"] == "hdfs://x/ckpt"
