@@ -180,7 +180,7 @@ def _tile_topk(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
     S, valid, kid = S[:, korder], valid[:, korder], kid[korder]
     Sm = np.where(valid, S, -np.inf)
     kk = min(k, Sm.shape[1])
-    order = np.argsort(-Sm, axis=1, kind="stable")[:, :kk]
+    order = _top_columns(Sm, kk)
     rows_q = np.repeat(np.arange(len(qid)), kk)
     cols_k = order.reshape(-1)
     keep = valid[rows_q, cols_k]
@@ -191,6 +191,27 @@ def _tile_topk(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
                          "score": S[rows_q, cols_k][keep].astype(np.float64)})
 
 
+def _top_columns(Sm: np.ndarray, kk: int) -> np.ndarray:
+    """Per row, the kk columns with the largest values, ordered by value desc
+    then column asc (columns are already in key-id order). argpartition finds
+    the set in linear time; rows where a tie at the kk-th value was cut
+    arbitrarily fall back to a stable sort, so the result equals
+    ``argsort(-Sm, stable)[:, :kk]``."""
+    n, m = Sm.shape
+    if m <= 4 * kk:
+        return np.argsort(-Sm, axis=1, kind="stable")[:, :kk]
+    r = np.arange(n)[:, None]
+    part = np.argpartition(-Sm, kk - 1, axis=1)[:, :kk]
+    vals = Sm[r, part]
+    t = vals.min(axis=1)
+    cut = (Sm == t[:, None]).sum(axis=1) > (vals == t[:, None]).sum(axis=1)
+    order = np.lexsort((part, -vals), axis=-1)
+    out = part[r, order]
+    if cut.any():
+        out[cut] = np.argsort(-Sm[cut], axis=1, kind="stable")[:, :kk]
+    return out
+
+
 # ---- J4, J5, D4: neighbour expansion and collection -----------------------
 
 def expand_neighbors(nbrs: DataFrame, chunks: DataFrame, group: str = "article_id",

@@ -138,3 +138,14 @@ def test_collect_retrieved_nesting_order(spark):
     df = spark.createDataFrame(rows, "article_id long, query_no int, rank int, pair_ids array<int>")
     got = {r.article_id: r.retrieved for r in collect_retrieved(df.repartition(3)).collect()}
     assert got == {1: [[[1], [2]], [[4]], [[6], [7]]], 2: [[[9]]]}
+
+
+def test_top_columns_equals_stable_sort():
+    from longdoc.operators.retrieve import _top_columns
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, m, k = rng.integers(1, 20), rng.integers(1, 60), rng.integers(1, 5)
+        kk = min(k, m)
+        s = rng.integers(-3, 4, size=(n, m)).astype(float)  # many exact ties
+        s[rng.random((n, m)) < 0.1] = -np.inf
+        assert (_top_columns(s, kk) == np.argsort(-s, axis=1, kind="stable")[:, :kk]).all()
