@@ -46,3 +46,23 @@ def test_stream_scores_equal_batch(spark):
     exp = score_record(score_pairs(batch)).first()
     assert abs(got.F1 - exp.F1) < 1e-12 and got.ROUGE == exp.ROUGE
     assert spark.read.parquet(os.path.join(d, "out")).select("epoch").distinct().count() == 3
+
+
+def test_stream_with_static_title_join(spark):
+    d = tempfile.mkdtemp(prefix="ld-stream-titles-")
+    src = os.path.join(d, "in")
+    os.makedirs(src)
+    rows = [{"article_id": str(i), "abstract_text": ["<S> a . </S>"],
+             "article_text": [" ".join(f"w{j % 11}" for j in range(130))]} for i in range(4)]
+    with open(os.path.join(src, "part.json"), "w") as f:
+        for r in rows:
+            f.write(json.dumps(r) + "\n")
+    text = spark.createDataFrame([(r["article_text"][0],) for r in rows], "text string")
+    vp = materialize_vocab(spark, build_vocab(text, "text", 50), "stream-titles-" + d)
+    titles = spark.createDataFrame([("1", "t1"), ("3", "t3")], "article_id string, title string")
+    q = start(prepared_chunks(article_stream(spark, src), vp, 64, titles=titles),
+              os.path.join(d, "out"), os.path.join(d, "ck"))
+    q.awaitTermination(120)
+    got = spark.read.parquet(os.path.join(d, "out"))
+    assert sorted({r.article_id for r in got.collect()}) == ["1", "3"]
+    assert got.where("article_id = '1'").count() == 3  # 130 ids + EOS -> 3 chunks of 64
