@@ -82,3 +82,18 @@ def test_tokenize_with_user_tokenizer(spark):
     df = spark.createDataFrame([("a b c",), ("b " * 10,)], "t string")
     r = [x[0] for x in df.select(tokenize_with("t", factory, max_len=4)).collect()]
     assert r == [[5, 6, 2, 1], [6, 6, 6, 1]]
+
+
+def test_tokenizer_special_tokens_and_decode(spark):
+    from longdoc.operators.tokens import build_vocab, decode, materialize_vocab, tokenize
+    corpus = spark.createDataFrame([("a b a c .",)], "text string")
+    v = {r.token: r.token_id for r in build_vocab(corpus, "text", 10).collect()}
+    assert v["a"] == 3 and sorted(v.values()) == list(range(3, 3 + len(v)))
+    vp = materialize_vocab(spark, build_vocab(corpus, "text", 10), "special-test")
+    df = spark.createDataFrame([("<pad>a </s>b <unk>zz",)], "t string")
+    ids = df.select(tokenize("t", vp).alias("ids")).first().ids
+    assert ids == [0, v["a"], 1, v["b"], 2, 2, 1]
+    cut = df.select(tokenize("t", vp, max_len=3).alias("ids")).first().ids
+    assert cut == [0, v["a"], 1]
+    txt = spark.createDataFrame([([v["a"], v["."], 0, 1, v["b"]],)], "ids array<int>")
+    assert txt.select(decode("ids", vp)).first()[0] == "a. b"
