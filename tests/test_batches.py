@@ -70,3 +70,13 @@ def test_recommended_conf_scales_partitions():
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert big["spark.checkpoint.dir"] == "hdfs://x/ckpt"
+
+
+def test_write_shards_disjoint_and_complete(spark):
+    import tempfile
+    df = B.shard_assign(B.shuffle_seeded(frame(spark, 100)), 3)
+    path = tempfile.mkdtemp(prefix="ld-shards-") + "/s"
+    B.write_shards(df.select("article_id", "split", "shard"), path)
+    back = spark.read.parquet(path)
+    per = {s: {r.article_id for r in back.where(F.col("shard") == s).collect()} for s in range(3)}
+    assert sum(map(len, per.values())) == 100 and len(set().union(*per.values())) == 100
