@@ -1,4 +1,4 @@
-"""Chunk tables.
+"""Chunk tables.
 
 Chunking is row-local: a document's id array is padded and sliced with
 higher-order functions and exploded, so a long (or hot) document never makes a

@@ -1,9 +1,10 @@
 """Text-generation metrics.
 
-Pairs are (id, reference, prediction) rows. Every per-pair metric first
-hash-partitions the pairs on ``id`` (one shuffle of the texts); exploding the
-tokens, counting them per (id, token) and per id, and joining the counts back
-then all reuse that partitioning, so no further exchange is planned.
+Pairs are (id, reference, prediction) rows. The overlap metrics (F1/EM,
+ROUGE-N) first hash-partition the pairs on ``id`` (one shuffle of the token
+arrays); exploding the tokens, counting them per (id, token) and per id, and
+joining the counts back then all reuse that partitioning, so no further
+exchange is planned. ROUGE-L and ROUGE-Lsum are row-local (Arrow UDF).
 Token rules are fixed values:
 * QA F1/EM: lowercase; drop ASCII punctuation; drop the whole tokens a, an,
   the; split on [ \\t\\n\\r]+.
