@@ -152,10 +152,16 @@ def _decode_udf(path: str):
         lookup = _load_lookup(path)
         if isinstance(ids, pa.ChunkedArray):
             ids = ids.combine_chunks()
-        flat = pc.list_flatten(ids)
-        toks = pc.take(lookup, flat.cast(pa.int64()))
-        offsets = pc.subtract(ids.offsets, ids.offsets[0])
-        lists = pa.ListArray.from_arrays(offsets, toks, mask=ids.is_null())
+        import numpy as np
+        flat = pc.list_flatten(ids).cast(pa.int64())
+        # an id outside this vocabulary is dropped, like UNK
+        inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(lookup)))
+        toks = pc.take(lookup, pc.filter(flat, inside))
+        rows = pc.list_parent_indices(ids).to_numpy(zero_copy_only=False)
+        kept_rows = rows[inside.to_numpy(zero_copy_only=False)]
+        offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+        np.cumsum(np.bincount(kept_rows, minlength=len(ids)), out=offsets[1:])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), toks, mask=ids.is_null())
         return pc.binary_join(lists, " ")
 
     return decode_text.asNondeterministic()

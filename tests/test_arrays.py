@@ -97,3 +97,11 @@ def test_tokenizer_special_tokens_and_decode(spark):
     assert cut == [0, v["a"], 1]
     txt = spark.createDataFrame([([v["a"], v["."], 0, 1, v["b"]],)], "ids array<int>")
     assert txt.select(decode("ids", vp)).first()[0] == "a. b"
+
+
+def test_decode_ignores_ids_outside_the_vocabulary(spark):
+    from longdoc.operators.tokens import build_vocab, decode, materialize_vocab
+    corpus = spark.createDataFrame([("a b",)], "text string")
+    vp = materialize_vocab(spark, build_vocab(corpus, "text", 10), "decode-range-test")
+    df = spark.createDataFrame([([3, 99999, 4],)], "ids array<int>")
+    assert df.select(decode("ids", vp)).first()[0] in ("a b", "b a")
