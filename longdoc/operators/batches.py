@@ -44,10 +44,14 @@ def global_rank(df: DataFrame, part: list[str], order: list[Column | str],
                          F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     # the offsets table is bounded by partitions x groups; broadcast behind a check
     small = offs.limit(broadcast_rows + 1).count() <= broadcast_rows
+    offs = offs.select(F.col("_pid").alias("_o_pid"), *[F.col(c).alias(f"_o_{c}") for c in part],
+                       "_first", "_off")
     offs_j = F.broadcast(offs) if small else offs
-    r = tagged.join(offs_j, ["_pid", *part])
+    # null-safe on the group columns: a NULL split is a group of its own, not dropped
+    cond = [tagged["_pid"] == offs_j["_o_pid"]] + [tagged[c].eqNullSafe(offs_j[f"_o_{c}"]) for c in part]
+    r = tagged.join(offs_j, cond)
     return (r.withColumn(out, F.col("_off") + F.col("_idx") - F.col("_first") + 1)
-            .drop("_mid", "_pid", "_idx", "_first", "_off"))
+            .drop("_mid", "_pid", "_idx", "_first", "_off", "_o_pid", *[f"_o_{c}" for c in part]))
 
 
 def shuffle_key(id_col: str, seed: int = SEED) -> Column:

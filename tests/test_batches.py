@@ -80,3 +80,11 @@ def test_write_shards_disjoint_and_complete(spark):
     back = spark.read.parquet(path)
     per = {s: {r.article_id for r in back.where(F.col("shard") == s).collect()} for s in range(3)}
     assert sum(map(len, per.values())) == 100 and len(set().union(*per.values())) == 100
+
+
+def test_global_rank_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, i) for i in range(5)] + [("a", i) for i in range(3)],
+                               "split string, ord long")
+    g = B.global_rank(df, ["split"], ["ord"], n_parts=3)
+    got = sorted((r.split or "", r.ord, r.pos) for r in g.collect())
+    assert got == sorted([("", i, i + 1) for i in range(5)] + [("a", i, i + 1) for i in range(3)])
