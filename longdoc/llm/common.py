@@ -105,5 +105,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def run_starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array begins."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order: numpy's sort is many times as fast as its unique."""
+    x = np.sort(x)
+    return x[run_starts(x)]
+
+
 def as_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")

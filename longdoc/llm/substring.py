@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longdoc.llm.common import as_bytes, byte_slices, split_words, text_bytes, window_hash, word_hashes
+from longdoc.llm.common import (as_bytes, byte_slices, run_starts, sorted_unique, split_words, text_bytes,
+                                window_hash, word_hashes)
 
 WINDOW = 13
 #: Rows of the count-min sketch.
@@ -61,6 +62,18 @@ def _unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
 
 
+def _by_both(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (h1, h2) and where in it each run of equal pairs begins."""
+    order = np.argsort(h1)
+    a, b = h1[order], h2[order]
+    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):  # one hash alone hardly ever collides
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(new)
+
+
 class Block:
     """The windows of one block of documents, in an order that depends on the
     block's set of rows only."""
@@ -82,18 +95,11 @@ class Block:
         # a null doc_id has no place in the order: it neither owns a window nor loses words
         self.ids = np.array([np.iinfo(np.int64).max if x is None else x for x in ids], np.int64)
         self.has_id = np.array([x is not None for x in ids], bool)
-        order = np.argsort(self.h1, kind="stable")
-        a, b = self.h1[order], self.h2[order]
-        if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
-            order = np.lexsort((self.h2, self.h1))
-            a, b = self.h1[order], self.h2[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
+        order, first = _by_both(self.h1, self.h2)
         #: Distinct windows in the order of (h1, h2), and each window's place among them.
-        self.u1, self.u2 = a[first], b[first]
-        self.place = np.empty(len(a), np.int64)
-        self.place[order] = np.cumsum(new) - 1
+        self.u1, self.u2 = self.h1[order[first]], self.h2[order[first]]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
         self.low = (np.minimum.reduceat(self.ids[self.doc[order]], first) if len(first)
                     else np.empty(0, np.int64))
 
@@ -120,7 +126,7 @@ def _sketch(text: str, window: int, bits: int, shard_bits: int):
         block = _block(table, text, window)
         shard, data = [], []
         for row in range(DEPTH):
-            cells = np.unique(block.cells(row, bits))
+            cells = sorted_unique(block.cells(row, bits))
             for part, i, j in _split_by(cells, bits - shard_bits):
                 gaps = np.diff(cells[i:j], prepend=np.uint64(part) << np.uint64(bits - shard_bits))
                 shard.append(row << shard_bits | part)
@@ -136,8 +142,12 @@ def _merge_sketch(key: tuple, table: pa.Table) -> pa.Table:
     """A shard: the blocks' cells added up; one bit per cell sent, set where the count is 2 or more."""
     rows = [x.as_py() for x in table.column("data")]
     cells = [np.cumsum(_unpack(x[:-1], "<u4" if x[-1] else "<u2"), dtype=np.uint64) for x in rows]
-    _, at, count = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
-    hit = np.split(count[at] > 1, np.cumsum([len(c) for c in cells])[:-1])
+    every = np.concatenate(cells)
+    order = np.argsort(every)
+    count = np.diff(np.r_[run_starts(every[order]), len(every)])
+    repeated = np.empty(len(every), bool)
+    repeated[order] = np.repeat(count > 1, count)
+    hit = np.split(repeated, np.cumsum([len(c) for c in cells])[:-1])
     return pa.table({"block": table.column("block"), "shard": table.column("shard"),
                      "data": pa.array([np.packbits(h).tobytes() for h in hit], pa.binary())})
 
@@ -151,11 +161,12 @@ def _candidates(text: str, window: int, bits: int, shard_bits: int):
         keep = np.ones(len(block.u1), bool)
         for row in range(DEPTH):
             own = block.cells(row, bits)
-            cells = np.unique(own)
-            hit = np.zeros(len(cells), bool)
-            for part, i, j in _split_by(cells, bits - shard_bits):
+            order = np.argsort(own)
+            first = run_starts(own[order])
+            hit = np.zeros(len(first), bool)
+            for part, i, j in _split_by(own[order[first]], bits - shard_bits):
                 hit[i:j] = np.unpackbits(np.frombuffer(answer[row << shard_bits | part], np.uint8), count=j - i)
-            keep &= hit[np.searchsorted(cells, own)]
+            keep[order] &= np.repeat(hit, np.diff(np.r_[first, len(own)]))
         u1, u2, low = block.u1[keep], block.u2[keep], block.low[keep]
         cols: dict = {"part": [], "block": [], "h1": [], "h2": [], "low": []}
         for part, i, j in _split_by(u1, 64 - shard_bits):
@@ -175,12 +186,10 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
     low = [_unpack(x.as_py(), "<i8") for x in table.column("low")]
     ends = np.cumsum([len(x) for x in h1])
     a, b, low = np.concatenate(h1), np.concatenate(h2), np.concatenate(low)
-    order = np.lexsort((b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    least = np.minimum.reduceat(low[order], np.flatnonzero(new))
+    order, first = _by_both(a, b)
+    low = low[order]
     owned = np.empty(len(a), bool)
-    owned[order] = low[order] > least[np.cumsum(new) - 1]
+    owned[order] = low > np.repeat(np.minimum.reduceat(low, first), np.diff(np.r_[first, len(a)]))
     pieces = np.split(owned, ends[:-1])
     return pa.table({"block": table.column("block"),
                      "data": pa.array([(x[p]).tobytes() for x, p in zip(h1, pieces, strict=True)], pa.binary())})
@@ -192,7 +201,10 @@ def _block(table: pa.Table, text: str, window: int) -> Block:
 
 def _removed(block: Block, owned: np.ndarray) -> list[np.ndarray]:
     """Per document the mask of words that go."""
-    gone_window = np.isin(block.u1, owned)
+    owned = np.sort(owned)
+    at = np.searchsorted(owned, block.u1)
+    gone_window = at < len(owned)
+    gone_window[gone_window] = owned[at[gone_window]] == block.u1[gone_window]
     if len(block.u1):
         gone = (gone_window[block.place] | (block.ids[block.doc] > block.low[block.place])) & block.has_id[block.doc]
     else:
