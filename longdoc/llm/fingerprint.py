@@ -23,6 +23,8 @@ UNIT = 16
 K, S = 5, 2
 #: Anchors that a fingerprint keeps.
 SIZE = 64
+#: Stands for a null doc_id (and is read as one).
+NULL_KEY = -(1 << 63)
 
 
 def units(text: Column) -> Column:
@@ -133,10 +135,10 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     single document is its own next one; an empty table gives an empty result;
     other columns are not read.
     """
-    # a null id is the smallest key
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("k"), F.col(doc_id).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # a null id is the smallest key; both joins below read the same two columns, so
+    # that the texts are shuffled once
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_KEY))
+    rows = docs.select(key.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
     need = rows.groupBy("k").agg(F.max(third).alias("need"))
     ring = successors(need.select("k"))
@@ -147,7 +149,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                          sketch(F.col("__next")).alias("next_fp"))
     given = given.groupBy("k").agg(F.min(F.struct("piece", "next_fp")).alias("given"))
 
-    both = rows.join(given, "k").select("doc_id", "text", F.col("given.piece").alias("piece"),
+    both = rows.join(given, "k").select(F.nullif("k", F.lit(NULL_KEY)).alias("doc_id"), "text", F.col("given.piece").alias("piece"),
                                         F.col("given.next_fp").alias("next_fp"))
     both = both.withColumn("n", F.char_length("text")).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("cut")),
