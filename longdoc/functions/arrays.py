@@ -28,16 +28,20 @@ def pad_to_multiple(ids, c: int, pad: int = PAD) -> Column:
 
 
 def full_chunks(ids, c: int) -> Column:
-    """Only the full chunks, floor(n / c) of them (no padding). On an id
-    array already padded to a multiple of c (C4) these are all its chunks."""
+    """Only the full chunks, floor(n / c) of them (no padding). ``ids`` should be
+    a column: an expression would be evaluated anew for every chunk."""
     x = _c(ids)
     n = F.floor(F.size(x) / c).cast("int")
     return F.transform(F.array_repeat(F.lit(0), n), lambda _, i: F.slice(x, i * c + 1, c))
 
 
 def chunk_array(ids, c: int, pad: int = PAD) -> Column:
-    """C4 + C5: pad right to a multiple of c, then reshape to [n, c]."""
-    return full_chunks(pad_to_multiple(ids, c, pad), c)
+    """C4 + C5: [n, c], the last chunk padded right. Each chunk copies its own c ids only, so
+    the work is linear in the length; ``ids`` should be a column, as above."""
+    x = _c(ids)
+    n = F.ceil(F.size(x) / c).cast("int")
+    return F.transform(F.array_repeat(F.lit(0), n), lambda _, i: F.concat(
+        F.slice(x, i * c + 1, c), F.array_repeat(F.lit(pad), F.greatest((i + 1) * c - F.size(x), F.lit(0)))))
 
 
 def last_full_chunk(ids, c: int) -> Column:
@@ -49,8 +53,9 @@ def last_full_chunk(ids, c: int) -> Column:
 def mask_after_eos(ids, eos: int = EOS, pad: int = PAD) -> Column:
     """Everything after the first EOS becomes PAD; EOS itself stays."""
     x = _c(ids)
-    first = F.array_position(x, eos)
-    return F.transform(x, lambda v, i: F.when((first > 0) & (i + 1 > first), F.lit(pad)).otherwise(v))
+    first = F.array_position(x, eos).cast("int")
+    masked = F.concat(F.slice(x, 1, first), F.array_repeat(F.lit(pad), F.size(x) - first))
+    return F.when(first > 0, masked).otherwise(x)
 
 
 def lm_shift_input(ids) -> Column:

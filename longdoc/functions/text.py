@@ -17,14 +17,6 @@ def words(col) -> Column:
     return F.filter(F.split(_c(col), WS_REGEX), lambda t: t != "")
 
 
-def first_words(col, n: int) -> Column:
-    """The first n whitespace tokens, without splitting the whole text: one
-    anchored regex takes the leading n words (word and space classes are
-    disjoint, so it cannot backtrack), then the short prefix is split."""
-    head = F.regexp_extract(_c(col), "^[ \t\n\r]*((?:[^ \t\n\r]+(?:[ \t\n\r]+|$)){0,%d})" % n, 1)
-    return F.slice(words(head), 1, n)
-
-
 def flatten_abstract(col) -> Column:
     """B1: join sentences with one space, then delete "<S> ", then " </S>"."""
     return F.replace(F.replace(F.concat_ws(" ", _c(col)), F.lit("<S> "), F.lit("")),
@@ -41,11 +33,6 @@ def build_prompt(title) -> Column:
     return F.concat(F.lit(PAD_TOKEN + "title: "), _c(title), F.lit(" abstract: "))
 
 
-def build_model_input(title, abstract) -> Column:
-    """Prompt followed by the abstract."""
-    return F.concat(build_prompt(title), _c(abstract))
-
-
 def new_style_id(col) -> Column:
     """The id when it contains a dot (new-style identifier), else NULL."""
     c = _c(col)

@@ -2,10 +2,10 @@
 (F1-F8, A7, G10).
 
 Global positions never come from a one-partition window: ``global_rank``
-range-partitions on (part, order) so a large split spreads over many tasks,
-numbers rows inside each sorted partition, checkpoints that numbering (so it
-is fixed across retries and re-reads) and adds the per-partition offsets, a
-table with at most (#partitions x #part values) rows.
+range-partitions a slim projection of the group and order columns, so a large split
+spreads over many tasks, numbers rows inside each sorted partition and adds the
+per-partition offsets, a table with at most (#partitions x #part values) rows. Texts and
+arrays are not part of it: positions are joined back to the rows.
 """
 
 from __future__ import annotations
@@ -13,45 +13,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longdoc.constants import BATCH_SIZE, EOS, PAD, SEED, SPLIT_CAP
+from longdoc.constants import BATCH_SIZE, EOS, PAD, SEED
+from longdoc.functions.arrays import attention_mask as _mask
 from longdoc.functions.arrays import pad_left as _pad_left
 from longdoc.functions.arrays import pad_right as _pad_right
 
 _IDX_MASK = (1 << 33) - 1
-BROADCAST_ROWS = 200_000
 
 
 def global_rank(df: DataFrame, part: list[str], order: list[Column | str],
-                out: str = "pos", n_parts: int | None = None,
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                out: str = "pos", n_parts: int | None = None) -> DataFrame:
     """1-based position of each row inside its ``part`` group by ``order``.
 
-    ``order`` must be a total order (end with a unique key) for reproducible
-    positions. ``part`` should have few values (e.g. the split)."""
+    ``order`` must be a total order (end with a unique key): positions are joined back on
+    the group and order columns. A null group is a group of its own. ``part`` should have few
+    values (e.g. the split). Only the slim table of these columns is shuffled by range and
+    checkpointed (which fixes the numbering across retries)."""
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in part] + [F.col(c) if isinstance(c, str) else c for c in order]
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    names = [f"_o{i}" for i in range(len(order))]
+    keys = [*part, *names]
+    keyed = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(name) for c, name in zip(order, names, strict=True)])
+    slim = (keyed.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+            .withColumn("_mid", F.monotonically_increasing_id()))
     from longdoc.session import shared_dir
     shared_dir(spark)
-    tagged = tagged.checkpoint(eager=True)
-    tagged = (tagged.withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_IDX_MASK))))
-    counts = tagged.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
+    slim = slim.checkpoint(eager=True)
+    slim = (slim.withColumn("_pid", F.shiftright("_mid", 33))
+            .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_IDX_MASK))))
+    counts = slim.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
     w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", *part, "_first",
-                         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # the offsets table is bounded by partitions x groups; broadcast behind a check
-    small = offs.limit(broadcast_rows + 1).count() <= broadcast_rows
-    offs = offs.select(F.col("_pid").alias("_o_pid"), *[F.col(c).alias(f"_o_{c}") for c in part],
-                       "_first", "_off")
-    offs_j = F.broadcast(offs) if small else offs
-    # null-safe on the group columns: a NULL split is a group of its own, not dropped
-    cond = [tagged["_pid"] == offs_j["_o_pid"]] + [tagged[c].eqNullSafe(offs_j[f"_o_{c}"]) for c in part]
-    r = tagged.join(offs_j, cond)
-    return (r.withColumn(out, F.col("_off") + F.col("_idx") - F.col("_first") + 1)
-            .drop("_mid", "_pid", "_idx", "_first", "_off", "_o_pid", *[f"_o_{c}" for c in part]))
+    offs = counts.select("_pid", *part, (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    pos = _join_null_safe(slim, offs, ["_pid", *part]).select(*keys, (F.col("_off") + F.col("_idx")).alias(out))
+    return _join_null_safe(keyed, pos, keys).drop(*names)
+
+
+def _join_null_safe(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    r = b.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in b.columns if c not in on])
+    cond = [a[c].eqNullSafe(r[f"_r_{c}"]) for c in on]
+    return a.join(r, cond).drop(*[f"_r_{c}" for c in on])
 
 
 def shuffle_key(id_col: str, seed: int = SEED) -> Column:
@@ -89,7 +89,7 @@ def write_shards(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-def first_n_per_group(df: DataFrame, n: int = SPLIT_CAP, part: str = "split",
+def first_n_per_group(df: DataFrame, n: int, part: str = "split",
                       order: list[str] | None = None) -> DataFrame:
     """The first n rows of each group by ``order`` (after all filters)."""
     ranked = global_rank(df, [part], order or ["ord"], out="_rank")
@@ -125,9 +125,7 @@ def collate(df: DataFrame, batch: list[str], pos: str, pads: dict[str, int],
         sel.append(F.transform("_rows", _padder(c, _max_size(c), v, side)).alias(c))
     if mask_of:
         m = _max_size(mask_of)
-        sel.append(F.transform("_rows", lambda r: F.transform(F.array_repeat(F.lit(0), m),
-                                                              lambda _, i: i < F.size(r[mask_of])))
-                   .alias("attention_mask"))
+        sel.append(F.transform("_rows", lambda r: _mask(r[mask_of], m)).alias("attention_mask"))
     return g.select(*sel)
 
 
@@ -177,3 +175,20 @@ def flatten_batches(batches: DataFrame, batch: list[str], cols: list[str]) -> Da
     z = F.arrays_zip(*[F.col(c) for c in cols])
     return (batches.select(*batch, F.posexplode(z).alias("pos_in_batch", "_z"))
             .select(*batch, "pos_in_batch", *[F.col("_z")[c].alias(c) for c in cols]))
+
+
+#: H2: collate functions by name, as a flow or its caller picks them.
+COLLATE = {"decoder": collate_decoder, "encdec": collate_encdec, "all": collate_all}
+
+
+def collate_by_name(df: DataFrame, name: str, test_mode: bool = False, batch=("split", "batch_no"), pos: str = "pos",
+                    keep=("article_id",), c: int = 64) -> DataFrame:
+    """H2: the named collate function; in test mode the samples' ``text_tokenized`` is
+    padded along and kept too."""
+    if name not in COLLATE:
+        raise ValueError(f"unknown collate function {name}; one of {sorted(COLLATE)}")
+    out = COLLATE[name](df.drop("text_tokenized", "retrieved") if name == "all" else df, batch, pos, keep)
+    if test_mode:
+        own = collate_nested(df, list(batch), pos, {"text_tokenized": c})
+        out = _join_null_safe(out, own, list(batch))
+    return out

@@ -20,11 +20,12 @@ from longdoc.functions.arrays import chunk_array, full_chunks
 
 
 def chunk_documents(df: DataFrame, key: str = "article_id", ids: str = "token_ids",
-                    c: int = CHUNK_SIZE, with_pairs: bool = True,
+                    c: int = CHUNK_SIZE, with_pairs: bool = False,
                     keep: list[str] | None = None) -> DataFrame:
     """C4+C5 (+W2): one row per chunk: key, chunk_no, n_chunks, token_ids[, pair_ids].
 
-    ``pair_ids`` is chunk i followed by chunk i+1; NULL for the last chunk.
+    ``pair_ids`` is chunk i followed by chunk i+1, taken from the same array before
+    it is exploded; NULL for the last chunk. Chunk tables that are stored do without it.
     """
     keep = keep or []
     ch = chunk_array(ids, c, PAD)
@@ -71,14 +72,16 @@ def chunk_pairs(chunks: DataFrame, key: str = "article_id") -> DataFrame:
             .drop("_next"))
 
 
-def sequence_windows(chunks: DataFrame, key: str = "article_id", seq_len: int = 2048,
-                     c: int = CHUNK_SIZE) -> DataFrame:
-    """C11: non-overlapping sequences of seq_len tokens = seq_len/c chunks."""
+def sequence_windows(docs: DataFrame, key: str = "article_id", n_chunks: str = "n_chunks",
+                     seq_len: int = 2048, c: int = CHUNK_SIZE) -> DataFrame:
+    """C11: non-overlapping sequences of seq_len tokens = seq_len/c chunks. The
+    bounds follow from a document's number of chunks, row by row."""
     per = seq_len // c
-    return (chunks.withColumn("seq_no", F.floor(F.col("chunk_no") / per).cast("int"))
-            .groupBy(key, "seq_no")
-            .agg(F.min("chunk_no").alias("first_chunk"), F.max("chunk_no").alias("last_chunk"),
-                 F.count(F.lit(1)).alias("n_chunks")))
+    seqs = F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n_chunks) / per).cast("int") - 1, F.lit(0)))
+    out = docs.where(F.col(n_chunks) > 0).select(key, F.col(n_chunks).alias("_n"), F.explode(seqs).alias("seq_no"))
+    last = F.least((F.col("seq_no") + 1) * per, F.col("_n")) - 1
+    return out.select(key, "seq_no", (F.col("seq_no") * per).alias("first_chunk"), last.alias("last_chunk"),
+                      (last - F.col("seq_no") * per + 1).alias("n_chunks"))
 
 
 def tf_batch(offsets: np.ndarray, ids: np.ndarray):
@@ -87,7 +90,9 @@ def tf_batch(offsets: np.ndarray, ids: np.ndarray):
     n = len(offsets) - 1
     rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
     key = (rows << 32) | ids.astype(np.int64)
-    uniq, counts = np.unique(key, return_counts=True)
+    key.sort()  # numpy sorts many times as fast as it finds unique values
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    uniq, counts = key[first], np.diff(np.r_[first, len(key)])
     urow = uniq >> 32
     utok = (uniq & 0xFFFFFFFF).astype(np.int32)
     new_offs = np.searchsorted(urow, np.arange(n + 1)).astype(np.int32)
@@ -129,15 +134,24 @@ def chunk_tf(chunks: DataFrame, keys: list[str], ids: str = "token_ids") -> Data
                     F.col("_e.tf").cast("bigint").alias("tf")))
 
 
-def mask_after_eos_rows(df: DataFrame, key: str, ids: str, eos: int = 1, pad: int = 0) -> DataFrame:
-    """C10 as a window. Tokens are exploded with their position; a running
-    count of EOS over the preceding tokens (``rowsBetween(unboundedPreceding,
-    -1)``) marks everything after the first EOS, which becomes PAD. The
-    sequence is then reassembled (a group is one sequence, at most max_len)."""
+def idf_weights(tf: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """Optional weight of D1b: adds ``idf`` = ln(1 + N / n) to term-frequency rows, n being the
+    chunks that hold the token and N all chunks."""
+    seen = tf.groupBy("token_id").agg(F.count(F.lit(1)).alias("_n"))
+    return (tf.join(seen, "token_id").withColumn("idf", F.log(1 + F.lit(float(n_rows)) / F.col("_n")))
+            .select(*keys, "norm2", "token_id", "tf", "idf"))
+
+
+def mask_after_eos_rows(df: DataFrame, key: str, ids: str, c: int = CHUNK_SIZE, eos: int = 1, pad: int = 0) -> DataFrame:
+    """C10 as a window, (key, chunk_no, masked ids). Each chunk of c ids is a window
+    partition of its own: a running count of EOS over the preceding ids marks what follows
+    the first EOS. Whether an earlier chunk has one is a minimum per document."""
     from pyspark.sql import Window
-    ex = df.select(key, F.posexplode(ids).alias("pos", "id"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    x = df.select(key, F.posexplode(ids).alias("pos", "id")).withColumn("chunk_no", F.floor(F.col("pos") / c).cast("int"))
+    w = Window.partitionBy(key, "chunk_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.sum(F.when(F.col("id") == eos, 1).otherwise(0)).over(w), F.lit(0))
-    m = ex.withColumn("id", F.when(seen > 0, F.lit(pad)).otherwise(F.col("id")))
-    g = m.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    return g.select(key, F.transform("_s", lambda s: s["id"]).alias(ids))
+    first = (x.where(F.col("id") == eos).groupBy(F.col(key).alias("_k")).agg(F.min("chunk_no").alias("_first")))
+    m = (x.withColumn("_seen", seen).join(first, F.col(key).eqNullSafe(F.col("_k")), "left")
+         .withColumn("id", F.when((F.col("_seen") > 0) | (F.col("chunk_no") > F.col("_first")), F.lit(pad)).otherwise(F.col("id"))))
+    g = m.groupBy(key, "chunk_no").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
+    return g.select(key, "chunk_no", F.transform("_s", lambda s: s["id"]).alias(ids))

@@ -1,11 +1,9 @@
 """Text-generation metrics.
 
-Pairs are (id, reference, prediction) rows. The overlap metrics (F1/EM,
-ROUGE-N) first hash-partition the pairs on ``id`` (one shuffle of the token
-arrays); exploding the tokens, counting them per (id, token) and per id, and
-joining the counts back then all reuse that partitioning, so no further
-exchange is planned. ROUGE-L and ROUGE-Lsum are row-local (Arrow UDF).
-Token rules are fixed values:
+Pairs are (id, reference, prediction) rows, scored row by row: tokens come from JVM
+expressions, overlaps and alignments from Arrow UDFs that code a batch's tokens as
+integers. Nothing is grouped, joined or shuffled by the id, so repeated and
+null ids are scored like any other. Token rules are fixed values:
 * QA F1/EM: lowercase; drop ASCII punctuation; drop the whole tokens a, an,
   the; split on [ \\t\\n\\r]+.
 * ROUGE: tokens are the runs of [a-z0-9] in the lowercased text, no stemming.
@@ -13,7 +11,9 @@ Token rules are fixed values:
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,33 +37,56 @@ def rouge_tokens(col) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(ROUGE_TOKEN_RE), 0)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    m = F.greatest(F.size(tokens) - n + 1, F.lit(0))
-    return F.transform(F.array_repeat(F.lit(0), m),
-                       lambda _, i: F.array_join(F.slice(tokens, i + 1, n), " "))
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(values, row of each value) of a list column; a null list is empty."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+
+
+def _coded(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of two list columns as integers, with their rows."""
+    va, ra = _flat(a)
+    vb, rb = _flat(b)
+    code = pa.concat_arrays([va, vb]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return code[:len(va)], ra, code[len(va):], rb
 
 
-def _by_id(pairs: DataFrame, id_col: str) -> DataFrame:
-    return pairs.repartition(id_col)
+def multiset_overlap(ca: np.ndarray, ra: np.ndarray, cb: np.ndarray, rb: np.ndarray, rows: int) -> np.ndarray:
+    """Per row the size of the multiset intersection of two sides' codes."""
+    side = np.concatenate([np.zeros(len(ca), np.int64), np.ones(len(cb), np.int64)])
+    code, row = np.concatenate([ca, cb]), np.concatenate([ra, rb])
+    order = np.lexsort((side, code, row))
+    code, row, side = code[order], row[order], side[order]
+    if not len(code):
+        return np.zeros(rows, np.int64)
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
+    n = np.diff(np.r_[first, len(code)])
+    n_b = np.add.reduceat(side, first)
+    return np.bincount(row[first], weights=np.minimum(n_b, n - n_b), minlength=rows).astype(np.int64)
 
 
-def overlap_counts(df: DataFrame, id_col: str, ref: str, pred: str) -> DataFrame:
-    """(id, overlap) with overlap = multiset intersection size of two arrays."""
-    ex = df.select(id_col, F.explode(F.concat(
-        F.transform(ref, lambda t: F.struct(t.alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
-        F.transform(pred, lambda t: F.struct(t.alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b")))))
-        .alias("_e"))
-    per = (ex.groupBy(id_col, F.col("_e.g").alias("g"))
-           .agg(F.sum("_e.a").alias("a"), F.sum("_e.b").alias("b")))
-    return per.groupBy(id_col).agg(F.sum(F.least("a", "b")).cast("bigint").alias("overlap"))
+def _grams(code: np.ndarray, row: np.ndarray, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams within each row."""
+    if n == 1:
+        return code, row
+    if n != 2:
+        raise ValueError("n-grams of 1 or 2 tokens")
+    inside = row[1:] == row[:-1]
+    return (code[:-1] * base + code[1:])[inside], row[1:][inside]
+
 
+def overlap(a, b, n: int = 1) -> Column:
+    """Multiset overlap of the n-grams of two token-array columns, row by row."""
+    @F.arrow_udf(T.LongType())
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        ca, ra, cb, rb = _coded(x, y)
+        base = int(max(ca.max(initial=0), cb.max(initial=0))) + 1
+        ca, ra = _grams(ca, ra, n, base)
+        cb, rb = _grams(cb, rb, n, base)
+        return pa.array(multiset_overlap(ca, ra, cb, rb, len(x)), pa.int64())
 
-def _with_overlap(df: DataFrame, id_col: str, ref: str, pred: str) -> DataFrame:
-    ov = overlap_counts(df, id_col, ref, pred)
-    return (df.join(ov, id_col, "left")
-            .withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("bigint"))))
+    return run(a, b)
 
 
 def prf(overlap: Column, n_ref: Column, n_pred: Column) -> tuple[Column, Column, Column]:
@@ -73,35 +96,41 @@ def prf(overlap: Column, n_ref: Column, n_pred: Column) -> tuple[Column, Column,
     return p, r, f
 
 
+def _qa_scores(ref, pred) -> tuple[Column, Column]:
+    r, p = qa_tokens(ref), qa_tokens(pred)
+    nr, np_ = F.size(r), F.size(p)
+    both = F.when((nr == 0) & (np_ == 0), 1.0).otherwise(0.0)
+    f1 = F.when((nr == 0) | (np_ == 0), both).otherwise(2.0 * overlap(r, p) / (nr + np_))
+    return f1, F.when(F.array_join(r, " ") == F.array_join(p, " "), 1.0).otherwise(0.0)
+
+
 def qa_f1_em(pairs: DataFrame, id_col: str = "id", ref: str = "reference",
              pred: str = "prediction") -> DataFrame:
     """G1: token F1 and exact match per pair, in [0, 1]. Either side empty:
     1 if both are empty, else 0 (for both scores)."""
-    d = _by_id(pairs, id_col).select(id_col, qa_tokens(ref).alias("_r"), qa_tokens(pred).alias("_p"))
-    d = _with_overlap(d, id_col, "_r", "_p")
-    nr, np_ = F.size("_r"), F.size("_p")
-    empty = (nr == 0) | (np_ == 0)
-    both = F.when((nr == 0) & (np_ == 0), 1.0).otherwise(0.0)
-    f1 = F.when(empty, both).when(F.col("overlap") == 0, 0.0).otherwise(
-        2.0 * F.col("overlap") / (nr + np_))
-    em = F.when(F.array_join("_r", " ") == F.array_join("_p", " "), 1.0).otherwise(0.0)
-    return d.select(id_col, f1.alias("f1"), em.alias("exact_match"))
+    f1, em = _qa_scores(_text(ref), _text(pred))
+    return pairs.select(id_col, f1.alias("f1"), em.alias("exact_match"))
+
+
+def _text(col) -> Column:
+    """A null text is an empty one."""
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def _rouge_n(ref: Column, pred: Column, n: int) -> tuple[Column, Column, Column]:
+    r, p = rouge_tokens(ref), rouge_tokens(pred)
+    size = lambda t: F.greatest(F.size(t) - (n - 1), F.lit(0))
+    return prf(overlap(r, p, n), size(r), size(p))
 
 
 def rouge_n(pairs: DataFrame, n: int, id_col: str = "id", ref: str = "reference",
             pred: str = "prediction") -> DataFrame:
-    """ROUGE-n precision, recall, F on n-gram multiset overlap."""
-    # tokens first, then the shuffle on id, then n-grams: the regex runs once
-    # per text (the n-gram lambda reads a column, not the regex expression)
-    t = pairs.select(id_col, rouge_tokens(ref).alias("_rt"), rouge_tokens(pred).alias("_pt"))
-    d = _by_id(t, id_col).select(id_col, ngrams(F.col("_rt"), n).alias("_r"),
-                                 ngrams(F.col("_pt"), n).alias("_p"))
-    d = _with_overlap(d, id_col, "_r", "_p")
-    p, r, f = prf(F.col("overlap"), F.size("_r"), F.size("_p"))
-    return d.select(id_col, p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))
+    """ROUGE-n (1 or 2) precision, recall, F on n-gram multiset overlap."""
+    p, r, f = _rouge_n(_text(ref), _text(pred), n)
+    return pairs.select(id_col, p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))
 
 
-# ---- LCS-based scores (Arrow UDFs; the alignment is the only Python part) --
+# ---- LCS-based scores: bit-parallel over integer-coded tokens ---------------
 
 def lcs_length(a: list, b: list) -> int:
     """Bit-parallel LCS length (Allison-Dix / Hyyro): O(|b|) word operations
@@ -120,16 +149,22 @@ def lcs_length(a: list, b: list) -> int:
 
 
 def lcs_positions(ref: list, cand: list) -> list[int]:
-    """Indices into ``ref`` of one LCS (DP table, backtrack from the end;
-    on a tie move along ``ref``)."""
+    """Indices into ``ref`` of one LCS, walked back from the end; without a match the walk
+    moves along ``cand`` where that keeps the length and the last of ``ref`` adds to it, else
+    along ``ref``. Only the bit rows of the recursion are kept (a bit of |ref| per token
+    of ``cand``): bit i of row j is clear where ref[i] raises the length."""
     m, n = len(ref), len(cand)
     if not m or not n:
         return []
-    t = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        ri, row, prev = ref[i - 1], t[i], t[i - 1]
-        for j in range(1, n + 1):
-            row[j] = prev[j - 1] + 1 if ri == cand[j - 1] else max(row[j - 1], prev[j])
+    masks: dict = {}
+    for i, t in enumerate(ref):
+        masks[t] = masks.get(t, 0) | (1 << i)
+    full = (1 << m) - 1
+    rows = [full]
+    for t in cand:
+        v = rows[-1]
+        u = v & masks.get(t, 0)
+        rows.append(((v + u) | (v - u)) & full)
     out = []
     i, j = m, n
     while i > 0 and j > 0:
@@ -137,7 +172,7 @@ def lcs_positions(ref: list, cand: list) -> list[int]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif t[i][j - 1] > t[i - 1][j]:
+        elif not rows[j] >> (i - 1) & 1:
             j -= 1
         else:
             i -= 1
@@ -168,9 +203,14 @@ def summary_lcs_hits(ref_sents: list[list], cand_sents: list[list]) -> int:
     return hits
 
 
+def _rows_of(code: np.ndarray, row: np.ndarray, n: int) -> list[list[int]]:
+    return [x.tolist() for x in np.split(code, np.searchsorted(row, np.arange(1, n)))] if n else []
+
+
 @F.arrow_udf(T.LongType())
 def _lcs_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([lcs_length(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist())],
+    ca, ra, cb, rb = _coded(a, b)
+    return pa.array([lcs_length(x, y) for x, y in zip(_rows_of(ca, ra, len(a)), _rows_of(cb, rb, len(b)), strict=True)],
                     pa.int64())
 
 
@@ -180,27 +220,45 @@ def _lsum_udf(a: pa.Array, b: pa.Array) -> pa.Array:
                     pa.int64())
 
 
+def _rouge_l(ref: Column, pred: Column) -> tuple[Column, Column, Column]:
+    r, p = rouge_tokens(ref), rouge_tokens(pred)
+    return prf(_lcs_udf(r, p), F.size(r), F.size(p))
+
+
 def rouge_l(pairs: DataFrame, id_col: str = "id", ref: str = "reference",
             pred: str = "prediction") -> DataFrame:
     """ROUGE-L from the LCS of the whole token sequences."""
-    d = pairs.select(id_col, rouge_tokens(ref).alias("_r"), rouge_tokens(pred).alias("_p"))
-    d = d.withColumn("lcs", _lcs_udf("_r", "_p"))
-    p, r, f = prf(F.col("lcs"), F.size("_r"), F.size("_p"))
-    return d.select(id_col, p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))
+    p, r, f = _rouge_l(_text(ref), _text(pred))
+    return pairs.select(id_col, p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))
+
+
+def _rouge_lsum(ref: Column, pred: Column) -> tuple[Column, Column, Column]:
+    def sents(c):
+        return F.filter(F.transform(F.split(c, "\n"), lambda s: rouge_tokens(s)), lambda t: F.size(t) > 0)
+    r, p = sents(ref), sents(pred)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + F.size(s))
+    return prf(_lsum_udf(r, p), total(r), total(p))
 
 
 def rouge_lsum(pairs: DataFrame, id_col: str = "id", ref: str = "reference",
                pred: str = "prediction") -> DataFrame:
     """ROUGE-Lsum, texts split into sentences at newlines."""
-    def sents(c):
-        return F.filter(F.transform(F.split(F.col(c), "\n"), lambda s: rouge_tokens(s)),
-                        lambda t: F.size(t) > 0)
-    d = pairs.select(id_col, sents(ref).alias("_r"), sents(pred).alias("_p"))
-    d = d.withColumn("hits", _lsum_udf("_r", "_p"))
-    nr = F.aggregate("_r", F.lit(0), lambda a, s: a + F.size(s))
-    np_ = F.aggregate("_p", F.lit(0), lambda a, s: a + F.size(s))
-    p, r, f = prf(F.col("hits"), nr, np_)
-    return d.select(id_col, p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))
+    p, r, f = _rouge_lsum(_text(ref), _text(pred))
+    return pairs.select(id_col, p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))
+
+
+SCORES = ("f1", "exact_match", "rouge1", "rouge2", "rougeL", "rougeLsum")
+
+
+def all_scores(pairs: DataFrame, keep: list[str], ref: str = "reference", pred: str = "prediction",
+               rouge_ref: str | None = None) -> DataFrame:
+    """G1-G4 in one projection: ``keep`` and the six scores of every row. ``rouge_ref``: another
+    reference column for the ROUGE scores."""
+    r, p, g = _text(ref), _text(pred), _text(rouge_ref or ref)
+    f1, em = _qa_scores(r, p)
+    fm = (_rouge_n(g, p, 1)[2], _rouge_n(g, p, 2)[2], _rouge_l(g, p)[2], _rouge_lsum(g, p)[2])
+    return pairs.select(*keep, f1.alias("f1"), em.alias("exact_match"),
+                        *[x.alias(c) for x, c in zip(fm, SCORES[2:], strict=True)])
 
 
 # ---- corpus-level --------------------------------------------------------
@@ -210,27 +268,52 @@ def corpus_mean(scores: DataFrame, col: str = "fmeasure", digits: int = 4) -> Da
     return scores.agg(F.round(F.avg(col), digits).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap_mid(scores: DataFrame, col: str = "fmeasure", id_col: str = "id", reps: int = 1000,
-                  seed: int = SEED, digits: int = 4) -> DataFrame:
-    """Bootstrap of the mean with Poisson(1) weights from md5 of
-    (seed, rep, id); percentiles 2.5/50/97.5 of the replicate means; mid rounded.
-    The replicate axis is exploded per row and aggregated by rep (partial
-    aggregation on the map side)."""
-    from longdoc.operators.sampling import uniform
-    reps_col = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
-    d = scores.select(F.col(id_col).cast("string").alias("_id"), F.col(col).alias("_v"), reps_col)
-    u = uniform(seed, "rep", "_id")
-    # Poisson(1) weights by inversion of its CDF, P(W <= j) = sum_{i<=j} e^-1 / i!
-    # (weights 0..7 cover all but 1e-5 of the mass; the rest weighs 8)
+def replicate_factors(reps: int, seed: int) -> np.ndarray:
+    """One odd 64-bit factor per replicate, from md5 of (seed, replicate)."""
+    import hashlib
+    return np.array([2 * int(hashlib.md5(f"{seed}|{r}".encode()).hexdigest()[:15], 16) + 1 for r in range(reps)], np.uint64)
+
+
+def poisson_cdf() -> list[float]:
+    """P(W <= j) of Poisson(1) for j = 0 .. 7; all but 1e-5 of the mass."""
     import math
-    cdf = [sum(math.exp(-1.0) / math.factorial(i) for i in range(j + 1)) for j in range(8)]
-    w = F.lit(8)
-    for k in range(len(cdf) - 1, -1, -1):
-        w = F.when(u <= cdf[k], F.lit(k)).otherwise(w)
-    per = (d.withColumn("_w", w).groupBy("rep")
-           .agg((F.sum(F.col("_w") * F.col("_v")) / F.greatest(F.sum("_w"), F.lit(1))).alias("m")))
-    q = per.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    return q.select(F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("mid"),
+    return [sum(math.exp(-1.0) / math.factorial(i) for i in range(j + 1)) for j in range(8)]
+
+
+def bootstrap_weights(bits: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """(rows, replicates) Poisson(1) weights: the product of a row's 52 hash bits + 1 and the
+    replicate's factor, mod 2^64, is the uniform that the CDF is inverted at."""
+    with np.errstate(over="ignore"):
+        u = ((bits.astype(np.uint64) + np.uint64(1))[:, None] * factors[None, :]) >> np.uint64(12)
+    return np.searchsorted(np.array(poisson_cdf()), u.astype(np.float64) / float(1 << 52), side="left")
+
+
+def bootstrap_mid(scores: DataFrame, cols: str | list[str] = "fmeasure", id_col: str = "id", reps: int = 1000,
+                  seed: int = SEED, digits: int = 4) -> DataFrame:
+    """Bootstrap of the means with Poisson(1) weights, one per (row id, replicate);
+    (metric, low, mid, high) are the percentiles 2.5, 50 and 97.5 of the replicate means.
+    Each Arrow batch draws its weights as one matrix and sums them per replicate, so a task
+    sends ``reps`` rows per batch and no row is multiplied."""
+    names = [cols] if isinstance(cols, str) else list(cols)
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13),
+                  16, 10).cast("long")
+    factors = replicate_factors(reps, seed)
+
+    def run(batches):
+        for batch in batches:
+            w = bootstrap_weights(batch.column(0).to_numpy(), factors).astype(np.float64)
+            total = w.sum(axis=0)
+            for i, name in enumerate(names):
+                part = batch.column(i + 1).to_numpy(zero_copy_only=False) @ w
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * reps), pa.array(np.arange(reps, dtype=np.int32)), pa.array(part), pa.array(total)],
+                    names=["metric", "rep", "s", "w"])
+
+    sums = scores.select(bits.alias("_b"), *[F.col(c).cast("double") for c in names]).mapInArrow(
+        run, "metric string, rep int, s double, w double")
+    per = sums.groupBy("metric", "rep").agg((F.sum("s") / F.greatest(F.sum("w"), F.lit(1.0))).alias("m"))
+    q = per.groupBy("metric").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    return q.select("metric", F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("mid"),
                     F.round(F.col("q")[2], digits).alias("high"))
 
 
@@ -245,10 +328,53 @@ def greedy_match(cands: DataFrame, refs: DataFrame, group: str, id_col: str,
     r2c = knn_within(refs, cands, group, id_col, id_col, vec, k=1, block=block)
     p = c2r.groupBy(group).agg(F.avg("score").alias("precision"))
     r = r2c.groupBy(group).agg(F.avg("score").alias("recall"))
-    j = p.join(r, group)
-    f = F.when(F.col("precision") + F.col("recall") != 0,
-               2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-    return j.select(group, "precision", "recall", f.alias("f1"))
+    # every group of either side counts; without a match on the other side it scores 0
+    every = cands.select(group).union(refs.select(group)).distinct()
+    j = every.join(p, group, "left").join(r, group, "left").na.fill(0.0, ["precision", "recall"])
+    return j.select(group, "precision", "recall", _harmonic(F.col("precision"), F.col("recall")).alias("f1"))
+
+
+def _harmonic(p: Column, r: Column) -> Column:
+    return F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+
+
+def char_ngram_vectors(tokens: list[str], n: int = 3) -> np.ndarray:
+    """The built-in token encoder of G6: unit vectors of the counts of a token's character
+    n-grams between a begin and an end mark, over the n-grams of all ``tokens``."""
+    place: dict = {}
+    at = [[place.setdefault(p[i:i + n], len(place)) for i in range(len(p) - n + 1)] for p in (f"<{t}>" for t in tokens)]
+    out = np.zeros((len(tokens), max(len(place), 1)))
+    for row, cols in enumerate(at):
+        np.add.at(out[row], cols, 1.0)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm == 0, 1.0, norm)
+
+
+def greedy_text_match(pairs: DataFrame, keep: list[str], ref: str = "reference", pred: str = "prediction",
+                      encoder=char_ngram_vectors) -> DataFrame:
+    """G6 on texts, row by row: the whitespace tokens of both sides as vectors of ``encoder``
+    (list of distinct tokens -> unit vectors), greedily matched as in ``greedy_match``. A pair with an empty
+    side scores 0, two empty sides 1; every pair gives a row."""
+    from longdoc.functions.text import words
+
+    @F.arrow_udf("precision double, recall double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        p, r = [], []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            if not x or not y:
+                p.append(float(not x and not y)), r.append(float(not x and not y))
+                continue
+            tokens = sorted(set(x) | set(y))
+            place, v = {t: i for i, t in enumerate(tokens)}, encoder(tokens)
+            i, j = np.array([place[t] for t in x]), np.array([place[t] for t in y])
+            ui, ci = np.unique(i, return_counts=True)
+            uj, cj = np.unique(j, return_counts=True)
+            s = np.asarray(v)[ui] @ np.asarray(v)[uj].T
+            p.append(float((s.max(axis=1) * ci).sum() / ci.sum())), r.append(float((s.max(axis=0) * cj).sum() / cj.sum()))
+        return pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(r, pa.float64())], names=["precision", "recall"])
+
+    m = pairs.select(*keep, run(words(_text(pred)), words(_text(ref))).alias("_m"))
+    return m.select(*keep, "_m.precision", "_m.recall", _harmonic(F.col("_m.precision"), F.col("_m.recall")).alias("f1"))
 
 
 def classification_prf(df: DataFrame, logits: str = "logits", truth: str = "truth",

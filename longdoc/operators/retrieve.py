@@ -31,25 +31,30 @@ from longdoc.constants import N_NEIGHBORS
 
 # ---- D3b: sparse --------------------------------------------------------
 
-def knn_sparse(q_tf: DataFrame, k_tf: DataFrame, group: str = "article_id",
-               query: str = "query_no", key: str = "chunk_no", k: int = N_NEIGHBORS) -> DataFrame:
-    """Top-k keys of the same group by dot(q, k) / |k|.
+def knn_sparse(q_tf: DataFrame, k_tf: DataFrame, queries: DataFrame, group: str = "article_id",
+               query: str = "query_no", key: str = "chunk_no", k: int = N_NEIGHBORS,
+               exclude_self: bool = False) -> DataFrame:
+    """Top-k keys of the same group by dot(q, k) / |k|, as an exact index returns them:
+    min(k, keys) for every query, keys without a common token last, by number.
 
     The query norm is constant per query, so leaving it out cannot change the
-    ranking. Keys sharing no token with the query do not appear, so a query may
-    return fewer than k. Ties: lower key first.
-    q_tf: (group, query, token_id, tf); k_tf: (group, key, norm2, token_id, tf).
+    ranking. Ties: lower key first. ``exclude_self``: a query's own number is no key.
+    q_tf: (group, query, token_id, tf); k_tf: (group, key, norm2, token_id, tf);
+    queries: (group, query, n_keys), the keys of a group being 0 .. n_keys - 1.
     """
     q = q_tf.select(group, query, "token_id", F.col("tf").alias("qtf"))
     kt = k_tf.select(group, key, "norm2", "token_id", F.col("tf").alias("ktf"))
-    # shuffled hash join, hash table on the query postings (at most max_len
-    # tokens per query): never a broadcast of the key postings, whatever the
-    # size estimate of a compressed chunk table says
-    dots = (q.hint("shuffle_hash").join(kt, [group, "token_id"])
-            .groupBy(group, query, key, "norm2")
-            .agg(F.sum(F.col("qtf") * F.col("ktf")).alias("dot")))
-    scored = dots.select(group, query, key,
-                         (F.col("dot").cast("double") / F.sqrt(F.col("norm2").cast("double"))).alias("score"))
+    hits = q.join(kt, [group, "token_id"]).select(group, query, key, (F.col("qtf") * F.col("ktf")).alias("part"), "norm2")
+    # the k lowest keys fill up; of 2k + 1 at most k are better placed and one is the query
+    low = F.sequence(F.lit(0), F.least(F.col("n_keys"), F.lit(2 * k + 1)).cast("int") - 1)
+    fill = queries.where(F.col("n_keys") > 0).select(group, query, F.explode(low).alias(key), F.lit(0).cast("bigint").alias("part"),
+                                                     F.lit(None).cast("bigint").alias("norm2"))
+    every = hits.unionByName(fill)
+    if exclude_self:
+        every = every.where(F.col(key) != F.col(query))
+    dots = every.groupBy(group, query, key).agg(F.sum("part").alias("dot"), F.max("norm2").alias("norm2"))
+    scored = dots.select(group, query, key, F.when(F.col("dot") == 0, F.lit(0.0)).otherwise(
+        F.col("dot").cast("double") / F.sqrt(F.col("norm2").cast("double"))).alias("score"))
     return top_k(scored, [group, query], key, k)
 
 
@@ -62,38 +67,34 @@ def top_k(scored: DataFrame, part: list[str], key: str, k: int) -> DataFrame:
 
 # ---- D3: dense, tiled ---------------------------------------------------
 
-def _blocks(df: DataFrame, group: str, block: int, name: str) -> DataFrame:
-    return df.groupBy(group).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
-
-
 def knn_within(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id: str,
                vec: str = "embedding", k: int = N_NEIGHBORS, block: int = 2048,
-               exclude_self: bool = False, metric: str = "ip", with_timing: bool = False,
-               buckets: int | None = None) -> DataFrame:
+               exclude_self: bool = False, metric: str = "ip", with_timing: bool = False) -> DataFrame:
     """D3: exact top-k keys of the same group for every query.
 
     Returns (group, q_id, rank, k_id, score). ``metric``: ip | cosine | l2
     (l2 ranks by negative squared distance). Ties: lower key id first.
-    ``with_timing`` adds ``search_ms``: the measured scoring time of the
-    query's groups in its tiles (split evenly over the group's queries).
+    ``with_timing`` adds ``search_ms``: queries are then searched one by one, and it is the
+    measured time of the query in its tiles.
 
     Tiles: a group that fits in one block on both sides shares a tile with
-    other such groups (hash bucket of the group; ``buckets`` defaults to 8 per
-    shuffle partition), so a million small articles are not a million Python
-    calls. A bigger group is cut into query blocks x key blocks of at most
+    other such groups, so a million small articles are not a million Python
+    calls; there are as many of these tiles as blocks of keys and queries. A bigger group is cut into query blocks x key blocks of at most
     ``block`` rows (hash of the id); its queries go to every key block of the
     group, its keys to every query block, so each same-group pair meets in
     exactly one tile.
     """
     if metric not in ("ip", "cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
-    spark = queries.sparkSession
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
     gtype = dict(queries.dtypes)[group]
-    nq = _blocks(queries, group, block, "_nqb").withColumnRenamed(group, "g")
-    nk = _blocks(keys, group, block, "_nkb").withColumnRenamed(group, "g")
-    sizes = nq.join(nk, "g")
+    nq = queries.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("_nq"))
+    nk = keys.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("_nk"))
+    sizes = nq.join(nk, "g").withColumn("_nqb", F.ceil(F.col("_nq") / block).cast("int")).withColumn(
+        "_nkb", F.ceil(F.col("_nk") / block).cast("int"))
+    # shared tiles hold about a block of keys and of queries, however many groups there are
+    fit = sizes.where("_nqb = 1 and _nkb = 1").agg(F.sum("_nq").alias("q"), F.sum("_nk").alias("k")).first()
+    nb = max(1, -(-max(fit["q"] or 0, fit["k"] or 0) // block))
+    sizes = sizes.drop("_nq", "_nk")
     small = (F.col("_nqb") == 1) & (F.col("_nkb") == 1)
     tile_id = F.when(small, F.pmod(F.xxhash64(F.col("g")), F.lit(nb))).otherwise(F.xxhash64(F.col("g")))
     qv = queries.select(F.col(group).alias("g"), F.col(q_id).cast("bigint").alias("qid"),
@@ -118,7 +119,7 @@ def knn_within(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id:
           .select("t", "qb", "kb", "g", "kid", "kv"))
 
     def tile(qdf: pd.DataFrame, kdf: pd.DataFrame) -> pd.DataFrame:
-        return _tile_groups(qdf, kdf, k, exclude_self, metric)
+        return _tile_groups(qdf, kdf, k, exclude_self, metric, with_timing)
 
     local = (qx.groupBy("t", "qb", "kb")
              .cogroup(kx.groupBy("t", "qb", "kb"))
@@ -132,9 +133,9 @@ def knn_within(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id:
 
 
 def _tile_groups(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
-                 metric: str) -> pd.DataFrame:
+                 metric: str, one_by_one: bool) -> pd.DataFrame:
     """One tile: per group present on both sides, one matrix product and the
-    local top-k; the group's scoring time goes on one row per query."""
+    local top-k; ``one_by_one`` searches and times each query alone."""
     import time
     parts = []
     if len(qdf) and len(kdf):
@@ -143,11 +144,13 @@ def _tile_groups(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: boo
             kg = kgroups.get(g)
             if kg is None:
                 continue
-            t0 = time.perf_counter()
-            r = _tile_topk(qg, kg, k, exclude_self, metric)
-            per_q = (time.perf_counter() - t0) * 1000.0 / max(len(qg), 1)
-            r["ms"] = np.where(~r["qid"].duplicated().to_numpy(), per_q, 0.0)
-            parts.append(r)
+            for i in range(0, len(qg), 1 if one_by_one else len(qg)):
+                part = qg.iloc[i:i + 1] if one_by_one else qg
+                t0 = time.perf_counter()
+                r = _tile_topk(part, kg, k, exclude_self, metric)
+                ms = (time.perf_counter() - t0) * 1000.0
+                r["ms"] = np.where(~r["qid"].duplicated().to_numpy(), ms, 0.0)
+                parts.append(r)
     if not parts:
         return pd.DataFrame({"g": pd.Series([], dtype=qdf["g"].dtype if len(qdf) else "object"),
                              "qid": pd.Series([], dtype="int64"), "kid": pd.Series([], dtype="int64"),
@@ -214,62 +217,56 @@ def _top_columns(Sm: np.ndarray, kk: int) -> np.ndarray:
 
 # ---- J4, J5, D4: neighbour expansion and collection -----------------------
 
-def expand_neighbors(nbrs: DataFrame, chunks: DataFrame, group: str = "article_id",
-                     key: str = "chunk_no", col: str = "pair_ids") -> DataFrame:
-    """Attach chunk i followed by chunk i+1 (tokens or text) to every
-    neighbour; an equi-join on (group, chunk_no)."""
-    return nbrs.hint("shuffle_hash").join(chunks.select(group, key, col), [group, key], "inner")
+def neighbors_by_group(nbrs: DataFrame, group: str = "article_id", query: str = "query_no",
+                       key: str = "chunk_no") -> DataFrame:
+    """(group, found): the numbers of every query's neighbours, in query and rank order; three
+    integers per neighbour, k neighbours per query chunk of the article."""
+    return nbrs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(query).alias("query_no"), F.col("rank").alias("rank"), F.col(key).alias("chunk_no")))).alias("found"))
 
 
-def collect_retrieved(nbrs: DataFrame, group: str = "article_id", query: str = "query_no",
-                      col: str = "pair_ids") -> DataFrame:
-    """Per group, [n_query][k][2c] in query order, then rank order.
-    One aggregation per article: it holds at most k rows per query and at
-    most max_len/c queries, and the nesting is done with array functions."""
-    g = (nbrs.groupBy(group)
-         .agg(F.array_sort(F.collect_list(F.struct(query, "rank", col))).alias("_n")))
-    qs = F.array_distinct(F.transform("_n", lambda r: r[query]))
-    nested = F.transform(qs, lambda q: F.transform(F.filter("_n", lambda r: r[query] == q),
-                                                   lambda r: r[col]))
-    return g.select(group, nested.alias("retrieved"))
+def _pair(chunks: Column, chunk_no: Column) -> Column:
+    """Chunk i followed by chunk i + 1, from an article's own chunks."""
+    return F.concat(F.element_at(chunks, chunk_no + 1), F.element_at(chunks, chunk_no + 2))
 
 
-# ---- D1: embeddings -------------------------------------------------------
+def expand_neighbors(nbrs: DataFrame, articles: DataFrame, group: str = "article_id", chunks: str = "text_tokenized") -> DataFrame:
+    """(group, query_no, rank, chunk_no, pair_ids). The neighbours' numbers meet the
+    article's one row, whose chunk array is sliced; no table of pairs is stored or shuffled."""
+    j = articles.select(group, F.col(chunks).alias("_c")).join(neighbors_by_group(nbrs, group), group)
+    pairs = F.transform("found", lambda r: F.struct(r["query_no"].alias("query_no"), r["rank"].alias("rank"),
+                                                    r["chunk_no"].alias("chunk_no"), _pair(F.col("_c"), r["chunk_no"]).alias("pair_ids")))
+    return j.select(group, F.explode(pairs).alias("_p")).select(group, "_p.query_no", "_p.rank", "_p.chunk_no", "_p.pair_ids")
 
-_HASH_TABLES: dict = {}
-_TABLE_LIMIT = 10_000_000
 
+def collect_retrieved(nbrs: DataFrame, articles: DataFrame, group: str = "article_id", chunks: str = "text_tokenized") -> DataFrame:
+    """J4 + D4: ``articles`` with ``retrieved`` = [n_query][k][2c], in query order, then rank
+    order; [] without queries. One join per article; the nesting is array functions."""
+    j = articles.join(neighbors_by_group(nbrs, group), group, "left")
+    found = F.coalesce("found", F.array().cast("array<struct<query_no:int,rank:int,chunk_no:int>>"))
+    j = j.withColumn("found", found)
+    starts = F.filter(F.transform("found", lambda r, i: F.when(r["rank"] == 1, i)), lambda i: i.isNotNull())
+    sizes = F.size("found")
+    # the rows of one query stand together: from its rank 1 to the next one's
+    nested = F.transform(F.col("_at"), lambda i, n: F.transform(
+        F.slice("found", i + 1, F.coalesce(F.get("_at", n + 1), sizes) - i), lambda r: _pair(F.col(chunks), r["chunk_no"])))
+    return j.withColumn("_at", starts).withColumn("retrieved", nested).drop("found", "_at")
 
-def _md5_bits(seed: int, ids) -> tuple[np.ndarray, np.ndarray]:
-    import hashlib
-    hb = np.empty(len(ids), dtype=np.int64)
-    sg = np.empty(len(ids), dtype=np.float64)
-    for n, t in enumerate(ids):
-        h = hashlib.md5(f"{seed}|{t}".encode()).hexdigest()
-        hb[n] = int(h[:13], 16)
-        sg[n] = 1.0 if int(h[13], 16) < 8 else -1.0
-    return hb, sg
 
+# ---- D1: embeddings -------------------------------------------------------
 
 def token_hash(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket bits, sign) per token id from md5("seed|id"): the first 52 bits
-    pick the bucket, the next hex digit the sign; md5 keeps the encoder
-    reproducible by any engine. Ids are bounded by the vocabulary, so each
-    worker keeps an id-indexed table that grows on demand (ids beyond
-    ``_TABLE_LIMIT`` are hashed per batch instead)."""
+    pick the bucket, the next hex digit the sign; md5 keeps the encoder reproducible by
+    any engine. Each distinct id of a batch is hashed once."""
+    import hashlib
     if len(ids) == 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float64)
-    top = int(ids.max()) + 1
-    if top > _TABLE_LIMIT or int(ids.min()) < 0:
-        uniq, inv = np.unique(ids, return_inverse=True)
-        hb, sg = _md5_bits(seed, uniq.tolist())
-        return hb[inv], sg[inv]
-    hb, sg = _HASH_TABLES.get(seed, (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float64)))
-    if top > len(hb):
-        nh, ns = _md5_bits(seed, range(len(hb), top))
-        hb, sg = np.concatenate([hb, nh]), np.concatenate([sg, ns])
-        _HASH_TABLES[seed] = (hb, sg)
-    return hb[ids], sg[ids]
+    uniq, inv = np.unique(ids, return_inverse=True)
+    digests = [hashlib.md5(f"{seed}|{t}".encode()).hexdigest() for t in uniq.tolist()]
+    hb = np.array([int(h[:13], 16) for h in digests], dtype=np.int64)
+    sg = np.array([1.0 if int(h[13], 16) < 8 else -1.0 for h in digests])
+    return hb[inv], sg[inv]
 
 
 def hash_embed_batch(offsets: np.ndarray, ids: np.ndarray, dim: int, seed: int) -> np.ndarray:
@@ -309,6 +306,38 @@ def hash_embed(ids, dim: int = 64, seed: int = 42) -> Column:
     return _hash_embed_udf(dim, seed)(F.filter(c, lambda x: x >= 3))
 
 
+class HashEncoder:
+    """The built-in chunk encoder as flows take it: an id-array column -> vector column."""
+
+    def __init__(self, dim: int = 64, seed: int = 42):
+        self.dim, self.seed = dim, seed
+
+    def encode(self, ids) -> Column:
+        return hash_embed(ids, self.dim, self.seed)
+
+
+class UserEncoder:
+    """H3: a chunk encoder of the caller's. ``factory()`` makes a callable
+    list[list[int]] -> array (n, d); it is made once per task and called on batches."""
+
+    def __init__(self, factory, batch_rows: int = 256):
+        self.factory, self.batch_rows = factory, batch_rows
+
+    def encode(self, ids) -> Column:
+        factory, rows = self.factory, self.batch_rows
+
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            fn = factory()
+            for s in batches:
+                vals, vecs = [list(x) for x in s], []
+                for i in range(0, len(vals), rows):
+                    vecs.extend(np.asarray(fn(vals[i:i + rows]), dtype=np.float32).tolist())
+                yield pd.Series(vecs)
+
+        return run(F.col(ids) if isinstance(ids, str) else ids)
+
+
 def embed(df: DataFrame, col: str, encoder=None, out: str = "embedding",
           dim: int = 64, batch_rows: int = 256) -> DataFrame:
     """Batch-encode a column. ``encoder`` is a user callable
@@ -332,18 +361,22 @@ def embed(df: DataFrame, col: str, encoder=None, out: str = "embedding",
 
 # ---- D5: index report -----------------------------------------------------
 
-def index_report(vectors: DataFrame, group: str, vec: str = "embedding",
-                 timings: DataFrame | None = None, header_bytes: int = 45) -> DataFrame:
-    """Per group, vectors, dimension, bytes, compression ratio,
-    reconstruction error (0 for an exact index) and search times when given.
-    Index bytes = raw n*d*4 plus a fixed header (45 bytes in the one report)."""
-    r = (vectors.groupBy(group)
-         .agg(F.count(F.lit(1)).alias("nb_vectors"), F.max(F.size(vec)).cast("bigint").alias("dim")))
-    r = r.select(group, F.lit("Flat").alias("index_key"), "nb_vectors", "dim",
-                 (F.col("nb_vectors") * F.col("dim") * 4 + header_bytes).alias("size_bytes"))
-    r = r.withColumn("compression_ratio",
-                     (F.col("nb_vectors") * F.col("dim") * 4).cast("double") / F.col("size_bytes")) \
-         .withColumn("reconstruction_error", F.lit(0.0))
+def index_report(index: DataFrame, group: str, source: DataFrame, key: str, vec: str = "embedding",
+                 timings: DataFrame | None = None) -> DataFrame:
+    """D5 of a written index (A10), per group: vectors, dimension, bytes of the stored
+    components and of the keys that lead to them, compression ratio (raw bytes / index bytes),
+    reconstruction error (percent, of the stored vectors against ``source``), and
+    mean and p99 of ``timings`` (group, ms) when given."""
+    raw = F.col("nb_vectors") * F.col("dim") * 4
+    own = index.select(group, key, F.col(vec).alias("_v"))
+    both = own.join(source.select(group, key, F.col(vec).alias("_s")), [group, key])
+    err = F.aggregate(F.zip_with("_v", "_s", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
+    norm = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    r = both.groupBy(group).agg(F.count(F.lit(1)).alias("nb_vectors"), F.max(F.size("_v")).cast("bigint").alias("dim"),
+                                (F.sum(F.size("_v") * 4) + F.count(F.lit(1)) * 8).cast("bigint").alias("size_bytes"),
+                                (100 * F.sum(err) / F.sum(norm)).alias("reconstruction_error"))
+    r = r.select(group, F.lit("Flat").alias("index_key"), "nb_vectors", "dim", "size_bytes",
+                 (raw.cast("double") / F.col("size_bytes")).alias("compression_ratio"), "reconstruction_error")
     if timings is not None:
         # p99 of continuous timings from a bounded sketch: an exact percentile
         # would keep every value of a hot group in one buffer

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longdoc.constants import FILTER_THRES, MAX_LEN, SEED
+from longdoc.constants import FILTER_THRES, SEED
 
 
 def topk_fraction(df: DataFrame, grp: str = "grp", cand: str = "cand", logit: str = "logit",
@@ -73,28 +73,31 @@ def filter_candidates(df: DataFrame, filter_fn: str, **kw) -> DataFrame:
     raise ValueError("filter function must be either top_k or top_p")
 
 
-def extractive_draft(nbrs: DataFrame, chunks: DataFrame, group: str = "article_id",
-                     max_len: int = MAX_LEN, col: str = "pair_ids") -> DataFrame:
+def extractive_draft(nbrs: DataFrame, articles: DataFrame, max_len: int | None, group: str = "article_id",
+                     chunks: str = "text_tokenized") -> DataFrame:
     """Per document, the best pair of each query chunk in query order, a
-    chunk used once (first query wins), concatenated and cut to max_len."""
+    chunk used once (first query wins), concatenated and cut to ``max_len`` (None: whole)."""
+    from longdoc.operators.retrieve import _pair
     best = nbrs.where(F.col("rank") == 1).groupBy(group, "chunk_no").agg(F.min("query_no").alias("query_no"))
-    j = best.join(chunks.select(group, "chunk_no", col), [group, "chunk_no"])
-    g = (j.groupBy(group)
-         .agg(F.array_sort(F.collect_list(F.struct("query_no", col))).alias("_d")))
-    flat = F.flatten(F.transform("_d", lambda s: s[col]))
-    return g.select(group, F.slice(flat, 1, max_len).alias("draft_ids"))
-
-
-def generate(df: DataFrame, fn: Callable[[list[str]], list[str]], col: str = "prompt",
-             out: str = "prediction", batch: int = 1, schema_extra: str | None = None) -> DataFrame:
-    """E5: a user generator over a table, called on batches of ``batch`` inputs
-    inside ``mapInPandas`` (the generator is loaded once per task)."""
+    g = best.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("query_no", "chunk_no"))).alias("_d"))
+    j = articles.select(group, F.col(chunks).alias("_c")).join(g, group)
+    flat = F.flatten(F.transform("_d", lambda s: _pair(F.col("_c"), s["chunk_no"])))
+    return j.select(group, (flat if max_len is None else F.slice(flat, 1, max_len)).alias("draft_ids"))
+
+
+def generate(df: DataFrame, fn: Callable, inputs: str | list[str] = "prompt",
+             out: str = "prediction", batch: int = 1, per_task: bool = False) -> DataFrame:
+    """E5: a user generator over a table, called on batches of ``batch`` inputs inside
+    ``mapInPandas``. With one input column it gets list[value], with several a list of
+    dicts (say prompt_ids, article id, text_tokenized, retrieved); it returns list[str].
+    ``per_task``: ``fn`` is a factory, called once per task, that returns the generator."""
     def run(it):
+        gen = fn() if per_task else fn
         for pdf in it:
-            vals = pdf[col].tolist()
+            vals = pdf[inputs].tolist() if isinstance(inputs, str) else pdf[inputs].to_dict("records")
             res: list[str] = []
             for i in range(0, len(vals), batch):
-                res.extend(fn(vals[i:i + batch]))
+                res.extend(gen(vals[i:i + batch]))
             pdf = pdf.copy()
             pdf[out] = pd.Series(res, index=pdf.index, dtype="object")
             yield pdf

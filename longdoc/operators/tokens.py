@@ -1,17 +1,21 @@
-"""Vocabulary and tokenizer.
+"""Vocabulary and tokenizer.
 
 The pretrained subword tokenizer of the reference is not available, so the
-built-in tokenizer is a whitespace tokenizer over a corpus vocabulary:
-
-* C0 ``build_vocab``: ids by (count desc, token asc) after PAD/EOS/UNK, capped
-  at ``size`` entries. The cap is what bounds the table handed to every task.
-* C1/C2 ``tokenize``: pieces -> ids (unknown -> UNK), EOS appended; with
-  ``max_len`` the ids are cut to ``max_len - 1`` and EOS is kept inside the limit.
-
-The id lookup runs row-locally inside an Arrow UDF (one hash lookup per token,
-vectorised in Arrow's C++ kernels), so tokenizing needs no shuffle. The
-vocabulary reaches the tasks as a Parquet table in the shared folder, the way a
-tokenizer file would; it never passes through the driver.
+built-in tokenizer is a whitespace tokenizer that loses no word:
+
+* C0 ``build_vocab``: the ``size`` most frequent pieces get ids of their own, by
+  (count desc, token asc), after the special and byte ids. The table handed to
+  every task is bounded by ``size``, which decides the compression only.
+* C1/C2 ``tokenize``: a piece of the vocabulary is its id; any other piece is spelled
+  as WORD and its UTF-8 bytes. EOS is appended; with ``max_len`` the ids are cut to
+  ``max_len - 1`` and EOS is kept inside the limit.
+* C6 ``decode``: the words back, in order; the decoded text of uncut ids is the
+  text's words joined by a space.
+
+Lookup and spelling run row-locally inside an Arrow UDF, so tokenizing needs no
+shuffle. The vocabulary reaches the tasks as a Parquet table in the shared folder,
+the way a tokenizer file would; it never passes through the driver. Flows take any
+object with the two methods of ``VocabTokenizer`` in its place.
 """
 
 from __future__ import annotations
@@ -20,16 +24,16 @@ import hashlib
 import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longdoc.constants import (EOS, FIRST_REAL_ID, SPECIAL_TOKENS, VOCAB_SIZE,
-                               WS_REGEX)
+from longdoc.constants import (EOS, FIRST_BYTE_ID, FIRST_PIECE_ID, FIRST_REAL_ID,
+                               SPECIAL_TOKENS, VOCAB_SIZE, WORD, WS_REGEX)
 from longdoc.session import scratch_path
 
 
@@ -42,7 +46,7 @@ def pieces(col) -> Column:
 
 def build_vocab(df: DataFrame, col: str = "text", size: int = VOCAB_SIZE) -> DataFrame:
     """(token, token_id, cnt). Counting uses map-side partial aggregation;
-    the cap is a top-``size`` (TakeOrderedAndProject), so the ranked set that is
+    the bound is a top-``size`` (TakeOrderedAndProject), so the ranked set that is
     numbered afterwards is bounded by ``size`` rows."""
     counts = (df.select(F.explode(pieces(col)).alias("token"))
               .where(~F.col("token").isin(*SPECIAL_TOKENS))
@@ -50,7 +54,7 @@ def build_vocab(df: DataFrame, col: str = "text", size: int = VOCAB_SIZE) -> Dat
     top = counts.orderBy(F.col("cnt").desc(), F.col("token").asc()).limit(size)
     w = Window.orderBy(F.col("cnt").desc(), F.col("token").asc())
     return top.select("token",
-                      (F.row_number().over(w) + (FIRST_REAL_ID - 1)).cast("int").alias("token_id"),
+                      (F.row_number().over(w) + (FIRST_PIECE_ID - 1)).cast("int").alias("token_id"),
                       F.col("cnt").cast("bigint").alias("cnt"))
 
 
@@ -64,7 +68,7 @@ def materialize_vocab(spark: SparkSession, vocab: DataFrame, key: str) -> str:
 
 def corpus_vocab(spark: SparkSession, df: DataFrame, col: str, key: str,
                  size: int = VOCAB_SIZE) -> str:
-    return materialize_vocab(spark, build_vocab(df, col, size), f"{key}|{col}|{size}|v1")
+    return materialize_vocab(spark, build_vocab(df, col, size), f"{key}|{col}|{size}|v2")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -80,8 +84,8 @@ _VOCAB_CACHE: dict = {}
 _VOCAB_LOCK = threading.Lock()
 
 
-def _load_lookup(path: str) -> pa.Array:
-    """Token strings indexed by id: PAD, EOS, UNK, then the vocabulary."""
+def _load_vocab(path: str) -> tuple[dict, pa.Array]:
+    """(piece -> id, bytes that each id decodes to); read once per worker."""
     with _VOCAB_LOCK:
         hit = _VOCAB_CACHE.get(path)
         if hit is not None:
@@ -94,18 +98,21 @@ def _load_lookup(path: str) -> pa.Array:
             fs, rel = pafs.LocalFileSystem(), path[len("file:"):] if path.startswith("file:") else path
         t = pq.read_table(rel, columns=["token", "token_id"], filesystem=fs).sort_by("token_id")
         ids = t.column("token_id").to_numpy()
-        if len(ids) and (ids[0] != FIRST_REAL_ID or ids[-1] != FIRST_REAL_ID + len(ids) - 1):
+        if len(ids) and (ids[0] != FIRST_PIECE_ID or ids[-1] != FIRST_PIECE_ID + len(ids) - 1):
             raise ValueError(f"vocabulary ids not contiguous in {path}")
-        arr = pa.concat_arrays([pa.array(list(SPECIAL_TOKENS), pa.string()),
-                                t.column("token").combine_chunks().cast(pa.string())])
-        _VOCAB_CACHE[path] = arr
-        return arr
-
-
-def _split_lookup(text: pa.Array, lookup: pa.Array) -> pa.Array:
-    """Pieces and ids in Arrow: special strings set apart, split on
-    [ \t\n\r]+, empty pieces dropped, ids by position in ``lookup``."""
-    import numpy as np
+        tokens = t.column("token").to_pylist()
+        table = {tok: FIRST_PIECE_ID + i for i, tok in enumerate(tokens)}
+        table.update({tok: i for i, tok in enumerate(SPECIAL_TOKENS)})
+        # specials give nothing, WORD a space, a byte itself, a piece a space and its text
+        shown = ([b""] * len(SPECIAL_TOKENS) + [b" "] + [bytes([i]) for i in range(256)]
+                 + [b" " + tok.encode() for tok in tokens])
+        _VOCAB_CACHE[path] = table, pa.array(shown, pa.binary())
+        return _VOCAB_CACHE[path]
+
+
+def _split_lookup(text: pa.Array, table: dict) -> pa.Array:
+    """Pieces and ids in Arrow and numpy: special strings set apart, split on
+    [ \t\n\r]+, empty pieces dropped; pieces outside ``table`` spelled."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     spaced = pc.replace_substring_regex(text, pattern="(<pad>|</s>|<unk>)", replacement=" \\1 ")
@@ -115,17 +122,31 @@ def _split_lookup(text: pa.Array, lookup: pa.Array) -> pa.Array:
     keep = pc.greater(pc.binary_length(flat), 0)
     kept = pc.filter(flat, keep)
     krows = rows[keep.to_numpy(zero_copy_only=False)]
-    counts = np.bincount(krows, minlength=len(text)) if len(krows) else np.zeros(len(text), dtype=np.int64)
+    coded = kept.dictionary_encode()
+    of_piece = np.array([table.get(x, -1) for x in coded.dictionary.to_pylist()] + [-1], dtype=np.int64)
+    piece = of_piece[coded.indices.to_numpy(zero_copy_only=False)] if len(kept) else np.empty(0, np.int64)
+    spelled = piece < 0
+    width = np.ones(len(piece), np.int64)
+    n_bytes = pc.binary_length(kept).to_numpy(zero_copy_only=False).astype(np.int64)[spelled]
+    width[spelled] += n_bytes
+    ends = np.cumsum(width)
+    starts = ends - width
+    ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+    ids[starts] = np.where(spelled, WORD, piece)
+    if len(n_bytes):
+        raw = np.frombuffer(b"".join(x.encode() for x in pc.filter(kept, pa.array(spelled)).to_pylist()), np.uint8)
+        inside = np.arange(len(raw)) - np.repeat(np.cumsum(n_bytes) - n_bytes, n_bytes)
+        ids[np.repeat(starts[spelled] + 1, n_bytes) + inside] = raw.astype(np.int32) + FIRST_BYTE_ID
+    counts = np.bincount(krows, weights=width, minlength=len(text)) if len(krows) else np.zeros(len(text))
     offsets = np.zeros(len(text) + 1, dtype=np.int32)
-    np.cumsum(counts, out=offsets[1:])
-    ids = pc.fill_null(pc.index_in(kept, value_set=lookup), 2).cast(pa.int32())
-    return pa.ListArray.from_arrays(pa.array(offsets), ids, mask=text.is_null())
+    offsets[1:] = np.cumsum(counts)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=text.is_null())
 
 
 def _lookup_udf(path: str):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def token_ids(text: pa.Array) -> pa.Array:
-        return _split_lookup(text, _load_lookup(path))
+        return _split_lookup(text, _load_vocab(path)[0])
 
     # non-deterministic: keeps Catalyst from copying the call into pushed-down
     # filters (which would tokenize every document twice)
@@ -149,31 +170,77 @@ def tokenize(col, vocab_path: str, max_len: int | None = None) -> Column:
 def _decode_udf(path: str):
     @F.arrow_udf(T.StringType())
     def decode_text(ids: pa.Array) -> pa.Array:
-        lookup = _load_lookup(path)
+        shown = _load_vocab(path)[1]
         if isinstance(ids, pa.ChunkedArray):
             ids = ids.combine_chunks()
-        import numpy as np
         flat = pc.list_flatten(ids).cast(pa.int64())
         # an id outside this vocabulary is dropped, like UNK
-        inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(lookup)))
-        toks = pc.take(lookup, pc.filter(flat, inside))
-        rows = pc.list_parent_indices(ids).to_numpy(zero_copy_only=False)
-        kept_rows = rows[inside.to_numpy(zero_copy_only=False)]
+        inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(shown)))
+        kept_rows = pc.list_parent_indices(ids).to_numpy(zero_copy_only=False)[inside.to_numpy(zero_copy_only=False)]
         offsets = np.zeros(len(ids) + 1, dtype=np.int32)
         np.cumsum(np.bincount(kept_rows, minlength=len(ids)), out=offsets[1:])
-        lists = pa.ListArray.from_arrays(pa.array(offsets), toks, mask=ids.is_null())
-        return pc.binary_join(lists, " ")
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pc.take(shown, pc.filter(flat, inside)), mask=ids.is_null())
+        # a chunk border can cut a spelled character: its bytes go
+        return pa.array([None if x is None else " ".join(w for w in x.decode("utf-8", "ignore").split(" ") if w)
+                         for x in pc.binary_join(lists, b"").to_pylist()], pa.string())
 
     return decode_text.asNondeterministic()
 
 
-def decode(ids, vocab_path: str) -> Column:
-    """Ids -> text. Special ids (PAD, EOS, UNK) are dropped, tokens joined
-    by a space, then the space before . , ! ? is removed (our clean-up rule).
-    Row-local: an Arrow ``take`` on the vocabulary, no join or shuffle."""
+def decode(ids, vocab_path: str, clean: bool = True, strip_special: bool = True) -> Column:
+    """Ids -> text. Words are joined by a space, then the space before . , ! ?
+    is removed (our clean-up rule; ``clean=False`` keeps the words as they are).
+    Special ids (PAD, EOS, UNK) give nothing, or with ``strip_special=False`` their
+    strings. Row-local: a ``take`` on the vocabulary, no join or shuffle."""
     c = F.col(ids) if isinstance(ids, str) else ids
-    kept = F.filter(c, lambda x: x >= FIRST_REAL_ID)
-    return F.regexp_replace(_decode_udf(vocab_path)(kept), r" ([.,!?])", "$1")
+    if strip_special:
+        text = _decode_udf(vocab_path)(F.filter(c, lambda x: x >= FIRST_REAL_ID))
+    else:
+        text = _decode_udf(vocab_path)(F.flatten(F.transform(c, _spell_special)))
+    return F.regexp_replace(text, r" ([.,!?])", "$1") if clean else text
+
+
+def _spell_special(x: Column) -> Column:
+    spelled = F.array(x)
+    for i, tok in enumerate(SPECIAL_TOKENS):
+        spelled = F.when(x == i, F.array(*[F.lit(v) for v in (WORD, *(b + FIRST_BYTE_ID for b in tok.encode()))])).otherwise(spelled)
+    return spelled
+
+
+class VocabTokenizer:
+    """The built-in tokenizer as flows take it: ``encode`` and ``decode`` columns."""
+
+    def __init__(self, vocab_path: str):
+        self.vocab_path = vocab_path
+
+    def encode(self, col, max_len: int | None = None) -> Column:
+        return tokenize(col, self.vocab_path, max_len)
+
+    def decode(self, ids) -> Column:
+        return decode(ids, self.vocab_path)
+
+
+class UserTokenizer:
+    """H1: a tokenizer of the caller's. ``encoder()`` makes a callable list[str] ->
+    list[list[int]] (ids ending in EOS), ``decoder()`` one list[list[int]] -> list[str];
+    each is made once per task and called on Arrow batches."""
+
+    def __init__(self, encoder, decoder, eos: int = EOS):
+        self.encoder, self.decoder, self.eos = encoder, decoder, eos
+
+    def encode(self, col, max_len: int | None = None) -> Column:
+        return tokenize_with(col, self.encoder, max_len, self.eos)
+
+    def decode(self, ids) -> Column:
+        factory = self.decoder
+
+        @F.pandas_udf(T.StringType())
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            fn = factory()
+            for s in batches:
+                yield pd.Series(fn([[] if x is None else list(x) for x in s]), dtype="object")
+
+        return run(F.col(ids) if isinstance(ids, str) else ids)
 
 
 def tokenize_with(col, factory, max_len: int | None = None, eos: int = EOS) -> Column:

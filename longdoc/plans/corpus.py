@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longdoc.constants import CHUNK_SIZE, VOCAB_SIZE
-from longdoc.operators.chunks import chunk_documents, chunk_tf
-from longdoc.operators.tokens import corpus_vocab, tokenize
+from longdoc.functions.arrays import chunk_array
+from longdoc.operators.chunks import chunk_documents, chunk_tf, drop_last_chunk, filter_min_chunks
+from longdoc.operators.retrieve import knn_sparse
+from longdoc.operators.tokens import VocabTokenizer, corpus_vocab, tokenize
+from longdoc.session import ensure_parallelism, scratch_path
+from longdoc.sources.io import input_stamp, materialize
 from longdoc.sources.tables import read_table
-from longdoc.sources.testdata import query_text
 
 
 TEXT_TABLES = ("documents", "pages", "conversations")
@@ -35,11 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _stamp(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    st = fs.getFileStatus(p)
-    return f"{path}|{st.getLen()}|{st.getModificationTime()}"
+    return input_stamp(spark, path)
 
 
 def vocab_path(spark: SparkSession, sf_dir: str, size: int = VOCAB_SIZE) -> str:
@@ -49,40 +48,40 @@ def vocab_path(spark: SparkSession, sf_dir: str, size: int = VOCAB_SIZE) -> str:
     return corpus_vocab(spark, docs, "text", key, size)
 
 
-def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(vocab_path(spark, sf_dir))
+def tokenizer(spark: SparkSession, sf_dir: str) -> VocabTokenizer:
+    return VocabTokenizer(vocab_path(spark, sf_dir))
 
 
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(article_id, token_ids) of every document body, EOS-terminated."""
+    """(article_id, token_ids) of every document body, EOS-terminated; tokenized once per
+    input and config and kept in the shared folder (A6), which also cuts the lineage."""
     vp = vocab_path(spark, sf_dir)
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("article_id"), tokenize("text", vp).alias("token_ids"))
+    cfg = {"docs": _stamp(spark, f"{sf_dir.rstrip('/')}/documents.parquet"), "vocab": vp, "v": 3}
+    return ensure_parallelism(materialize(
+        spark, lambda: table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("article_id"), tokenize("text", vp).alias("token_ids")),
+        scratch_path(spark, "doc_ids"), cfg))
 
 
 def doc_chunks(spark: SparkSession, sf_dir: str, c: int = CHUNK_SIZE) -> DataFrame:
-    """The chunk table (C2, C4, C5, W2), materialised once per input and
-    config in the shared folder (A6): later steps read it instead of
-    re-tokenizing, and its lineage is cut there."""
-    from longdoc.session import scratch_path
-    from longdoc.sources.io import materialize
-    cfg = {"docs": _stamp(spark, f"{sf_dir.rstrip('/')}/documents.parquet"),
-           "vocab": vocab_path(spark, sf_dir), "chunk_size": c, "v": 2}
-    from longdoc.session import ensure_parallelism
-    return ensure_parallelism(materialize(
-        spark, lambda: chunk_documents(doc_ids(spark, sf_dir), "article_id", "token_ids", c),
-        scratch_path(spark, "chunks"), cfg))
+    """The chunk rows (C4, C5), row-local from the token ids."""
+    return chunk_documents(doc_ids(spark, sf_dir), "article_id", "token_ids", c)
 
 
-def doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per document: its opening words, tokenized (query_no 0)."""
-    vp = vocab_path(spark, sf_dir)
-    return query_text(table(spark, sf_dir, "documents")).select(
-        "article_id", F.lit(0).alias("query_no"), tokenize("query", vp).alias("token_ids"))
+def doc_arrays(spark: SparkSession, sf_dir: str, c: int = CHUNK_SIZE) -> DataFrame:
+    """(article_id, text_tokenized [n][c], n_chunks) per document."""
+    d = doc_ids(spark, sf_dir).select("article_id", chunk_array("token_ids", c).alias("text_tokenized"))
+    return d.withColumn("n_chunks", F.size("text_tokenized"))
 
 
-def query_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_tf(doc_queries(spark, sf_dir), ["article_id", "query_no"]).drop("norm2")
+def self_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of a document but the last, of documents with k + 1 chunks or more, searched
+    among the others of its document (D3b)."""
+    chunks = drop_last_chunk(filter_min_chunks(doc_chunks(spark, sf_dir)))
+    k_tf = chunk_tf(chunks, ["article_id", "chunk_no"])
+    q_tf = k_tf.drop("norm2").withColumnRenamed("chunk_no", "query_no")
+    queries = chunks.select("article_id", F.col("chunk_no").alias("query_no"), (F.col("n_chunks") - 1).alias("n_keys"))
+    return knn_sparse(q_tf, k_tf, queries, exclude_self=True)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +106,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_articles(articles(spark, sf_dir), titles(spark, sf_dir))
 
 
-def trunc_ids(spark: SparkSession, sf_dir: str, max_len: int = 512) -> DataFrame:
+def trunc_ids(spark: SparkSession, sf_dir: str, max_len: int) -> DataFrame:
     """Document ids cut to max_len with EOS kept inside."""
     vp = vocab_path(spark, sf_dir)
     return table(spark, sf_dir, "documents").select(

@@ -5,137 +5,103 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longdoc.constants import CHUNK_SIZE, MAX_LEN, N_NEIGHBORS
-from longdoc.functions.arrays import drop_last
+from longdoc.constants import CHUNK_SIZE, N_NEIGHBORS
+from longdoc.functions.arrays import chunk_array, drop_last
 from longdoc.functions.text import strip_text
 from longdoc.operators import metrics as M
-from longdoc.operators.chunks import chunk_documents, chunk_tf, drop_last_chunk, filter_min_chunks
-from longdoc.operators.retrieve import knn_sparse
-from longdoc.operators.sampling import extractive_draft
-from longdoc.operators.tokens import decode, tokenize
+from longdoc.operators.chunks import filter_min_chunks
+from longdoc.operators.retrieve import HashEncoder
+from longdoc.operators.sampling import extractive_draft, generate
+from longdoc.plans.prepare import written, search_chunks
+from longdoc.sources.io import read_results, read_samples, write_results
+
+ROUGE = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
 
 def score_pairs(pairs: DataFrame, id_col: str = "id") -> DataFrame:
-    """Every per-pair metric, joined on the pair id (equi-joins only)."""
-    qa = M.qa_f1_em(pairs, id_col)
-    r1 = M.rouge_n(pairs, 1, id_col).select(id_col, F.col("fmeasure").alias("rouge1"))
-    r2 = M.rouge_n(pairs, 2, id_col).select(id_col, F.col("fmeasure").alias("rouge2"))
-    rl = M.rouge_l(pairs, id_col).select(id_col, F.col("fmeasure").alias("rougeL"))
-    rs = M.rouge_lsum(pairs, id_col).select(id_col, F.col("fmeasure").alias("rougeLsum"))
-    return qa.join(r1, id_col).join(r2, id_col).join(rl, id_col).join(rs, id_col)
-
-
-def score_record(per_pair: DataFrame, digits: int = 4) -> DataFrame:
-    """The result header: F1, Exact match, ROUGE{rouge1, rouge2, rougeL,
-    rougeLsum} as corpus means (one aggregate)."""
-    a = per_pair.agg(F.avg("f1").alias("F1"), F.avg("exact_match").alias("Exact match"),
-                     *[F.round(F.avg(c), digits).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")])
-    return a.select("F1", "`Exact match`",
-                    F.struct("rouge1", "rouge2", "rougeL", "rougeLsum").alias("ROUGE"))
-
-
-def evaluate(samples: DataFrame, vocab_path: str, c: int = CHUNK_SIZE, k: int = N_NEIGHBORS,
-             max_len: int = MAX_LEN, exclude_prompt: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every per-pair metric, row by row (G1-G4): one Arrow stage, no shuffle."""
+    return M.all_scores(pairs, [id_col])
+
+
+def score_record(per_pair: DataFrame, digits: int = 4, id_col: str = "id") -> DataFrame:
+    """The result header: F1 and Exact match as corpus means, ROUGE{rouge1, rouge2, rougeL,
+    rougeLsum} as midpoints of the bootstrap (G5), as the reference's scorer reports them."""
+    a = per_pair.agg(F.avg("f1").alias("F1"), F.avg("exact_match").alias("Exact match")).withColumn("_k", F.lit(0))
+    mid = M.bootstrap_mid(per_pair, list(ROUGE), id_col, digits=digits)
+    b = mid.agg(*[F.max(F.when(F.col("metric") == c, F.col("mid"))).alias(c) for c in ROUGE]).withColumn("_k", F.lit(0))
+    return a.join(b, "_k").select("F1", "`Exact match`", F.struct(*ROUGE).alias("ROUGE"))
+
+
+def _cut(ids, max_len: int | None):
+    return ids if max_len is None else F.slice(ids, 1, max_len)
+
+
+def evaluate(samples: DataFrame, tokenizer, c: int = CHUNK_SIZE, k: int = N_NEIGHBORS, max_len: int | None = None,
+             exclude_prompt: bool = False, encoder=None) -> tuple[DataFrame, DataFrame]:
     """L2 with the extractive stand-in generator (E4): every chunk of the
     prompt-plus-abstract (the last one padded) searches the article's own
-    chunks; the best pair per
-    query chunk, decoded and stripped, is the prediction; the reference is
-    the decoded input (F1 side) and the raw model input (ROUGE side, Q2).
+    chunks; the best pair per query chunk, decoded and stripped, is the prediction; the
+    reference is the decoded input (F1 side) and the raw model input (ROUGE side, Q2).
     As in the reference, generation starts from the prompt, so the prediction
-    begins with it (Q3) unless ``exclude_prompt``; the whole is cut to max_len.
-    Returns (per-pair scores, predictions)."""
-    body = samples.select("article_id", tokenize("text", vocab_path).alias("ids"))
-    chunks = filter_min_chunks(chunk_documents(body, "article_id", "ids", c), k)
-    keys = drop_last_chunk(chunks)
-    q = samples.select("article_id", tokenize("model_input", vocab_path, max_len).alias("ids"))
-    qch = chunk_documents(q, "article_id", "ids", c, with_pairs=False).withColumnRenamed("chunk_no", "query_no")
-    qtf = chunk_tf(qch, ["article_id", "query_no"]).drop("norm2")
-    nbrs = knn_sparse(qtf, chunk_tf(keys, ["article_id", "chunk_no"]), k=k)
-    draft = extractive_draft(nbrs, keys, max_len=max_len)
+    begins with it (Q3) unless ``exclude_prompt``. ``max_len`` cuts inputs and predictions;
+    without it they stay whole. Returns (per-pair scores, predictions)."""
+    spark = samples.sparkSession
+    ids = samples.select("article_id", tokenizer.encode("text").alias("_b"), tokenizer.encode("model_input", max_len).alias("_q"))
+    arrays = written(spark, ids.select("article_id", chunk_array("_b", c).alias("text_tokenized"),
+                                       chunk_array("_q", c).alias("query_chunks")))
+    enough = filter_min_chunks(arrays.withColumn("n_chunks", F.size("text_tokenized")), k)
+    nbrs = search_chunks(enough, k, encoder, last_query=True)
+    draft = extractive_draft(nbrs, enough, max_len)
     body_ids = F.coalesce("draft_ids", F.array().cast("array<int>"))
     if not exclude_prompt:
-        prompt_ids = drop_last(tokenize("prompt", vocab_path, max_len))
-        body_ids = F.slice(F.concat(prompt_ids, body_ids), 1, max_len)
+        body_ids = _cut(F.concat(drop_last(tokenizer.encode("prompt", max_len)), body_ids), max_len)
     preds = (samples.join(draft, "article_id", "left")
-             .select(F.col("article_id").cast("string").alias("id"),
-                     decode(tokenize("model_input", vocab_path, max_len), vocab_path).alias("reference"),
+             .select(F.col("article_id").cast("string").alias("id"), "ord",
+                     tokenizer.decode(tokenizer.encode("model_input", max_len)).alias("reference"),
                      F.col("model_input").alias("rouge_reference"),
-                     strip_text(decode(body_ids, vocab_path)).alias("prediction")))
-    f1 = M.qa_f1_em(preds)
-    rouge_in = preds.select("id", F.col("rouge_reference").alias("reference"), "prediction")
-    per = f1.join(score_pairs(rouge_in).drop("f1", "exact_match"), "id")
-    return per, preds
-
-
-def token_vectors(df: DataFrame, id_col: str, text_col: str, vocab_path: str, dim: int = 64) -> DataFrame:
-    """One hashed vector per token occurrence of a text (for G6)."""
-    from longdoc.operators.retrieve import hash_embed
-    ids = df.select(id_col, F.posexplode(tokenize(text_col, vocab_path)).alias("tpos", "tid"))
-    ids = ids.where(F.col("tid") >= 3)
-    return ids.select(id_col, (F.col("tpos")).cast("bigint").alias("tpos"),
-                      hash_embed(F.array("tid"), dim).alias("embedding"))
-
-
-def score_result_file(spark: SparkSession, path: str, vocab_path: str, dim: int = 64,
-                      first_n: int | None = None) -> DataFrame:
-    """L3: read a result set, split off the header, greedy-match every
-    candidate against its reference with token vectors; corpus mean P/R/F1.
-    ``first_n`` scores only the first n samples of the file (the reference's
-    script uses 200); by default every sample is scored."""
-    from longdoc.sources.io import read_results
-    _, samples = read_results(spark, path)
+                     strip_text(tokenizer.decode(body_ids)).alias("prediction")))
+    return M.all_scores(preds, ["id"], rouge_ref="rouge_reference"), preds
+
+
+def score_result_file(spark: SparkSession, path: str, first_n: int | None = None, array: bool = False,
+                      encoder=M.char_ngram_vectors) -> DataFrame:
+    """L3: read a result set, split off the header, greedy-match the tokens of every
+    candidate against its reference's; corpus mean P/R/F1 over all pairs. ``first_n`` scores only the
+    first n samples of the file (the reference's script uses 200); by default every sample is scored."""
+    _, samples = read_results(spark, path, array)
     if first_n is not None:
         samples = samples.where(F.col("ordinal") <= first_n)
-    cand = token_vectors(samples, "id", "model_answer", vocab_path, dim)
-    ref = token_vectors(samples, "id", "truth_output", vocab_path, dim)
-    g = M.greedy_match(cand, ref, "id", "tpos")
+    g = M.greedy_text_match(samples, ["id"], "truth_output", "model_answer", encoder)
     return g.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
                  F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("n"))
 
 
-
-def evaluate_dataset(spark: SparkSession, prepared, results_path: str, vocab_path: str,
+def evaluate_dataset(spark: SparkSession, prepared, results_path: str, tokenizer,
                      split: str = "test", c: int = CHUNK_SIZE, k: int = N_NEIGHBORS,
-                     max_len: int = MAX_LEN, generator=None, dim: int = 64) -> DataFrame:
+                     max_len: int | None = None, generator=None, encoder=None, inputs: str | list[str] = "prompt",
+                     batch: int = 1, per_task: bool = False) -> DataFrame:
     """L2 on prepared samples (a path or the DataFrame ``prepare_dataset``
-    returns): for each
-    article of ``split``, every chunk of its input (the last one padded)
-    searches its own body chunks (dense, exact, tiled); the prediction is the prompt followed by the best pairs
-    (extractive stand-in), or ``generator`` (list[str] -> list[str], called on
-    the prompts through ``mapInPandas``). Scores per pair, then the result set
-    (score record first) is written (A8). Returns the score record."""
-    from longdoc.functions.arrays import chunk_array
-    from longdoc.operators.chunks import chunk_documents as _chunks
-    from longdoc.operators.retrieve import hash_embed
-    from longdoc.operators.retrieve import knn_within as _knn
-    from longdoc.operators.sampling import generate
-    from longdoc.sources.io import read_samples, write_results
-
+    returns): for each article of ``split``, every chunk of its input (the last one padded)
+    searches its own body chunks (dense, exact, tiled); the prediction is the prompt followed by
+    the best pairs (extractive stand-in), or what ``generator`` makes of the ``inputs`` columns
+    (E5: say prompt_ids, id, text_tokenized, retrieved). Scores per pair, then the result set
+    (score record first, samples in their order) is written (A8). Returns the score record."""
     src = read_samples(spark, prepared) if isinstance(prepared, str) else prepared
     s = src.where(F.col("split") == split)
     if generator is None:
-        body = s.select(F.col("id").alias("article_id"), F.flatten("text_tokenized").alias("ids"))
-        keys = drop_last_chunk(_chunks(body, "article_id", "ids", c))
-        q = s.select(F.col("id").alias("article_id"), chunk_array("input_ids", c).alias("_q"))
-        q = q.select("article_id", F.posexplode("_q").alias("query_no", "token_ids"))
-        qv = q.select("article_id", "query_no", hash_embed("token_ids", dim).alias("embedding"))
-        kv = keys.select("article_id", "chunk_no", hash_embed("token_ids", dim).alias("embedding"))
-        nbrs = _knn(qv, kv, "article_id", "query_no", "chunk_no", k=k)
-        draft = extractive_draft(nbrs, keys, max_len=max_len).withColumnRenamed("article_id", "id")
-        body_ids = F.slice(F.concat("prompt_ids", F.coalesce("draft_ids", F.array().cast("array<int>"))),
-                           1, max_len)
-        preds = s.join(draft, "id", "left").select(
-            "id", "model_input", "input_ids", strip_text(decode(body_ids, vocab_path)).alias("prediction"))
+        arrays = written(spark, s.select(F.col("id").alias("article_id"), "text_tokenized",
+                                          chunk_array("input_ids", c).alias("query_chunks")))
+        nbrs = search_chunks(arrays, k, encoder or HashEncoder(), last_query=True)
+        draft = extractive_draft(nbrs, arrays, max_len).withColumnRenamed("article_id", "id")
+        body_ids = _cut(F.concat("prompt_ids", F.coalesce("draft_ids", F.array().cast("array<int>"))), max_len)
+        preds = s.join(draft, "id", "left").withColumn("prediction", strip_text(tokenizer.decode(body_ids)))
     else:
-        g = generate(s.select("id", "prompt", "model_input", "input_ids"), generator, "prompt", "prediction")
-        preds = g.select("id", "model_input", "input_ids", strip_text("prediction").alias("prediction"))
-    preds = preds.select(F.col("id").cast("string").alias("id"),
-                         decode("input_ids", vocab_path).alias("reference"),
+        g = generate(s.drop("ord"), generator, inputs, "prediction", batch, per_task)
+        preds = s.select("id", "ord").join(g, "id").withColumn("prediction", strip_text("prediction"))
+    preds = preds.select(F.col("id").cast("string").alias("id"), "ord", tokenizer.decode("input_ids").alias("reference"),
                          F.col("model_input").alias("rouge_reference"), "prediction")
-    f1 = M.qa_f1_em(preds)
-    rouge = score_pairs(preds.select("id", F.col("rouge_reference").alias("reference"), "prediction"))
-    per = f1.join(rouge.drop("f1", "exact_match"), "id")
-    head = score_record(per)
-    write_results(head, preds.select("id", F.col("reference").alias("truth_output"),
-                                     F.col("prediction").alias("model_answer")), results_path)
+    preds = written(spark, preds)
+    head = score_record(M.all_scores(preds, ["id"], rouge_ref="rouge_reference"))
+    write_results(head, preds.select("id", "ord", F.col("reference").alias("truth_output"),
+                                     F.col("prediction").alias("model_answer")), results_path, ["ord", "id"])
     return head

@@ -14,8 +14,7 @@ from pyspark.sql import types as T
 
 from longdoc.functions.arrays import ids_text
 from longdoc.operators.chunks import chunk_tf, drop_last_chunk, filter_min_chunks
-from longdoc.operators.retrieve import knn_sparse
-from longdoc.operators.tokens import build_vocab
+from longdoc.operators.tokens import build_vocab, pieces
 from longdoc.plans import corpus
 from longdoc.functions import arrays as A
 from longdoc.functions import text as TX
@@ -65,6 +64,16 @@ def q_tokenize_full(spark, sf):
                         ids_text("token_ids").alias("token_ids")))
 
 
+@register("tokenize_roundtrip")
+def q_tokenize_roundtrip(spark, sf):
+    """C2 + C6: every document's words back from its ids."""
+    vp = corpus.vocab_path(spark, sf)
+    d = corpus.table(spark, sf, "documents")
+    t = d.select("doc_id", F.size(pieces("text")).alias("n_words"), tokenize("text", vp).alias("ids"))
+    return out(t.select("doc_id", "n_words", F.size(F.filter("ids", lambda x: x == 2)).alias("n_unk"),
+                        decode("ids", vp, clean=False).alias("words")))
+
+
 @register("chunk_documents")
 def q_chunk_documents(spark, sf):
     ch = corpus.doc_chunks(spark, sf)
@@ -82,9 +91,17 @@ def q_chunk_tf(spark, sf):
     return out(key_tf(spark, sf).select("article_id", "chunk_no", "token_id", "tf", "norm2"))
 
 
+@register("chunk_idf")
+def q_chunk_idf(spark, sf):
+    """D1b with its optional weight."""
+    n = drop_last_chunk(filter_min_chunks(corpus.doc_chunks(spark, sf))).count()
+    t = CH.idf_weights(key_tf(spark, sf), ["article_id", "chunk_no"], n)
+    return out(t.select("article_id", "chunk_no", "token_id", F.round(F.col("tf") * F.col("idf"), 6).alias("weight")))
+
+
 @register("knn_sparse")
 def q_knn_sparse(spark, sf):
-    r = knn_sparse(corpus.query_tf(spark, sf), key_tf(spark, sf))
+    r = corpus.self_search(spark, sf)
     return out(r.select("article_id", "query_no", "rank", "chunk_no",
                         F.round("score", 6).alias("score")))
 
@@ -110,9 +127,7 @@ def q_prompt_build(spark, sf):
 
 @register("min_chunks")
 def q_min_chunks(spark, sf):
-    ch = CH.filter_min_chunks(corpus.doc_chunks(spark, sf))
-    return out(ch.select("article_id", "n_chunks").distinct())
-
+    return out(CH.filter_min_chunks(corpus.doc_arrays(spark, sf)).select("article_id", "n_chunks"))
 
 @register("id_filter")
 def q_id_filter(spark, sf):
@@ -152,7 +167,7 @@ def q_trim_sections(spark, sf):
 
 @register("tokenize_truncate")
 def q_tokenize_truncate(spark, sf):
-    d = corpus.trunc_ids(spark, sf)
+    d = corpus.trunc_ids(spark, sf, 512)
     return out(d.select("article_id", F.size("token_ids").alias("n_ids"), A.ids_text("token_ids").alias("token_ids")))
 
 
@@ -160,7 +175,7 @@ def q_tokenize_truncate(spark, sf):
 def q_prompt_ids(spark, sf):
     vp = corpus.vocab_path(spark, sf)
     s = corpus.samples(spark, sf)
-    return out(s.select("article_id", A.ids_text(A.drop_last(tokenize("prompt", vp, 512))).alias("prompt_ids")))
+    return out(s.select("article_id", A.ids_text(A.drop_last(tokenize("prompt", vp))).alias("prompt_ids")))
 
 
 @register("pad_multiple")
@@ -195,20 +210,19 @@ def q_last_full_chunk(spark, sf):
     return out(d.select("article_id", A.ids_text(A.last_full_chunk("token_ids", 64)).alias("last_chunk")))
 
 
+def doubled_ids(spark, sf):
+    """Every document's ids twice, so that ids follow an EOS."""
+    return corpus.doc_ids(spark, sf).select("article_id", F.concat("token_ids", "token_ids").alias("ids"))
+
+
 @register("mask_after_eos")
 def q_mask_after_eos(spark, sf):
-    from longdoc.sources.testdata import query_text
-    vp = corpus.vocab_path(spark, sf)
-    d = corpus.table(spark, sf, "documents")
-    q = query_text(d).select("article_id", tokenize("query", vp).alias("q"))
-    t = d.select(F.col("doc_id").alias("article_id"), tokenize("text", vp).alias("t"))
-    x = q.join(t, "article_id").select("article_id", F.concat("q", "t").alias("ids"))
-    return out(x.select("article_id", A.ids_text(A.mask_after_eos("ids")).alias("masked")))
+    return out(doubled_ids(spark, sf).select("article_id", A.ids_text(A.mask_after_eos("ids")).alias("masked")))
 
 
 @register("sequence_windows")
 def q_sequence_windows(spark, sf):
-    return out(CH.sequence_windows(corpus.doc_chunks(spark, sf), "article_id", 2048, 64))
+    return out(CH.sequence_windows(corpus.doc_arrays(spark, sf), "article_id", "n_chunks", 2048, 64))
 
 
 @register("lm_shift")
@@ -220,8 +234,7 @@ def q_lm_shift(spark, sf):
 
 @register("chunk_pairs")
 def q_chunk_pairs(spark, sf):
-    ch = corpus.doc_chunks(spark, sf).select("article_id", "chunk_no", "token_ids")
-    p = CH.chunk_pairs(ch)
+    p = CH.chunk_documents(corpus.doc_ids(spark, sf), "article_id", "token_ids", with_pairs=True)
     return out(p.select("article_id", "chunk_no", A.ids_text("pair_ids").alias("pair_ids")))
 
 
@@ -244,29 +257,21 @@ def q_title_lookup_first(spark, sf):
     return out(LK.lookup_title(ids, corpus.titles_dup(spark, sf)).select("article_id", "title"))
 
 
-def sparse_neighbors(spark, sf):
-    return knn_sparse(corpus.query_tf(spark, sf), key_tf(spark, sf))
+def expanded(spark, sf):
+    return R.expand_neighbors(corpus.self_search(spark, sf), corpus.doc_arrays(spark, sf))
 
 
 @register("neighbor_expand")
 def q_neighbor_expand(spark, sf):
-    from longdoc.operators.retrieve import expand_neighbors
-    e = expand_neighbors(sparse_neighbors(spark, sf), corpus.doc_chunks(spark, sf))
-    return out(e.select("article_id", "query_no", "rank", "chunk_no", A.ids_text("pair_ids").alias("pair_ids")))
+    return out(expanded(spark, sf).select("article_id", "query_no", "rank", "chunk_no", A.ids_text("pair_ids").alias("pair_ids")))
 
 
 @register("neighbor_text")
 def q_neighbor_text(spark, sf):
-    from longdoc.operators.retrieve import expand_neighbors
+    """Only what is found is decoded; chunk i and chunk i+1 apart, joined by a space."""
     vp = corpus.vocab_path(spark, sf)
-    ch = corpus.doc_chunks(spark, sf)
-    # text of chunk i and of chunk i+1, decoded separately then joined by a space
-    second = F.slice("pair_ids", 65, 64)
-    pt = ch.where(F.col("pair_ids").isNotNull()).select(
-        "article_id", "chunk_no",
-        F.concat_ws(" ", decode("token_ids", vp), decode(second, vp)).alias("pair_text"))
-    e = expand_neighbors(sparse_neighbors(spark, sf), pt, col="pair_text")
-    return out(e.select("article_id", "query_no", "rank", "chunk_no", "pair_text"))
+    text = F.concat_ws(" ", decode(F.slice("pair_ids", 1, 64), vp), decode(F.slice("pair_ids", 65, 64), vp))
+    return out(expanded(spark, sf).select("article_id", "query_no", "rank", "chunk_no", text.alias("pair_text")))
 
 
 # ---- D: dense retrieval, collection, report ------------------------------
@@ -283,17 +288,27 @@ def q_knn_within_label(spark, sf):
 
 @register("retrieved_tokens")
 def q_retrieved_tokens(spark, sf):
-    e = R.expand_neighbors(sparse_neighbors(spark, sf), corpus.doc_chunks(spark, sf))
-    r = R.collect_retrieved(e)
+    r = R.collect_retrieved(corpus.self_search(spark, sf), CH.filter_min_chunks(corpus.doc_arrays(spark, sf)))
     txt = F.array_join(F.transform("retrieved", lambda q: A.nested_text(q, "|", " ")), "#")
     return out(r.select("article_id", txt.alias("retrieved")))
 
 
+def written_vectors(spark, sf):
+    """(source, index): the vectors, and what their written index (A10) gives back."""
+    e = corpus.table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
+    path = scratch_path(spark, "vector_index", corpus._stamp(spark, f"{sf.rstrip('/')}/embeddings.parquet"))
+    if not IO.path_exists(spark, f"{path}/_SUCCESS"):
+        IO.write_chunk_index(e, path, key="label", chunk="vec_id")
+    return e, IO.read_chunk_index(spark, path, key="label")
+
+
 @register("index_report")
 def q_index_report(spark, sf):
-    r = R.index_report(corpus.table(spark, sf, "embeddings"), "label")
+    e, index = written_vectors(spark, sf)
+    r = R.index_report(index, "label", e, "vec_id")
     return out(r.select("label", "index_key", "nb_vectors", "dim", "size_bytes",
-                        F.round("compression_ratio", 6).alias("compression_ratio"), "reconstruction_error"))
+                        F.round("compression_ratio", 6).alias("compression_ratio"),
+                        F.round("reconstruction_error", 6).alias("reconstruction_error")))
 
 
 @register("embed_chunks")
@@ -330,7 +345,7 @@ def q_gumbel(spark, sf):
 
 @register("extractive_draft")
 def q_extractive_draft(spark, sf):
-    d = S.extractive_draft(sparse_neighbors(spark, sf), corpus.doc_chunks(spark, sf), max_len=512)
+    d = S.extractive_draft(corpus.self_search(spark, sf), corpus.doc_arrays(spark, sf), None)
     return out(d.select("article_id", A.ids_text("draft_ids").alias("draft_ids")))
 
 
@@ -345,6 +360,22 @@ def q_generate(spark, sf):
     return out(S.generate(s, _echo_generator, "prompt", "prediction", batch=4))
 
 
+def _first_chunk_generator():
+    # a generator that reads the retrieval input: the first neighbour chunk's ids of the first query
+    def run(rows):
+        return [" ".join(str(x) for x in (r["retrieved"][0][0][:64] if len(r["retrieved"]) else [])) + f" #{r['article_id']}"
+                for r in rows]
+    return run
+
+
+@register("generate_retrieval")
+def q_generate_retrieval(spark, sf):
+    """E5/H5: the generator gets the sample's row with its body chunks and neighbours."""
+    s = R.collect_retrieved(corpus.self_search(spark, sf), CH.filter_min_chunks(corpus.doc_arrays(spark, sf)))
+    g = S.generate(s.select("article_id", "text_tokenized", "retrieved"), _first_chunk_generator,
+                   ["article_id", "text_tokenized", "retrieved"], "prediction", batch=4, per_task=True)
+    return out(g.select("article_id", "prediction"))
+
 # ---- F: batches -----------------------------------------------------------
 
 SPLIT_BATCH = {"train": 8, "val": 8, "test": 1}
@@ -357,16 +388,14 @@ def ranked_articles(spark, sf):
 
 def tokenized_samples(spark, sf):
     from longdoc.plans.prepare import tokenize_samples
-    vp = corpus.vocab_path(spark, sf)
-    return tokenize_samples(corpus.samples(spark, sf), vp)
+    return tokenize_samples(corpus.samples(spark, sf), corpus.tokenizer(spark, sf))
 
 
 def batched_samples(spark, sf):
-    """Rank and batch the samples first (the checkpointed ranking then holds
-    text only), then tokenize row-locally."""
+    """Rank and batch the samples first, then tokenize row-locally."""
     from longdoc.plans.prepare import tokenize_samples
     ranked = B.batch_assign(B.shuffle_seeded(corpus.samples(spark, sf)), SPLIT_BATCH)
-    return tokenize_samples(ranked, corpus.vocab_path(spark, sf))
+    return tokenize_samples(ranked, corpus.tokenizer(spark, sf))
 
 
 @register("shuffle_seeded")
@@ -380,8 +409,8 @@ def q_batch_assign(spark, sf):
     return out(b.select("split", "article_id", "pos", "batch_no"))
 
 
-def _batch_text(df, cols):
-    sel = ["split", "batch_no", F.array_join(F.transform("article_id", lambda x: x.cast("string")), ",").alias("ids")]
+def _batch_text(df, cols, more=()):
+    sel = ["split", "batch_no", *more, F.array_join(F.transform("article_id", lambda x: x.cast("string")), ",").alias("ids")]
     for c in cols:
         sel.append(A.nested_text(c, "|", " ").alias(c))
     return out(df.select(*sel))
@@ -396,12 +425,11 @@ def q_collate_decoder(spark, sf):
 @register("collate_mask")
 def q_collate_mask(spark, sf):
     vp = corpus.vocab_path(spark, sf)
-    b = batched_samples(spark, sf).withColumn("labels", tokenize("abstract", vp, 512))
-    c = B.collate_encdec(b)
-    r = _batch_text(c, ["input_ids", "labels"])
-    mask = F.array_join(F.transform(c["attention_mask"], lambda row: F.array_join(
+    b = batched_samples(spark, sf).withColumn("labels", tokenize("abstract", vp))
+    c = B.collate_by_name(b, "encdec")
+    mask = F.array_join(F.transform("attention_mask", lambda row: F.array_join(
         F.transform(row, lambda v: v.cast("string")), " ")), "|")
-    return r.join(out(c.select("split", "batch_no", mask.alias("attention_mask"))), ["split", "batch_no"])
+    return _batch_text(c.withColumn("mask", mask), ["input_ids", "labels"], [F.col("mask").alias("attention_mask")])
 
 
 @register("pad_left")
@@ -436,16 +464,13 @@ def q_flatten_batches(spark, sf):
 
 
 def retrieval_batches(spark, sf):
-    """Samples with >= 3 body chunks, their neighbour pairs and chunks."""
-    ch = corpus.doc_chunks(spark, sf)
-    tt = CH.filter_min_chunks(corpus.doc_ids(spark, sf).select(
-        "article_id", A.chunk_array("token_ids", 64).alias("text_tokenized"))
-        .withColumn("n_chunks", F.size("text_tokenized"))).drop("n_chunks")
-    ret = R.collect_retrieved(R.expand_neighbors(sparse_neighbors(spark, sf), ch))
-    s = corpus.samples(spark, sf).select("split", "article_id", "ord").join(tt, "article_id")
-    s = s.join(ret, "article_id", "left").withColumn(
-        "retrieved", F.coalesce("retrieved", F.array().cast("array<array<array<int>>>")))
-    return B.batch_assign(B.shuffle_seeded(s), 8)
+    """Samples with >= 3 body chunks, their neighbour pairs and chunks. Ranked first: a sample's
+    arrays are joined to its batch number, not ranked along."""
+    ranked = corpus.samples(spark, sf).select("split", "article_id", "ord").join(
+        CH.filter_min_chunks(corpus.doc_arrays(spark, sf)).select("article_id"), "article_id")
+    ranked = B.batch_assign(B.shuffle_seeded(ranked), 8)
+    tt = CH.filter_min_chunks(corpus.doc_arrays(spark, sf)).drop("n_chunks")
+    return ranked.join(R.collect_retrieved(corpus.self_search(spark, sf), tt), "article_id")
 
 
 @register("collate_retrieved")
@@ -504,7 +529,7 @@ def q_rouge_corpus_mean(spark, sf):
 
 @register("rouge_bootstrap")
 def q_rouge_bootstrap(spark, sf):
-    return M.bootstrap_mid(M.rouge_n(pairs(spark, sf), 1))
+    return M.bootstrap_mid(M.rouge_n(pairs(spark, sf), 1)).drop("metric")
 
 
 @register("greedy_match")
@@ -534,10 +559,11 @@ def q_weighted_mean(spark, sf):
 
 @register("corpus_stats")
 def q_corpus_stats(spark, sf):
-    a = corpus.articles(spark, sf).select("split", "article_id",
-                                          F.size(TX.words(TX.flatten_abstract("abstract_text"))).alias("n_abstract"))
-    d = corpus.doc_ids(spark, sf).select("article_id", F.size("token_ids").alias("n_tokens"))
-    j = a.join(d, "article_id").withColumn("n_chunks", F.ceil(F.col("n_tokens") / 64))
+    vp = corpus.vocab_path(spark, sf)
+    j = corpus.articles(spark, sf).select(
+        "split", F.size(TX.words(TX.flatten_abstract("abstract_text"))).alias("n_abstract"),
+        F.size(tokenize(F.array_join("article_text", "\n"), vp)).alias("n_tokens")).withColumn(
+        "n_chunks", F.ceil(F.col("n_tokens") / 64))
     return _r6(M.corpus_stats(j), ["mean_tokens", "p50_tokens", "p90_tokens", "mean_chunks", "mean_abstract"])
 
 
@@ -609,9 +635,9 @@ def q_export_first_n(spark, sf):
 @register("materialize_chunks")
 def q_materialize_chunks(spark, sf):
     base = scratch_path(spark, "chunks")
-    cfg = {"src": corpus._stamp(spark, f"{sf.rstrip('/')}/documents.parquet"), "chunk_size": 64, "v": 1}
+    cfg = {"src": corpus._stamp(spark, f"{sf.rstrip('/')}/documents.parquet"), "chunk_size": 64, "v": 3}
     return out(IO.materialize(spark, lambda: corpus.doc_chunks(spark, sf), base, cfg).select(
-        "article_id", "chunk_no", "n_chunks"))
+        "article_id", "chunk_no", "n_chunks", A.ids_text("token_ids").alias("token_ids")))
 
 
 @register("chunk_index")
@@ -619,83 +645,149 @@ def q_chunk_index(spark, sf):
     path = _scratch(spark, sf, "chunk_index")
     ch = corpus.doc_chunks(spark, sf)
     IO.write_chunk_index(R.embed(ch.select("article_id", "chunk_no", "token_ids"), "token_ids"), path)
-    return out(IO.read_chunk_index(spark, path).select("article_id", "chunk_no",
-                                                       F.size("embedding").alias("dim")))
+    return out(IO.read_chunk_index(spark, path).select("article_id", "chunk_no", F.posexplode("embedding").alias("d", "value")))
+
+
+RESULT_ORDER = ["conv_id", "turn"]
+
+
+def result_preds(spark, sf):
+    return pairs(spark, sf).select("id", "conv_id", "turn", F.col("reference").alias("truth_output"),
+                                   F.col("prediction").alias("model_answer"))
 
 
 @register("results_roundtrip")
 def q_results_roundtrip(spark, sf):
     from longdoc.plans.evaluate import score_pairs, score_record
     path = _scratch(spark, sf, "results")
-    p = pairs(spark, sf)
-    head = score_record(score_pairs(p))
-    preds = p.select("id", F.col("reference").alias("truth_output"), F.col("prediction").alias("model_answer"))
-    IO.write_results(head, preds, path)
+    IO.write_results(score_record(score_pairs(pairs(spark, sf))), result_preds(spark, sf), path, RESULT_ORDER)
     _, samples = IO.read_results(spark, path)
     return out(samples.select("id", "truth_output", "model_answer", "ordinal"))
 
 
-@register("mask_after_eos_window")
-def q_mask_after_eos_window(spark, sf):
-    from longdoc.sources.testdata import query_text
-    vp = corpus.vocab_path(spark, sf)
-    d = corpus.table(spark, sf, "documents")
-    q = query_text(d).select("article_id", tokenize("query", vp).alias("q"))
-    t = d.select(F.col("doc_id").alias("article_id"), tokenize("text", vp).alias("t"))
-    x = q.join(t, "article_id").select("article_id", F.concat("q", "t").alias("ids"))
-    m = CH.mask_after_eos_rows(x, "article_id", "ids")
-    return out(m.select("article_id", A.ids_text("ids").alias("masked")))
+@register("score_record")
+def q_score_record(spark, sf):
+    """The header of a result set: means and bootstrap midpoints."""
+    from longdoc.plans.evaluate import score_pairs, score_record
+    h = score_record(score_pairs(pairs(spark, sf)))
+    return h.select(F.round("F1", 6).alias("f1"), F.round("`Exact match`", 6).alias("exact_match"), "ROUGE.rouge1", "ROUGE.rouge2")
 
 
-def document_files(spark, sf) -> str:
-    """The documents as single-document JSON files (one object per file)."""
-    base = _scratch(spark, sf, "document_files")
-    if not IO.path_exists(spark, f"{base}/_SUCCESS"):
-        (corpus.table(spark, sf, "documents").select("doc_id", "text")
-         .repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").json(base))
-    return base
+@register("mask_after_eos_window")
+def q_mask_after_eos_window(spark, sf):
+    m = CH.mask_after_eos_rows(doubled_ids(spark, sf), "article_id", "ids")
+    return out(m.select("article_id", "chunk_no", A.ids_text("ids").alias("masked")))
 
 
 @register("read_documents")
 def q_read_documents(spark, sf):
-    d = IO.read_documents(spark, document_files(spark, sf) + "/doc_id=*/*.json")
-    doc = F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint")
-    return out(d.select(doc.alias("doc_id"), "text"))
+    path = _scratch(spark, sf, "document_lines")
+    if not IO.path_exists(spark, f"{path}/_SUCCESS"):
+        IO.write_documents(corpus.table(spark, sf, "documents"), path, "doc_id")
+    return out(IO.read_packed_documents(spark, path).select(F.col("id").cast("bigint").alias("doc_id"), "text"))
 
 
 @register("index_report_timed")
 def q_index_report_timed(spark, sf):
     """D5 with measured search times: each label's vectors searched by each
     of its vectors (tiled exact search), per-query time -> mean and p99."""
-    e = corpus.table(spark, sf, "embeddings")
+    e, index = written_vectors(spark, sf)
     q = e.select("label", F.col("vec_id").alias("query_id"), "embedding")
-    k = e.select("label", F.col("vec_id").alias("key_id"), "embedding")
+    k = index.select("label", F.col("vec_id").alias("key_id"), "embedding")
     r = R.knn_within(q, k, "label", "query_id", "key_id", k=2, exclude_self=True, with_timing=True)
     t = r.where(F.col("rank") == 1).select("label", F.col("search_ms").alias("ms"))
-    return R.index_report(e, "label", timings=t)
+    return R.index_report(index, "label", e, "vec_id", timings=t)
 
 
 # ---- the reference's three flows, end to end (rows-only) ------------------
 
+def _nested(col):
+    return F.array_join(F.transform(col, lambda q: A.nested_text(q, "|", " ")), "#")
+
+
 @register("prepare_samples")
 def q_prepare_samples(spark, sf):
     """L1: title join -> prompt -> tokens -> chunks -> top-k within the article
     -> neighbour pairs -> samples with prompt_ids, input_ids, retrieved."""
     from longdoc.plans.prepare import retrieval_samples, tokenize_samples
-    vp = corpus.vocab_path(spark, sf)
-    s = retrieval_samples(corpus.samples(spark, sf), vp)
-    t = tokenize_samples(s, vp)
+    tok = corpus.tokenizer(spark, sf)
+    t = tokenize_samples(retrieval_samples(corpus.samples(spark, sf), tok, method="sparse"), tok)
     return out(t.select("split", "article_id", F.size("prompt_ids").alias("n_prompt"),
                         F.size("input_ids").alias("n_input"), F.size("text_tokenized").alias("n_chunks"),
-                        F.size("retrieved").alias("n_retrieved")))
+                        F.size("retrieved").alias("n_retrieved"), F.md5(_nested("retrieved").cast("binary")).alias("retrieved_md5")))
+
+
+class _CharTokenizer:
+    """A caller's tokenizer (H1): one id per character, code point + 3, then EOS; row-local SQL."""
+
+    def encode(self, col, max_len=None):
+        c = F.col(col) if isinstance(col, str) else col
+        ids = F.transform(F.split(c, ""), lambda x: F.ascii(x) + 3)
+        return F.concat(ids if max_len is None else F.slice(ids, 1, max_len - 1), F.array(F.lit(1)))
+
+    def decode(self, ids):
+        c = F.col(ids) if isinstance(ids, str) else ids
+        return F.array_join(F.transform(F.filter(c, lambda x: x >= 3), lambda x: F.char(x - 3)), "")
+
+
+class _SumEncoder:
+    """A caller's chunk encoder (H3): (sum of the ids, 1), so later ids rank first."""
+
+    def encode(self, ids):
+        c = F.col(ids) if isinstance(ids, str) else ids
+        total = F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.array(total.cast("float"), F.lit(1.0).cast("float"))
+
+
+@register("prepare_hooks")
+def q_prepare_hooks(spark, sf):
+    """L1 with the caller's tokenizer and encoder (H1, H3)."""
+    from longdoc.plans.prepare import retrieval_samples
+    s = corpus.samples(spark, sf).withColumn("text", F.regexp_replace("text", "[^ -~]", "?")).withColumn(
+        "model_input", F.lit("a" * 100))
+    r = retrieval_samples(s, _CharTokenizer(), encoder=_SumEncoder())
+    return out(r.select("article_id", F.size("text_tokenized").alias("n_chunks"),
+                        F.md5(_nested("retrieved").cast("binary")).alias("retrieved_md5")))
+
+
+@register("quarantine_flow")
+def q_quarantine_flow(spark, sf):
+    """B6 in L1: of article lines, some of them cut off, the bad ones with their reasons."""
+    from longdoc.plans.prepare import prepare_dataset, read_quarantine
+    raw, titles = broken_article_files(spark, sf), raw_title_file(spark, sf)
+    base = _scratch(spark, sf, "quarantine_flow")
+    prepare_dataset(spark, raw, titles, base, vocab_path=corpus.vocab_path(spark, sf), retrieval=False)
+    bad = read_quarantine(spark, raw, titles, base)
+    return out(bad.select("split", F.col("article_id").cast("bigint").alias("article_id"), F.length("line").alias("line_chars"), "error"))
+
+
+def broken_article_files(spark, sf) -> str:
+    """The article files with the line of every 7th article cut after 20 characters."""
+    base = _scratch(spark, sf, "broken_articles")
+    if not IO.path_exists(spark, f"{base}/test.txt/_SUCCESS"):
+        a = corpus.articles(spark, sf).select("split", "article_id", F.to_json(F.struct(
+            F.col("article_id").cast("string").alias("article_id"), "abstract_text", "article_text")).alias("line"))
+        a = a.withColumn("line", F.when(F.col("article_id") % 7 == 0, F.substring("line", 1, 20)).otherwise(F.col("line")))
+        for x in IO.SPLITS:
+            a.where(F.col("split") == x).select("line").write.mode("overwrite").text(f"{base}/{x}.txt")
+    return base
+
+
+def evaluated(spark, sf):
+    from longdoc.plans.evaluate import evaluate
+    return evaluate(corpus.samples(spark, sf), corpus.tokenizer(spark, sf))[0]
 
 
 @register("evaluate_flow")
 def q_evaluate_flow(spark, sf):
-    """L2 with the extractive stand-in generator: per-pair F1/EM/ROUGE."""
-    from longdoc.plans.evaluate import evaluate
-    per, _ = evaluate(corpus.samples(spark, sf), corpus.vocab_path(spark, sf))
-    return _r6(per, ["f1", "exact_match", "rouge1", "rouge2", "rougeL", "rougeLsum"])
+    """L2 with the extractive stand-in generator: per-pair F1/EM/ROUGE-1/2 of whole documents."""
+    return _r6(evaluated(spark, sf).select("id", "f1", "exact_match", "rouge1", "rouge2"), ["f1", "exact_match", "rouge1", "rouge2"])
+
+
+@register("evaluate_flow_lcs")
+def q_evaluate_flow_lcs(spark, sf):
+    """The same flow's ROUGE-L and ROUGE-Lsum."""
+    return _r6(evaluated(spark, sf).select("id", "rougeL", "rougeLsum"), ["rougeL", "rougeLsum"])
 
 
 @register("score_result_file")
@@ -704,7 +796,11 @@ def q_score_result_file(spark, sf):
     by greedy matching of token vectors."""
     from longdoc.plans.evaluate import score_pairs, score_record, score_result_file
     path = _scratch(spark, sf, "results_l3")
-    p = pairs(spark, sf)
-    preds = p.select("id", F.col("reference").alias("truth_output"), F.col("prediction").alias("model_answer"))
-    IO.write_results(score_record(score_pairs(p)), preds, path)
-    return _r6(score_result_file(spark, path, corpus.vocab_path(spark, sf)), ["precision", "recall", "f1"])
+    IO.write_results(score_record(score_pairs(pairs(spark, sf))), result_preds(spark, sf), path, RESULT_ORDER)
+    return _r6(score_result_file(spark, path), ["precision", "recall", "f1"])
+
+
+@register("greedy_text")
+def q_greedy_text(spark, sf):
+    """G6 per pair."""
+    return _r6(M.greedy_text_match(pairs(spark, sf), ["id"]), ["precision", "recall", "f1"])

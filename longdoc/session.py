@@ -7,6 +7,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch in sessions of ours: a row is a whole document.
+ARROW_BATCH_ROWS = 1024
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app: str = "longdoc", conf: dict | None = None) -> SparkSession:
@@ -18,6 +21,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "16g"))
@@ -33,15 +37,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for materialised tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    folder is created and registered, so ``checkpoint()`` works too.
+    Read from ``spark.checkpoint.dir`` (or the checkpoint folder set on the context). Where it is
+    unset, a local session, whose one process is all its executors, gets a temporary
+    folder; on a cluster that is an error, as executors wouldn't see it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        jsc = spark.sparkContext._jsc
-        cur = jsc.sc().getCheckpointDir()
+        cur = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = cur.get() if cur.isDefined() else None
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="longdoc-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -53,8 +60,9 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 def ensure_parallelism(df, factor: int = 2):
     """Spread a scan that yields fewer partitions than the cluster has cores
-    (e.g. one large Parquet row group) before CPU-heavy row-local work. On
-    large inputs the scan already has enough splits and nothing is added."""
+    (e.g. one large Parquet row group, which Spark can't split) before CPU-heavy row-local
+    work. On large inputs the scan already has enough splits and nothing is added; the rows
+    and results are the same either way."""
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism * factor
     if df.rdd.getNumPartitions() < target:
@@ -63,7 +71,6 @@ def ensure_parallelism(df, factor: int = 2):
 
 
 _SHIPPED: set = set()
-ARROW_BATCH_ROWS = 1024
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -73,8 +80,9 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    # Arrow batches for the text UDFs: a batch is whole documents, so cap it
-    # by rows when the session still has the generic default (10000 rows)
+    # A row of an Arrow batch is a whole document here, so the generic bound of 10000 rows
+    # is no bound of a worker's memory. A session that has left it at that default gets
+    # ours; results don't depend on it.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     import zipfile

@@ -15,8 +15,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longdoc.constants import SPLIT_CAP
-
 ARTICLE_SCHEMA = ("article_id STRING, abstract_text ARRAY<STRING>, article_text ARRAY<STRING>, "
                   "section_names ARRAY<STRING>, sections ARRAY<ARRAY<STRING>>, _corrupt_record STRING")
 TITLE_SCHEMA = "id STRING, title STRING"
@@ -38,6 +36,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def input_stamp(spark: SparkSession, *paths: str) -> str:
+    """Names, lengths and change times of all files below the paths: part of the key under which
+    anything made from them is reused."""
+    found = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        if not fs.exists(p):
+            found.append(f"{path}|none")
+            continue
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def file_order() -> Column:
     """Total order of rows equal to their order in the input files."""
     return F.struct(F.col("_metadata.file_path").alias("f"),
@@ -74,25 +88,49 @@ def read_titles(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, pattern: str) -> DataFrame:
     """A3: one JSON document (``{"text": ...}``) per file; the id is the file
-    name without extension."""
-    df = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", "true").json(pattern)
+    name without extension. For imports: the driver lists a file per document, so large
+    collections belong into ``write_documents``' form."""
+    df = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(pattern)
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("id"), "text",
                      F.col("_metadata.file_path").alias("path"))
 
 
+def write_documents(df: DataFrame, path: str, id_col: str = "id") -> None:
+    """A3 at scale: single documents as JSON lines with their id, many to a file."""
+    df.select(F.col(id_col).cast("string").alias("id"), "text").write.mode("overwrite").json(path)
+
+
+def read_packed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text) of ``write_documents``' files; a corrupt line is an error."""
+    return spark.read.schema("id STRING, " + DOCUMENT_SCHEMA).option("mode", "FAILFAST").json(path)
+
+
 def write_samples(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A4: one output per split (``split=...`` directories)."""
     df.write.mode("overwrite").partitionBy("split").format(fmt).save(path)
 
 
 def read_samples(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """A5: prepared samples back, ``split`` from the directory names."""
+    """A5: prepared samples back, ``split`` from the directory names. JSON lines need the
+    schema, and a corrupt line is an error."""
     r = spark.read.format(fmt)
     if schema:
         r = r.schema(schema)
+    if fmt == "json":
+        if not schema:
+            raise ValueError("JSON samples need a schema")
+        r = r.option("mode", "FAILFAST")
     return r.load(path)
 
 
+def import_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A5/A9, import mode: the elements of an (indented) JSON array file with their
+    ``ordinal`` (from 0). One such file is one task, as it can't be split: import it once and go on
+    with JSON lines or Parquet. A corrupt file is an error."""
+    df = (spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path))
+    return df.withColumn("ordinal", F.monotonically_increasing_id())
+
+
 def config_key(config: dict) -> str:
     return hashlib.sha1(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
@@ -133,37 +171,47 @@ def export_first_n(df: DataFrame, n: int, path: str, suffix: str = "", order: li
     fs.delete(st, True)
 
 
-def cap_per_split(df: DataFrame, n: int = SPLIT_CAP, order: list[str] | None = None) -> DataFrame:
+def cap_per_split(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
     """F8: the first n surviving articles of each split."""
     from longdoc.operators.batches import first_n_per_group
     return first_n_per_group(df, n, "split", order or ["ord"])
 
 
-def write_results(scores: DataFrame, preds: DataFrame, path: str) -> None:
-    """The score record first (ordinal 0), then the samples (1..n) in
-    their order, as JSON lines; the ordinal keeps the order across part files."""
+def write_results(scores: DataFrame, preds: DataFrame, path: str, order: list[str]) -> None:
+    """The score record first (ordinal 0), then the samples (1..n) in the order of the
+    ``order`` columns (a total order, say the sample's place in its split, then its id), as
+    JSON lines; the ordinal keeps the order across part files."""
     from longdoc.operators.batches import global_rank
-    p = global_rank(preds.withColumn("_g", F.lit(0)), ["_g"], ["id"], out="ordinal").drop("_g")
+    p = global_rank(preds.withColumn("_g", F.lit(0)), ["_g"], order, out="ordinal")
+    p = p.select("id", "truth_output", "model_answer", F.col("ordinal").cast("bigint").alias("ordinal"))
     header = scores.select("*", F.lit(0).cast("bigint").alias("ordinal"))
     header.unionByName(p, allowMissingColumns=True).write.mode("overwrite").json(path)
 
 
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(score record, samples) of a result set; the header is the row
-    without an id."""
-    df = spark.read.schema(RESULT_SCHEMA).json(path)
-    return df.where(F.col("id").isNull()), df.where(F.col("id").isNotNull())
+def read_results(spark: SparkSession, path: str, array: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(score record, samples) of a result set: JSON lines of ``write_results``, or with
+    ``array`` a JSON array whose first element is the record (samples without an id get
+    their ordinal). The header has neither output nor answer; a corrupt record is an error."""
+    if array:
+        schema = RESULT_SCHEMA.rsplit(",", 1)[0]
+        df = import_array(spark, path, schema)
+        df = df.withColumn("id", F.coalesce("id", F.when(F.col("ordinal") > 0, F.col("ordinal").cast("string"))))
+        header = F.col("ordinal") == 0
+    else:
+        df = spark.read.schema(RESULT_SCHEMA).option("mode", "FAILFAST").json(path)
+        header = F.col("ordinal") == 0
+    return df.where(header), df.where(~header)
 
 
 def write_chunk_index(chunks: DataFrame, path: str, n_files: int | None = None,
-                      key: str = "article_id") -> None:
+                      key: str = "article_id", chunk: str = "chunk_no") -> None:
     """A10: chunk vectors clustered by article: range-partitioned on
     (article, chunk) and sorted, so one article's chunks are contiguous and a
     very long article spans several files instead of one; Parquet min/max
     statistics then prune files on an article filter."""
     spark = chunks.sparkSession
     n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (chunks.repartitionByRange(n, key, "chunk_no").sortWithinPartitions(key, "chunk_no")
+    (chunks.repartitionByRange(n, key, chunk).sortWithinPartitions(key, chunk)
      .write.mode("overwrite").parquet(path))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 SCHEMAS = {
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
@@ -20,7 +19,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         r = r.schema(SCHEMAS[name])
     return r.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def schema_of(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)

@@ -1,8 +1,8 @@
 """How the driver's tables stand in for the reference's inputs.
 
 articles  <- documents: article_id = ord = doc_id; split by doc_id % 10
-             (0 test, 1 val, else train); the abstract is made of the first 40
-             words cut at ". " into "<S> ... </S>" sentences; the body lines
+             (0 test, 1 val, else train); the abstract is made of all words
+             of the text, cut at ". " into "<S> ... </S>" sentences; the body lines
              are the text split at newlines.
 titles    <- pages: id = ord = page_id, title = text inside <title>.
 vectors   <- embeddings, ``label`` plays the article.
@@ -15,9 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longdoc.functions.text import first_words
+from longdoc.functions.text import words
 
-ABSTRACT_WORDS = 40
 TITLE_RE = "<title>([^<]*)</title>"
 DUPLICATE_ORD_OFFSET = 1_000_000_000_000
 
@@ -28,12 +27,12 @@ def split_of(doc_id: Column) -> Column:
 
 
 def articles_from_documents(docs: DataFrame) -> DataFrame:
-    first = F.array_join(first_words("text", ABSTRACT_WORDS), " ")
+    whole = F.array_join(words("text"), " ")
     return docs.select(
         split_of(F.col("doc_id")).alias("split"),
         F.col("doc_id").alias("article_id"),
         F.col("doc_id").alias("ord"),
-        F.transform(F.split(first, r"\. "), lambda s: F.concat(F.lit("<S> "), s, F.lit(" </S>")))
+        F.transform(F.split(whole, r"\. "), lambda s: F.concat(F.lit("<S> "), s, F.lit(" </S>")))
         .alias("abstract_text"),
         F.split(F.col("text"), "\n").alias("article_text"),
     )
@@ -53,12 +52,6 @@ def titles_with_duplicates(pages: DataFrame) -> DataFrame:
     return t.unionByName(dup)
 
 
-def query_text(docs: DataFrame) -> DataFrame:
-    """Opening words of each document, used as its one query."""
-    return docs.select(F.col("doc_id").alias("article_id"),
-                       F.array_join(first_words("text", ABSTRACT_WORDS), " ").alias("query"))
-
-
 def prediction_pairs(conv: DataFrame) -> DataFrame:
     u = conv.where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("reference"))

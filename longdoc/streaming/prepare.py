@@ -32,7 +32,7 @@ def prepared_chunks(stream: DataFrame, vocab_path: str, c: int = CHUNK_SIZE,
     if titles is not None:
         s = s.join(titles, "article_id", "inner")
     ids = s.select("article_id", tokenize("text", vocab_path).alias("ids"))
-    return chunk_documents(ids, "article_id", "ids", c)
+    return chunk_documents(ids, "article_id", "ids", c, with_pairs=True)
 
 
 def start(df: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

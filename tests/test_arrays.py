@@ -20,7 +20,7 @@ def test_pad_and_chunk(spark):
 def test_pairs_and_min_chunks(spark):
     df = spark.createDataFrame([(1, list(range(3, 14))), (2, list(range(3, 11))), (3, [3, 4, 5])],
                                "article_id long, ids array<int>")
-    ch = chunk_documents(df, "article_id", "ids", 4)
+    ch = chunk_documents(df, "article_id", "ids", 4, with_pairs=True)
     kept = filter_min_chunks(ch, 2)
     assert sorted({r.article_id for r in kept.collect()}) == [1]
     keys = {r.chunk_no: r.pair_ids for r in drop_last_chunk(kept).collect()}
@@ -63,7 +63,7 @@ def test_padding_sides_and_mask(spark):
 def test_chunks_concat_back_to_tokens(spark):
     df = spark.createDataFrame([(i, list(range(3, 3 + n))) for i, n in enumerate([1, 63, 64, 65, 200])],
                                "article_id long, ids array<int>")
-    ch = chunk_documents(df, "article_id", "ids", 64)
+    ch = chunk_documents(df, "article_id", "ids", 64, with_pairs=True)
     back = (ch.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "token_ids"))).alias("c"))
             .select("article_id", F.filter(F.flatten(F.transform("c", lambda s: s["token_ids"])), lambda x: x != 0)
                     .alias("ids")))
@@ -88,11 +88,12 @@ def test_tokenizer_special_tokens_and_decode(spark):
     from longdoc.operators.tokens import build_vocab, decode, materialize_vocab, tokenize
     corpus = spark.createDataFrame([("a b a c .",)], "text string")
     v = {r.token: r.token_id for r in build_vocab(corpus, "text", 10).collect()}
-    assert v["a"] == 3 and sorted(v.values()) == list(range(3, 3 + len(v)))
-    vp = materialize_vocab(spark, build_vocab(corpus, "text", 10), "special-test")
+    assert v["a"] == 260 and sorted(v.values()) == list(range(260, 260 + len(v)))
+    vp = materialize_vocab(spark, build_vocab(corpus, "text", 10), "special-test-2")
     df = spark.createDataFrame([("<pad>a </s>b <unk>zz",)], "t string")
     ids = df.select(tokenize("t", vp).alias("ids")).first().ids
-    assert ids == [0, v["a"], 1, v["b"], 2, 2, 1]
+    # a word outside the vocabulary is WORD and its bytes
+    assert ids == [0, v["a"], 1, v["b"], 2, 3, 4 + ord("z"), 4 + ord("z"), 1]
     cut = df.select(tokenize("t", vp, max_len=3).alias("ids")).first().ids
     assert cut == [0, v["a"], 1]
     txt = spark.createDataFrame([([v["a"], v["."], 0, 1, v["b"]],)], "ids array<int>")
@@ -102,6 +103,25 @@ def test_tokenizer_special_tokens_and_decode(spark):
 def test_decode_ignores_ids_outside_the_vocabulary(spark):
     from longdoc.operators.tokens import build_vocab, decode, materialize_vocab
     corpus = spark.createDataFrame([("a b",)], "text string")
-    vp = materialize_vocab(spark, build_vocab(corpus, "text", 10), "decode-range-test")
-    df = spark.createDataFrame([([3, 99999, 4],)], "ids array<int>")
+    vp = materialize_vocab(spark, build_vocab(corpus, "text", 10), "decode-range-test-2")
+    df = spark.createDataFrame([([260, 99999, 261],)], "ids array<int>")
     assert df.select(decode("ids", vp)).first()[0] in ("a b", "b a")
+
+
+def test_no_word_is_lost(spark):
+    """Any text's words come back from its ids, whatever the vocabulary; a cut character goes."""
+    from longdoc.operators.tokens import build_vocab, decode, materialize_vocab, tokenize
+    vp = materialize_vocab(spark, build_vocab(spark.createDataFrame([("the the of",)], "text string"), "text", 2), "no-word-lost")
+    texts = ["the  unseen of\n日本語 😀 é the", "", "  ", "x" * 500, "of the", "\u00a0the \x0b. ! a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokenize("t", vp).alias("ids"))
+    for r in df.select("t", "ids", decode("ids", vp, clean=False).alias("d")).collect():
+        assert r.d == " ".join(w for w in __import__("re").split("[ \t\n\r]+", r.t) if w) and 2 not in r.ids
+    cut = spark.createDataFrame([(["the"], [260, 3, 4 + 0xE6, 4 + 0x97]), (["x"], [4 + 0xA5, 3, 4 + ord("a")])], "a array<string>, ids array<int>")
+    assert sorted(r[0] for r in cut.select(decode("ids", vp)).collect()) == ["a", "the"]
+
+
+def test_special_ids_can_be_shown(spark):
+    from longdoc.operators.tokens import build_vocab, decode, materialize_vocab
+    vp = materialize_vocab(spark, build_vocab(spark.createDataFrame([("a",)], "text string"), "text", 2), "show-special")
+    df = spark.createDataFrame([([0, 260, 1],)], "ids array<int>")
+    assert df.select(decode("ids", vp, strip_special=False)).first()[0] == "<pad> a </s>"

@@ -54,13 +54,29 @@ def test_first_n_and_flatten(spark):
     assert flat.count() == 500
 
 
-def test_global_rank_without_broadcast(spark):
-    df = frame(spark, 200)
-    g = B.global_rank(df, ["split"], ["ord"], n_parts=5, broadcast_rows=1)
+def test_global_rank_of_slim_columns(spark):
+    df = frame(spark, 200).withColumn("text", F.lit("long text")).withColumn(
+        "split", F.when(F.col("ord") % 9 != 0, F.col("split")))  # a null split is a group of its own
+    g = B.global_rank(df, ["split"], ["ord"], n_parts=5)
+    assert g.columns == [*df.columns, "pos"]
     w = Window.partitionBy("split").orderBy("ord")
     ref = df.withColumn("pos", F.row_number().over(w))
-    assert sorted(map(tuple, g.select("split", "article_id", "pos").collect())) == \
-        sorted(map(tuple, ref.select("split", "article_id", "pos").collect()))
+    assert sorted(map(str, g.select("split", "article_id", "pos").collect())) == \
+        sorted(map(str, ref.select("split", "article_id", "pos").collect()))
+
+
+def test_collate_by_name(spark):
+    import pytest
+    df = spark.createDataFrame([("train", 0, i, i, [7] * i, [8] * i, [9], [[5] * 2] * i) for i in (1, 2)],
+                               "split string, batch_no int, pos int, article_id int, prompt_ids array<int>, input_ids array<int>, "
+                               "labels array<int>, text_tokenized array<array<int>>")
+    dec, enc = B.collate_by_name(df, "decoder").first(), B.collate_by_name(df, "encdec").first()
+    assert dec.input_ids == [[8, 1], [8, 8]] and "text_tokenized" not in dec.asDict()
+    assert enc.input_ids == [[8, 0], [8, 8]] and enc.attention_mask == [[True, False], [True, True]]
+    test = B.collate_by_name(df, "decoder", test_mode=True, c=2).first()
+    assert test.text_tokenized == [[[5, 5], [1, 1]], [[5, 5], [5, 5]]]
+    with pytest.raises(ValueError):
+        B.collate_by_name(df, "beam")
 
 
 def test_recommended_conf_scales_partitions():

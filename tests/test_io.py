@@ -58,10 +58,47 @@ def test_results_roundtrip(spark):
         "ROUGE", F.struct(F.lit(0.1).alias("rouge1"), F.lit(0.2).alias("rouge2"),
                           F.lit(0.3).alias("rougeL"), F.lit(0.4).alias("rougeLsum")))
     preds = spark.createDataFrame([("b", "t", "m"), ("a", "t2", "m2")], "id string, truth_output string, model_answer string")
-    IO.write_results(head, preds, p)
+    IO.write_results(head, preds.withColumn("ord", F.when(F.col("id") == "b", 1).otherwise(10)), p, ["ord"])
     h, s = IO.read_results(spark, p)
     assert h.first().ROUGE.rougeL == 0.3
-    assert [r.id for r in s.orderBy("ordinal").collect()] == ["a", "b"]
+    assert [r.id for r in s.orderBy("ordinal").collect()] == ["b", "a"]  # their own order, not the ids'
+
+
+def test_results_of_an_indented_array(spark):
+    d = tempfile.mkdtemp(prefix="ld-arr-")
+    rec = {"F1": 0.5, "Exact match": 0.0, "ROUGE": {"rouge1": 0.1, "rouge2": 0.2, "rougeL": 0.3, "rougeLsum": 0.4}}
+    with open(d + "/r.json", "w") as f:
+        json.dump([rec] + [{"truth_output": f"t {i}", "model_answer": "" if i == 2 else f"m {i}"} for i in range(12)], f, indent=2)
+    h, s = IO.read_results(spark, d + "/r.json", array=True)
+    assert h.count() == 1 and h.first().ROUGE.rouge2 == 0.2
+    assert [(r.ordinal, r.truth_output) for r in s.orderBy("ordinal").collect()] == [(i + 1, f"t {i}") for i in range(12)]
+    from longdoc.plans.evaluate import score_result_file
+    g = score_result_file(spark, d + "/r.json", array=True).first()
+    assert g.n == 12 and 0 < g.f1 < 1
+    with open(d + "/bad.json", "w") as f:
+        f.write('[{"F1": ')
+    import pytest
+    with pytest.raises(Exception):
+        IO.read_results(spark, d + "/bad.json", array=True)[1].collect()
+
+
+def test_samples_of_an_indented_array_and_json_lines(spark):
+    d = tempfile.mkdtemp(prefix="ld-sarr-")
+    with open(d + "/train.json", "w") as f:
+        json.dump([{"id": str(i), "input_ids": [i, 1]} for i in range(3)], f, indent=2)
+    s = IO.import_array(spark, d + "/train.json", "id string, input_ids array<int>")
+    assert [(r.ordinal, r.id, r.input_ids) for r in s.collect()] == [(i, str(i), [i, 1]) for i in range(3)]
+    IO.write_samples(s.withColumn("split", F.lit("train")), d + "/lines", "json")
+    back = IO.read_samples(spark, d + "/lines", "json", "id string, input_ids array<int>, ordinal long, split string")
+    assert back.count() == 3 and back.where("split = 'train'").count() == 3
+
+
+def test_stamp_changes_with_the_input(spark):
+    d = tempfile.mkdtemp(prefix="ld-stamp-")
+    open(d + "/a", "w").write("x")
+    one = IO.input_stamp(spark, d)
+    open(d + "/b", "w").write("y")
+    assert one != IO.input_stamp(spark, d) and IO.input_stamp(spark, d) == IO.input_stamp(spark, d)
 
 
 def test_chunk_index_and_samples(spark):

@@ -90,3 +90,45 @@ def test_classification_and_weighted_mean(spark):
     assert (r.precision, r.recall, r.f1) == (0.5, 0.5, 0.5)
     w = spark.createDataFrame([(1.0, 2), (4.0, 1)], "value double, weight int")
     assert M.weighted_mean(w).first()[0] == pytest.approx(2.0)
+
+
+def test_repeated_and_null_ids_score_by_row(spark):
+    from longdoc.operators import metrics as M
+    from longdoc.plans.evaluate import score_pairs
+    rows = [("x", "a1 b c d", "a1 b"), ("x", "e f", "g h"), (None, "same words", "same words"), ("y", None, "z"), ("z", None, None)]
+    df = spark.createDataFrame(rows, "id string, reference string, prediction string")
+    got = [(r.id, round(r.f1, 3), round(r.rouge1, 3)) for r in score_pairs(df).collect()]
+    assert got == [("x", 0.667, 0.667), ("x", 0.0, 0.0), (None, 1.0, 1.0), ("y", 0.0, 0.0), ("z", 1.0, 0.0)]
+    assert "Exchange" not in score_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert [round(r.fmeasure, 3) for r in M.rouge_n(df, 1).collect()] == [0.667, 0.0, 1.0, 0.0, 0.0]
+
+
+def test_every_pair_of_a_result_file_counts(spark):
+    from longdoc.operators.metrics import greedy_text_match
+    rows = [("1", "identical words here", "identical words here"), ("2", "something", ""), ("3", "qzx wvk", "qzx wvk"), ("4", None, None)]
+    df = spark.createDataFrame(rows, "id string, reference string, prediction string")
+    got = {r.id: round(r.f1, 6) for r in greedy_text_match(df, ["id"]).collect()}
+    assert got == {"1": 1.0, "2": 0.0, "3": 1.0, "4": 1.0}
+
+
+def test_unrelated_texts_score_low(spark):
+    import random
+
+    from longdoc.operators.metrics import greedy_text_match
+    rng = random.Random(0)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    rows = [(str(i), " ".join(word("abcdefghijklm") for _ in range(200)), " ".join(word("nopqrstuvwxyz") for _ in range(200))) for i in range(5)]
+    near = [("n", "the walking dogs", "the walked dog")]
+    got = {r.id: r.f1 for r in greedy_text_match(spark.createDataFrame(rows + near, "id string, reference string, prediction string"), ["id"]).collect()}
+    assert all(got[str(i)] < 0.15 for i in range(5)) and 0.5 < got["n"] < 1
+
+
+def test_bootstrap_is_of_the_rows(spark):
+    import numpy as np
+
+    from longdoc.operators.metrics import bootstrap_mid, bootstrap_weights, replicate_factors
+    w = bootstrap_weights(np.random.default_rng(0).integers(0, 1 << 52, 4000), replicate_factors(50, 42))
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    df = spark.createDataFrame([(str(i), float(i % 7)) for i in range(500)], "id string, fmeasure double")
+    a, b = (bootstrap_mid(x).first() for x in (df, df.repartition(5)))
+    assert abs(a.mid - 2.99) < 0.05 and a.low < a.mid < a.high and (a.low, a.mid, a.high) == (b.low, b.mid, b.high)

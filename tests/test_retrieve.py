@@ -60,7 +60,12 @@ def test_sparse_matches_brute_force(spark):
     keys = {(1, 0): {3: 1, 9: 3}, (1, 1): {3: 2, 4: 1}, (1, 2): {4: 5}, (2, 0): {6: 1}, (2, 1): {5: 2}}
     rows = [(a, c, int(sum(v * v for v in tf.values())), t, n) for (a, c), tf in keys.items() for t, n in tf.items()]
     k = spark.createDataFrame(rows, "article_id long, chunk_no int, norm2 long, token_id int, tf long")
-    got = [(r.article_id, r.rank, r.chunk_no) for r in knn_sparse(q, k, k=2).orderBy("article_id", "rank").collect()]
+    n_keys = {1: 3, 2: 2}
+    queries = spark.createDataFrame([(1, 0, 3), (2, 0, 2), (2, 1, 2)], "article_id long, query_no int, n_keys int")
+    found = knn_sparse(q, k, queries, k=2).orderBy("article_id", "rank").collect()
+    # a query without a common token has the lowest keys
+    assert [(r.rank, r.chunk_no, r.score) for r in found if (r.article_id, r.query_no) == (2, 1)] == [(1, 0, 0.0), (2, 1, 0.0)]
+    got = [(r.article_id, r.rank, r.chunk_no) for r in found if r.query_no == 0]
     qv = {1: {3: 2, 4: 1}, 2: {5: 1}}
     exp = []
     for a, qt in qv.items():
@@ -69,10 +74,12 @@ def test_sparse_matches_brute_force(spark):
             if aa != a:
                 continue
             d = sum(qt.get(t, 0) * n for t, n in tf.items())
-            if d:
-                sc.append((-d / np.sqrt(sum(v * v for v in tf.values())), c))
+            sc.append((-d / np.sqrt(sum(v * v for v in tf.values())), c))
         exp += [(a, i + 1, c) for i, (_, c) in enumerate(sorted(sc)[:2])]
+        assert len(sc) == n_keys[a]
     assert got == exp
+    alone = knn_sparse(q, k, queries, k=2, exclude_self=True).where("article_id = 1").collect()
+    assert sorted(r.chunk_no for r in alone) == [1, 2]
 
 
 def test_tiled_with_string_groups_and_timing(spark):
@@ -90,16 +97,19 @@ def test_tiled_with_string_groups_and_timing(spark):
 def test_sparse_topk_unchanged_under_repartition(spark):
     from longdoc.plans import corpus
     from longdoc.plans.registry import key_tf
-    q = corpus.query_tf(spark, SF_SMALL)
     k = key_tf(spark, SF_SMALL)
-    a = sorted(tuple(r) for r in knn_sparse(q, k).select("article_id", "rank", "chunk_no").collect())
-    b = sorted(tuple(r) for r in knn_sparse(q.repartition(7, "token_id"), k.repartition(3))
-               .select("article_id", "rank", "chunk_no").collect())
+    q = k.drop("norm2").withColumnRenamed("chunk_no", "query_no")
+    n = corpus.doc_arrays(spark, SF_SMALL).where("n_chunks >= 3").select(
+        "article_id", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 2)).alias("query_no"), (F.col("n_chunks") - 1).alias("n_keys"))
+    cols = ["article_id", "query_no", "rank", "chunk_no"]
+    a = sorted(tuple(r) for r in knn_sparse(q, k, n).select(cols).collect())
+    b = sorted(tuple(r) for r in knn_sparse(q.repartition(7, "token_id"), k.repartition(3), n.repartition(2)).select(cols).collect())
     assert a == b and a
     ranks = {}
-    for art, rank, _ in a:
-        ranks.setdefault(art, []).append(rank)
-    assert all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= 2 for v in ranks.values())
+    for art, query, rank, _ in a:
+        ranks.setdefault((art, query), []).append(rank)
+    want = {(r.article_id, r.query_no): list(range(1, min(2, r.n_keys) + 1)) for r in n.collect()}
+    assert {x: sorted(v) for x, v in ranks.items()} == want
 
 
 def test_tiled_mixed_small_and_big_groups(spark):
@@ -113,7 +123,7 @@ def test_tiled_mixed_small_and_big_groups(spark):
     df = spark.createDataFrame(rows, "g int, id long, embedding array<double>")
     q = df.select("g", F.col("id").alias("qid"), "embedding")
     k = df.select("g", F.col("id").alias("kid"), "embedding")
-    tiled = knn_within(q, k, "g", "qid", "kid", k=3, block=16, exclude_self=True, buckets=2)
+    tiled = knn_within(q, k, "g", "qid", "kid", k=3, block=16, exclude_self=True)
     rel = knn_within_sql(q, k, "g", "qid", "kid", k=3, exclude_self=True)
     a = sorted((r.g, r.qid, r.rank, r.kid, round(r.score, 9)) for r in tiled.collect())
     b = sorted((r.g, r.qid, r.rank, r.kid, round(r.score, 9)) for r in rel.collect())
@@ -134,10 +144,32 @@ def test_embed_with_user_encoder(spark):
 
 def test_collect_retrieved_nesting_order(spark):
     from longdoc.operators.retrieve import collect_retrieved
-    rows = [(1, 2, 2, [7]), (1, 0, 1, [1]), (1, 2, 1, [6]), (1, 0, 2, [2]), (1, 1, 1, [4]), (2, 0, 1, [9])]
-    df = spark.createDataFrame(rows, "article_id long, query_no int, rank int, pair_ids array<int>")
-    got = {r.article_id: r.retrieved for r in collect_retrieved(df.repartition(3)).collect()}
-    assert got == {1: [[[1], [2]], [[4]], [[6], [7]]], 2: [[[9]]]}
+    from longdoc.operators.retrieve import expand_neighbors
+    rows = [(1, 2, 2, 0), (1, 0, 1, 1), (1, 2, 1, 2), (1, 0, 2, 0), (1, 1, 1, 2), (2, 0, 1, 0)]
+    df = spark.createDataFrame(rows, "article_id long, query_no int, rank int, chunk_no int").repartition(3)
+    art = spark.createDataFrame([(1, [[1, 2], [3, 4], [5, 6], [7, 0]]), (2, [[8], [9]]), (3, [[5]])],
+                                "article_id long, text_tokenized array<array<int>>")
+    got = {r.article_id: r.retrieved for r in collect_retrieved(df, art).collect()}
+    assert got == {1: [[[3, 4, 5, 6], [1, 2, 3, 4]], [[5, 6, 7, 0]], [[5, 6, 7, 0], [1, 2, 3, 4]]], 2: [[[8, 9]]], 3: []}
+    rows = {(r.article_id, r.query_no, r["rank"]): (r.chunk_no, r.pair_ids) for r in expand_neighbors(df, art).collect()}
+    assert len(rows) == 6 and rows[(1, 2, 2)] == (0, [1, 2, 3, 4])
+
+
+def test_report_of_a_written_index(spark, tmp_path):
+    from longdoc.operators.retrieve import index_report
+    from longdoc.sources.io import read_chunk_index, write_chunk_index
+    rng = np.random.default_rng(0)
+    rows = [(int(i % 2), i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    e = spark.createDataFrame(rows, "label int, vec_id long, embedding array<float>")
+    write_chunk_index(e, str(tmp_path / "i"), key="label", chunk="vec_id")
+    index = read_chunk_index(spark, str(tmp_path / "i"))
+    q = e.select("label", F.col("vec_id").alias("qid"), "embedding")
+    t = knn_within(q, e.withColumnRenamed("vec_id", "kid"), "label", "qid", "kid", k=1, with_timing=True)
+    r = index_report(index, "label", e, "vec_id", timings=t.select("label", F.col("search_ms").alias("ms"))).collect()
+    assert [(x.nb_vectors, x.dim, x.size_bytes, x.reconstruction_error) for x in r] == [(150, 8, 150 * (32 + 8), 0.0)] * 2
+    assert all(x.p99_search_ms > x.avg_search_ms > 0 for x in r)
+    lossy = index.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 1).cast("float")))
+    assert all(0 < x.reconstruction_error < 1 for x in index_report(lossy, "label", e, "vec_id").collect())
 
 
 def test_top_columns_equals_stable_sort():

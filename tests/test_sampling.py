@@ -39,7 +39,6 @@ def test_generate_batches(spark):
 def test_extractive_draft(spark):
     nb = spark.createDataFrame([(1, 0, 1, 2), (1, 1, 1, 2), (1, 2, 1, 0), (1, 0, 2, 1)],
                                "article_id long, query_no int, rank int, chunk_no int")
-    ch = spark.createDataFrame([(1, 0, [1, 2]), (1, 1, [3, 4]), (1, 2, [5, 6])],
-                               "article_id long, chunk_no int, pair_ids array<int>")
-    d = S.extractive_draft(nb, ch, max_len=3).first()
-    assert d.draft_ids == [5, 6, 1]
+    art = spark.createDataFrame([(1, [[1], [2], [5], [6]])], "article_id long, text_tokenized array<array<int>>")
+    assert S.extractive_draft(nb, art, max_len=3).first().draft_ids == [5, 6, 1]
+    assert S.extractive_draft(nb, art, None).first().draft_ids == [5, 6, 1, 2]  # chunk 2 once

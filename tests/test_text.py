@@ -6,11 +6,9 @@ from longdoc.operators.lookup import lookup_title, quarantine, title_map
 
 def test_abstract_and_prompt(spark):
     df = spark.createDataFrame([(["<S> a b . </S>", "<S> c . </S>"], "T")], "s array<string>, t string")
-    r = df.select(TX.flatten_abstract("s").alias("a"), TX.build_prompt("t").alias("p"),
-                  TX.build_model_input("t", F.lit("x")).alias("m")).first()
+    r = df.select(TX.flatten_abstract("s").alias("a"), TX.build_prompt("t").alias("p")).first()
     assert r.a == "a b . c ."
     assert r.p == "<pad>title: T abstract: "
-    assert r.m == "<pad>title: T abstract: x"
 
 
 def test_new_style_id_and_strip(spark):
