@@ -2,10 +2,10 @@
 
 Every participant of a dialogue gets a rendering of it in which their own turns
 are the assistant's, those of all others are turns of named users and system turns stay
-the system's. Only the assistant's words bear loss. All of it is joins and
-aggregates: the turns are joined with the distinct speakers of their dialogue, so a
-very long dialogue is a skewed join key, and renderings are assembled in parts of
-``PART_TURNS`` turn numbers, so no part grows with its dialogue.
+the system's. Only the assistant's words bear loss. All of it is DataFrame code: the
+turns are gathered in parts of ``PART_TURNS`` turn numbers, so no part grows with its
+dialogue, and each part is joined with the distinct speakers of the whole dialogue (broadcast
+only while they are counted as few) and rendered for each of them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longdoc.llm.common import BROADCAST_IDS, materialize
+
 #: Turn numbers of one part of a rendering.
 PART_TURNS = 256
 SYSTEM = "system"
@@ -28,30 +30,20 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "<$1>")
 
 
-def turns_by_perspective(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
-                         text: str = "text") -> DataFrame:
-    """One row per turn and participant: conv_id, perspective, turn, speaker, role,
-    head, body, tail. ``head + body + tail`` is the rendered turn; the body with its end
-    mark bears loss where the role is assistant."""
-    own = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
-                       F.coalesce(F.col(role).cast("string"), F.lit(NOBODY)).alias("speaker"),
-                       _clean(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    speakers = (own.where(~F.col("speaker").isin(SYSTEM, NOBODY))
-                .select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct())
-    both = own.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    shown = (F.when(F.col("speaker") == F.col("perspective"), F.lit("assistant"))
-             .when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).otherwise(F.lit("user")))
-    name = F.when((F.col("role") == "user") & (F.col("speaker") != NOBODY), F.concat(F.lit(" name="), F.col("speaker")))
-    return both.withColumn("role", shown).select(
-        "conv_id", "perspective", "turn", "speaker", "role",
-        F.concat(F.lit(BEGIN), F.col("role"), F.coalesce(name, F.lit("")), F.lit(MIDDLE)).alias("head"), "body",
-        F.lit(END).alias("tail"))
+def _shown(x: Column, perspective: Column) -> Column:
+    """A turn as ``perspective`` sees it: struct(role, head, body)."""
+    role = (F.when(x["speaker"] == perspective, F.lit("assistant"))
+            .when(x["speaker"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.lit("user")))
+    named = (x["speaker"] != perspective) & ~x["speaker"].isin(SYSTEM, NOBODY)
+    head = F.concat(F.lit(BEGIN), role, F.when(named, F.concat(F.lit(" name="), x["speaker"])).otherwise(F.lit("")), F.lit(MIDDLE))
+    return F.struct(role.alias("role"), head.alias("head"), x["body"].alias("body"))
 
 
 def render(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
            part_turns: int = PART_TURNS) -> DataFrame:
     """Renderings: conv_id, perspective, part, n_turns, rendered (string), masks
-    (array<struct<start,length>>: the code points of ``rendered`` that bear loss).
+    (array<struct<start,length>>: the code points of ``rendered`` that bear loss, a turn's
+    body with its end mark).
 
     Turns are in the order of turn, then speaker, then text; part p has the turn
     numbers from p * part_turns on. Null: a turn number sorts first, in part -1; a
@@ -59,23 +51,30 @@ def render(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     Repeated rows are turns each. A dialogue without a participant (system turns
     only) and an empty table give no row. Other columns are not read.
     """
-    rows = turns_by_perspective(turns, conv_id, turn, role, text)
+    own = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
+                       F.coalesce(F.col(role).cast("string"), F.lit(NOBODY)).alias("speaker"),
+                       _clean(F.coalesce(F.col(text), F.lit(""))).alias("body"))
     part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")
-    piece = F.struct(F.col("turn"), F.col("speaker"), F.col("body"), F.col("head"), F.col("role"))
-    grouped = rows.groupBy("conv_id", "perspective", part.alias("part")).agg(F.array_sort(F.collect_list(piece)).alias("t"))
+    parts = own.groupBy("conv_id", part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("t"))
+    speakers = materialize(own.where(~F.col("speaker").isin(SYSTEM, NOBODY))
+                           .select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct(), "speakers")
+    if speakers.count() <= BROADCAST_IDS:
+        speakers = F.broadcast(speakers)
+    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn(
+        "t", F.transform("t", lambda x: _shown(x, F.col("perspective"))))
     whole = lambda x: F.concat(x["head"], x["body"], F.lit(END))
-    # one pass over the turns: text so far, and a mask for each turn of the assistant's
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("masks"))
+    # one pass over the turns: the length so far, and a mask for each turn of the assistant's
+    none = F.array().cast("array<struct<start:int,length:int>>")
 
     def add(acc: Column, x: Column) -> Column:
-        head, own = F.char_length(x["head"]), F.char_length(x["body"]) + len(END) - 1
-        mask = F.when(x["role"] == "assistant", F.array(F.struct((acc["at"] + head).alias("start"), own.alias("length"))))
-        return F.struct((acc["at"] + head + own + 1).alias("at"),
-                        F.concat(acc["masks"], F.coalesce(mask, F.array().cast("array<struct<start:int,length:int>>"))).alias("masks"))
-
-    return grouped.select("conv_id", "perspective", "part", F.size("t").alias("n_turns"),
-                          F.array_join(F.transform("t", whole), "").alias("rendered"),
-                          F.aggregate("t", start, add)["masks"].alias("masks"))
+        head, length = F.char_length(x["head"]), F.char_length(x["body"]) + len(END) - 1
+        mask = F.when(x["role"] == "assistant", F.array(F.struct((acc["at"] + head).alias("start"), length.alias("length")))).otherwise(none)
+        return F.struct((acc["at"] + head + length + 1).alias("at"), F.concat(acc["masks"], mask).alias("masks"))
+
+    return seen.select("conv_id", "perspective", "part", F.size("t").alias("n_turns"),
+                       F.array_join(F.transform("t", whole), "").alias("rendered"),
+                       F.aggregate("t", F.struct(F.lit(0).alias("at"), none.alias("masks")), add)["masks"].alias("masks"))
 
 
 def digest(rendered: DataFrame) -> DataFrame:
