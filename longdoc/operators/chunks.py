@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longdoc.constants import CHUNK_SIZE, FIRST_REAL_ID, N_NEIGHBORS, PAD
+from longdoc.constants import CHUNK_SIZE, FIRST_BYTE_ID, FIRST_PIECE_ID, N_NEIGHBORS, PAD
 from longdoc.functions.arrays import chunk_array, full_chunks
 
+#: Terms of spelled words lie above this, those of the vocabulary below.
+SPELLED = 1 << 30
+
 
 def chunk_documents(df: DataFrame, key: str = "article_id", ids: str = "token_ids",
                     c: int = CHUNK_SIZE, with_pairs: bool = False,
@@ -84,12 +87,28 @@ def sequence_windows(docs: DataFrame, key: str = "article_id", n_chunks: str = "
                       (last - F.col("seq_no") * per + 1).alias("n_chunks"))
 
 
-def tf_batch(offsets: np.ndarray, ids: np.ndarray):
-    """Per-row term frequencies of id lists (offsets, flat ids), vectorised:
-    one sort of (row, id) keys for the whole Arrow batch."""
-    n = len(offsets) - 1
-    rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-    key = (rows << 32) | ids.astype(np.int64)
+def terms_of(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, terms) of id rows: a piece is its id, a spelled word one term, 2^30 and 28 bits of
+    the md5 of its bytes (also what a chunk border has left of it). WORD and special ids
+    are no terms."""
+    import hashlib
+    piece = ids >= FIRST_PIECE_ID
+    byte = (ids >= FIRST_BYTE_ID) & ~piece
+    at = np.flatnonzero(byte)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (rows[at[1:]] != rows[at[:-1]])
+    start = np.flatnonzero(new)
+    raw = (ids[at] - FIRST_BYTE_ID).astype(np.uint8).tobytes()
+    words = [raw[a:b] for a, b in zip(start.tolist(), [*start[1:].tolist(), len(at)], strict=True)] if len(at) else []
+    code = {w: SPELLED + int(hashlib.md5(w.hex().upper().encode()).hexdigest()[:7], 16) for w in set(words)}
+    spelled = np.array([code[w] for w in words], np.int64)
+    return np.concatenate([rows[piece], rows[at[start]]]), np.concatenate([ids[piece].astype(np.int64), spelled])
+
+
+def tf_batch(rows: np.ndarray, terms: np.ndarray, n: int):
+    """Per-row term frequencies, vectorised: one sort of (row, term) keys for the whole
+    Arrow batch."""
+    key = (rows.astype(np.int64) << 32) | terms
     key.sort()  # numpy sorts many times as fast as it finds unique values
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     uniq, counts = key[first], np.diff(np.r_[first, len(key)])
@@ -109,9 +128,9 @@ _TF_TYPE = T.StructType([T.StructField("token_id", T.ArrayType(T.IntegerType()))
 def _tf_udf(ids: pa.Array) -> pa.Array:
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
-    offs = pc.subtract(ids.offsets, ids.offsets[0]).to_numpy()
+    rows = pc.list_parent_indices(ids).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
-    new_offs, utok, cnt, norm2 = tf_batch(offs, flat)
+    new_offs, utok, cnt, norm2 = tf_batch(*terms_of(rows, flat), len(ids))
     o = pa.array(new_offs)
     return pa.StructArray.from_arrays(
         [pa.ListArray.from_arrays(o, pa.array(utok)), pa.ListArray.from_arrays(o, pa.array(cnt)),
@@ -123,11 +142,10 @@ _TF_TYPE_ARROW = pa.struct([("token_id", pa.list_(pa.int32())), ("tf", pa.list_(
 
 
 def chunk_tf(chunks: DataFrame, keys: list[str], ids: str = "token_ids") -> DataFrame:
-    """Term frequencies of the real tokens (ids >= 3) of each chunk and the
-    chunk's squared L2 norm, one row per (chunk, token). Row-local: the counts
-    come from one vectorised sort per Arrow batch, then an explode."""
-    real = F.filter(F.col(ids), lambda x: x >= FIRST_REAL_ID)
-    base = chunks.select(*keys, _tf_udf.asNondeterministic()(real).alias("_tf"))
+    """Term frequencies of each chunk (``terms_of``) and the chunk's squared L2 norm, one
+    row per (chunk, term). Row-local: the counts come from one vectorised sort per Arrow
+    batch, then an explode."""
+    base = chunks.select(*keys, _tf_udf.asNondeterministic()(F.col(ids)).alias("_tf"))
     z = F.arrays_zip(F.col("_tf.token_id").alias("token_id"), F.col("_tf.tf").alias("tf"))
     return (base.select(*keys, F.col("_tf.norm2").alias("norm2"), F.explode(z).alias("_e"))
             .select(*keys, "norm2", F.col("_e.token_id").alias("token_id"),

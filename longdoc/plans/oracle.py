@@ -91,13 +91,26 @@ chunks AS (SELECT c.article_id, c.chunk_no, n.n_chunks,
            FROM _ch c JOIN _nch n USING (article_id))
 """
 
+def term_ctes(name: str, src: str, keys: str) -> str:
+    """``name``({keys}, token_id, tf): a piece is its id, a spelled word (or what a chunk border
+    has left of it) one term from the md5 of its bytes."""
+    return f"""
+_{name}_w AS (SELECT {keys}, pos, id, sum(CASE WHEN id = 3 OR id >= 260 THEN 1 ELSE 0 END)
+                OVER (PARTITION BY {keys} ORDER BY pos) AS wd FROM {src} WHERE id >= 3),
+_{name}_h AS (SELECT {keys}, wd, 1073741824 + CAST('0x' || substr(md5(string_agg(printf('%02X', id - 4), '' ORDER BY pos)), 1, 7) AS BIGINT) AS token_id
+              FROM _{name}_w WHERE id BETWEEN 4 AND 259 GROUP BY ALL),
+{name} AS (SELECT {keys}, token_id, CAST(count(*) AS BIGINT) AS tf FROM (
+             SELECT {keys}, CAST(id AS BIGINT) AS token_id FROM _{name}_w WHERE id >= 260
+             UNION ALL SELECT {keys}, token_id FROM _{name}_h) GROUP BY ALL)
+"""
+
+
 # every chunk but the last, of documents with 3 chunks or more, searches the
 # others of its document; the lowest chunks fill up to 2 neighbours
 SPARSE = f"""
 _keys AS (SELECT * FROM chunks WHERE n_chunks >= 3 AND chunk_no < n_chunks - 1),
-key_tf AS (SELECT article_id, chunk_no, token_id, CAST(count(*) AS BIGINT) AS tf
-           FROM (SELECT article_id, chunk_no, unnest(token_ids) AS token_id FROM _keys)
-           WHERE token_id >= 3 GROUP BY ALL),
+_kid AS (SELECT article_id, chunk_no, unnest(token_ids) AS id, unnest(range({C})) AS pos FROM _keys),
+{term_ctes("key_tf", "_kid", "article_id, chunk_no").strip()},
 key_norm AS (SELECT article_id, chunk_no, CAST(sum(tf * tf) AS BIGINT) AS norm2 FROM key_tf GROUP BY ALL),
 _dots AS (SELECT q.article_id, q.chunk_no AS query_no, k.chunk_no, sum(q.tf * k.tf) AS dot
           FROM key_tf q JOIN key_tf k ON q.article_id = k.article_id AND q.token_id = k.token_id
@@ -813,8 +826,8 @@ def _search(name: str, queries: str) -> str:
 
 _QUERY_ROWS = f"""
 _qn AS (SELECT article_id, max(pos) // {C} + 1 AS n FROM input_ids GROUP BY ALL),
-qc_tf AS (SELECT article_id, pos // {C} AS query_no, id AS token_id, CAST(count(*) AS BIGINT) AS tf
-          FROM input_ids WHERE id >= 3 GROUP BY ALL)
+_qid AS (SELECT article_id, pos // {C} AS query_no, pos, id FROM input_ids),
+{term_ctes("qc_tf", "_qid", "article_id, query_no").strip()}
 """
 
 # L1: samples with 3 body chunks or more; every chunk of the whole input but the

@@ -125,3 +125,22 @@ def test_special_ids_can_be_shown(spark):
     vp = materialize_vocab(spark, build_vocab(spark.createDataFrame([("a",)], "text string"), "text", 2), "show-special")
     df = spark.createDataFrame([([0, 260, 1],)], "ids array<int>")
     assert df.select(decode("ids", vp, strip_special=False)).first()[0] == "<pad> a </s>"
+
+
+def test_terms_of_spelled_words():
+    import hashlib
+
+    import numpy as np
+
+    from longdoc.operators.chunks import SPELLED, terms_of, tf_batch
+    b = lambda w: [4 + x for x in w.encode()]
+    term = lambda w: SPELLED + int(hashlib.md5(w.encode().hex().upper().encode()).hexdigest()[:7], 16)
+    # row 0 begins inside a word; rows 0 and 1 end and begin with bytes, which don't run together
+    flat = [[*b("il"), 300, 3, *b("zz"), 3, *b("zz"), 1, 0], [*b("zz"), 260, 260, 2], []]
+    rows = np.repeat(np.arange(3), [len(x) for x in flat])
+    r, t = terms_of(rows, np.array([y for x in flat for y in x]))
+    assert sorted(zip(r.tolist(), t.tolist())) == sorted([(0, term("il")), (0, 300), (0, term("zz")), (0, term("zz")),
+                                                          (1, term("zz")), (1, 260), (1, 260)])
+    offs, tok, tf, norm2 = tf_batch(r, t, 3)
+    assert offs.tolist() == [0, 3, 5, 5] and norm2.tolist() == [6, 5, 0]
+    assert dict(zip(tok[:3].tolist(), tf[:3].tolist())) == {300: 1, term("il"): 1, term("zz"): 2}
