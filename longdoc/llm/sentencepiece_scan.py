@@ -28,6 +28,7 @@ checked when the model is loaded, and whole chunks are words if it doesn't hold.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,8 +41,9 @@ from longdoc.llm.common import materialize
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
-#: Words that a worker remembers.
-MEMO = 400_000
+#: Words that a worker remembers in each of two generations: when the younger is full, it
+#: becomes the older, and a word found there is remembered anew.
+MEMO = 200_000
 SPACE = "▁"
 #: What an unknown character costs beyond the worst piece, as in the format's own encoder.
 UNKNOWN_PENALTY = 10.0
@@ -80,7 +82,9 @@ class Model:
         self.unknown = worst - UNKNOWN_PENALTY
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if splits else "(?s).+")
         self.splits = splits
-        self.memo: dict[str, tuple[float, tuple[int, ...]]] = {}
+        self.memo: dict[str, tuple[float, bytes]] = {}
+        self.older: dict[str, tuple[float, bytes]] = {}
+        self.shown = pa.array(self.bytes_of, pa.large_binary())
 
     def normalize(self, text: str) -> str:
         return self.processor.normalize(text)
@@ -116,34 +120,37 @@ class Model:
     def ids_of(self, s: str, start: int, end: int, piece: int) -> list[int]:
         return [piece] if piece >= 0 else [self.byte_ids[b] for b in s[start:end].encode("utf-8", "surrogatepass")]
 
-    def back(self, s: str, last: list[tuple[int, int]], end: int) -> tuple[int, list[int]]:
-        """The entry position that the best path to ``end`` comes from, and its ids."""
+    def back(self, s: str, last: list[tuple[int, int]], end: int) -> tuple[int, bytes]:
+        """The entry position that the best path to ``end`` comes from, and its ids
+        (little-endian unsigned 32-bit numbers, as everywhere here)."""
         parts = []
         while last[end][0] >= 0:
             start, piece = last[end]
             parts.append(self.ids_of(s, start, end, piece))
             end = start
-        return end, [i for p in reversed(parts) for i in p]
+        ids = [i for p in reversed(parts) for i in p]
+        return end, struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode_word(self, word: str) -> tuple[float, tuple[int, ...]]:
-        found = self.memo.get(word)
+    def encode_word(self, word: str) -> tuple[float, bytes]:
+        """A word that the younger memo doesn't hold."""
+        found = self.older.get(word)
         if found is None:
             best, last = self.forward(word, {0: 0.0}, len(word))
-            found = best[-1], tuple(self.back(word, last, len(word))[1])
+            found = best[-1], self.back(word, last, len(word))[1]
+        if len(word) <= 64:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
-            if len(word) <= 64:
-                self.memo[word] = found
+                self.older, self.memo = self.memo, {}
+            self.memo[word] = found
         return found
 
-    def encode(self, s: str) -> tuple[float, list[int]]:
+    def encode(self, s: str) -> tuple[float, bytes]:
         """Score and ids of a whole normalized text."""
-        score, ids = 0.0, []
+        score, parts = 0.0, []
         for word in self.word.findall(s):
-            own, part = self.encode_word(word)
-            score += own
-            ids.extend(part)
-        return score, ids
+            found = self.memo.get(word) or self.encode_word(word)
+            score += found[0]
+            parts.append(found[1])
+        return score, b"".join(parts)
 
     # ---- a chunk: s[:n] with up to L - 1 characters of what follows ----
 
@@ -183,7 +190,7 @@ class Model:
             out[i] = self.forward(s[:a], {i: 0.0}, a)[0][a] + rest
         return out
 
-    def traced(self, s: str, n: int, entry: np.ndarray, exits: list[int]) -> list[tuple[int, float, list[int]]]:
+    def traced(self, s: str, n: int, entry: np.ndarray, exits: list[int]) -> list[tuple[int, float, bytes]]:
         """Backtrace from exit states, given the scores of the entry states:
         (entry state, score of the path, ids)."""
         inside = {i: float(x) for i, x in enumerate(entry) if x > _LOST}
@@ -191,7 +198,7 @@ class Model:
         if cut is None:
             best, last = self.forward(s, inside, n)
             found = [(best[n + j], *self.back(s, last, n + j)) for j in exits]
-            return [(start, score - inside[start], ids) if start in inside else (0, _LOST, []) for score, start, ids in found]
+            return [(start, score - inside[start], ids) if start in inside else (0, _LOST, b"") for score, start, ids in found]
         a, b = cut
         best, last = self.forward(s[:a], inside, a)
         start, head = self.back(s[:a], last, a)
@@ -202,15 +209,18 @@ class Model:
             at, tail = self.back(s[b:], tail_last, n + j - b)
             reached = at == 0  # an exit state that no piece leads to has no path
             out.append((start, best[a] - inside[start] + middle + tail_best[n + j - b], head + ids + tail)
-                       if reached else (0, _LOST, []))
+                       if reached else (0, _LOST, b""))
         return out
 
-    def decode(self, ids: np.ndarray, begins: bool) -> str:
-        """Pieces joined; bytes that are no UTF-8 show as U+FFFD; the space that
-        encoding sets before a text goes; ids without a piece give nothing."""
-        get = self.bytes_of
-        text = b"".join([get[i] for i in ids.tolist() if i < len(get)]).decode("utf-8", "replace")
-        return text[1:] if begins and text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Pieces of ids joined, one value per range that ``ends`` closes; ids without a piece
+        give nothing."""
+        known = np.where(ids < len(self.shown), ids, 0)  # id 0 is the unknown piece, which shows nothing
+        taken = self.shown.take(pa.array(known.astype(np.int64)))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(taken.buffers()[2] or b"") if len(ids) else memoryview(b"")
+        bounds = offsets[np.concatenate([[0], ends])].tolist()
+        return [bytes(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -264,7 +274,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                     ids.append(None), scores.append(None)
                     continue
                 score, own = m.encode(m.normalize(value))
-                ids.append(np.array(own, "<u4").tobytes()), scores.append(score)
+                ids.append(own), scores.append(score)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([0] * len(ids), pa.int64()), pa.array(ids, pa.binary()), pa.array(scores, pa.float64())],
                 names=["doc_id", "part", "ids", "score"])
@@ -331,7 +341,7 @@ def _encode_giant(rows: DataFrame, model: str, size: int) -> DataFrame:
             rows, ids, scores = batch.to_pylist(), [], []
             for r in rows:
                 (_, score, own), = m.traced(r["text"], r["n"], np.frombuffer(r["entry"]), [r["state"]])
-                ids.append(np.array(own, "<u4").tobytes()), scores.append(score)
+                ids.append(own), scores.append(score)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["id"] for r in rows], pa.int64()), pa.array([r["chunk"] for r in rows], pa.int64()),
                  pa.array(ids, pa.binary()), pa.array(scores, pa.float64())], names=["doc_id", "part", "ids", "score"])
@@ -347,12 +357,17 @@ def _encode_giant(rows: DataFrame, model: str, size: int) -> DataFrame:
 def decode(encoded: DataFrame, model: str, ids: str = "ids", part: str = "part") -> DataFrame:
     """Add ``decoded`` to a table of ``encode``'s columns: the text of each row
     (null ids: null). The rows of a document, in order, give its text back where
-    normalizing changes nothing."""
+    normalizing changes nothing; the space that encoding sets before a text goes."""
 
     @F.arrow_udf("string")
     def run(values: pa.Array, parts: pa.Array) -> pa.Array:
-        m = load(model)
-        return pa.array([None if x is None else m.decode(np.frombuffer(x, "<u4"), p == 0)
-                         for x, p in zip(values.to_pylist(), parts.to_pylist(), strict=True)], pa.string())
+        raw = values.to_pylist()
+        ids = np.frombuffer(b"".join(x or b"" for x in raw), "<u4")
+        found = load(model).decode(ids, np.cumsum([len(x or b"") // 4 for x in raw], dtype=np.int64))
+        out = []
+        for x, text, p in zip(raw, found, parts.to_pylist(), strict=True):
+            text = text.decode("utf-8", "replace")  # bytes that are no UTF-8 show as U+FFFD
+            out.append(None if x is None else text[1:] if p == 0 and text.startswith(" ") else text)
+        return pa.array(out, pa.string())
 
     return encoded.withColumn("decoded", run(F.col(ids), F.col(part)))
