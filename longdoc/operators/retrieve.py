@@ -135,63 +135,54 @@ def knn_within(queries: DataFrame, keys: DataFrame, group: str, q_id: str, k_id:
 def _tile_groups(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
                  metric: str, one_by_one: bool) -> pd.DataFrame:
     """One tile: per group present on both sides, one matrix product and the
-    local top-k; ``one_by_one`` searches and times each query alone."""
+    local top-k; ``one_by_one`` searches and times each query alone, against keys
+    that are laid out once per group."""
     import time
-    parts = []
+    out: dict[str, list] = {"g": [], "qid": [], "kid": [], "score": [], "ms": []}
     if len(qdf) and len(kdf):
         kgroups = {g: d for g, d in kdf.groupby("g", sort=False)}
         for g, qg in qdf.groupby("g", sort=False):
             kg = kgroups.get(g)
             if kg is None:
                 continue
-            for i in range(0, len(qg), 1 if one_by_one else len(qg)):
-                part = qg.iloc[i:i + 1] if one_by_one else qg
+            kg = kg.sort_values("kid", kind="stable")  # ties: lower key first
+            keys, kid = np.vstack(kg["kv"].to_numpy()).astype(np.float64), kg["kid"].to_numpy()
+            queries, qid = np.vstack(qg["qv"].to_numpy()).astype(np.float64), qg["qid"].to_numpy()
+            norms = (keys * keys).sum(axis=1)
+            step = 1 if one_by_one else len(qid)
+            for i in range(0, len(qid), step):
                 t0 = time.perf_counter()
-                r = _tile_topk(part, kg, k, exclude_self, metric)
+                rows, cols, scores = _search(queries[i:i + step], qid[i:i + step], keys, kid, norms, k, exclude_self, metric)
                 ms = (time.perf_counter() - t0) * 1000.0
-                r["ms"] = np.where(~r["qid"].duplicated().to_numpy(), ms, 0.0)
-                parts.append(r)
-    if not parts:
-        return pd.DataFrame({"g": pd.Series([], dtype=qdf["g"].dtype if len(qdf) else "object"),
-                             "qid": pd.Series([], dtype="int64"), "kid": pd.Series([], dtype="int64"),
-                             "score": pd.Series([], dtype="float64"), "ms": pd.Series([], dtype="float64")})
-    return pd.concat(parts, ignore_index=True)
-
-
-def _tile_topk(qdf: pd.DataFrame, kdf: pd.DataFrame, k: int, exclude_self: bool,
-               metric: str) -> pd.DataFrame:
-    if len(qdf) == 0 or len(kdf) == 0:
-        return pd.DataFrame({"g": pd.Series([], dtype=qdf["g"].dtype if len(qdf) else "object"),
-                             "qid": pd.Series([], dtype="int64"), "kid": pd.Series([], dtype="int64"),
-                             "score": pd.Series([], dtype="float64")})
-    Q = np.vstack(qdf["qv"].to_numpy()).astype(np.float64)
-    K = np.vstack(kdf["kv"].to_numpy()).astype(np.float64)
-    S = Q @ K.T
+                own = qid[i:i + step][rows]
+                out["g"].append(np.full(len(rows), g, dtype=object))
+                out["qid"].append(own.astype(np.int64))
+                out["kid"].append(kid[cols].astype(np.int64))
+                out["score"].append(scores)
+                out["ms"].append(np.where(np.r_[True, own[1:] != own[:-1]][:len(own)], ms, 0.0))
+    kinds = {"g": "object", "qid": "int64", "kid": "int64", "score": "float64", "ms": "float64"}
+    cat = {c: np.concatenate(v) if v else np.empty(0, kinds[c]) for c, v in out.items()}
+    r = pd.DataFrame(cat).astype({c: t for c, t in kinds.items() if c != "g"})
+    return r.astype({"g": qdf["g"].dtype if len(qdf) else kdf["g"].dtype})
+
+
+def _search(queries: np.ndarray, qid: np.ndarray, keys: np.ndarray, kid: np.ndarray, norms: np.ndarray, k: int,
+            exclude_self: bool, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, key row, score) of the top k keys of each query; ``keys`` in the order of ``kid``."""
+    s = queries @ keys.T
     if metric == "cosine":
-        qn = np.linalg.norm(Q, axis=1)
-        kn = np.linalg.norm(K, axis=1)
-        S = S / np.where(qn == 0, 1, qn)[:, None] / np.where(kn == 0, 1, kn)[None, :]
+        qn, kn = np.linalg.norm(queries, axis=1), np.sqrt(norms)
+        s = s / np.where(qn == 0, 1, qn)[:, None] / np.where(kn == 0, 1, kn)[None, :]
     elif metric == "l2":
-        S = -((Q * Q).sum(1)[:, None] - 2 * S + (K * K).sum(1)[None, :])
-    qid = qdf["qid"].to_numpy()
-    kid = kdf["kid"].to_numpy()
-    valid = np.ones_like(S, dtype=bool)
+        s = -((queries * queries).sum(1)[:, None] - 2 * s + norms[None, :])
     if exclude_self:
-        valid = qid[:, None] != kid[None, :]
-    # order by (score desc, kid asc): sort keys by kid once, then a stable sort
-    korder = np.argsort(kid, kind="stable")
-    S, valid, kid = S[:, korder], valid[:, korder], kid[korder]
-    Sm = np.where(valid, S, -np.inf)
-    kk = min(k, Sm.shape[1])
-    order = _top_columns(Sm, kk)
-    rows_q = np.repeat(np.arange(len(qid)), kk)
-    cols_k = order.reshape(-1)
-    keep = valid[rows_q, cols_k]
-    g = qdf["g"].iloc[0]
-    return pd.DataFrame({"g": pd.Series([g] * int(keep.sum()), dtype=qdf["g"].dtype),
-                         "qid": qid[rows_q][keep].astype(np.int64),
-                         "kid": kid[cols_k][keep].astype(np.int64),
-                         "score": S[rows_q, cols_k][keep].astype(np.float64)})
+        s = np.where(qid[:, None] != kid[None, :], s, -np.inf)
+    kk = min(k, s.shape[1])
+    cols = _top_columns(s, kk).reshape(-1)
+    rows = np.repeat(np.arange(len(qid)), kk)
+    scores = s[rows, cols]
+    keep = scores > -np.inf
+    return rows[keep], cols[keep], scores[keep]
 
 
 def _top_columns(Sm: np.ndarray, kk: int) -> np.ndarray:
