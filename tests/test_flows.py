@@ -186,3 +186,33 @@ def test_lcs_scores_of_whole_documents(spark):
                 if left[x[i]] > 0 and right[x[i]] > 0:
                     hits, left[x[i]], right[x[i]] = hits + 1, left[x[i]] - 1, right[x[i]] - 1
         assert abs(got[r.id][0] - rl) < 1e-9 and abs(got[r.id][1] - f(hits, len(a), len(b))) < 1e-9
+
+
+def test_flows_take_the_callers_tokenizer_and_encoder(spark):
+    """H1, H3: character ids and a vector of two counts, made once per task."""
+    from longdoc.operators.retrieve import UserEncoder
+    from longdoc.operators.tokens import UserTokenizer
+
+    def encoder():
+        return lambda texts: [[ord(c) + 3 for c in t] + [1] for t in texts]
+
+    def decoder():
+        return lambda rows: ["".join(chr(i - 3) for i in ids if i >= 3) for ids in rows]
+
+    def vectors():
+        return lambda rows: [[float(sum(i == ord("a") + 3 for i in ids)), 1.0] for ids in rows]
+
+    text = "".join(("a" if (i // 64) % 5 == 2 else "b") for i in range(64 * 11))
+    rows = [(i, "test", i, "t", "abstract", text, "p", "p" + "a" * 150) for i in range(3)]
+    s = spark.createDataFrame(rows, "article_id long, split string, ord long, title string, abstract string, "
+                                    "text string, prompt string, model_input string")
+    tok = UserTokenizer(encoder, decoder)
+    r = retrieval_samples(s, tok, encoder=UserEncoder(vectors)).collect()
+    assert len(r) == 3
+    for x in r:
+        # chunks 2 and 7 are all a's; every one of the two query chunks finds them
+        assert len(x.retrieved) == 2 and all([p[0] for p in q] == [ord("a") + 3] * 2 for q in x.retrieved)
+        assert x.retrieved[0][0] == x.text_tokenized[2] + x.text_tokenized[3]
+    per, preds = evaluate(s, tok, encoder=UserEncoder(vectors))
+    p = preds.first()
+    assert p.prediction.startswith("p" + "a" * 64 + "b" * 64) and p.reference == rows[0][-1] and per.count() == 3

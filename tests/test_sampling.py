@@ -42,3 +42,10 @@ def test_extractive_draft(spark):
     art = spark.createDataFrame([(1, [[1], [2], [5], [6]])], "article_id long, text_tokenized array<array<int>>")
     assert S.extractive_draft(nb, art, max_len=3).first().draft_ids == [5, 6, 1]
     assert S.extractive_draft(nb, art, None).first().draft_ids == [5, 6, 1, 2]  # chunk 2 once
+
+
+def test_filters_by_name(spark):
+    df = spark.createDataFrame([(g, c, float((c * 7 + g) % 10)) for g in range(3) for c in range(10)], "grp int, cand int, logit double")
+    rows = lambda x: sorted((r.grp, r.cand) for r in x.collect())
+    assert rows(S.filter_candidates(df, "top_k", thres=0.7)) == rows(S.topk_fraction(df, thres=0.7)) != []
+    assert rows(S.filter_candidates(df, "top_p", thres=0.5)) == rows(S.nucleus(df, p=0.5)) != []
