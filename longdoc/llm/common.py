@@ -45,6 +45,12 @@ def semi_join_ids(df: DataFrame, on: str, ids: DataFrame) -> DataFrame:
     return df.join(ids, on, "left_semi")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` dealt by ``cols`` over all shuffle partitions. For tiles: they are small in bytes and
+    large in work, so adaptive execution would put too many into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def byte_slices(data: bytes, size: int = SPLIT_BYTES) -> Iterator[bytes]:
     """Consecutive slices of about ``size`` bytes that end before a separator,
     so that no word is cut (a longer run without separators stays whole)."""
