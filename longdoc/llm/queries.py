@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from longdoc.llm import (chat, fingerprint, language, lattice, minhash, packing, sentencepiece_scan, sharding,
                          substring, urls)
 from longdoc.llm.common import read_table
+from longdoc.llm.oracle import SQL  # noqa: F401 - registered with the queries
 
 
 def tokenizer_path(name: str) -> str:
@@ -91,5 +92,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_embedding_neardup, op4_language_id, op5_packing,
                             op6_fingerprints, op7_chat_format, op8_substring_dedup, op9_url_filter, op10_minhash)
 }
-
-SQL: dict[str, str] = {"op7_chat_format": chat.SQL}
