@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longdoc.llm.common import (as_bytes, materialize, mix, semi_join_ids, sorted_unique,
-                                window_hash, word_hashes)
+                                spread, window_hash, word_hashes)
 from longdoc.llm.components import connected_components
 
 #: Symbols of a signature, 16 bits each.
@@ -253,9 +253,9 @@ def _cross_links(rows: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
     tile = ["key", "ti", "tj"]
     schema = "key long, ti int, tj int, block int, node long, comp long, n_shingles long, sig binary"
-    found = materialize(tiles.groupBy(*tile).applyInArrow(involved, schema), "involved")
+    found = materialize(spread(tiles, *tile).groupBy(*tile).applyInArrow(involved, schema), "involved")
     ids = materialize(found.select("node").distinct(), "ids")
-    return (found.join(semi_join_ids(texts, "node", ids), "node")
+    return (spread(found.join(semi_join_ids(texts, "node", ids), "node"), *tile)
             .groupBy(*tile).applyInArrow(compare, "a long, b long").distinct())
 
 
