@@ -233,22 +233,22 @@ def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-CHUNKS = "id long, row long, chunk long, last long, text string, n long"
+CHUNKS = "id long, row long, copies long, chunk long, last long, text string, n long"
 
 
 def _split(model: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
-            for key, row, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, row, copies, value in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 s = m.normalize(value)
                 count = max(1, -(-len(s) // size))
                 for c in range(count):
                     part = s[c * size:(c + 1) * size + m.longest - 1]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x], t) for x, t in zip(
-                            (key, row, c, count - 1, part, len(s[c * size:(c + 1) * size])),
-                            (pa.int64(),) * 4 + (pa.string(), pa.int64()), strict=True)],
+                            (key, row, copies, c, count - 1, part, len(s[c * size:(c + 1) * size])),
+                            (pa.int64(),) * 5 + (pa.string(), pa.int64()), strict=True)],
                         names=[f.split()[0] for f in CHUNKS.split(", ")])
 
     return run
@@ -287,8 +287,10 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 def _encode_giant(rows: DataFrame, model: str, size: int) -> DataFrame:
     if size < load(model).longest:
         raise ValueError("a chunk must hold the longest piece")
-    # a row number of its own tells rows apart that share an id; the table is written, so it stays
-    keyed = rows.select("id", F.monotonically_increasing_id().alias("row"), "text")
+    # equal rows are encoded once; a hash of the content names a row, the same whenever a task runs
+    # again after a lost executor
+    keyed = rows.groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies")).select(
+        "id", F.xxhash64("id", "text").alias("row"), "copies", "text")
     chunks = materialize(keyed.mapInArrow(_split(model, size), CHUNKS).repartition("row", "chunk"), "chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,15 +345,17 @@ def _encode_giant(rows: DataFrame, model: str, size: int) -> DataFrame:
                 (_, score, own), = m.traced(r["text"], r["n"], np.frombuffer(r["entry"]), [r["state"]])
                 ids.append(own), scores.append(score)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["id"] for r in rows], pa.int64()), pa.array([r["chunk"] for r in rows], pa.int64()),
-                 pa.array(ids, pa.binary()), pa.array(scores, pa.float64())], names=["doc_id", "part", "ids", "score"])
+                [*(pa.array([r[c] for r in rows], pa.int64()) for c in ("id", "chunk", "copies")),
+                 pa.array(ids, pa.binary()), pa.array(scores, pa.float64())], names=["doc_id", "part", "copies", "ids", "score"])
 
     slim = "row long, chunk long, data binary"
     entry = (chunks.mapInArrow(matrices, slim).groupBy("row").applyInArrow(scan, slim)
              .withColumnRenamed("data", "entry"))
     entered = materialize(chunks.join(entry, ["row", "chunk"]), "entered")
     state = entered.mapInArrow(maps, slim).groupBy("row").applyInArrow(walk, "row long, chunk long, state long")
-    return entered.join(state, ["row", "chunk"]).mapInArrow(finish, "doc_id long, part long, ids binary, score double")
+    done = entered.join(state, ["row", "chunk"]).mapInArrow(
+        finish, "doc_id long, part long, copies long, ids binary, score double")
+    return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", part: str = "part") -> DataFrame:

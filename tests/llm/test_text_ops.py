@@ -94,6 +94,16 @@ def test_sentencepiece_round_trip(ship, documents):
     assert texts == dict(documents)
 
 
+def test_repeated_giant_rows_are_encoded_each(ship):
+    long = "the words of a long text " * 20
+    df = ship.createDataFrame([(1, long)] * 3 + [(None, long)] * 2 + [(1, long + "x")], "doc_id long, text string")
+    rows = spm.decode(spm.encode(df, MODEL, chunk=100), MODEL).collect()
+    parts = {r.part: r.decoded for r in rows if r.doc_id is None}
+    assert "".join(parts[p] for p in sorted(parts)) == long
+    count = lambda i, p: sum(r.doc_id == i and r.part == p for r in rows)
+    assert count(1, 0) == 4 and count(None, 0) == 2 and count(None, max(parts)) == 2
+
+
 def test_sentencepiece_edges(ship):
     df = ship.createDataFrame(edge_rows(), DOCS).withColumn("ids", F.lit(1)).withColumn("part", F.lit("p"))
     rows = spm.decode(spm.encode(df, MODEL), MODEL).collect()
