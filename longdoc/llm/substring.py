@@ -42,7 +42,7 @@ DEPTH = 2
 #: Cells of a sketch row per expected window.
 CELLS_PER_WINDOW = 4
 #: Text bytes of a block; sets the number of blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Windows that a sketch shard or an exact partition expects.
 SHARD_WINDOWS = 1 << 21
 #: Bytes of a word with its separator, as an estimate for sizing.

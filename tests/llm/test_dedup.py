@@ -68,7 +68,7 @@ def test_near_duplicates_edges(ship):
     assert minhash.near_duplicates(df.limit(0), 5).collect() == []
 
 
-@pytest.mark.parametrize("block, shard", [(8 << 20, 1 << 21), (1 << 14, 1 << 10)])
+@pytest.mark.parametrize("block, shard", [(4 << 20, 1 << 21), (1 << 14, 1 << 10)])
 def test_repeats_match_brute_force(ship, documents, monkeypatch, block, shard):
     monkeypatch.setattr(substring, "BLOCK_BYTES", block)
     monkeypatch.setattr(substring, "SHARD_WINDOWS", shard)
