@@ -43,7 +43,7 @@ from longdoc.llm.common import materialize
 CHUNK = 1 << 16
 #: Words that a worker remembers in each of two generations: when the younger is full, it
 #: becomes the older, and a word found there is remembered anew.
-MEMO = 200_000
+MEMO = 150_000
 SPACE = "▁"
 #: What an unknown character costs beyond the worst piece, as in the format's own encoder.
 UNKNOWN_PENALTY = 10.0
