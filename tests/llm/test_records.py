@@ -158,6 +158,26 @@ def test_url_models_separate_labelled_urls(ship):
     assert f.ratio("shop.example.com/item/9") > f.threshold > f.ratio("casino9.win/bonus?ref=4")
 
 
+def test_url_models_of_many_copies(ship):
+    """Few normalised texts with many rows each: none is lost to the bound on the sample."""
+    kinds = "abcdefghijkl"
+    few = ([(f"shop.example.com/item/{x}{x}", "allow") for x in kinds] + [(f"casino.win/bonus?{x}{x}", "block") for x in kinds])
+    once = ship.createDataFrame(few, "text string, verdict string")
+    many = once.crossJoin(ship.range(2000)).drop("id")  # 24,000 rows a verdict
+    whole = urls.fit(many, per_verdict=10**9)
+    for per_verdict in (urls.TRAIN_URLS, 100):
+        f = urls.fit(many, per_verdict=per_verdict)
+        assert f.threshold == whole.threshold and np.array_equal(f.accept.gram_n, whole.accept.gram_n)
+        assert f.ratio("shop.example.com/item/zz") > f.threshold > f.ratio("casino.win/bonus?zz")
+    # a text of its own per verdict models and calibrates
+    two = urls.fit(many.where("text like '%aa'"), per_verdict=100)
+    assert len(two.accept.grams) and two.ratio("shop.example.com/item/aa") > two.threshold > two.ratio("casino.win/bonus?aa")
+    # more texts than the bound: the frequent ones stay, and about the bound of the others
+    rare = ship.range(3000).select(F.concat(F.lit("rare.example.com/"), F.col("id")).alias("text"), F.lit("allow").alias("verdict"))
+    got = {r.text: r.n for r in urls._sample(many.unionByName(rare), 100).where("verdict = 'allow'").collect()}
+    assert {t for t, v in few if v == "allow"} <= set(got) and len(got) < 60 and 60 < sum(got.values()) < 160
+
+
 # ---- registration and pipeline ----------------------------------------
 
 def test_every_query_is_registered():
