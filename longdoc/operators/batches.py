@@ -2,14 +2,17 @@
 (F1-F8, A7, G10).
 
 Global positions never come from a one-partition window: ``global_rank``
-range-partitions a slim projection of the group and order columns, so a large split
-spreads over many tasks, numbers rows inside each sorted partition and adds the
-per-partition offsets, a table with at most (#partitions x #part values) rows. Texts and
-arrays are not part of it: positions are joined back to the rows.
+range-partitions a slim projection of the group and order columns and a row number, so a
+large split or a repeated key spreads over many tasks, numbers rows inside each sorted
+partition and adds the per-partition offsets, a table with at most (#partitions x #part
+values) rows. Texts and arrays are not part of it: the rows are written once with
+their row numbers, and positions are joined back on these.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from longdoc.constants import BATCH_SIZE, EOS, PAD, SEED
 from longdoc.functions.arrays import attention_mask as _mask
 from longdoc.functions.arrays import pad_left as _pad_left
 from longdoc.functions.arrays import pad_right as _pad_right
+from longdoc.session import scratch_path
 
 _IDX_MASK = (1 << 33) - 1
 
@@ -25,27 +29,30 @@ def global_rank(df: DataFrame, part: list[str], order: list[Column | str],
                 out: str = "pos", n_parts: int | None = None) -> DataFrame:
     """1-based position of each row inside its ``part`` group by ``order``.
 
-    ``order`` must be a total order (end with a unique key): positions are joined back on
-    the group and order columns. A null group is a group of its own. ``part`` should have few
-    values (e.g. the split). Only the slim table of these columns is shuffled by range and
-    checkpointed (which fixes the numbering across retries)."""
+    Rows that tie on ``order`` get different positions, in any order among themselves (end
+    with a unique key for one order in every run). A null group is a group of its own. ``part``
+    should have few values (e.g. the split). The rows are written once to the shared folder,
+    each with a number; only the slim table of these columns and the number is shuffled by
+    range and checkpointed (which fixes the numbering across retries)."""
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_o{i}" for i in range(len(order))]
     keys = [*part, *names]
-    keyed = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(name) for c, name in zip(order, names, strict=True)])
-    slim = (keyed.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    keyed = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(name) for c, name in zip(order, names, strict=True)],
+                      F.monotonically_increasing_id().alias("_row"))
+    path = scratch_path(spark, "rank", uuid.uuid4().hex)
+    keyed.write.parquet(path)
+    keyed = spark.read.schema(keyed.schema).parquet(path)
+    slim = (keyed.select(*keys, "_row").repartitionByRange(n, *keys, "_row").sortWithinPartitions(*keys, "_row")
             .withColumn("_mid", F.monotonically_increasing_id()))
-    from longdoc.session import shared_dir
-    shared_dir(spark)
     slim = slim.checkpoint(eager=True)
     slim = (slim.withColumn("_pid", F.shiftright("_mid", 33))
             .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_IDX_MASK))))
     counts = slim.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
     w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", *part, (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first") + 1).alias("_off"))
-    pos = _join_null_safe(slim, offs, ["_pid", *part]).select(*keys, (F.col("_off") + F.col("_idx")).alias(out))
-    return _join_null_safe(keyed, pos, keys).drop(*names)
+    pos = _join_null_safe(slim, offs, ["_pid", *part]).select("_row", (F.col("_off") + F.col("_idx")).alias(out))
+    return keyed.join(pos, "_row").drop("_row", *names)
 
 
 def _join_null_safe(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:

@@ -104,3 +104,36 @@ def test_global_rank_keeps_null_groups(spark):
     g = B.global_rank(df, ["split"], ["ord"], n_parts=3)
     got = sorted((r.split or "", r.ord, r.pos) for r in g.collect())
     assert got == sorted([("", i, i + 1) for i in range(5)] + [("a", i, i + 1) for i in range(3)])
+
+
+def test_global_rank_keeps_repeated_and_hot_keys(spark):
+    """Rows that tie on all order columns stay as many as they are, each in a place of its own."""
+    hot = spark.range(2000).select(F.lit("train").alias("split"), F.lit(7).cast("long").alias("article_id"),
+                                   F.lit(1).cast("long").alias("ord"), F.col("id").alias("row"))
+    twice = frame(spark, 300).crossJoin(spark.range(2).withColumnRenamed("id", "row"))
+    null = hot.limit(5).withColumn("ord", F.lit(None).cast("long")).withColumn("article_id", F.lit(None).cast("long"))
+    df = hot.unionByName(twice).unionByName(null)
+    for ranked in (B.global_rank(df, ["split"], ["ord", "article_id"], n_parts=7), B.shuffle_seeded(df)):
+        got = ranked.collect()
+        assert sorted(map(str, (r[:4] for r in got))) == sorted(map(str, (tuple(r) for r in df.collect())))
+        for split in ("train", "val", "test"):
+            pos = sorted(r.pos for r in got if r.split == split)
+            assert pos == list(range(1, len(pos) + 1))
+    # in order of the keys
+    own = [(r.ord is not None, r.ord or 0) for r in sorted(
+        B.global_rank(df, ["split"], ["ord", "article_id"]).where("split = 'train'").collect(), key=lambda r: r.pos)]
+    assert own == sorted(own)
+    first = B.first_n_per_group(df, 10, "split", ["ord", "article_id"])
+    assert {r["split"]: r["count"] for r in first.groupBy("split").count().collect()} == {"train": 10, "val": 10, "test": 10}
+    assert first.distinct().count() == 30
+
+
+def test_write_results_of_repeated_ids(spark):
+    import tempfile
+
+    from longdoc.sources.io import read_results, write_results
+    preds = spark.createDataFrame([(1, "a", "t", "m")] * 40 + [(2, "b", "t", "m")], "ord int, id string, truth_output string, model_answer string")
+    path = tempfile.mkdtemp(prefix="ld-results-") + "/r"
+    write_results(spark.createDataFrame([(0.5,)], "f1 double"), preds, path, ["ord", "id"])
+    rows = [r.ordinal for r in read_results(spark, path)[1].collect()]
+    assert sorted(rows) == list(range(1, 42))
