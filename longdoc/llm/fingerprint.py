@@ -60,13 +60,15 @@ def _chosen(z: Column) -> Column:
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: per k-mer its anchor hash (int) or null. A text of fewer than K
-    units has one anchor, the hash of them all; without units the array is empty."""
-    h, z = f"__h_{out}", f"__z_{out}"
+    """Add ``out``: per k-mer its anchor hash (int) or null. A text without a chosen k-mer
+    (of fewer than K units, or by chance of K or K + 1) has one anchor, the hash of all
+    its units; without units the array is empty."""
+    h, z, c = f"__h_{out}", f"__z_{out}", f"__c_{out}"
     hashed = df.withColumn(h, _unit_hashes(F.coalesce(F.col(text), F.lit(""))))
     inner = hashed.withColumn(z, _inner(F.col(h)))
+    chosen = inner.withColumn(c, _chosen(F.col(z)))
     short = F.when(F.size(h) > 0, F.array(_to_int(F.xxhash64(F.col(h))))).otherwise(F.array().cast("array<int>"))
-    return inner.withColumn(out, F.when(F.size(h) >= K, _chosen(F.col(z))).otherwise(short)).drop(h, z)
+    return chosen.withColumn(out, F.when(F.exists(c, lambda x: x.isNotNull()), F.col(c)).otherwise(short)).drop(h, z, c)
 
 
 def sketch(chosen: Column) -> Column:

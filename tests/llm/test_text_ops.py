@@ -285,3 +285,19 @@ def test_fingerprint_edges(ship):
     assert fingerprint.fingerprint_edits(df.limit(0)).collect() == []
     alone = fingerprint.fingerprint_edits(df.where("doc_id = 1")).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
+
+
+def test_short_texts_have_anchors_of_their_own(ship):
+    """Different texts of 1 to 8 units: none is without a fingerprint, no two have the same."""
+    rng = random.Random(0)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) for n in range(1, 9) for _ in range(60)]
+    df = ship.createDataFrame([(i, t) for i, t in enumerate([*texts, "", " \n"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprint_edits(df).collect()}
+    assert any(len(t.split()) >= 5 and not _anchors(t) for t in texts)
+    prints = [got[i].fingerprint for i in range(len(texts))]
+    assert all(prints) and len(set(prints)) == len(texts)
+    for i, t in enumerate(texts):
+        if _anchors(t):  # as before
+            assert got[i].fingerprint == "".join(f"{x + (1 << 31):08X}" for x in _fingerprint(t))
+        assert got[i].near_next == 0.0
+    assert got[len(texts)].fingerprint == got[len(texts) + 1].fingerprint == ""
