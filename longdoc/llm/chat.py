@@ -3,9 +3,10 @@
 Every participant of a dialogue gets a rendering of it in which their own turns
 are the assistant's, those of all others are turns of named users and system turns stay
 the system's. Only the assistant's words bear loss. All of it is DataFrame code: the
-turns are gathered in parts of ``PART_TURNS`` turn numbers, so no part grows with its
-dialogue, and each part is joined with the distinct speakers of the whole dialogue (broadcast
-only while they are counted as few) and rendered for each of them.
+turns are gathered in parts of ``PART_TURNS`` turn numbers, and a part that has more rows
+(null or repeated turn numbers, rows without a conv_id) in pieces of ``PART_TURNS`` rows, so
+nothing grows with its dialogue. Each piece is joined with the distinct speakers of the whole
+dialogue (broadcast only while they are counted as few) and rendered for each of them.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longdoc.llm.common import BROADCAST_IDS, materialize
+from longdoc.operators.batches import global_rank
 
-#: Turn numbers of one part of a rendering.
+#: Turn numbers of one part of a rendering, and rows of one piece of a part.
 PART_TURNS = 256
 SYSTEM = "system"
 #: Speaker of a turn without a role; it is nobody's perspective.
@@ -39,14 +41,30 @@ def _shown(x: Column, perspective: Column) -> Column:
     return F.struct(role.alias("role"), head.alias("head"), x["body"].alias("body"))
 
 
+def _pieces(own: DataFrame, part_turns: int) -> DataFrame:
+    """Add ``piece``: 0, but in parts of more than ``part_turns`` rows the number of the row in the
+    order of turn, speaker and body by ``part_turns``. Only the rows of such parts are ranked."""
+    sizes = own.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns)
+    crowded = materialize(sizes.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.lit(True).alias("_crowded")), "crowded")
+    n = crowded.count()
+    if not n:
+        return own.withColumn("piece", F.lit(0).cast("long"))
+    marked = own.join(F.broadcast(crowded) if n <= BROADCAST_IDS else crowded,
+                      F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left")
+    ranked = global_rank(marked.where("_crowded").select(*own.columns), ["conv_id", "part"], ["turn", "speaker", "body"], out="_at")
+    return marked.where("_crowded is null").select(*own.columns, F.lit(0).cast("long").alias("piece")).unionByName(
+        ranked.select(*own.columns, F.floor((F.col("_at") - 1) / part_turns).cast("long").alias("piece")))
+
+
 def render(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
            part_turns: int = PART_TURNS) -> DataFrame:
-    """Renderings: conv_id, perspective, part, n_turns, rendered (string), masks
+    """Renderings: conv_id, perspective, part, piece, n_turns, rendered (string), masks
     (array<struct<start,length>>: the code points of ``rendered`` that bear loss, a turn's
     body with its end mark).
 
     Turns are in the order of turn, then speaker, then text; part p has the turn
-    numbers from p * part_turns on. Null: a turn number sorts first, in part -1; a
+    numbers from p * part_turns on, and of each part_turns rows a piece, numbered from 0, whose
+    renderings follow each other. Null: a turn number sorts first, in part -1; a
     role is an unnamed user; a text is empty; a conv_id is a dialogue of its own.
     Repeated rows are turns each. A dialogue without a participant (system turns
     only) and an empty table give no row. Other columns are not read.
@@ -55,7 +73,8 @@ def render(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
                        F.coalesce(F.col(role).cast("string"), F.lit(NOBODY)).alias("speaker"),
                        _clean(F.coalesce(F.col(text), F.lit(""))).alias("body"))
     part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")
-    parts = own.groupBy("conv_id", part.alias("part")).agg(
+    own = _pieces(own.withColumn("part", part), part_turns)
+    parts = own.groupBy("conv_id", "part", "piece").agg(
         F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("t"))
     speakers = materialize(own.where(~F.col("speaker").isin(SYSTEM, NOBODY))
                            .select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct(), "speakers")
@@ -72,14 +91,14 @@ def render(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         mask = F.when(x["role"] == "assistant", F.array(F.struct((acc["at"] + head).alias("start"), length.alias("length")))).otherwise(none)
         return F.struct((acc["at"] + head + length + 1).alias("at"), F.concat(acc["masks"], mask).alias("masks"))
 
-    return seen.select("conv_id", "perspective", "part", F.size("t").alias("n_turns"),
+    return seen.select("conv_id", "perspective", "part", "piece", F.size("t").alias("n_turns"),
                        F.array_join(F.transform("t", whole), "").alias("rendered"),
                        F.aggregate("t", F.struct(F.lit(0).alias("at"), none.alias("masks")), add)["masks"].alias("masks"))
 
 
 def digest(rendered: DataFrame) -> DataFrame:
     """Scalar columns of ``render``'s rows: md5 of the text, and of its masks as
-    ``start:length`` joined by a comma."""
+    ``start:length`` joined by a comma. A part of several pieces has a row for each."""
     spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["length"].cast("string"))), ",")
     return rendered.select("conv_id", "perspective", "part", F.col("n_turns").cast("long").alias("n_turns"),
                            F.char_length("rendered").cast("long").alias("n_chars"),
@@ -88,7 +107,7 @@ def digest(rendered: DataFrame) -> DataFrame:
                                       F.lit(0)).cast("long").alias("loss_chars"))
 
 
-#: ``digest(render(conversations))`` for DuckDB.
+#: ``digest(render(conversations))`` for DuckDB, where no part has more than one piece.
 SQL = """
 WITH own AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker,

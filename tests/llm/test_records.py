@@ -98,6 +98,27 @@ def test_chat_edges(ship):
     assert chat.render(df.limit(0)).collect() == []
 
 
+def test_chat_parts_are_bounded(ship):
+    """Null and repeated turn numbers and a null conv_id: pieces of at most PART_TURNS turns, which
+    follow each other to the whole dialogue."""
+    n = 1500
+    rows = ([(7, None, "ab"[i % 2], f"t{i:04d}") for i in range(n)] + [(8, 3, "ab"[i % 2], "same") for i in range(n)]
+            + [(None, i % 4, "ab"[i % 2], f"u{i:04d}") for i in range(n)] + [(1, i, "a", "x") for i in range(600)])
+    got = chat.render(ship.createDataFrame(rows, TURNS).repartition(5)).collect()
+    assert max(r.n_turns for r in got) <= chat.PART_TURNS and len({(r.conv_id, r.perspective, r.part, r.piece) for r in got}) == len(got)
+    order = {}
+    for c, t, who, text in rows:
+        order.setdefault(c, []).append((-1 if t is None else t, who, text))
+    for c, turns in order.items():
+        for me in {who for _, who, _ in turns}:
+            want = "".join(f"<|im_start|>{'assistant' if who == me else 'user name=' + who}\n{text}<|im_end|>\n" for _, who, text in sorted(turns))
+            own = sorted((r for r in got if (r.conv_id, r.perspective) == (c, me)), key=lambda r: (r.part, r.piece))
+            assert "".join(r.rendered for r in own) == want
+            said = "".join(r.rendered[m.start:m.start + m.length] for r in own for m in r.masks)
+            assert said == "".join(text + "<|im_end|>" for _, who, text in sorted(turns) if who == me)
+    assert {(r.part, r.piece) for r in got if r.conv_id == 1} == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_chat_sql(ship):
     import duckdb
 
