@@ -26,9 +26,13 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (4): rejects texts without a letter and those of which no
-    language is probable. A null lang is filled in with the one found."""
+    language is probable. A null lang is filled in with the one found. Where no
+    language can be learnt, all texts with a letter stay as they are."""
     ship_package(spark)
-    predict = language.predictor(spark, language.fit(docs.where(~language.held_out(F.col("doc_id")))))
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    predict = language.predictor(spark, model)
     found = docs.withColumn("__found", predict(F.col("text")))
     kept = found.where((F.col("__found.lang_pred") != language.UNKNOWN) & (F.col("__found.score") >= MIN_LANGUAGE_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "__found.lang_pred")).select(*docs.columns)

@@ -254,6 +254,15 @@ def test_pipeline_of_repeated_rows_and_nulls(ship):
     assert empty.collect() == []
 
 
+def test_pipeline_without_a_language_to_learn(ship):
+    """No labelled document outside the held-out quarter: texts with a letter stay."""
+    rows = [(i, None if i == 0 else "12 !" if i == 1 else f"text {i}", "en" if zlib.crc32(str(i).encode()) % 4 == 2 else None, "s", 1)
+            for i in range(40)]
+    docs = ship.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.keep_language(ship, docs, "")
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[0]) == rows[2:]
+
+
 def test_pipeline_matches_brute_force(ship, documents):
     """The whole run on the smallest data: what is packed is what brute force keeps."""
     from tokenizers import Tokenizer
