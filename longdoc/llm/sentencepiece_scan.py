@@ -1,4 +1,4 @@
-"""Operator 1, SentencePiece encoding and decoding by a max-plus parallel scan.
+"""Operator 1, SentencePiece encoding and decoding by max-plus transfer matrices.
 
 The pieces and scores of a SentencePiece model file are read as a unigram model:
 the encoding of a text is the segmentation with the largest sum of scores (of
@@ -12,10 +12,10 @@ characters further, L being the longest piece.
 
 1. Each chunk yields its transfer matrix: the best score from every entry
    state to every exit state.
-2. Max-plus products of the matrices are associative. A scan of them gives the
-   best scores with which every chunk is entered.
+2. The matrices of a document are folded from left to right in one task, a vector
+   times each, which gives the best scores with which every chunk is entered.
 3. With these a chunk yields, for every exit state, the entry state that the best path
-   comes from. Those maps compose, also associatively, from the end of the
+   comes from. One state is followed through those maps, from the end of the
    document back, which gives every chunk its exit state.
 4. Each chunk is backtraced on its own.
 
