@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longdoc.llm import (chat, fingerprint, language, lattice, minhash, packing, sentencepiece_scan, sharding,
+from longdoc.llm import (chat, fingerprint, language, lattice, merkle, minhash, packing, sentencepiece_scan, sharding,
                          substring, urls)
 from longdoc.llm.common import read_table
 from longdoc.llm.oracle import SQL  # noqa: F401 - registered with the queries
@@ -88,7 +88,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and the version of each tampered one."""
+    docs = read_table(spark, sf_dir, "documents")
+    return merkle.digests(merkle.manifest(docs, merkle.even_crc(F.col("doc_id"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_embedding_neardup, op4_language_id, op5_packing,
-                            op6_fingerprints, op7_chat_format, op8_substring_dedup, op9_url_filter, op10_minhash)
+                            op6_fingerprints, op7_chat_format, op8_substring_dedup, op9_url_filter, op10_minhash,
+                            op13_merkle)
 }
