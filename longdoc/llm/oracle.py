@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from longdoc.llm import chat, licenses, merkle
+from longdoc.llm import chat, lexical, licenses, merkle
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -50,4 +50,4 @@ links AS (SELECT h.a, h.b FROM shared h JOIN s p ON p.id = h.a JOIN s q ON q.id
 SELECT s.id AS doc_id, len(s.x) AS n_shingles, c.component_id, s.id = c.component_id AS kept FROM s JOIN component c USING (id)"""
 
 SQL: dict[str, str] = {"op3_embedding_neardup": OP3, "op7_chat_format": chat.SQL, "op8_substring_dedup": OP8,
-                       "op10_minhash": OP10, "op12_licenses": licenses.SQL, "op13_merkle": merkle.SQL}
+                       "op10_minhash": OP10, "op11_lexical_search": lexical.SQL, "op12_licenses": licenses.SQL, "op13_merkle": merkle.SQL}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longdoc.llm import (chat, fingerprint, language, lattice, licenses, merkle, minhash, packing, sentencepiece_scan,
-                         sharding, substring, urls)
+from longdoc.llm import (chat, fingerprint, language, lattice, lexical, licenses, merkle, minhash, packing,
+                         sentencepiece_scan, sharding, substring, urls)
 from longdoc.llm.common import read_table
 from longdoc.llm.oracle import SQL  # noqa: F401 - registered with the queries
 
@@ -88,6 +88,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    index = lexical.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and wording in all documents."""
     return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
@@ -102,5 +108,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_embedding_neardup, op4_language_id, op5_packing,
                             op6_fingerprints, op7_chat_format, op8_substring_dedup, op9_url_filter, op10_minhash,
-                            op12_licenses, op13_merkle)
+                            op11_lexical_search, op12_licenses, op13_merkle)
 }
