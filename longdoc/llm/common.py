@@ -31,6 +31,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores in front as it takes to be names that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    lead = ""
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: sizes blocks and buckets, never cuts anything."""
     return docs.select(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0

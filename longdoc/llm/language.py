@@ -11,6 +11,7 @@ gather of matrix rows for the n-grams that occur, summed per document.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,15 +26,16 @@ ORDERS = (2, 3)
 SLOTS = 1 << 16
 #: Bound of the training sample: documents per language.
 TRAIN_DOCS = 4000
-#: Bound of the model: languages (the labels are few; more raise an error).
-MAX_LANGUAGES = 1024
+#: Bound of the model: languages (the labels are few; more raise an error). Their log matrix, and what reaches the
+#: driver, has 4 * SLOTS bytes a language: 64 MB at most.
+MAX_LANGUAGES = 256
 #: Added to every count.
 SMOOTHING = 0.5
 #: Code points scored at a time.
 SLICE = 1 << 20
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ALPHABETIC = re.compile(r"[^\W\d_]")
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -63,26 +65,58 @@ def ngram_slots(codes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def log_likelihood(text: str, weight: np.ndarray) -> np.ndarray:
-    """Summed log probabilities of a whole text, by slices of ``SLICE`` code points."""
-    codes, total, overlap = code_points(text), np.zeros(weight.shape[1]), max(ORDERS) - 1
-    if len(codes) <= SLICE:
-        return weight[ngram_slots(codes)].sum(axis=0, dtype=np.float64)
-    for at in range(0, len(codes), SLICE):
+def slices(text: str) -> Iterator[np.ndarray]:
+    """Slots of all n-grams of a whole text, about ``SLICE`` code points at a time."""
+    codes, overlap = code_points(text), max(ORDERS) - 1
+    for at in range(0, max(1, len(codes)), SLICE):
         part = codes[at:at + SLICE + overlap]
-        last = at + SLICE >= len(codes)
-        for n, slots in _by_order(part):
-            keep = len(slots) if last else min(len(slots), SLICE)
-            total += weight[slots[:keep]].sum(axis=0, dtype=np.float64)
-    return total
+        if at + SLICE >= len(codes):
+            yield ngram_slots(part)
+        else:  # those that begin in the slice; the next one has the others
+            slots, first, keep = ngram_slots(part), 0, []
+            for n in ORDERS:
+                size = max(0, len(part) - n + 1)
+                keep.append(slots[first:first + min(size, SLICE)])
+                first += size
+            yield np.concatenate(keep)
+
+
+def log_likelihoods(texts: list[str], weight: np.ndarray) -> np.ndarray:
+    """(texts, languages) summed log probabilities. The texts of a batch are the rows of one sparse matrix
+    of n-gram slots, which is multiplied by the dense one of the model about ``SLICE`` entries at a time."""
+    out = np.zeros((len(texts), weight.shape[1]))
+    rows: list[int] = []
+    parts: list[np.ndarray] = []
+    held = 0
+
+    def multiply() -> None:
+        nonlocal held
+        if parts:
+            begin = np.cumsum([0] + [len(x) for x in parts[:-1]])
+            sums = np.add.reduceat(weight[np.concatenate(parts)], begin, axis=0, dtype=np.float64)
+            np.add.at(out, rows, sums)
+            rows.clear(), parts.clear()
+            held = 0
+
+    for i, text in enumerate(texts):
+        for slots in slices(text):
+            if len(slots):
+                rows.append(i), parts.append(slots)
+                held += len(slots)
+                if held >= SLICE // 4:
+                    multiply()
+    multiply()
+    return out
+
 
+def log_likelihood(text: str, weight: np.ndarray) -> np.ndarray:
+    return log_likelihoods([text], weight)[0]
 
-def _by_order(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    slots, at = ngram_slots(codes), 0
-    for n in ORDERS:
-        size = max(0, len(codes) - n + 1)
-        yield n, slots[at:at + size]
-        at += size
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode category L is in the text (signs for numbers are alphabetic in Python's
+    patterns, but no letters)."""
+    return any(unicodedata.category(m.group())[0] == "L" for m in _ALPHABETIC.finditer(text))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -123,12 +157,20 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(slot, pa.int64()),
                                           pa.array(table[which, slot], pa.int64())], names=["which", "slot", "n"])
 
+    def column(key: tuple, rows: pa.Table) -> pa.Table:
+        """The log probabilities of a language."""
+        table = np.full(SLOTS, SMOOTHING)
+        table[rows.column("slot").to_numpy()] += rows.column("n").to_numpy()
+        return pa.table({"which": pa.array([key[0].as_py()], pa.int64()),
+                         "weight": pa.array([np.log(table / table.sum()).astype("<f4").tobytes()], pa.binary())})
+
     counts = (sample.select("lang", "text").mapInArrow(count, "which long, slot long, n long")
-              .groupBy("which", "slot").agg(F.sum("n").alias("n")).toPandas())
-    table = np.full((SLOTS, len(languages)), SMOOTHING)
-    table[counts["slot"].to_numpy(np.int64), counts["which"].to_numpy(np.int64)] += counts["n"].to_numpy()
+              .groupBy("which", "slot").agg(F.sum("n").alias("n")))
+    weight = np.full((SLOTS, len(languages)), np.float32(-np.log(SLOTS)))  # of a language without an n-gram
+    for r in counts.groupBy("which").applyInArrow(column, "which long, weight binary").toLocalIterator():
+        weight[:, r["which"]] = np.frombuffer(r["weight"], "<f4")
     prior = np.log(np.array([sizes[x] for x in languages]) / sum(sizes.values()))
-    return Model(languages, prior, np.log(table / table.sum(axis=0)).astype(np.float32))
+    return Model(languages, prior, weight)
 
 
 def predictor(spark: SparkSession, model: Model):
@@ -139,17 +181,13 @@ def predictor(spark: SparkSession, model: Model):
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
-        m = shared.value
-        names, scores = [], []
-        for value in texts:
-            text = value.as_py()
-            if text is None or not m.languages or not _LETTER.search(text):
-                names.append(UNKNOWN), scores.append(0.0)
-                continue
-            logits = m.prior + log_likelihood(text, m.weight)
-            best = int(np.argmax(logits))
-            names.append(m.languages[best])
-            scores.append(float(1.0 / np.exp(logits - logits[best]).sum()))
+        m, values = shared.value, texts.to_pylist()
+        names, scores = [UNKNOWN] * len(values), [0.0] * len(values)
+        known = [i for i, x in enumerate(values) if x is not None and has_letter(x)] if m.languages else []
+        for i, row in zip(known, m.prior + log_likelihoods([values[i] for i in known], m.weight), strict=True):
+            best = int(np.argmax(row))
+            names[i] = m.languages[best]
+            scores[i] = float(1.0 / np.exp(row - row[best]).sum())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                           names=["lang_pred", "score"])
 

@@ -73,10 +73,12 @@ def varint(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unvarint(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
     last = np.flatnonzero(raw < 128)
     first = np.concatenate([[0], last[:-1] + 1])
     place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first) if len(raw) else np.zeros(0, np.int64)
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first)
 
 
 def invert(keys: np.ndarray, tf: np.ndarray, lengths: np.ndarray, n_terms: int) -> dict[str, np.ndarray]:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longdoc.llm.common import fresh
 from longdoc.session import scratch_path
 
 SHARDS = 24
@@ -50,9 +51,8 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + RECORD_BYTES
 
 
-def _shuffle_buckets(columns: list[str], size_at: int, seed: int):
+def _shuffle_buckets(shard_at: int, bucket_at: int, size_at: int, seed: int):
     """Rows sorted by (shard, bucket, hash) -> each bucket in Fisher-Yates order."""
-    shard_at, bucket_at = columns.index("__shard"), columns.index("__bucket")
 
     def fisher_yates(rows: pa.Table, shard: int, bucket: int, run: int) -> Iterator[pa.RecordBatch]:
         n = rows.num_rows
@@ -121,17 +121,19 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     key = F.col(doc_id)
     # null-safe: an id that is null hashes as the text 'null' beside the seed
     ident = F.coalesce(key.cast("string"), F.lit("null"))
-    rows = docs.select(*kept, shard_of(ident, shards, seed).alias("__shard"),
-                       shard_of(ident, shards + 1, seed).alias("__grown"),
-                       F.xxhash64(F.lit(seed), ident, F.col(text)).alias("__hash"), record_size(F.col(text)).alias("__size"))
-    rows = rows.withColumn("__bucket", F.pmod(F.shiftright("__hash", 16), F.lit(buckets)).cast("long"))
+    shard, grown, hashed, size, bucket = fresh(kept, "shard_", "grown_", "hash_", "size_", "bucket_")
+    rows = docs.select(*kept, shard_of(ident, shards, seed).alias(shard),
+                       shard_of(ident, shards + 1, seed).alias(grown),
+                       F.xxhash64(F.lit(seed), ident, F.col(text)).alias(hashed), record_size(F.col(text)).alias(size))
+    rows = rows.withColumn(bucket, F.pmod(F.shiftright(hashed, 16), F.lit(buckets)).cast("long"))
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards * buckets, 1 << 16))
-    dealt = rows.repartition(tasks, "__shard", "__bucket").sortWithinPartitions("__shard", "__bucket", "__hash")
+    dealt = rows.repartition(tasks, shard, bucket).sortWithinPartitions(shard, bucket, hashed)
     schema = T.StructType([*dealt.schema.fields, T.StructField("run", T.LongType()), T.StructField("place", T.LongType())])
-    placed = dealt.mapInArrow(_shuffle_buckets(dealt.columns, dealt.columns.index("__size"), seed), schema)
-    out = placed.select(*kept, F.col("__bucket").alias("bucket"), "run", "place",
-                        F.col("__grown").alias("grown_shard"), F.col("__shard").alias("shard"))
+    at = dealt.columns.index
+    placed = dealt.mapInArrow(_shuffle_buckets(at(shard), at(bucket), at(size), seed), schema)
+    out = placed.select(*kept, F.col(bucket).alias("bucket"), "run", "place",
+                        F.col(grown).alias("grown_shard"), F.col(shard).alias("shard"))
     out.write.partitionBy("shard").parquet(path)
     return out.schema
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longdoc.llm.common import (as_bytes, byte_slices, run_starts, sorted_unique, split_words, text_bytes,
+from longdoc.llm.common import (as_bytes, byte_slices, fresh, run_starts, sorted_unique, split_words, text_bytes,
                                 window_hash, word_hashes)
 
 WINDOW = 13
@@ -119,11 +119,11 @@ def _split_by(sorted_values: np.ndarray, shift: int) -> list[tuple[int, int, int
     return [(int(part[i]), int(i), int(j)) for i, j in zip(at, np.r_[at[1:], len(part)], strict=True)]
 
 
-def _sketch(text: str, window: int, bits: int, shard_bits: int):
+def _sketch(doc_id: str, text: str, window: int, bits: int, shard_bits: int):
     """Pass 1 of a block: its distinct cells, by shard."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        block = _block(table, text, window)
+        block = _block(table, doc_id, text, window)
         shard, data = [], []
         for row in range(DEPTH):
             cells = sorted_unique(block.cells(row, bits))
@@ -152,11 +152,11 @@ def _merge_sketch(key: tuple, table: pa.Table) -> pa.Table:
                      "data": pa.array([np.packbits(h).tobytes() for h in hit], pa.binary())})
 
 
-def _candidates(text: str, window: int, bits: int, shard_bits: int):
+def _candidates(doc_id: str, text: str, window: int, bits: int, shard_bits: int):
     """Pass 2 of a block: the windows that all sketch rows call repeated."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _block(left, text, window)
+        block = _block(left, doc_id, text, window)
         answer = dict(zip(right.column("shard").to_pylist(), right.column("data").to_pylist(), strict=True))
         keep = np.ones(len(block.u1), bool)
         for row in range(DEPTH):
@@ -191,20 +191,24 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
     owned = np.empty(len(a), bool)
     owned[order] = low > np.repeat(np.minimum.reduceat(low, first), np.diff(np.r_[first, len(a)]))
     pieces = np.split(owned, ends[:-1])
-    return pa.table({"block": table.column("block"),
-                     "data": pa.array([(x[p]).tobytes() for x, p in zip(h1, pieces, strict=True)], pa.binary())})
+    data = [np.stack([x[p], y[p]], 1).tobytes() for x, y, p in zip(h1, h2, pieces, strict=True)]
+    return pa.table({"block": table.column("block"), "data": pa.array(data, pa.binary())})
 
 
-def _block(table: pa.Table, text: str, window: int) -> Block:
-    return Block(table.column("__id").to_pylist(), table.column(text).to_pylist(), window)
+def _block(table: pa.Table, doc_id: str, text: str, window: int) -> Block:
+    return Block(table.column(doc_id).to_pylist(), table.column(text).to_pylist(), window)
 
 
 def _removed(block: Block, owned: np.ndarray) -> list[np.ndarray]:
-    """Per document the mask of words that go."""
-    owned = np.sort(owned)
-    at = np.searchsorted(owned, block.u1)
-    gone_window = at < len(owned)
-    gone_window[gone_window] = owned[at[gone_window]] == block.u1[gone_window]
+    """Per document the mask of words that go, given (n, 2) hashes of the owned windows."""
+    order, first = _by_both(owned[:, 0], owned[:, 1])
+    owned = owned[order[first]]
+    own1, own2 = np.ascontiguousarray(owned[:, 0]), owned[:, 1]
+    gone_window = np.zeros(len(block.u1), bool)
+    low, high = np.searchsorted(own1, block.u1), np.searchsorted(own1, block.u1, side="right")
+    for k in range(int((high - low).max(initial=0))):  # more than once only where first halves collide
+        some = np.flatnonzero(low + k < high)
+        gone_window[some] |= own2[low[some] + k] == block.u2[some]
     if len(block.u1):
         gone = (gone_window[block.place] | (block.ids[block.doc] > block.low[block.place])) & block.has_id[block.doc]
     else:
@@ -241,13 +245,13 @@ def _spaced(text: str | None, gone: np.ndarray) -> str | None:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False, doc_id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
+                   text: str = "text", counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """Cut the repeated windows of every whole text.
 
     Returns the rows and columns of ``docs`` with the text cut (kept words joined
     by one space if ``joined``, else with their own white space) and two more
-    columns, ``n_words`` and ``n_removed`` (long, of the input text); columns of
-    ``docs`` with these names are replaced.
+    columns, named by ``counts``: the input text's words and those removed (long); columns of
+    ``docs`` with these names, in any case, are replaced.
 
     Null texts and texts shorter than a window lose nothing (null stays null, or
     is empty if ``joined``). A window repeated inside one document only is no repeat, nor is one
@@ -261,30 +265,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     bits = max(16, math.ceil(math.log2(expected * CELLS_PER_WINDOW)), shard_bits + 1)
     bits = min(bits, shard_bits + 32)
 
-    extra = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    dealt = docs.select(*extra, F.col(doc_id).cast("long").alias("__id"), F.pmod(
-        F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)), F.lit(blocks)).cast("long").alias("__block"))
+    extra = [c for c in docs.columns if c.lower() not in [n.lower() for n in counts]]
+    own_id, block_no = fresh(extra, "own_id", "block_no")
+    dealt = docs.select(*extra, F.col(doc_id).cast("long").alias(own_id), F.pmod(
+        F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)), F.lit(blocks)).cast("long").alias(block_no))
 
-    cells = dealt.groupBy("__block").applyInArrow(_sketch(text, window, bits, shard_bits), "shard long, block long, data binary")
+    cells = dealt.groupBy(block_no).applyInArrow(_sketch(own_id, text, window, bits, shard_bits), "shard long, block long, data binary")
     repeated = cells.groupBy("shard").applyInArrow(_merge_sketch, "block long, shard long, data binary")
-    found = dealt.groupBy("__block").cogroup(repeated.groupBy("block")).applyInArrow(
-        _candidates(text, window, bits, shard_bits), "part long, block long, h1 binary, h2 binary, low binary")
+    found = dealt.groupBy(block_no).cogroup(repeated.groupBy("block")).applyInArrow(
+        _candidates(own_id, text, window, bits, shard_bits), "part long, block long, h1 binary, h2 binary, low binary")
     owned = found.groupBy("part").applyInArrow(_owners, "block long, data binary")
 
-    out = T.StructType([docs.schema[c] for c in extra] + [T.StructField("n_words", T.LongType()),
-                                                         T.StructField("n_removed", T.LongType())])
+    out = T.StructType([docs.schema[c] for c in extra] + [T.StructField(n, T.LongType()) for n in counts])
     out = T.StructType([T.StructField(f.name, f.dataType) for f in out])
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _block(left, text, window)
-        sent = [np.frombuffer(x.as_py(), "<u8") for x in right.column("data")]
-        masks = _removed(block, np.concatenate(sent) if sent else np.empty(0, np.uint64))
+        block = _block(left, own_id, text, window)
+        sent = [np.frombuffer(x.as_py(), "<u8").reshape(-1, 2) for x in right.column("data")]
+        masks = _removed(block, np.concatenate(sent) if sent else np.empty((0, 2), np.uint64))
         values = left.column(text).to_pylist()
         texts = [(_joined if joined else _spaced)(t, m) for t, m in zip(values, masks, strict=True)]
         cols = {c: left.column(c) for c in extra}
         cols[text] = pa.array(texts, left.schema.field(text).type)
-        cols["n_words"] = pa.array(block.n_words, pa.int64())
-        cols["n_removed"] = pa.array([int(m.sum()) for m in masks], pa.int64())
+        cols[counts[0]] = pa.array(block.n_words, pa.int64())
+        cols[counts[1]] = pa.array([int(m.sum()) for m in masks], pa.int64())
         return pa.table({f.name: cols[f.name] for f in out})
 
-    return dealt.groupBy("__block").cogroup(owned.groupBy("block")).applyInArrow(cut, out)
+    return dealt.groupBy(block_no).cogroup(owned.groupBy("block")).applyInArrow(cut, out)
