@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longdoc.llm import language, minhash, packing, substring
-from longdoc.llm.common import BROADCAST_IDS, materialize, read_table
+from longdoc.llm.common import BROADCAST_IDS, fresh, materialize, read_table
 from longdoc.llm.queries import tokenizer_path
 from longdoc.session import ship_package
 
@@ -33,15 +33,17 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     predict = language.predictor(spark, model)
-    found = docs.withColumn("__found", predict(F.col("text")))
-    kept = found.where((F.col("__found.lang_pred") != language.UNKNOWN) & (F.col("__found.score") >= MIN_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "__found.lang_pred")).select(*docs.columns)
+    own, = fresh(docs.columns, "found_language")
+    found = docs.withColumn(own, predict(F.col("text")))
+    kept = found.where((F.col(f"{own}.lang_pred") != language.UNKNOWN) & (F.col(f"{own}.score") >= MIN_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", f"{own}.lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup (10): of each group of texts that are linked by 5-word
-    shingles with a similarity of 0.8 or more the smallest doc_id stays; of repeated
-    rows one."""
+    shingles with a similarity of 0.8 or more the smallest doc_id stays; of repeated rows (same doc_id and text) the one
+    whose columns come first as JSON. Texts without words and rows without a doc_id are linked with
+    nothing and stay; a text of any length is compared as a whole; other columns, whatever their names, come through."""
     ship_package(spark)
     found = minhash.near_duplicates(docs, words=5, percent=80)
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
@@ -51,24 +53,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
     if not repeated.isEmpty():
         again = F.broadcast(repeated) if small else repeated
-        one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        row, others = F.struct(*docs.columns), F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+        one = (kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, others).alias("row"))
+               .select("row.*"))
         kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup (8): cuts windows of 13 words that a smaller doc_id has too.
-    A document that is cut altogether goes."""
+    A document that is cut altogether goes; n_chars follows the text. Null, empty and short texts lose nothing, rows of the
+    same doc_id cut nothing from each other, rows without one neither cut nor are cut; a text of any length is cut
+    as a whole; other columns, whatever their names, come through unchanged."""
     ship_package(spark)
-    cut = substring.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    words, removed = fresh(docs.columns, "all_words", "removed_words")
+    cut = substring.remove_repeats(docs, counts=(words, removed)).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing (5): sequences of 1024 tokens; one row per piece with its ids."""
+    """Packing (5): sequences of 1024 tokens; one row per piece with its ids.
+    A null or empty text is its end mark alone; a long one fills several sequences; rows with null or repeated ids are
+    packed like others; other columns are not read."""
     ship_package(spark)
     pieces = packing.pack_texts(docs, tokenizer_path("byte_bpe_50k.json"))
     return pieces.select(F.col("id").alias("doc_id"), "sequence_id", "offset", "start", "length", "n_loss",
