@@ -86,6 +86,80 @@ def test_chunks_equal_the_whole(ship, size):
         assert parts[i] == (np.frombuffer(ids, "<u4").tolist(), score, text)
 
 
+def test_words_together_equal_words_alone():
+    rng = random.Random(3)
+    m = spm.Model(MODEL)
+    words = {"".join(rng.choice(a) for _ in range(rng.randint(1, 64))) for a in ("ab", "thener", "abc日本x😀é", "▁▁the", "\u0100\u07ff\u0800")
+             for _ in range(60)}
+    words = sorted(words)
+    total, counts, ids = m.encode_words(words)
+    at = 0
+    for i, w in enumerate(words):
+        best, last = m.forward(w, {0: 0.0}, len(w))
+        assert total[i] == best[-1] and ids[at:at + counts[i]].tobytes() == m.back(w, last, len(w))[1]
+        at += counts[i]
+    assert at == len(ids)
+
+
+def test_encoding_together_equals_alone(monkeypatch):
+    rng = random.Random(4)
+    m = spm.Model(MODEL)
+    texts = [m.normalize(" ".join("".join(rng.choice("thenr日") for _ in range(rng.choice([1, 3, 9, 80]))) for _ in range(n))) for n in (0, 1, 7, 0, 40)]
+    alone = [m.encode(t) for t in texts]
+    assert m.encode_all(texts) == alone == [(a, struct_ids(m, t)) for t, (a, _) in zip(texts, alone)]
+    monkeypatch.setattr(spm, "MEMO", 3)
+    assert m.encode_all(texts) == alone and m.encode_all(texts[::-1]) == alone[::-1]
+
+
+def struct_ids(m, text):
+    best, last = m.forward(text, {0: 0.0}, len(text))
+    return m.back(text, last, len(text))[1]
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_scan_of_many_blocks(ship, monkeypatch, backward):
+    """1000 places in blocks of 8, so four tiers, by an associative product that does not commute: the same states as in
+    one pass, and several tasks multiply."""
+    monkeypatch.setattr(spm, "SCAN_BLOCK", 8)
+    rng = np.random.default_rng(0)
+    maps = {(row, i): rng.integers(0, 5, 5) for row, n in ((1, 1000), (2, 1), (3, 8), (4, 9)) for i in range(n)}
+    through = lambda a, b: np.frombuffer(b, np.int64)[np.frombuffer(a, np.int64)].tobytes()
+    df = ship.createDataFrame([(r, i, bytearray(x.tobytes())) for (r, i), x in maps.items()], spm.SLIM).repartition(5)
+    out = spm.scan(df, np.full(1, 3).tobytes(), through, through, backward).collect()
+    got = {(r["row"], r["at"]): int(np.frombuffer(r["state"], np.int64)[0]) for r in out}
+    want = {}
+    for row in (1, 2, 3, 4):
+        state = 3
+        for i in sorted((i for r, i in maps if r == row), reverse=backward):
+            want[row, i] = state
+            state = int(maps[row, i][state])
+    assert got == want
+
+
+def test_matrices_combine_associatively():
+    m = spm.load(MODEL)
+    text = m.normalize("the segmentation of " * 30)
+    parts = [(text[i:i + 64 + m.longest - 1], len(text[i:i + 64])) for i in range(0, len(text), 64)]
+    ms = [m.matrix(s, n, i == len(parts) - 1, i == 0) for i, (s, n) in enumerate(parts)]
+    left, right = ms[0], ms[-1]
+    for x in ms[1:]:
+        left = spm.compose(left, x)
+    for x in ms[-2::-1]:
+        right = spm.compose(x, right)
+    assert np.array_equal(left, right) and left[0, 0] == m.encode(text)[0]
+
+
+def test_a_long_document_in_many_blocks(ship, monkeypatch):
+    monkeypatch.setattr(spm, "SCAN_BLOCK", 4)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aab the日") for _ in range(16 * 70)), "".join(rng.choice("ab") for _ in range(500))]
+    m = spm.load(MODEL)
+    rows = spm.encode(ship.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL, chunk=16).collect()
+    for i, text in enumerate(texts):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.part)
+        assert (sum(r.score for r in own), b"".join(bytes(r.ids) for r in own)) == m.encode(m.normalize(text))
+
+
 def test_sentencepiece_round_trip(ship, documents):
     encoded = spm.decode(spm.encode(read_table(ship, SF_SMALL, "documents"), MODEL, chunk=4096), MODEL)
     texts = {}
