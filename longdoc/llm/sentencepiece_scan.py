@@ -45,12 +45,12 @@ from longdoc.llm.common import materialize
 #: Characters of a chunk.
 CHUNK = 1 << 16
 #: Words that a worker remembers.
-MEMO = 300_000
+MEMO = 150_000
 #: Words that are encoded at a time; longer ones than ``LONG_WORD`` characters are encoded alone and not remembered.
-WORDS = 20_000
+WORDS = 4_000
 LONG_WORD = 64
 #: Characters of texts that are encoded at a time.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 #: Consecutive matrices or maps of a document that one task combines.
 SCAN_BLOCK = 64
 SPACE = "▁"
@@ -93,6 +93,8 @@ class Model:
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if splits else "(?s).+")
         self.splits = splits
         self._flatten()
+        self.memo: defaultdict[str, int] = defaultdict()
+        self.memo.default_factory = self.memo.__len__  # a word that is not remembered gets the next number
         self.forget()
         self.shown = pa.array(self.bytes_of, pa.large_binary())
 
@@ -257,8 +259,7 @@ class Model:
         self.word_first = np.cumsum(counts) - counts
 
     def forget(self) -> None:
-        self.memo: defaultdict[str, int] = defaultdict()
-        self.memo.default_factory = self.memo.__len__  # a word that is not remembered gets the next number
+        self.memo.clear()
         self.word_scores, self.word_counts = np.zeros(0), np.zeros(0, np.int64)
         self.word_ids, self.word_first = np.zeros(0, "<i4"), np.zeros(0, np.int64)
 
