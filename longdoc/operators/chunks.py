@@ -19,7 +19,7 @@ from longdoc.constants import CHUNK_SIZE, FIRST_BYTE_ID, FIRST_PIECE_ID, N_NEIGH
 from longdoc.functions.arrays import chunk_array, full_chunks
 
 #: Terms of spelled words lie above this, those of the vocabulary below.
-SPELLED = 1 << 30
+SPELLED = 1 << 60
 
 
 def chunk_documents(df: DataFrame, key: str = "article_id", ids: str = "token_ids",
@@ -88,7 +88,7 @@ def sequence_windows(docs: DataFrame, key: str = "article_id", n_chunks: str = "
 
 
 def terms_of(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, terms) of id rows: a piece is its id, a spelled word one term, 2^30 and 28 bits of
+    """(rows, terms) of id rows: a piece is its id, a spelled word one term, 2^60 and 60 bits of
     the md5 of its bytes (also what a chunk border has left of it). WORD and special ids
     are no terms."""
     import hashlib
@@ -100,7 +100,7 @@ def terms_of(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     start = np.flatnonzero(new)
     raw = (ids[at] - FIRST_BYTE_ID).astype(np.uint8).tobytes()
     words = [raw[a:b] for a, b in zip(start.tolist(), [*start[1:].tolist(), len(at)], strict=True)] if len(at) else []
-    code = {w: SPELLED + int(hashlib.md5(w.hex().upper().encode()).hexdigest()[:7], 16) for w in set(words)}
+    code = {w: SPELLED + int(hashlib.md5(w.hex().upper().encode()).hexdigest()[:15], 16) for w in set(words)}
     spelled = np.array([code[w] for w in words], np.int64)
     return np.concatenate([rows[piece], rows[at[start]]]), np.concatenate([ids[piece].astype(np.int64), spelled])
 
@@ -108,18 +108,19 @@ def terms_of(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def tf_batch(rows: np.ndarray, terms: np.ndarray, n: int):
     """Per-row term frequencies, vectorised: one sort of (row, term) keys for the whole
     Arrow batch."""
-    key = (rows.astype(np.int64) << 32) | terms
+    names, code = np.unique(terms, return_inverse=True)
+    key = (rows.astype(np.int64) << 32) | code
     key.sort()  # numpy sorts many times as fast as it finds unique values
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     uniq, counts = key[first], np.diff(np.r_[first, len(key)])
     urow = uniq >> 32
-    utok = (uniq & 0xFFFFFFFF).astype(np.int32)
+    utok = names[uniq & 0xFFFFFFFF] if len(names) else np.empty(0, np.int64)
     new_offs = np.searchsorted(urow, np.arange(n + 1)).astype(np.int32)
     norm2 = np.bincount(urow, weights=counts.astype(np.float64) ** 2, minlength=n).astype(np.int64)
     return new_offs, utok, counts.astype(np.int32), norm2
 
 
-_TF_TYPE = T.StructType([T.StructField("token_id", T.ArrayType(T.IntegerType())),
+_TF_TYPE = T.StructType([T.StructField("token_id", T.ArrayType(T.LongType())),
                          T.StructField("tf", T.ArrayType(T.IntegerType())),
                          T.StructField("norm2", T.LongType())])
 
@@ -137,7 +138,7 @@ def _tf_udf(ids: pa.Array) -> pa.Array:
          pa.array(norm2)], fields=list(_TF_TYPE_ARROW))
 
 
-_TF_TYPE_ARROW = pa.struct([("token_id", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32())),
+_TF_TYPE_ARROW = pa.struct([("token_id", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32())),
                             ("norm2", pa.int64())])
 
 

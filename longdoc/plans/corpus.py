@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from longdoc.constants import CHUNK_SIZE, VOCAB_SIZE
 from longdoc.functions.arrays import chunk_array
-from longdoc.operators.chunks import chunk_documents, chunk_tf, drop_last_chunk, filter_min_chunks
-from longdoc.operators.retrieve import knn_sparse
+from longdoc.operators import sparse_index as sparse
+from longdoc.operators.chunks import chunk_documents, filter_min_chunks
 from longdoc.operators.tokens import VocabTokenizer, corpus_vocab, tokenize
 from longdoc.session import ensure_parallelism, scratch_path
 from longdoc.sources.io import input_stamp, materialize
@@ -74,14 +74,18 @@ def doc_arrays(spark: SparkSession, sf_dir: str, c: int = CHUNK_SIZE) -> DataFra
     return d.withColumn("n_chunks", F.size("text_tokenized"))
 
 
+def sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index (D2) of every chunk of a document but the last, of documents with k + 1 chunks or more; written
+    once per input and config."""
+    cfg = {"docs": _stamp(spark, f"{sf_dir.rstrip('/')}/documents.parquet"), "vocab": vocab_path(spark, sf_dir), "block": sparse.BLOCK, "v": 1}
+    return materialize(spark, lambda: sparse.build(filter_min_chunks(doc_arrays(spark, sf_dir)), drop=1),
+                       scratch_path(spark, "sparse_index"), cfg)
+
+
 def self_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk of a document but the last, of documents with k + 1 chunks or more, searched
-    among the others of its document (D3b)."""
-    chunks = drop_last_chunk(filter_min_chunks(doc_chunks(spark, sf_dir)))
-    k_tf = chunk_tf(chunks, ["article_id", "chunk_no"])
-    q_tf = k_tf.drop("norm2").withColumnRenamed("chunk_no", "query_no")
-    queries = chunks.select("article_id", F.col("chunk_no").alias("query_no"), (F.col("n_chunks") - 1).alias("n_keys"))
-    return knn_sparse(q_tf, k_tf, queries, exclude_self=True)
+    """Every chunk of the index searched among the others of its document."""
+    index = sparse_index(spark, sf_dir)
+    return sparse.search(index, index, exclude_self=True)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,16 +92,17 @@ chunks AS (SELECT c.article_id, c.chunk_no, n.n_chunks,
 """
 
 def term_ctes(name: str, src: str, keys: str) -> str:
-    """``name``({keys}, token_id, tf): a piece is its id, a spelled word (or what a chunk border
-    has left of it) one term from the md5 of its bytes."""
+    """``name``({keys}, term, token_id, tf): a piece is its id, a spelled word (or what a chunk border
+    has left of it) one term. Everything is counted by ``term``, the word's own bytes; token_id, from their md5, is only shown."""
     return f"""
 _{name}_w AS (SELECT {keys}, pos, id, sum(CASE WHEN id = 3 OR id >= 260 THEN 1 ELSE 0 END)
                 OVER (PARTITION BY {keys} ORDER BY pos) AS wd FROM {src} WHERE id >= 3),
-_{name}_h AS (SELECT {keys}, wd, 1073741824 + CAST('0x' || substr(md5(string_agg(printf('%02X', id - 4), '' ORDER BY pos)), 1, 7) AS BIGINT) AS token_id
+_{name}_h AS (SELECT {keys}, wd, string_agg(printf('%02X', id - 4), '' ORDER BY pos) AS term
               FROM _{name}_w WHERE id BETWEEN 4 AND 259 GROUP BY ALL),
-{name} AS (SELECT {keys}, token_id, CAST(count(*) AS BIGINT) AS tf FROM (
-             SELECT {keys}, CAST(id AS BIGINT) AS token_id FROM _{name}_w WHERE id >= 260
-             UNION ALL SELECT {keys}, token_id FROM _{name}_h) GROUP BY ALL)
+{name} AS (SELECT {keys}, term, any_value(token_id) AS token_id, CAST(count(*) AS BIGINT) AS tf FROM (
+             SELECT {keys}, 'piece ' || id AS term, CAST(id AS BIGINT) AS token_id FROM _{name}_w WHERE id >= 260
+             UNION ALL SELECT {keys}, term, 1152921504606846976 + CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) FROM _{name}_h)
+           GROUP BY {keys}, term)
 """
 
 
@@ -113,7 +114,7 @@ _kid AS (SELECT article_id, chunk_no, unnest(token_ids) AS id, unnest(range({C})
 {term_ctes("key_tf", "_kid", "article_id, chunk_no").strip()},
 key_norm AS (SELECT article_id, chunk_no, CAST(sum(tf * tf) AS BIGINT) AS norm2 FROM key_tf GROUP BY ALL),
 _dots AS (SELECT q.article_id, q.chunk_no AS query_no, k.chunk_no, sum(q.tf * k.tf) AS dot
-          FROM key_tf q JOIN key_tf k ON q.article_id = k.article_id AND q.token_id = k.token_id
+          FROM key_tf q JOIN key_tf k ON q.article_id = k.article_id AND q.term = k.term
           WHERE q.chunk_no <> k.chunk_no GROUP BY ALL
           UNION ALL SELECT article_id, query_no, chunk_no, 0 AS dot FROM (
             SELECT article_id, chunk_no AS query_no, unnest(range(least(n_chunks - 1, 5))) AS chunk_no FROM _keys)
@@ -156,10 +157,14 @@ SELECT t.article_id, CAST(t.chunk_no AS BIGINT) AS chunk_no, CAST(t.token_id AS
 FROM key_tf t JOIN key_norm n USING (article_id, chunk_no)"""
 
 SQL["chunk_idf"] = with_(VOCAB, DOC_IDS, CHUNKS, SPARSE) + """,
-df AS (SELECT token_id, count(*) AS n FROM key_tf GROUP BY ALL)
+df AS (SELECT term, count(*) AS n FROM key_tf GROUP BY ALL)
 SELECT t.article_id, CAST(t.chunk_no AS BIGINT) AS chunk_no, CAST(t.token_id AS BIGINT) AS token_id,
        round(t.tf * ln(1 + (SELECT count(*) FROM _keys)::DOUBLE / d.n), 6) AS weight
-FROM key_tf t JOIN df d USING (token_id)"""
+FROM key_tf t JOIN df d USING (term)"""
+
+SQL["chunk_postings"] = with_(VOCAB, DOC_IDS, CHUNKS, SPARSE) + """
+SELECT t.article_id, any_value(t.token_id) AS token_id, count(*) AS df, round(max(t.tf / sqrt(n.norm2)), 6) AS impact
+FROM key_tf t JOIN key_norm n USING (article_id, chunk_no) GROUP BY t.article_id, t.term"""
 
 SQL["knn_sparse"] = with_(VOCAB, DOC_IDS, CHUNKS, SPARSE) + """
 SELECT article_id, CAST(query_no AS BIGINT) AS query_no, CAST(rank AS BIGINT) AS rank,

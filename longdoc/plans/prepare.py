@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from longdoc.constants import CHUNK_SIZE, N_NEIGHBORS, VOCAB_SIZE
 from longdoc.functions.arrays import chunk_array, drop_last
 from longdoc.functions.text import build_prompt, flatten_abstract, flatten_text
-from longdoc.operators.chunks import chunk_tf, filter_min_chunks
+from longdoc.operators import sparse_index
+from longdoc.operators.chunks import filter_min_chunks
 from longdoc.operators.lookup import join_titles, quarantine, title_map
-from longdoc.operators.retrieve import HashEncoder, collect_retrieved, knn_sparse, knn_within
+from longdoc.operators.retrieve import HashEncoder, collect_retrieved, knn_within
 from longdoc.operators.tokens import VocabTokenizer, corpus_vocab
 from longdoc.session import scratch_path
 from longdoc.sources.io import cap_per_split, input_stamp, materialize, read_articles, read_titles
@@ -49,8 +50,9 @@ def search_chunks(articles: DataFrame, k: int, encoder=None, query_chunks: str =
                         F.posexplode(drop(query_chunks, 0 if last_query else 1)).alias("query_no", "token_ids"))
     keys = articles.select("article_id", F.posexplode(drop(chunks, 1)).alias("chunk_no", "token_ids"))
     if encoder is None:
-        q_tf = chunk_tf(q, ["article_id", "query_no"]).drop("norm2")
-        return knn_sparse(q_tf, chunk_tf(keys, ["article_id", "chunk_no"]), q.drop("token_ids"), k=k)
+        spark = articles.sparkSession
+        asked = written(spark, sparse_index.build(articles, chunks=query_chunks, drop=0 if last_query else 1))
+        return sparse_index.search(asked, written(spark, sparse_index.build(articles, chunks=chunks, drop=1)), k=k)
     qv = q.select("article_id", "query_no", encoder.encode("token_ids").alias("embedding"))
     kv = keys.select("article_id", "chunk_no", encoder.encode("token_ids").alias("embedding"))
     found = knn_within(qv, kv, "article_id", "query_no", "chunk_no", k=k)

@@ -24,6 +24,7 @@ from longdoc.operators import lookup as LK
 from longdoc.operators import metrics as M
 from longdoc.operators import retrieve as R
 from longdoc.operators import sampling as S
+from longdoc.operators import sparse_index
 from longdoc.operators.tokens import decode, tokenize
 from longdoc.session import scratch_path
 from longdoc.sources import io as IO
@@ -99,6 +100,13 @@ def q_chunk_idf(spark, sf):
     return out(t.select("article_id", "chunk_no", "token_id", F.round(F.col("tf") * F.col("idf"), 6).alias("weight")))
 
 
+@register("chunk_postings")
+def q_chunk_postings(spark, sf):
+    """The lists of the inverted index, with the bound that a search prunes by."""
+    p = sparse_index.postings(corpus.sparse_index(spark, sf))
+    return out(p.select(F.col("g").alias("article_id"), "token_id", "df", F.round("impact", 6).alias("impact")))
+
+
 @register("knn_sparse")
 def q_knn_sparse(spark, sf):
     r = corpus.self_search(spark, sf)

@@ -134,7 +134,7 @@ def test_terms_of_spelled_words():
 
     from longdoc.operators.chunks import SPELLED, terms_of, tf_batch
     b = lambda w: [4 + x for x in w.encode()]
-    term = lambda w: SPELLED + int(hashlib.md5(w.encode().hex().upper().encode()).hexdigest()[:7], 16)
+    term = lambda w: SPELLED + int(hashlib.md5(w.encode().hex().upper().encode()).hexdigest()[:15], 16)
     # row 0 begins inside a word; rows 0 and 1 end and begin with bytes, which don't run together
     flat = [[*b("il"), 300, 3, *b("zz"), 3, *b("zz"), 1, 0], [*b("zz"), 260, 260, 2], []]
     rows = np.repeat(np.arange(3), [len(x) for x in flat])
