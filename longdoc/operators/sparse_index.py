@@ -42,8 +42,9 @@ SEED_POSTINGS = 64
 #: (query, key) parts held at a time.
 PARTS = 1 << 21
 
-COLUMNS = ("block int, n int, terms array<bigint>, ends array<int>, nos array<int>, tfs array<int>, "
-           "impacts array<double>, norms array<bigint>")
+#: A block's arrays are columns of little-endian bytes: no engine has to look into them on their way to a tile.
+ARRAYS = {"terms": "<i8", "ends": "<i4", "nos": "<i4", "tfs": "<i4", "impacts": "<f8", "norms": "<i8"}
+COLUMNS = "block int, n int, " + ", ".join(f"{name} binary" for name in ARRAYS)
 
 
 def runs(*sorted_arrays: np.ndarray) -> np.ndarray:
@@ -61,8 +62,18 @@ def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 # ---- the index ---------------------------------------------------------------
 
-def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values, kind))
+def _packed(name: str, values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One value of bytes per block, which has ``counts`` of the values."""
+    values = values.astype(ARRAYS[name])
+    offsets = (np.r_[0, np.cumsum(counts)] * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all blocks one after the other, number of each block's)."""
+    data = table.column(name).to_pylist()
+    values = np.frombuffer(b"".join(data), ARRAYS[name])
+    return values, np.fromiter(map(len, data), np.int64, len(data)) // values.itemsize
 
 
 def index_batch(group: pa.Array, chunks: pa.ListArray, drop: int) -> pa.RecordBatch:
@@ -93,8 +104,8 @@ def index_batch(group: pa.Array, chunks: pa.ListArray, drop: int) -> pa.RecordBa
     ends = np.r_[at[1:], len(chunk)][:len(at)] - np.repeat(before, lists)
     return pa.RecordBatch.from_arrays(
         [group.take(pa.array(rows[begin])), pa.array(no[begin] // BLOCK, pa.int32()), pa.array(n, pa.int32()),
-         _lists(names[code[at]], lists, pa.int64()), _lists(ends, lists, pa.int32()), _lists(no[chunk], postings, pa.int32()),
-         _lists(tf, postings, pa.int32()), _lists(impact, lists, pa.float64()), _lists(norm, n, pa.int64())],
+         _packed("terms", names[code[at]], lists), _packed("ends", ends, lists), _packed("nos", no[chunk], postings),
+         _packed("tfs", tf, postings), _packed("impacts", impact, lists), _packed("norms", norm, n)],
         names=["g", *(c.split(" ")[0] for c in COLUMNS.split(", "))])
 
 
@@ -112,9 +123,23 @@ def build(articles: DataFrame, group: str = "article_id", chunks: str = "text_to
 
 def postings(index: DataFrame) -> DataFrame:
     """(g, token_id, df, impact): an article's lists over all its blocks, with their bounds."""
-    each = index.select("g", F.explode(F.arrays_zip("terms", "ends", "impacts", F.concat(F.array(F.lit(0)), F.col("ends")).alias("begins"))).alias("t"))
-    return (each.where("t.terms is not null").groupBy("g", F.col("t.terms").alias("token_id"))
-            .agg(F.sum(F.col("t.ends") - F.col("t.begins")).cast("bigint").alias("df"), F.max("t.impacts").alias("impact")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, lists = _unpacked(batch, "terms")
+            block = np.repeat(np.arange(len(lists)), lists)
+            ends = _unpacked(batch, "ends")[0].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(block)), pa.array(terms), pa.array(_counts(ends, block)),
+                                              pa.array(_unpacked(batch, "impacts")[0])], names=["g", "token_id", "df", "impact"])
+
+    each = index.mapInArrow(run, f"g {dict(index.dtypes)['g']}, token_id bigint, df bigint, impact double")
+    return each.groupBy("g", "token_id").agg(F.sum("df").alias("df"), F.max("impact").alias("impact"))
+
+
+def _counts(ends: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Postings of each list, from where lists end in their blocks."""
+    begins = np.r_[0, ends[:-1]][:len(ends)]
+    begins[runs(block)] = 0
+    return ends - begins
 
 
 # ---- a tile ------------------------------------------------------------------
@@ -129,24 +154,18 @@ class Blocks:
         order = np.lexsort((block, g))
         table, g, block = table.take(pa.array(order)), g[order], block[order]
 
-        def flat(name: str) -> np.ndarray:
-            return pc.list_flatten(table.column(name)).to_numpy()
-
         n = table.column("n").to_numpy().astype(np.int64)
-        lists = pc.list_value_length(table.column("terms")).to_numpy()
-        self.norm = flat("norms")
+        self.norm = _unpacked(table, "norms")[0]
         base = np.cumsum(n) - n
         self.chunk_group = np.repeat(g, n)
         self.chunk_no = np.repeat(block.astype(np.int64) * BLOCK - base, n) + np.arange(int(n.sum()))
         self.chunk_block = np.repeat(np.arange(len(g)), n)
+        self.term, lists = _unpacked(table, "terms")
         at = np.repeat(np.arange(len(g)), lists)
-        self.term, self.impact, self.list_block, self.list_group = flat("terms"), flat("impacts"), at, g[at]
-        ends = flat("ends").astype(np.int64)
-        begins = np.r_[0, ends[:-1]][:len(ends)]
-        begins[runs(at)] = 0
-        self.count = ends - begins
-        self.tf = flat("tfs").astype(np.int64)
-        self.chunk = flat("nos") - np.repeat(block[at] * BLOCK - base[at], self.count)
+        self.impact, self.list_block, self.list_group = _unpacked(table, "impacts")[0], at, g[at]
+        self.count = _counts(_unpacked(table, "ends")[0].astype(np.int64), at)
+        self.tf = _unpacked(table, "tfs")[0].astype(np.int64)
+        self.chunk = _unpacked(table, "nos")[0] - np.repeat(block[at] * BLOCK - base[at], self.count)
 
 
 class Keys:

@@ -77,7 +77,7 @@ def doc_arrays(spark: SparkSession, sf_dir: str, c: int = CHUNK_SIZE) -> DataFra
 def sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index (D2) of every chunk of a document but the last, of documents with k + 1 chunks or more; written
     once per input and config."""
-    cfg = {"docs": _stamp(spark, f"{sf_dir.rstrip('/')}/documents.parquet"), "vocab": vocab_path(spark, sf_dir), "block": sparse.BLOCK, "v": 1}
+    cfg = {"docs": _stamp(spark, f"{sf_dir.rstrip('/')}/documents.parquet"), "vocab": vocab_path(spark, sf_dir), "block": sparse.BLOCK, "v": 2}
     return materialize(spark, lambda: sparse.build(filter_min_chunks(doc_arrays(spark, sf_dir)), drop=1),
                        scratch_path(spark, "sparse_index"), cfg)
 
