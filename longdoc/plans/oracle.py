@@ -852,19 +852,33 @@ SELECT s.split, s.article_id, coalesce(p.n_prompt, 0) AS n_prompt, i.n_input, CA
 FROM samples s JOIN _nch b USING (article_id) LEFT JOIN npr p USING (article_id) JOIN nin i USING (article_id)
 LEFT JOIN pr_ret r USING (article_id) WHERE b.n_chunks >= 3"""
 
-# the hooks: a character is its code + 3, a chunk's vector its sum of ids; the one query
-# chunk ranks the body's chunks by their sums
+# the hooks: a character is its code + 3, a chunk's vector the number of ids by remainder
+
+
+def _char_chunks(name: str, text: str) -> str:
+    """``{name}``(article_id, no, n, ids, v): padded chunks of characters with their vectors."""
+    return f"""
+{name}_t AS (SELECT article_id, regexp_replace({text}, '[^ -~]', '?', 'g') AS t FROM hk_s),
+{name}_i AS (SELECT article_id, list_concat(list_transform(CASE WHEN t = '' THEN [] ELSE string_split(t, '') END, lambda c: ascii(c) + 3), [1]) AS ids FROM {name}_t),
+{name}_c AS (SELECT article_id, unnest(range(CAST(ceil(len(ids) / {C}) AS BIGINT))) AS no, CAST(ceil(len(ids) / {C}) AS BIGINT) AS n, ids FROM {name}_i),
+{name}_p AS (SELECT article_id, no, n, list_concat(ids[no * {C} + 1:no * {C} + {C}],
+               list_transform(range(greatest((no + 1) * {C} - len(ids), 0)), lambda x: 0)) AS ids FROM {name}_c),
+{name} AS (SELECT *, list_transform(range(8), lambda b: CAST(len(list_filter(ids, lambda x: x % 8 = b)) AS DOUBLE)) AS v FROM {name}_p)"""
+
+
 SQL["prepare_hooks"] = with_(ARTICLES, TITLES, SAMPLES) + f""",
-hk_t AS (SELECT s.article_id, regexp_replace(array_to_string(a.article_text, ' '), '[^ -~]', '?', 'g') AS t
-         FROM samples s JOIN articles a USING (article_id)),
-hk_i AS (SELECT article_id, list_concat(list_transform(CASE WHEN t = '' THEN [] ELSE string_split(t, '') END, lambda c: ascii(c) + 3), [1]) AS ids FROM hk_t),
-hk_c AS (SELECT article_id, unnest(range(CAST(ceil(len(ids) / {C}) AS BIGINT))) AS chunk_no, CAST(ceil(len(ids) / {C}) AS BIGINT) AS n, ids FROM hk_i),
-hk_p AS (SELECT article_id, chunk_no, n, list_concat(ids[chunk_no * {C} + 1:chunk_no * {C} + {C}],
-                list_transform(range(greatest((chunk_no + 1) * {C} - len(ids), 0)), lambda x: 0)) AS ids FROM hk_c),
-hk_r AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY list_sum(ids) DESC, chunk_no) AS rank
-         FROM hk_p WHERE chunk_no < n - 1 AND n >= 3)
-SELECT r.article_id, r.n AS n_chunks, md5(string_agg(array_to_string(list_concat(r.ids, b.ids), ' '), '|' ORDER BY r.rank)) AS retrieved_md5
-FROM hk_r r JOIN hk_p b ON b.article_id = r.article_id AND b.chunk_no = r.chunk_no + 1 WHERE r.rank <= 2 GROUP BY r.article_id, r.n"""
+hk_s AS (SELECT s.article_id, s.model_input, array_to_string(a.article_text, ' ') AS body FROM samples s JOIN articles a USING (article_id)),
+{_char_chunks("hk_b", "body").strip()},
+{_char_chunks("hk_q", "model_input").strip()},
+hk_d AS (SELECT q.article_id, q.no AS query_no, b.no AS chunk_no, list_inner_product(q.v, b.v) AS score
+         FROM hk_q q JOIN hk_b b USING (article_id) WHERE q.no < q.n - 1 AND b.no < b.n - 1 AND b.n >= 3),
+hk_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, query_no ORDER BY score DESC, chunk_no) AS rank FROM hk_d) WHERE rank <= 2),
+hk_n AS (SELECT r.article_id, r.query_no, string_agg(array_to_string(list_concat(a.ids, b.ids), ' '), '|' ORDER BY r.rank) AS p
+         FROM hk_r r JOIN hk_b a ON a.article_id = r.article_id AND a.no = r.chunk_no
+         JOIN hk_b b ON b.article_id = r.article_id AND b.no = r.chunk_no + 1 GROUP BY ALL),
+hk_a AS (SELECT article_id, count(*) AS n, string_agg(p, '#' ORDER BY query_no) AS p FROM hk_n GROUP BY ALL)
+SELECT b.article_id, b.n AS n_chunks, coalesce(a.n, 0) AS n_queries, md5(coalesce(a.p, '')) AS retrieved_md5
+FROM hk_b b LEFT JOIN hk_a a USING (article_id) WHERE b.no = 0 AND b.n >= 3"""
 
 SQL["quarantine_flow"] = with_(ARTICLES, TITLES) + """
 SELECT a.split, CASE WHEN a.article_id % 7 <> 0 THEN a.article_id END AS article_id,
@@ -897,10 +911,12 @@ SELECT id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f
 SQL["score_result_file"] = SQL["greedy_text"].rsplit("SELECT id, round", 1)[0] + """
 SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, count(*) AS n FROM gf"""
 
-SQL["generate_retrieval"] = with_(VOCAB, DOC_IDS, CHUNKS, SPARSE) + """
-SELECT n.article_id, coalesce(array_to_string(c.token_ids, ' '), '') || ' #' || CAST(n.article_id AS VARCHAR) AS prediction
-FROM _nch n LEFT JOIN knn k ON k.article_id = n.article_id AND k.query_no = 0 AND k.rank = 1
-LEFT JOIN chunks c ON c.article_id = k.article_id AND c.chunk_no = k.chunk_no WHERE n.n_chunks >= 3"""
+SQL["generate_retrieval"] = with_(VOCAB, DOC_IDS, CHUNKS, SPARSE) + f""",
+gr AS (SELECT k.article_id, string_agg(c.token_ids[1] || ':' || d.token_ids[{C}], ' ' ORDER BY k.query_no, k.rank) AS pairs
+       FROM knn k JOIN chunks c ON c.article_id = k.article_id AND c.chunk_no = k.chunk_no
+       JOIN chunks d ON d.article_id = k.article_id AND d.chunk_no = k.chunk_no + 1 GROUP BY ALL)
+SELECT n.article_id, coalesce(r.pairs, '') || ' #' || CAST(n.article_id AS VARCHAR) AS prediction
+FROM _nch n LEFT JOIN gr r USING (article_id) WHERE n.n_chunks >= 3"""
 
 
 # ---- L2: the evaluation flow --------------------------------------------------

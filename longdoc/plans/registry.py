@@ -368,11 +368,10 @@ def q_generate(spark, sf):
     return out(S.generate(s, _echo_generator, "prompt", "prediction", batch=4))
 
 
-def _first_chunk_generator():
-    # a generator that reads the retrieval input: the first neighbour chunk's ids of the first query
+def _pairs_generator():
+    # a generator that reads the retrieval input: the first and last id of every neighbour pair of every query
     def run(rows):
-        return [" ".join(str(x) for x in (r["retrieved"][0][0][:64] if len(r["retrieved"]) else [])) + f" #{r['article_id']}"
-                for r in rows]
+        return [" ".join(f"{pair[0]}:{pair[-1]}" for query in r["retrieved"] for pair in query) + f" #{r['article_id']}" for r in rows]
     return run
 
 
@@ -380,7 +379,7 @@ def _first_chunk_generator():
 def q_generate_retrieval(spark, sf):
     """E5/H5: the generator gets the sample's row with its body chunks and neighbours."""
     s = R.collect_retrieved(corpus.self_search(spark, sf), CH.filter_min_chunks(corpus.doc_arrays(spark, sf)))
-    g = S.generate(s.select("article_id", "text_tokenized", "retrieved"), _first_chunk_generator,
+    g = S.generate(s.select("article_id", "text_tokenized", "retrieved"), _pairs_generator,
                    ["article_id", "text_tokenized", "retrieved"], "prediction", batch=4, per_task=True)
     return out(g.select("article_id", "prediction"))
 
@@ -738,23 +737,27 @@ class _CharTokenizer:
         return F.array_join(F.transform(F.filter(c, lambda x: x >= 3), lambda x: F.char(x - 3)), "")
 
 
-class _SumEncoder:
-    """A caller's chunk encoder (H3): (sum of the ids, 1), so later ids rank first."""
+class _BinEncoder:
+    """A caller's chunk encoder (H3): how many ids leave each remainder by 8."""
 
     def encode(self, ids):
         c = F.col(ids) if isinstance(ids, str) else ids
-        total = F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return F.array(total.cast("float"), F.lit(1.0).cast("float"))
+
+        def held(b):
+            return F.size(F.filter(c, lambda x: x % 8 == b)).cast("float")
+
+        return F.array(*[held(b) for b in range(8)])
 
 
 @register("prepare_hooks")
 def q_prepare_hooks(spark, sf):
     """L1 with the caller's tokenizer and encoder (H1, H3)."""
     from longdoc.plans.prepare import retrieval_samples
-    s = corpus.samples(spark, sf).withColumn("text", F.regexp_replace("text", "[^ -~]", "?")).withColumn(
-        "model_input", F.lit("a" * 100))
-    r = retrieval_samples(s, _CharTokenizer(), encoder=_SumEncoder())
-    return out(r.select("article_id", F.size("text_tokenized").alias("n_chunks"),
+    s = corpus.samples(spark, sf)
+    for c in ("text", "model_input"):
+        s = s.withColumn(c, F.regexp_replace(c, "[^ -~]", "?"))
+    r = retrieval_samples(s, _CharTokenizer(), encoder=_BinEncoder())
+    return out(r.select("article_id", F.size("text_tokenized").alias("n_chunks"), F.size("retrieved").alias("n_queries"),
                         F.md5(_nested("retrieved").cast("binary")).alias("retrieved_md5")))
 
 
