@@ -98,9 +98,33 @@ def write_shards(df: DataFrame, path: str) -> None:
 
 def first_n_per_group(df: DataFrame, n: int, part: str = "split",
                       order: list[str] | None = None) -> DataFrame:
-    """The first n rows of each group by ``order`` (after all filters)."""
-    ranked = global_rank(df, [part], order or ["ord"], out="_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    """The first n rows of each group by ``order`` (after all filters). Rows that tie on ``order`` for the last
+    places are taken in any order.
+
+    Only ``part`` and ``order`` are ranked. They give each group the order columns of its n-th row (one row per group, of
+    which there are few), and the rows are filtered by comparing with these: no other row is written or shuffled. Rows
+    that tie with an n-th row are ranked among themselves where not all of them fit."""
+    if n <= 0:
+        return df.limit(0)
+    order = order or ["ord"]
+    names = [f"_by{i}" for i in range(len(order))]
+    exprs = [F.col(c) if isinstance(c, str) else c for c in order]
+    slim = df.select(F.col(part).alias("_part"), *[c.alias(name) for c, name in zip(exprs, names, strict=True)])
+    ranked = global_rank(slim, ["_part"], list(names), out="_rank").select("_part", F.struct(*names).alias("_key"), "_rank")
+    cut = ranked.where(F.col("_rank") == n).select(F.col("_part").alias("_of"), F.col("_key").alias("_cut"))
+    tied = (ranked.join(F.broadcast(cut), F.col("_part").eqNullSafe(F.col("_of")) & F.col("_key").eqNullSafe(F.col("_cut")))
+            .groupBy("_of").agg(F.first("_cut").alias("_cut"), (F.lit(n + 1) - F.min("_rank")).alias("_fit"), F.count(F.lit(1)).alias("_tied")))
+    path = scratch_path(df.sparkSession, "cut", uuid.uuid4().hex)
+    tied.write.parquet(path)
+    tied = df.sparkSession.read.schema(tied.schema).parquet(path)
+    own = df.withColumn("_key", F.struct(*[c.alias(name) for c, name in zip(exprs, names, strict=True)]))
+    own = own.join(F.broadcast(tied), F.col(part).eqNullSafe(F.col("_of")), "left")
+    same = F.col("_key").eqNullSafe(F.col("_cut"))
+    kept = own.where(F.col("_cut").isNull() | (F.col("_key") < F.col("_cut")) | (same & (F.col("_fit") == F.col("_tied"))))
+    if tied.where("_fit < _tied").isEmpty():
+        return kept.select(*df.columns)
+    last = global_rank(own.where(same & (F.col("_fit") < F.col("_tied"))), [part], [F.lit(0)], out="_rank")
+    return kept.select(*df.columns).unionByName(last.where(F.col("_rank") <= F.col("_fit")).select(*df.columns))
 
 
 def _field(c: str):

@@ -137,3 +137,24 @@ def test_write_results_of_repeated_ids(spark):
     write_results(spark.createDataFrame([(0.5,)], "f1 double"), preds, path, ["ord", "id"])
     rows = [r.ordinal for r in read_results(spark, path)[1].collect()]
     assert sorted(rows) == list(range(1, 42))
+
+
+def test_first_n_moves_only_kept_rows(spark, monkeypatch):
+    """Ties, nulls, hot keys and groups of fewer rows; only the order columns of all rows are ranked."""
+    from longdoc.operators import batches as B
+    rows = ([("a", i, None, f"x{i}") for i in range(50)] + [("b", 7, "k", f"y{i}") for i in range(400)] + [("c", 1, "k", "z")]
+            + [(None, i % 3, None, f"n{i}") for i in range(9)] + [("d", None if i < 4 else i, "q", f"d{i}") for i in range(20)])
+    df = spark.createDataFrame(rows, "split string, ord int, tie string, body string").repartition(6)
+    ranked = []
+    plain = B.global_rank
+    monkeypatch.setattr(B, "global_rank", lambda d, *a, **k: ranked.append((d.columns, d.count())) or plain(d, *a, **k))
+    for n in (1, 5, 40, 1000):
+        got = [tuple(r) for r in B.first_n_per_group(df, n, "split", ["ord", "tie"]).collect()]
+        assert len(got) == len(set(got)) == sum(min(n, sum(r[0] == s for r in rows)) for s in ("a", "b", "c", "d", None))
+        for s in ("a", "b", "c", "d", None):
+            key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "")
+            assert sorted(key(r) for r in got if r[0] == s) == sorted(key(r) for r in rows if r[0] == s)[:n]
+    whole = [c for c, m in ranked if "body" in c]
+    assert all("body" not in c for c, m in ranked if m == len(rows)) and len(whole) == 3  # ties alone are ranked as rows
+    assert B.first_n_per_group(df, 0, "split").collect() == []
+    assert B.first_n_per_group(df.limit(0), 3, "split").collect() == []
