@@ -852,6 +852,58 @@ SELECT s.split, s.article_id, coalesce(p.n_prompt, 0) AS n_prompt, i.n_input, CA
 FROM samples s JOIN _nch b USING (article_id) LEFT JOIN npr p USING (article_id) JOIN nin i USING (article_id)
 LEFT JOIN pr_ret r USING (article_id) WHERE b.n_chunks >= 3"""
 
+# generation that searches again after every full chunk. The start's full chunks (a) and the chunk that the first round
+# fills up (b) are searched; from then on a chunk of output is a chunk of the document, whose neighbours (t) are known, so the
+# recursion goes from chunk to chunk: the one after the best neighbour, until an EOS or 512 ids.
+SQL["generate_incremental"] = with_(VOCAB, ARTICLES, TITLES, SAMPLES, DOC_IDS, CHUNKS, SPARSE, PROMPT_IDS).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+gi_s AS (SELECT p.article_id, list(p.id ORDER BY p.pos) AS ids, CAST(count(*) AS INTEGER) AS n
+         FROM prompt_ids_raw p JOIN _nch c USING (article_id) WHERE c.n_chunks >= 3 GROUP BY ALL),
+gi_aid AS (SELECT article_id, pos // {C} AS query_no, pos, id FROM prompt_ids_raw JOIN gi_s USING (article_id) WHERE pos < (n // {C}) * {C}),
+gi_a_q AS (SELECT article_id, unnest(range(n // {C})) AS query_no FROM gi_s),
+{term_ctes("gi_atf", "gi_aid", "article_id, query_no").strip()},
+{_search("gi_a", "gi_atf").strip()},
+gi_b AS (SELECT s.article_id, s.n, s.ids, CASE WHEN s.n % {C} = 0 THEN []
+           WHEN s.n < {C} THEN list_transform(range({C} - s.n), lambda j: s.ids[1 + j % s.n]) ELSE c.token_ids[1:{C} - s.n % {C}] END AS new
+         FROM gi_s s LEFT JOIN gi_a_knn k ON k.article_id = s.article_id AND k.query_no = s.n // {C} - 1 AND k.rank = 1
+         LEFT JOIN chunks c ON c.article_id = k.article_id AND c.chunk_no = k.chunk_no + 1),
+gi_live AS (SELECT article_id, n // {C} AS query_no, list_concat(ids[(n // {C}) * {C} + 1:], new) AS chunk FROM gi_b
+            WHERE n % {C} <> 0 AND NOT list_contains(new, 1)),
+gi_bid AS (SELECT article_id, query_no, unnest(chunk) AS id, unnest(range({C})) AS pos FROM gi_live),
+gi_b_q AS (SELECT article_id, query_no FROM gi_live),
+{term_ctes("gi_btf", "gi_bid", "article_id, query_no").strip()},
+{_search("gi_b", "gi_btf").strip()},
+gi_ttf AS (SELECT article_id, chunk_no AS query_no, token_id, tf FROM key_tf),
+gi_t_q AS (SELECT article_id, chunk_no AS query_no FROM _keys),
+{_search("gi_t", "gi_ttf").strip()},
+gi_near AS (SELECT 0 AS tree, article_id, query_no, rank, chunk_no FROM gi_a_knn
+            UNION ALL SELECT 0, article_id, query_no, rank, chunk_no FROM gi_b_knn
+            UNION ALL SELECT 1, article_id, query_no, rank, chunk_no FROM gi_t_knn),
+gi_first AS (SELECT b.article_id, CAST(b.n + len(b.new) AS INTEGER) AS size, k.chunk_no + 1 AS chunk_no
+             FROM gi_b b JOIN gi_near k ON k.tree = 0 AND k.article_id = b.article_id AND k.rank = 1
+               AND k.query_no = CASE WHEN b.n % {C} = 0 THEN b.n // {C} - 1 ELSE b.n // {C} END
+             WHERE NOT list_contains(b.new, 1)),
+gi_r(article_id, step, chunk_no, size, over) AS (
+  SELECT f.article_id, 1, f.chunk_no, f.size + {C}, list_contains(c.token_ids, 1) OR f.size + {C} >= 512
+  FROM gi_first f JOIN chunks c USING (article_id, chunk_no) WHERE f.size < 512
+  UNION ALL
+  SELECT r.article_id, r.step + 1, k.chunk_no + 1, r.size + {C}, list_contains(c.token_ids, 1) OR r.size + {C} >= 512
+  FROM gi_r r JOIN gi_t_knn k ON k.article_id = r.article_id AND k.query_no = r.chunk_no AND k.rank = 1
+  JOIN chunks c ON c.article_id = k.article_id AND c.chunk_no = k.chunk_no + 1 WHERE NOT r.over),
+gi_out AS (SELECT r.article_id, flatten(list(c.token_ids ORDER BY r.step)) AS ids FROM gi_r r JOIN chunks c USING (article_id, chunk_no) GROUP BY ALL),
+gi_all AS (SELECT b.article_id, list_concat(list_concat(b.ids, b.new), coalesce(o.ids, [])) AS ids FROM gi_b b LEFT JOIN gi_out o USING (article_id)),
+gi_ids AS (SELECT article_id, CASE WHEN list_contains(ids, 1) THEN list_concat(ids[:list_position(ids, 1)],
+             list_transform(range(len(ids) - list_position(ids, 1)), lambda x: 0)) ELSE ids END AS ids FROM gi_all),
+gi_asked AS (SELECT article_id, query_no AS place, 0 AS tree, query_no FROM gi_near WHERE tree = 0 AND rank = 1
+             UNION ALL SELECT article_id, 1000000 + step, 1, chunk_no FROM gi_r WHERE NOT over),
+gi_pairs AS (SELECT q.article_id, q.place, string_agg(array_to_string(list_concat(x.token_ids, y.token_ids), ' '), '|' ORDER BY k.rank) AS p
+             FROM gi_asked q JOIN gi_near k ON k.tree = q.tree AND k.article_id = q.article_id AND k.query_no = q.query_no
+             JOIN chunks x ON x.article_id = k.article_id AND x.chunk_no = k.chunk_no
+             JOIN chunks y ON y.article_id = k.article_id AND y.chunk_no = k.chunk_no + 1 GROUP BY ALL),
+gi_found AS (SELECT article_id, count(*) AS n, string_agg(p, '#' ORDER BY place) AS p FROM gi_pairs GROUP BY ALL)
+SELECT i.article_id, CAST(len(i.ids) AS BIGINT) AS n_ids, md5(array_to_string(i.ids, ' ')) AS ids_md5,
+       coalesce(f.n, 0) AS n_retrieved, md5(coalesce(f.p, '')) AS retrieved_md5
+FROM gi_ids i LEFT JOIN gi_found f USING (article_id)"""
+
 # the hooks: a character is its code + 3, a chunk's vector the number of ids by remainder
 
 

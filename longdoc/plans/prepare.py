@@ -19,7 +19,7 @@ from longdoc.operators.chunks import filter_min_chunks
 from longdoc.operators.lookup import join_titles, quarantine, title_map
 from longdoc.operators.retrieve import HashEncoder, collect_retrieved, knn_within
 from longdoc.operators.tokens import VocabTokenizer, corpus_vocab
-from longdoc.session import scratch_path
+from longdoc.sources import io
 from longdoc.sources.io import cap_per_split, input_stamp, materialize, read_articles, read_titles
 
 
@@ -85,10 +85,7 @@ def retrieval_samples(samples: DataFrame, tokenizer, query_col: str = "model_inp
 
 def written(spark, df: DataFrame) -> DataFrame:
     """``df`` from a table in the shared folder: computed once, lineage cut."""
-    import uuid
-    path = scratch_path(spark, "prepared_arrays", uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return io.written(df, "prepared_arrays")
 
 
 def checked_articles(articles: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,7 @@ from longdoc.functions import arrays as A
 from longdoc.functions import text as TX
 from longdoc.operators import batches as B
 from longdoc.operators import chunks as CH
+from longdoc.operators import generation as GN
 from longdoc.operators import lookup as LK
 from longdoc.operators import metrics as M
 from longdoc.operators import retrieve as R
@@ -383,6 +384,26 @@ def q_generate_retrieval(spark, sf):
                    ["article_id", "text_tokenized", "retrieved"], "prediction", batch=4, per_task=True)
     return out(g.select("article_id", "prediction"))
 
+
+def _continuation_generator():
+    # goes on with what followed the best neighbour of the last full chunk; before the first one, with the start over again
+    def run(rows, want):
+        return [r["retrieved"][-1][0][64:][:n] if r["retrieved"] else [r["ids"][j % len(r["ids"])] for j in range(n)]
+                for r, n in zip(rows, want, strict=True)]
+    return run
+
+
+@register("generate_incremental")
+def q_generate_incremental(spark, sf):
+    """D4, incremental: retrieval after every full chunk of output, from the prompts on, 512 ids at most."""
+    from longdoc.plans.prepare import tokenize_samples
+    own = CH.filter_min_chunks(corpus.doc_arrays(spark, sf))
+    starts = tokenize_samples(corpus.samples(spark, sf), corpus.tokenizer(spark, sf)).select("article_id", "prompt_ids")
+    g = GN.generate_incremental(starts.join(own.select("article_id"), "article_id"), own, _continuation_generator)
+    return out(g.select("article_id", F.size("ids").alias("n_ids"), F.md5(A.ids_text("ids").cast("binary")).alias("ids_md5"),
+                        F.size("retrieved").alias("n_retrieved"), F.md5(_nested("retrieved").cast("binary")).alias("retrieved_md5")))
+
+
 # ---- F: batches -----------------------------------------------------------
 
 SPLIT_BATCH = {"train": 8, "val": 8, "test": 1}

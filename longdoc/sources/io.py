@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from longdoc.session import scratch_path
+
 ARTICLE_SCHEMA = ("article_id STRING, abstract_text ARRAY<STRING>, article_text ARRAY<STRING>, "
                   "section_names ARRAY<STRING>, sections ARRAY<ARRAY<STRING>>, _corrupt_record STRING")
 TITLE_SCHEMA = "id STRING, title STRING"
@@ -131,6 +134,13 @@ def import_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("ordinal", F.monotonically_increasing_id())
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` from a table of its own in the shared folder: computed once, lineage cut."""
+    path = scratch_path(df.sparkSession, label, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def config_key(config: dict) -> str:
     return hashlib.sha1(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
