@@ -11,6 +11,8 @@ null ids are scored like any other. Token rules are fixed values:
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -183,7 +185,6 @@ def summary_lcs_hits(ref_sents: list[list], cand_sents: list[list]) -> int:
     """ROUGE-Lsum hits: union LCS of each reference sentence against all
     candidate sentences, each token counted at most as often as it occurs on
     both sides (Lin 2004)."""
-    from collections import Counter
     cr, cc = Counter(), Counter()
     for s in ref_sents:
         cr.update(s)
@@ -350,11 +351,77 @@ def char_ngram_vectors(tokens: list[str], n: int = 3) -> np.ndarray:
     return out / np.where(norm == 0, 1.0, norm)
 
 
+def _ngram_rows(tokens: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, n-gram, count) rows of the character n-grams of ``tokens`` between their marks; an n-gram is its code
+    points in one number."""
+    size = np.fromiter((len(t) + 2 for t in tokens), np.int64, len(tokens))
+    codes = np.frombuffer("".join(f"<{t}>" for t in tokens).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(tokens)), size)
+    m = max(0, len(codes) - n + 1)
+    gram = np.zeros(m, np.int64)
+    for i in range(n):
+        gram = (gram << 21) | codes[i:m + i]
+    inside = row[:m] == row[n - 1:m + n - 1]
+    row, gram = row[:m][inside], gram[inside]
+    order = np.lexsort((gram, row))
+    row, gram = row[order], gram[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    at = np.flatnonzero(new)
+    return row[at], gram[at], np.diff(np.r_[at, len(row)])
+
+
+#: Cells of the (token, other token) block that similarities are summed up in, and n-gram matches expanded at a time.
+MATCH_CELLS = 1 << 22
+
+
+def best_by_ngrams(tokens: list[str], others: list[str]) -> np.ndarray:
+    """The largest cosine of each of ``tokens`` (all different) with one of ``others`` by their character n-gram counts. A
+    token that is among them has 1. For the rest the others' n-grams are inverted, and the postings of a block of tokens
+    are summed up in a block of bounded size."""
+    known = set(others)
+    out = np.array([float(t in known) for t in tokens])
+    left = np.array([i for i, t in enumerate(tokens) if t not in known], np.int64)
+    if not len(left) or not others:
+        return out
+    other, gram, n = _ngram_rows(others)
+    weight = n / np.sqrt(np.bincount(other, weights=n.astype(np.float64) ** 2))[other]
+    order = np.argsort(gram, kind="stable")
+    other, gram, weight = other[order], gram[order], weight[order]
+    row, own, count = _ngram_rows([tokens[i] for i in left])
+    norm = np.sqrt(np.bincount(row, weights=count.astype(np.float64) ** 2))
+    first, last = np.searchsorted(gram, own), np.searchsorted(gram, own, side="right")
+    matches = last - first
+    step = max(1, MATCH_CELLS // len(others))
+    for a in range(0, len(left), step):
+        i, j = np.searchsorted(row, [a, a + step])
+        sums = np.zeros(min(step, len(left) - a) * len(others))
+        while i < j:  # some of the block's n-grams at a time
+            e = i + max(1, int(np.searchsorted(np.cumsum(matches[i:j]), MATCH_CELLS, side="right")))
+            at = np.repeat(first[i:e] - (np.cumsum(matches[i:e]) - matches[i:e]), matches[i:e]) + np.arange(int(matches[i:e].sum()))
+            cell = np.repeat((row[i:e] - a) * len(others), matches[i:e]) + other[at]
+            sums += np.bincount(cell, weights=np.repeat(count[i:e], matches[i:e]) * weight[at], minlength=len(sums))
+            i = e
+        out[left[a:a + step]] = sums.reshape(-1, len(others)).max(axis=1) / norm[a:a + step]
+    return out
+
+
+def _best_by_vectors(v: np.ndarray, i: np.ndarray, j: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Largest products of the rows ``i`` of ``v`` with those of ``j``, and the other way round; a block at a time."""
+    there, back = np.empty(len(i)), np.full(len(j), -np.inf)
+    for a in range(0, len(i), block):
+        s = v[i[a:a + block]] @ v[j].T
+        there[a:a + block] = s.max(axis=1)
+        np.maximum(back, s.max(axis=0), out=back)
+    return there, back
+
+
 def greedy_text_match(pairs: DataFrame, keep: list[str], ref: str = "reference", pred: str = "prediction",
                       encoder=char_ngram_vectors) -> DataFrame:
     """G6 on texts, row by row: the whitespace tokens of both sides as vectors of ``encoder``
     (list of distinct tokens -> unit vectors), greedily matched as in ``greedy_match``. A pair with an empty
-    side scores 0, two empty sides 1; every pair gives a row."""
+    side scores 0, two empty sides 1; every pair gives a row. The built-in vectors are never laid out: their best
+    matches come from n-gram postings (``best_by_ngrams``), so a long pair needs memory for its distinct tokens only."""
     from longdoc.functions.text import words
 
     @F.arrow_udf("precision double, recall double")
@@ -364,13 +431,14 @@ def greedy_text_match(pairs: DataFrame, keep: list[str], ref: str = "reference",
             if not x or not y:
                 p.append(float(not x and not y)), r.append(float(not x and not y))
                 continue
-            tokens = sorted(set(x) | set(y))
-            place, v = {t: i for i, t in enumerate(tokens)}, encoder(tokens)
-            i, j = np.array([place[t] for t in x]), np.array([place[t] for t in y])
-            ui, ci = np.unique(i, return_counts=True)
-            uj, cj = np.unique(j, return_counts=True)
-            s = np.asarray(v)[ui] @ np.asarray(v)[uj].T
-            p.append(float((s.max(axis=1) * ci).sum() / ci.sum())), r.append(float((s.max(axis=0) * cj).sum() / cj.sum()))
+            cx, cy = Counter(x), Counter(y)
+            if encoder is char_ngram_vectors:
+                there, back = best_by_ngrams(list(cx), list(cy)), best_by_ngrams(list(cy), list(cx))
+            else:
+                place = {t: i for i, t in enumerate(sorted(set(cx) | set(cy)))}
+                there, back = _best_by_vectors(np.asarray(encoder(list(place))), np.array([place[t] for t in cx]), np.array([place[t] for t in cy]))
+            p.append(float((there * np.array(list(cx.values()))).sum() / len(x)))
+            r.append(float((back * np.array(list(cy.values()))).sum() / len(y)))
         return pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(r, pa.float64())], names=["precision", "recall"])
 
     m = pairs.select(*keep, run(words(_text(pred)), words(_text(ref))).alias("_m"))

@@ -306,12 +306,28 @@ class Tile:
         sums = cumulated(bound[order]) * (1 + 1e-9)
         essential = np.ones(len(entry), bool)
         essential[order] = sums >= floor[place[order]]
-        query, key, dot = self.parts(entry[essential])
+        cost = np.bincount(place[essential], weights=df[essential], minlength=len(queries)).astype(np.int64)
+        rest_entry, rest_count = entry[~essential], np.bincount(place[~essential], minlength=len(queries))
+        rest_first = np.cumsum(rest_count) - rest_count
+        found = []
+        for a, b in _cuts(cost):
+            mine = essential & (place >= a) & (place < b)
+            found.append(self._refined(queries, floor, entry[mine], rest_entry, rest_first, rest_count))
+        query, key, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        held = np.bincount(np.searchsorted(queries, query), minlength=len(queries))
+        short = np.flatnonzero(held < np.minimum(self.k, self.group_keys[self.q.chunk_group[queries]] - self.exclude_self))
+        if len(short):  # too few keys share a term: zeros fill up
+            whole = self.exhaustive(queries[short])
+            stay = ~np.isin(query, queries[short])
+            return tuple(np.concatenate([x[stay], y]) for x, y in zip((query, key, score), whole, strict=True))
+        return query, key, score
+
+    def _refined(self, queries: np.ndarray, floor: np.ndarray, essential: np.ndarray, rest_entry: np.ndarray, rest_first: np.ndarray,
+                 rest_count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps 3 and 4 for the queries of the ``essential`` entries."""
+        query, key, dot = self.parts(essential)
         # 3: what the other terms can add in the candidate's own block
         where = np.searchsorted(queries, query)
-        rest_entry, rest_place = entry[~essential], place[~essential]
-        rest_count = np.bincount(rest_place, minlength=len(queries))
-        rest_first = np.cumsum(rest_count) - rest_count
         partial = dot / np.sqrt(np.maximum(self.blocks.norm[key], 1))
         alive = np.zeros(len(query), bool)
         for a, b in _cuts(rest_count[where]):
@@ -323,12 +339,6 @@ class Tile:
         # 4
         score = self.score(key, self.full(query, key))
         best = self.top(query, key, score)
-        found = np.bincount(np.searchsorted(queries, query[best]), minlength=len(queries))
-        short = np.flatnonzero(found < np.minimum(self.k, self.group_keys[self.q.chunk_group[queries]] - self.exclude_self))
-        if len(short):  # too few keys share a term: zeros fill up
-            whole = self.exhaustive(queries[short])
-            stay = best[~np.isin(query[best], queries[short])]
-            return tuple(np.concatenate([x[stay], y]) for x, y in zip((query, key, score), whole, strict=True))
         return query[best], key[best], score[best]
 
     def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -132,3 +132,51 @@ def test_bootstrap_is_of_the_rows(spark):
     df = spark.createDataFrame([(str(i), float(i % 7)) for i in range(500)], "id string, fmeasure double")
     a, b = (bootstrap_mid(x).first() for x in (df, df.repartition(5)))
     assert abs(a.mid - 2.99) < 0.05 and a.low < a.mid < a.high and (a.low, a.mid, a.high) == (b.low, b.mid, b.high)
+
+
+def test_greedy_text_match_without_laid_out_vectors(spark):
+    """The n-gram postings give what the laid-out vectors give."""
+    import random
+
+    from longdoc.operators import metrics as M
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice("aabcdeé😀") for _ in range(rng.randint(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60))), " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    rows += [(40, None, "a"), (41, "", ""), (42, "same words here", "same words here"), (43, "abc", "xyz")]
+    df = spark.createDataFrame(rows, "id int, reference string, prediction string").repartition(3)
+    own = {r.id: r for r in M.greedy_text_match(df, ["id"]).collect()}
+    laid = {r.id: r for r in M.greedy_text_match(df, ["id"], encoder=lambda tokens: M.char_ngram_vectors(tokens)).collect()}
+    for i in range(44):
+        for c in ("precision", "recall", "f1"):
+            assert own[i][c] == pytest.approx(laid[i][c], abs=1e-12)
+
+
+def test_greedy_match_of_a_long_pair_in_bounded_memory():
+    """Two texts of 5 MB with some 24000 different tokens each, half of them shared: laid out as vectors of their 15000 n-grams
+    they would be over 4 GB."""
+    import subprocess
+    import sys
+    code = """
+import random, resource
+import numpy as np
+from longdoc.operators import metrics as M
+rng = random.Random(1)
+vocab = list({"".join(rng.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(rng.randint(2, 10))) for _ in range(36_000)})
+x, y = (rng.choices(v, k=700_000) for v in (vocab[:24_000], vocab[12_000:]))
+assert len(" ".join(x + y)) > 9_000_000
+a, b = list(dict.fromkeys(x)), list(dict.fromkeys(y))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+s = M.best_by_ngrams(a, b)
+row, gram, n = M._ngram_rows(b)
+norms = np.sqrt(np.bincount(row, weights=n.astype(float) ** 2))
+for i in range(0, len(a), 1999):
+    _, g, c = M._ngram_rows([a[i]])
+    q = dict(zip(g.tolist(), c.tolist()))
+    dots = np.bincount(row, weights=[q.get(t, 0) * k for t, k in zip(gram.tolist(), n.tolist())], minlength=len(b))
+    assert abs((dots / norms).max() / np.sqrt((c.astype(float) ** 2).sum()) - s[i]) < 1e-12, a[i]
+print(len(a), len(set(gram.tolist())), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert out.returncode == 0, out.stderr[-2000:]
+    tokens, grams, mb = map(int, out.stdout.split())
+    assert tokens > 20_000 and grams > 10_000 and mb < 700
