@@ -127,11 +127,10 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "parquet", schema: s
 
 
 def import_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A5/A9, import mode: the elements of an (indented) JSON array file with their
-    ``ordinal`` (from 0). One such file is one task, as it can't be split: import it once and go on
-    with JSON lines or Parquet. A corrupt file is an error."""
-    df = (spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path))
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
+    """A5/A9, import mode: the objects of JSON array files (indented or not) with their
+    ``ordinal`` (from 0, files by name). A file is read by as many tasks as it has blocks. A corrupt file is an error."""
+    from longdoc.sources.json_array import read_array
+    return read_array(spark, path, schema)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
