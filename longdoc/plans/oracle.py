@@ -932,6 +932,9 @@ hk_a AS (SELECT article_id, count(*) AS n, string_agg(p, '#' ORDER BY query_no)
 SELECT b.article_id, b.n AS n_chunks, coalesce(a.n, 0) AS n_queries, md5(coalesce(a.p, '')) AS retrieved_md5
 FROM hk_b b LEFT JOIN hk_a a USING (article_id) WHERE b.no = 0 AND b.n >= 3"""
 
+SQL["materialize_files"] = with_(ARTICLES) + """
+SELECT article_id, md5(array_to_string(article_text, ' ')) AS body_md5 FROM articles"""
+
 SQL["quarantine_flow"] = with_(ARTICLES, TITLES) + """
 SELECT a.split, CASE WHEN a.article_id % 7 <> 0 THEN a.article_id END AS article_id,
        CAST(CASE WHEN a.article_id % 7 = 0 THEN 20 END AS BIGINT) AS line_chars,

@@ -29,6 +29,7 @@ from longdoc.operators import sparse_index
 from longdoc.operators.tokens import decode, tokenize
 from longdoc.session import scratch_path
 from longdoc.sources import io as IO
+from longdoc.sources import reuse as RU
 from longdoc.sources import testdata as TD
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -668,6 +669,19 @@ def q_materialize_chunks(spark, sf):
         "article_id", "chunk_no", "n_chunks", A.ids_text("token_ids").alias("token_ids")))
 
 
+@register("materialize_files")
+def q_materialize_files(spark, sf):
+    """A6 per input file: the body of every raw article, kept for each file it is in."""
+    raw = raw_article_files(spark, sf)
+
+    def compute(files):
+        a = spark.read.schema(IO.ARTICLE_SCHEMA).json(files)
+        return a.select("article_id", TX.flatten_text("article_text").alias("body"), F.col("_metadata.file_path").alias(RU.INPUT_FILE))
+
+    m = RU.materialize_files(spark, compute, raw, scratch_path(spark, "article_bodies"), {"raw": raw, "v": 1})
+    return out(m.select(F.col("article_id").cast("bigint").alias("article_id"), F.md5(F.col("body").cast("binary")).alias("body_md5")))
+
+
 @register("chunk_index")
 def q_chunk_index(spark, sf):
     path = _scratch(spark, sf, "chunk_index")
