@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import threading
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -243,6 +244,49 @@ class UserTokenizer:
         return run(F.col(ids) if isinstance(ids, str) else ids)
 
 
+@lru_cache(maxsize=4)
+def _load_subwords(path: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    return t
+
+
+class SubwordTokenizer:
+    """H1 with a public subword vocabulary: a ``tokenizer.json`` that every task can read at ``path``. Ids are the file's own
+    from ``FIRST_PIECE_ID`` on, so PAD, EOS and the other special ids keep their places and each subword is a term of the sparse
+    search; every text ends with EOS. A null text gives a null array, an empty one EOS alone. With a byte-level vocabulary decoding gives
+    the text back exactly."""
+
+    def __init__(self, path: str, eos: int = EOS):
+        self.path, self.eos = path, eos
+
+    def encode(self, col, max_len: int | None = None) -> Column:
+        path = self.path
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def run(texts: pa.Array) -> pa.Array:
+            coded = _load_subwords(path).encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)
+            ends = np.cumsum([0] + [len(x.ids) for x in coded]).astype(np.int32)
+            ids = np.fromiter((i for x in coded for i in x.ids), np.int32, int(ends[-1])) + FIRST_PIECE_ID
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)), mask=texts.is_null())
+
+        ids = run.asNondeterministic()(F.col(col) if isinstance(col, str) else col)
+        return F.concat(ids if max_len is None else F.slice(ids, 1, max_len - 1), F.array(F.lit(self.eos)))
+
+    def decode(self, ids) -> Column:
+        path = self.path
+
+        @F.arrow_udf(T.StringType())
+        def run(values: pa.Array) -> pa.Array:
+            return pa.array(_load_subwords(path).decode_batch([[i - FIRST_PIECE_ID for i in x or []] for x in values.to_pylist()],
+                                                              skip_special_tokens=False), pa.string())
+
+        c = F.col(ids) if isinstance(ids, str) else ids
+        return run.asNondeterministic()(F.filter(c, lambda x: x >= FIRST_PIECE_ID))
+
+
 def tokenize_with(col, factory, max_len: int | None = None, eos: int = EOS) -> Column:
     """C1/C2 with a user tokenizer (the reference injects its own): ``factory()``
     returns a callable list[str] -> list[list[int]] (ids ending in EOS, as

@@ -935,6 +935,9 @@ FROM hk_b b LEFT JOIN hk_a a USING (article_id) WHERE b.no = 0 AND b.n >= 3"""
 SQL["materialize_files"] = with_(ARTICLES) + """
 SELECT article_id, md5(array_to_string(article_text, ' ')) AS body_md5 FROM articles"""
 
+SQL["subword_roundtrip"] = """
+SELECT doc_id, length(text) AS n_chars, md5(text) AS text_md5 FROM documents"""
+
 SQL["quarantine_flow"] = with_(ARTICLES, TITLES) + """
 SELECT a.split, CASE WHEN a.article_id % 7 <> 0 THEN a.article_id END AS article_id,
        CAST(CASE WHEN a.article_id % 7 = 0 THEN 20 END AS BIGINT) AS line_chars,

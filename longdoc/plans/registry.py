@@ -661,6 +661,18 @@ def q_export_first_n(spark, sf):
     return out(r.select("split", "article_id", "prompt"))
 
 
+@register("subword_roundtrip")
+def q_subword_roundtrip(spark, sf):
+    """H1 with a public subword vocabulary: every text encoded and decoded."""
+    import public_tokenizers
+
+    from longdoc.operators.tokens import SubwordTokenizer
+    tok = SubwordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = corpus.table(spark, sf, "documents").select("doc_id", tok.encode("text").alias("ids"))
+    text = ids.select("doc_id", tok.decode("ids").alias("text"))
+    return out(text.select("doc_id", F.char_length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5")))
+
+
 @register("materialize_chunks")
 def q_materialize_chunks(spark, sf):
     base = scratch_path(spark, "chunks")
