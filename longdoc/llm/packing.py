@@ -8,7 +8,8 @@ limits, goes in next. When none fits, the next bin opens.
 
 Documents longer than a sequence are cut: their full pieces fill bins alone, the
 rests are packed. Each task packs the rows of its partition in lots of ``LOT``
-pieces, so its memory doesn't grow with the input, and no shuffle is needed. Texts
+pieces, so its memory doesn't grow with the input. What a partition's last lot leaves in bins that no limit fills is packed
+once more together with other partitions' rests, so many small partitions don't make many open sequences. Texts
 are tokenized with the byte-level BPE vocabulary of a ``tokenizers`` JSON file.
 """
 
@@ -24,10 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longdoc.llm.common import materialize
+
 #: Limits of a sequence.
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 32
 MAX_LOSS_TOKENS = 1024
+#: Share of a limit from which on a bin is full.
+FULL = 0.97
+#: Sequences of the second pass are numbered behind those of this many tasks.
+SECOND = 1 << 22
 #: Id that ends every document.
 END_ID = 0
 #: Pieces that are packed together.
@@ -94,47 +101,79 @@ def fill_bins(demand: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     return bins
 
 
-def _pack_rows(rows: Iterator[tuple], limits: np.ndarray, lot: int, task: int) -> Iterator[pa.RecordBatch]:
-    """``rows``: (id, ids, loss mask). Yields placed pieces."""
-    most, sequence = int(limits[0]), task << 40
-    out: list[tuple] = []
-    pool: list[tuple] = []
-
-    def flush(keep: int) -> Iterator[pa.RecordBatch]:
-        nonlocal out
-        while len(out) > keep:
-            part, out = out[:OUT_ROWS], out[OUT_ROWS:]
+class _Packer:
+    """Pieces (id, start, length, ids, n_ids, n_loss) on their way into sequences, a lot at a time."""
+
+    def __init__(self, limits: np.ndarray, lot: int, first_sequence: int):
+        self.limits, self.lot, self.sequence = limits, lot, first_sequence
+        self.pool: list[tuple] = []
+        self.out: list[tuple] = []
+
+    def alone(self, piece: tuple) -> None:
+        self.out.append((*piece, self.sequence, 0))
+        self.sequence += 1
+
+    def add(self, piece: tuple) -> None:
+        self.pool.append(piece)
+        if len(self.pool) >= self.lot:
+            self.place()
+
+    def place(self, leave_open: bool = False) -> None:
+        """Pack the pool. With ``leave_open`` the pieces of bins that no limit fills get no sequence."""
+        demand = np.array([(p[2], 1, p[5]) for p in self.pool], np.int64).reshape(-1, 3)
+        for members in fill_bins(demand, self.limits):
+            if leave_open and (demand[members].sum(axis=0) < FULL * self.limits).all():
+                self.out += [(*self.pool[i], None, None) for i in members]
+                continue
+            offset = 0
+            for i in members:
+                self.out.append((*self.pool[i], self.sequence, offset))
+                offset += self.pool[i][2]
+            self.sequence += 1
+        self.pool = []
+
+    def flush(self, keep: int = 0) -> Iterator[pa.RecordBatch]:
+        while len(self.out) > keep:
+            part, self.out = self.out[:OUT_ROWS], self.out[OUT_ROWS:]
             cols = list(zip(*part, strict=True))
             kinds = [pa.binary() if i == 3 else pa.int64() for i in range(8)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
                                              names=[f.split()[0] for f in PIECES.split(", ")])
 
-    def place() -> None:
-        nonlocal pool, sequence
-        demand = np.array([(len(p[2]), 1, p[4]) for p in pool], np.int64).reshape(-1, 3)
-        for members in fill_bins(demand, limits):
-            offset = 0
-            for i in members:
-                key, start, ids, n_ids, n_loss = pool[i]
-                out.append((key, start, len(ids), ids.tobytes(), n_ids, n_loss, sequence, offset))
-                offset += len(ids)
-            sequence += 1
-        pool = []
 
+def _pack_rows(rows: Iterator[tuple], limits: np.ndarray, lot: int, task: int) -> Iterator[pa.RecordBatch]:
+    """``rows``: (id, ids, loss mask). Yields pieces; those of the last lot's open bins have no sequence yet."""
+    most = int(limits[0])
+    packer = _Packer(limits, lot, task << 40)
     for key, ids, loss in rows:
         for start, end in cut(loss, most, int(limits[2])):
             part = ids[start:end]
-            n_loss = int(loss[start:end].sum())
-            if len(part) == most:
-                out.append((key, start, most, part.tobytes(), len(ids), n_loss, sequence, 0))
-                sequence += 1
-            else:
-                pool.append((key, start, part, len(ids), n_loss))
-        if len(pool) >= lot:
-            place()
-        yield from flush(OUT_ROWS)
-    place()
-    yield from flush(0)
+            piece = (key, start, len(part), part.tobytes(), len(ids), int(loss[start:end].sum()))
+            (packer.alone if len(part) == most else packer.add)(piece)
+        yield from packer.flush(OUT_ROWS)
+    packer.place(leave_open=True)
+    yield from packer.flush()
+
+
+def _finish(first: DataFrame, limits: np.ndarray, lot: int) -> DataFrame:
+    """The pieces with a sequence, and those without one packed again over all partitions. The first pass is written once, so
+    texts are encoded once; only the open bins' pieces are shuffled."""
+    first = materialize(first, "packed")
+    open_ = first.where("sequence_id is null")
+    tasks = max(1, -(-open_.count() // (4 * lot)))
+    names = [f.split()[0] for f in PIECES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(limits, lot, (SECOND + TaskContext.get().partitionId()) << 40)
+        for batch in batches:
+            for piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                packer.add(piece)
+            yield from packer.flush(OUT_ROWS)
+        packer.place()
+        yield from packer.flush()
+
+    dealt = open_.withColumn("row", F.monotonically_increasing_id()).repartition(tasks, F.xxhash64("row")).select(*names)
+    return first.where("sequence_id is not null").unionByName(dealt.mapInArrow(run, PIECES))
 
 
 def cut(loss: np.ndarray, most: int, most_loss: int) -> Iterator[tuple[int, int]]:
@@ -180,7 +219,8 @@ def pack_texts(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, m
 
         yield from _pack_rows(rows(), limits, lot, TaskContext.get().partitionId())
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return _finish(rows.mapInArrow(run, PIECES), limits, lot)
 
 
 def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS,
@@ -204,5 +244,5 @@ def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segment
 
         yield from _pack_rows(rows(), limits, lot, TaskContext.get().partitionId())
 
-    return examples.select(F.col(example_id).cast("long").alias("id"), F.col(ids).alias("ids"),
-                           F.col(loss).alias("loss")).mapInArrow(run, PIECES)
+    rows = examples.select(F.col(example_id).cast("long").alias("id"), F.col(ids).alias("ids"), F.col(loss).alias("loss"))
+    return _finish(rows.mapInArrow(run, PIECES), limits, lot)
