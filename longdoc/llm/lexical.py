@@ -370,4 +370,4 @@ s AS (SELECT w.q, w.item_id, tf.r, tf.doc_id,
         sum(w.c * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * len.n * nn) // l))))::BIGINT AS score
       FROM w JOIN tf USING (t) JOIN len ON len.r = tf.r, all_ WHERE tf.doc_id IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
-SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10"""
