@@ -150,17 +150,23 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - bin(v).count("1")
 
 
-def lcs_positions(ref: list, cand: list) -> list[int]:
+def token_masks(tokens: list) -> dict:
+    """The places of each token as bits."""
+    masks: dict = {}
+    for i, t in enumerate(tokens):
+        masks[t] = masks.get(t, 0) | (1 << i)
+    return masks
+
+
+def lcs_positions(ref: list, cand: list, masks: dict | None = None) -> list[int]:
     """Indices into ``ref`` of one LCS, walked back from the end; without a match the walk
     moves along ``cand`` where that keeps the length and the last of ``ref`` adds to it, else
     along ``ref``. Only the bit rows of the recursion are kept (a bit of |ref| per token
-    of ``cand``): bit i of row j is clear where ref[i] raises the length."""
+    of ``cand``): bit i of row j is clear where ref[i] raises the length. ``masks``: ref's, if they are at hand."""
     m, n = len(ref), len(cand)
     if not m or not n:
         return []
-    masks: dict = {}
-    for i, t in enumerate(ref):
-        masks[t] = masks.get(t, 0) | (1 << i)
+    masks = token_masks(ref) if masks is None else masks
     full = (1 << m) - 1
     rows = [full]
     for t in cand:
@@ -190,11 +196,19 @@ def summary_lcs_hits(ref_sents: list[list], cand_sents: list[list]) -> int:
         cr.update(s)
     for s in cand_sents:
         cc.update(s)
+    # equal sentences give equal positions, and one without a common token none
+    different = list(dict.fromkeys(map(tuple, cand_sents)))
+    holds: dict = {}
+    for j, s in enumerate(different):
+        for t in set(s):
+            holds.setdefault(t, []).append(j)
     hits = 0
     for r in ref_sents:
-        idx = set()
-        for c in cand_sents:
-            idx.update(lcs_positions(r, c))
+        idx, masks = set(), token_masks(r)
+        for j in sorted({j for t in masks for j in holds.get(t, ())}):
+            idx.update(lcs_positions(r, different[j], masks))
+            if len(idx) == len(r):
+                break
         for i in sorted(idx):
             tkn = r[i]
             if cr[tkn] > 0 and cc[tkn] > 0:

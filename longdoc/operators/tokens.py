@@ -155,7 +155,7 @@ def _lookup_udf(path: str):
 
 
 def token_ids(col, vocab_path: str) -> Column:
-    """Pieces -> ids, without EOS (unknown pieces -> UNK)."""
+    """Pieces -> ids, without EOS; a piece outside the vocabulary is spelled."""
     c = F.col(col) if isinstance(col, str) else col
     return _lookup_udf(vocab_path)(c)
 

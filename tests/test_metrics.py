@@ -180,3 +180,22 @@ print(len(a), len(set(gram.tolist())), (resource.getrusage(resource.RUSAGE_SELF)
     assert out.returncode == 0, out.stderr[-2000:]
     tokens, grams, mb = map(int, out.stdout.split())
     assert tokens > 20_000 and grams > 10_000 and mb < 700
+
+
+def test_summary_hits_equal_the_plain_union():
+    """Repeated and disjoint sentences, against the union over all of them."""
+    import random
+    from collections import Counter
+
+    from longdoc.operators import metrics as M
+    rng = random.Random(3)
+    for _ in range(200):
+        sents = lambda: [[rng.randint(0, 9) for _ in range(rng.randint(0, 7))] for _ in range(rng.randint(0, 6))]
+        ref, cand = sents(), sents()
+        cand += cand[:2]
+        cr, cc, want = Counter(x for s in ref for x in s), Counter(x for s in cand for x in s), 0
+        for r in ref:
+            for i in sorted({i for c in cand for i in M.lcs_positions(r, c)}):
+                if cr[r[i]] > 0 and cc[r[i]] > 0:
+                    want, cr[r[i]], cc[r[i]] = want + 1, cr[r[i]] - 1, cc[r[i]] - 1
+        assert M.summary_lcs_hits(ref, cand) == want
