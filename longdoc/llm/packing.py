@@ -7,9 +7,9 @@ product of its demand and the bin's remaining room, both as shares of the
 limits, goes in next. When none fits, the next bin opens.
 
 Documents longer than a sequence are cut: their full pieces fill bins alone, the
-rests are packed. Each task packs the rows of its partition in lots of ``LOT``
-pieces, so its memory doesn't grow with the input. What a partition's last lot leaves in bins that no limit fills is packed
-once more together with other partitions' rests, so many small partitions don't make many open sequences. Texts
+rests are packed. Each task packs its rows in lots of ``LOT``
+pieces, so its memory doesn't grow with the input. Small partitions share a task, so that each task but the only one has about
+``TASK_BYTES`` of input and few of its sequences stay open; ids are never stored and read again. Texts
 are tokenized with the byte-level BPE vocabulary of a ``tokenizers`` JSON file.
 """
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longdoc.llm.common import materialize
+from longdoc.llm.common import text_bytes
 
 #: Limits of a sequence.
 MAX_TOKENS = 1024
@@ -33,8 +33,10 @@ MAX_SEGMENTS = 32
 MAX_LOSS_TOKENS = 1024
 #: Share of a limit from which on a bin is full.
 FULL = 0.97
-#: Sequences of the second pass are numbered behind those of this many tasks.
+#: Sequences that a task leaves open are numbered behind the full ones of this many tasks.
 SECOND = 1 << 22
+#: Bytes of text, or of ids, that a task packs at least, if partitions are smaller.
+TASK_BYTES = 4 << 20
 #: Id that ends every document.
 END_ID = 0
 #: Pieces that are packed together.
@@ -104,8 +106,8 @@ def fill_bins(demand: np.ndarray, limits: np.ndarray) -> list[list[int]]:
 class _Packer:
     """Pieces (id, start, length, ids, n_ids, n_loss) on their way into sequences, a lot at a time."""
 
-    def __init__(self, limits: np.ndarray, lot: int, first_sequence: int):
-        self.limits, self.lot, self.sequence = limits, lot, first_sequence
+    def __init__(self, limits: np.ndarray, lot: int, task: int):
+        self.limits, self.lot, self.sequence, self.open_sequence = limits, lot, task << 40, (SECOND + task) << 40
         self.pool: list[tuple] = []
         self.out: list[tuple] = []
 
@@ -118,18 +120,18 @@ class _Packer:
         if len(self.pool) >= self.lot:
             self.place()
 
-    def place(self, leave_open: bool = False) -> None:
-        """Pack the pool. With ``leave_open`` the pieces of bins that no limit fills get no sequence."""
+    def place(self, last: bool = False) -> None:
+        """Pack the pool. Of the ``last`` one, bins that no limit fills are numbered apart."""
         demand = np.array([(p[2], 1, p[5]) for p in self.pool], np.int64).reshape(-1, 3)
         for members in fill_bins(demand, self.limits):
-            if leave_open and (demand[members].sum(axis=0) < FULL * self.limits).all():
-                self.out += [(*self.pool[i], None, None) for i in members]
-                continue
+            if last and (demand[members].sum(axis=0) < FULL * self.limits).all():
+                sequence, self.open_sequence = self.open_sequence, self.open_sequence + 1
+            else:
+                sequence, self.sequence = self.sequence, self.sequence + 1
             offset = 0
             for i in members:
-                self.out.append((*self.pool[i], self.sequence, offset))
+                self.out.append((*self.pool[i], sequence, offset))
                 offset += self.pool[i][2]
-            self.sequence += 1
         self.pool = []
 
     def flush(self, keep: int = 0) -> Iterator[pa.RecordBatch]:
@@ -142,38 +144,22 @@ class _Packer:
 
 
 def _pack_rows(rows: Iterator[tuple], limits: np.ndarray, lot: int, task: int) -> Iterator[pa.RecordBatch]:
-    """``rows``: (id, ids, loss mask). Yields pieces; those of the last lot's open bins have no sequence yet."""
+    """``rows``: (id, ids, loss mask). Yields pieces with their places."""
     most = int(limits[0])
-    packer = _Packer(limits, lot, task << 40)
+    packer = _Packer(limits, lot, task)
     for key, ids, loss in rows:
         for start, end in cut(loss, most, int(limits[2])):
             part = ids[start:end]
             piece = (key, start, len(part), part.tobytes(), len(ids), int(loss[start:end].sum()))
             (packer.alone if len(part) == most else packer.add)(piece)
         yield from packer.flush(OUT_ROWS)
-    packer.place(leave_open=True)
+    packer.place(last=True)
     yield from packer.flush()
 
 
-def _finish(first: DataFrame, limits: np.ndarray, lot: int) -> DataFrame:
-    """The pieces with a sequence, and those without one packed again over all partitions. The first pass is written once, so
-    texts are encoded once; only the open bins' pieces are shuffled."""
-    first = materialize(first, "packed")
-    open_ = first.where("sequence_id is null")
-    tasks = max(1, -(-open_.count() // (4 * lot)))
-    names = [f.split()[0] for f in PIECES.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(limits, lot, (SECOND + TaskContext.get().partitionId()) << 40)
-        for batch in batches:
-            for piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                packer.add(piece)
-            yield from packer.flush(OUT_ROWS)
-        packer.place()
-        yield from packer.flush()
-
-    dealt = open_.withColumn("row", F.monotonically_increasing_id()).repartition(tasks, F.xxhash64("row")).select(*names)
-    return first.where("sequence_id is not null").unionByName(dealt.mapInArrow(run, PIECES))
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` of ``size`` bytes in as many tasks as have ``TASK_BYTES`` each, or in fewer if there are fewer partitions."""
+    return rows.coalesce(max(1, size // TASK_BYTES))
 
 
 def cut(loss: np.ndarray, most: int, most_loss: int) -> Iterator[tuple[int, int]]:
@@ -220,7 +206,7 @@ def pack_texts(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, m
         yield from _pack_rows(rows(), limits, lot, TaskContext.get().partitionId())
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return _finish(rows.mapInArrow(run, PIECES), limits, lot)
+    return _dealt(rows, text_bytes(docs, text)).mapInArrow(run, PIECES)
 
 
 def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS,
@@ -245,4 +231,5 @@ def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segment
         yield from _pack_rows(rows(), limits, lot, TaskContext.get().partitionId())
 
     rows = examples.select(F.col(example_id).cast("long").alias("id"), F.col(ids).alias("ids"), F.col(loss).alias("loss"))
-    return _finish(rows.mapInArrow(run, PIECES), limits, lot)
+    size = rows.agg(F.sum(F.size(F.coalesce("ids", F.array())).cast("long")).alias("n")).first()["n"] or 0
+    return _dealt(rows, 4 * size).mapInArrow(run, PIECES)

@@ -2,9 +2,11 @@
 
 One sequence per article. A round asks the caller's generator for the ids up to the next multiple of the chunk size,
 masks what follows an EOS (C10), takes finished sequences out, searches the article's chunks with each other sequence's
-last full chunk (C9) and appends the neighbours' pairs to what the next round's generator is given. Rounds are
-written to the shared folder: a lost executor repeats tasks of one round, never an earlier round's generation, and a round
-costs what its unfinished sequences cost.
+last full chunk (C9) and appends the neighbours' pairs to what the next round's generator is given.
+
+A sequence needs its own article's chunks only. The search by term frequencies therefore runs where they are: starts and articles are
+joined once, and each task takes its sequences through all rounds, ``TASK_ROWS`` at a time, with the index blocks and tiles of
+``sparse_index``. With an encoder, whose vectors are columns, every round is a search of its own and is written to the shared folder.
 """
 
 from __future__ import annotations

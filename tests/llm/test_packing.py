@@ -80,3 +80,15 @@ def test_second_pass_takes_open_bins_only(ship):
     second = packing.SECOND << 40
     assert all(r.length == 10 or r.sequence_id < second for r in rows)
     assert packing.pack_examples(df.limit(0)).collect() == []
+
+
+def test_ids_are_not_stored_on_the_way(ship):
+    """Pieces go to their sequences in the task that makes them: nothing is written before the result."""
+    import glob
+
+    from longdoc.session import scratch_path
+    df = ship.createDataFrame([(i, f"word{i} " * 50) for i in range(60)], "doc_id long, text string").repartition(6)
+    folder = scratch_path(ship, "llm").removeprefix("file:") + "/*"
+    before = set(glob.glob(folder))
+    rows = packing.pack_texts(df, tokenizer_path("byte_bpe_50k.json")).drop("ids").collect()
+    assert _check(rows, 60) > 0 and set(glob.glob(folder)) == before
