@@ -39,3 +39,25 @@ def test_preparation_with_subwords(spark, tok):
         chunks = [list(c) for c in x.text_tokenized]
         pairs = {tuple(a + b) for a, b in zip(chunks, chunks[1:], strict=False)}
         assert all(tuple(p) in pairs for q in x.retrieved for p in q)
+
+
+def test_byte_level_files_are_read_as_their_library_does(tmp_path):
+    """The fast path takes plain byte-level files only, and gives the library's ids and texts."""
+    import json
+
+    import pyarrow as pa
+
+    from longdoc.operators import tokens as T
+    path = P.path("byte_bpe_50k.json")
+    slow, (fast, shown) = T._load_subwords(path), T._load_bytes(path)
+    texts = ["", "it's  we'LL\n\n \t x", "日本語 é😀 123 4,5", "<|endoftext|>a", "\u2003\x00\x85 b", "ab" * 3000, " " * 300]
+    ids = [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
+    assert [fast.encode_to_numpy(x, disallowed_special=()).tolist() for x in texts] == ids
+    cut = [x[:n] for x in ids for n in (1, 2, 3, 5, 8)] + [[50256, 5]]
+    assert [b"".join(shown.take(pa.array(x, pa.int64())).to_pylist()).decode("utf-8", "replace") for x in cut] == slow.decode_batch(cut, skip_special_tokens=False)
+    assert T._load_bytes(P.path("word_bpe_49k.json")) is None
+    with open(path) as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    assert T._load_bytes(str(tmp_path / "t.json")) is None
