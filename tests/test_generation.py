@@ -85,3 +85,29 @@ def test_rounds_equal_a_plain_loop(spark, vectors):
 def test_no_sequences(spark):
     st = spark.createDataFrame([], "article_id long, prompt_ids array<int>")
     assert generate_incremental(st, spark.createDataFrame([(1, [[P] * 4] * 3)], SCHEMA), _factory, c=4).collect() == []
+
+
+def test_rounds_write_the_result_only(spark):
+    """Neither a round nor the articles' chunks are written, and a repeated article isn't multiplied by each round."""
+    import glob
+
+    from longdoc.session import scratch_path
+    folder = scratch_path(spark, "generation").removeprefix("file:") + "/*"
+    articles = [(1, [[P + i, P + 1, P, P] for i in range(5)])] * 2 + [(2, [[P] * 4] * 3)]
+    st = spark.createDataFrame([(1, [P]), (2, [P] * 5), (None, [P])], "article_id long, prompt_ids array<int>")
+    before = set(glob.glob(folder))
+    out = generate_incremental(st, spark.createDataFrame(articles, SCHEMA), _factory, k=2, c=4, max_len=19).collect()
+    assert len(set(glob.glob(folder)) - before) == 1
+    assert sorted((r.article_id or 0, len(r.ids), len(r.retrieved)) for r in out) == [(0, 19, 0), (1, 19, 4), (1, 19, 4), (2, 19, 4)]
+
+
+def test_an_article_of_several_tiles():
+    """The best chunks of an article with more key blocks than a tile holds."""
+    import pyarrow as pa
+
+    from longdoc.operators import generation, sparse_index
+    n = (sparse_index.TILE_BLOCKS + 3) * sparse_index.BLOCK
+    chunks = [[P + i % 5, P + 7, P + 7, P] for i in range(n)]
+    chunks[n - 9] = chunks[3] = [P + 9] * 4
+    own = generation.OwnChunks(pa.array([None, chunks], pa.list_(pa.list_(pa.int32()))), 3)
+    assert list(own.find({0: [[P + 9] * 4], 1: [[P + 9] * 4]})) == [(1, [chunks[3] + chunks[4], chunks[n - 9] + chunks[n - 8], chunks[0] + chunks[1]])]
