@@ -82,7 +82,7 @@ class _Packer:
     """Pieces (id, start, length, ids, n_ids, n_loss) on their way into sequences, a lot at a time."""
 
     def __init__(self, limits: np.ndarray, lot: int, task: int):
-        self.limits, self.lot, self.sequence, self.open_sequence = limits, lot, task << 40, (SECOND + task) << 40
+        self.limits, self.lot, self.sequence, self.open_sequence = limits, lot, task << 40, (SECOND + 1 + task) << 40
         self.pool: list[tuple] = []
         self.out: list[tuple] = []
 
