@@ -81,3 +81,23 @@ def test_search_of_an_index_in_itself_shuffles_its_blocks_once(spark, monkeypatc
         assert got == sorted(map(key, SI.search(small, small, exclude_self=True).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_every_session_bounds_its_arrow_batches(spark):
+    """A later session of an application, left at Spark's default, gets batches as small as the first one's; a number of its own stays."""
+    from longdoc.session import ARROW_BATCH_ROWS, ship_package
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    def largest(session, rows):
+        session.conf.set(name, rows)
+        ship_package(session)
+        return max(r.n for r in session.range(0, 12_000, 1, 1).mapInArrow(sizes, "n long").collect())
+
+    ship_package(spark)
+    assert largest(spark.newSession(), "10000") == ARROW_BATCH_ROWS
+    assert largest(spark.newSession(), "3000") == 3000
